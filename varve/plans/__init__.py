@@ -1,0 +1 @@
+"""plans of the panel and market analytics engine."""

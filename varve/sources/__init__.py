@@ -1,0 +1 @@
+"""sources of the panel and market analytics engine."""

@@ -1,0 +1 @@
+"""streaming of the panel and market analytics engine."""
