@@ -7,9 +7,13 @@ pair's Jaccard similarity is estimated from equal registers, corrected for regis
 only pairs near or over the threshold are confirmed on their full sets.
 
 Documents of equal sets are one class, so thousands of copies count once. Candidates of a band are not paired with
-each other: rounds of stars (each member with one hashed centre) are confirmed and merged into components, and then
-only pairs of a bucket whose ends still lie in different components are confirmed, all of them. The links left out
-would join documents that are in one component already.
+each other. Each bucket has a hub, its member with the most company over all buckets, and each member x is compared
+with its hub h alone; what differs is its set of edits E(x), the symmetric difference with h. The symmetric difference
+of two members is that of their edits, so members x and y are alike only if it has at most q (|x| + |y|) elements, with
+q = (100 - percent) / (100 + percent). Both linked with the hub, they are in one component already; otherwise
+|E(x)| + |E(y)| exceeds that bound, and they must share at least half the excess of their edits. That is an exact set
+join on edits, done with prefix filters per hub (elements that the hub lacks first). It finds every link that is left,
+and random edits share next to nothing, so a group of thousands of near copies gives few pairs.
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8^5)^36, under 1e-6.
 
@@ -25,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_size, cut, map_arrow
@@ -124,23 +128,52 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), "id long, registers binary, elements binary", f, 64)
 
 
+def _paired(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    side = lambda k: features.select(F.col("id").alias(k), F.col("registers").alias(f"r{k}"), F.col("elements").alias(f"e{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "ea", "eb")
+
+
+def _maybe(ra: bytes, rb: bytes, n: int, m: int, percent: int) -> bool:
+    """The registers' estimate doesn't rule the pair out."""
+    p = percent / 100
+    return estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), n, m) >= p - SLACK * (p * (1 - p) / K) ** 0.5
+
+
 def _confirm(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union: estimated first, then counted."""
-    least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / K) ** 0.5
-    side = lambda k: features.select(F.col("id").alias(k), F.col("registers").alias(f"r{k}"), F.col("elements").alias(f"e{k}"))
 
     def f(x: dict) -> Iterator[dict]:
         out: dict[str, list] = {"a": [], "b": []}
         for a, b, ra, rb, ea, eb in zip(*(x[k] for k in ("a", "b", "ra", "rb", "ea", "eb")), strict=True):
             n, m = len(ea) // 8, len(eb) // 8
-            if n and m and estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), n, m) >= least:
+            if _maybe(ra, rb, n, m, percent):
                 both = n + m - len(np.union1d(np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64)))
                 if 100 * both >= percent * (n + m - both):
                     out["a"].append(a)
                     out["b"].append(b)
         yield out
 
-    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "ea", "eb"), "a long, b long", f)
+    return map_arrow(_paired(pairs, features), "a long, b long", f)
+
+
+def _edits(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """For hub a and member b: n (size of b's set), e (number of its edits), linked, and the edits' prefix that an
+    alike member must meet, those that the hub lacks first."""
+
+    def f(x: dict) -> Iterator[dict]:
+        out: dict[str, list] = {k: [] for k in ("a", "b", "n", "e", "linked", "prefix")}
+        for a, b, ra, rb, ea, eb in zip(*(x[k] for k in ("a", "b", "ra", "rb", "ea", "eb")), strict=True):
+            hub, own = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64)
+            n, m = len(hub), len(own)
+            edits = np.concatenate((np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)))
+            both = (n + m - len(edits)) // 2
+            linked = _maybe(ra, rb, n, m, percent) and 100 * both >= percent * (n + m - both)
+            most = (100 - percent) * (m + m * 100 // percent + 1) // (100 + percent) + 1
+            for k, v in zip(out, (a, b, m, len(edits), linked, edits[:most].view(np.int64).tolist()), strict=True):
+                out[k].append(v)
+        yield out
+
+    return map_arrow(_paired(pairs, features), "a long, b long, n long, e long, linked boolean, prefix array<long>", f, 64)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -162,71 +195,51 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _labelled(table: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return table.withColumn("label", F.col("id"))
-    return table.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    """Sets of these sizes can reach the threshold."""
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
-
-
-def classes(docs: DataFrame, size: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
+def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    sketch = cut(spark, _sketch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size), "sketch")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch = cut(spark, _sketch(docs, size), "sketch")
     # Documents of equal sets are one class under the least doc_id.
     filled = sketch.where("n > 0 and doc_id is not null")
     reps = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    table = filled.join(reps, ["h1", "h2"]).where("doc_id = id").select("id", "n", F.explode("keys").alias("key")).distinct()
+    table = filled.join(reps, ["h1", "h2"]).where("doc_id = id").select("id", F.explode("keys").alias("key")).distinct()
     many = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    table = cut(spark, table.join(many.select("key"), "key", "left_semi"), "bands")
+    table = cut(spark, table.join(many, "key"), "bands")
     wanted = by_size(cut(spark, table.select(F.col("id").alias("doc_id")).distinct(), "wanted"), 2_000_000)
-    features = cut(spark, _features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), size), "features").dropDuplicates(["id"])
+    features = cut(spark, _features(docs.join(wanted, "doc_id", "left_semi"), size), "features").dropDuplicates(["id"])
+
+    # Each bucket's members with its hub.
+    company = table.groupBy("id").agg(F.sum("c").alias("company"))
+    hubs = table.join(company, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("company"), "id")).alias("a"))
+    stars = table.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    edits = cut(spark, _edits(stars, features, percent), "edits")
+    links = edits.where("linked").select("a", "b")
+    labels = cut(spark, components(spark, links), "labels")
+
+    # Members that a hub's group may still link: their prefixes of edits meet.
+    open_hubs = edits.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("apart")).where("members > 1 and apart > 0").select("a")
+    rows = edits.join(open_hubs, "a", "left_semi").join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("label", F.coalesce("component", "b"))
+    rows = rows.select("a", "b", "n", "e", "linked", "label", F.posexplode("prefix").alias("pos", "element"))
+    x, y = rows.alias("x"), rows.alias("y")
+    excess = (100 + percent) * (F.col("x.e") + F.col("y.e")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    need = F.ceil(excess / (2 * (100 + percent)))  # edits that they must share
+    alike = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    reach = (F.col("x.pos") <= F.col("x.e") - need) & (F.col("y.pos") <= F.col("y.e") - need)
+    apart = (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked"))
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element"))
+    rest = x.join(y, same & apart & alike & reach).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    found = cut(spark, _confirm(rest, features, percent), "links")
 
-    links, tried, labels = None, None, None
     # Rows of one doc_id with different sets belong together whatever their sets.
     own = filled.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y")
-    for r in range(stars + 1):
-        rows = _labelled(table, labels)
-        open_keys = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rows = rows.join(open_keys, "key", "left_semi") if labels is not None else rows
-        if r < stars:
-            rank = F.xxhash64("id", F.lit(r))
-            centre = rows.groupBy("key").agg(F.min_by("id", rank).alias("c"), F.min_by("label", rank).alias("c_label"), F.min_by("n", rank).alias("c_n"))
-            pairs = rows.join(centre, "key").where((F.col("label") != F.col("c_label")) & _alike(F.col("n"), F.col("c_n"), percent)).select(F.col("id").alias("x"), F.col("c").alias("y"))
-        else:  # everything that is still apart: the rows outside a bucket's largest component with all others
-            rows = cut(spark, rows, "open")
-            sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-            core = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("core"))
-            fringe = rows.join(core, "key").where("label <> core").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-            pairs = rows.join(fringe, "key").where((F.col("label") != F.col("x_label")) & _alike(F.col("n"), F.col("x_n"), percent)).select("x", F.col("id").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(spark, pairs, "pairs")
-        if pairs.isEmpty():
-            if r < stars:
-                continue
-            break
-        found = cut(spark, _confirm(pairs, features, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty() or labels is None:
-            labels = components(spark, links)
-
-    ids = filled.join(reps, ["h1", "h2"]).select("doc_id", "id", "h1", "h2")
-    if not own.isEmpty():  # doc_ids whose rows have different texts
-        bridges = ids.join(own.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        labels = components(spark, bridges if links is None else links.unionByName(bridges))
-    if labels is not None:
-        ids = ids.join(cut(spark, labels, "components"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    else:
-        ids = ids.select("doc_id", F.col("id").alias("component"))
-    found = ids.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = sketch.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    ids = filled.join(reps, ["h1", "h2"]).select("doc_id", "id")
+    bridges = cut(spark, ids.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "bridges")
+    if not (found.isEmpty() and bridges.isEmpty()):
+        stars_of = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labels = cut(spark, components(spark, stars_of.unionByName(found).unionByName(bridges)), "labels")
+    ids = ids.join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
+    out = sketch.select("doc_id", "n").join(ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
