@@ -126,18 +126,19 @@ def read(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     places = recipes.select("part", "row", "n_tokens", "root", "doc_id", "local_start", F.posexplode("digests").alias("pos", "digest"))
     got = places.join(spark.read.parquet(f"{path}/chunks"), "digest", "left")
-    whole = got.groupBy("part", "row").agg(*(F.first(c).alias(c) for c in ("doc_id", "local_start", "n_tokens", "root")), F.collect_list(F.struct("pos", "digest", "data")).alias("chunks"))
+    chunks = F.sort_array(F.collect_list(F.struct("pos", "digest", "data"))).alias("chunks")
+    whole = got.groupBy("part", "row").agg(*(F.first(c).alias(c) for c in ("doc_id", "local_start", "n_tokens", "root")), chunks)
+    whole = whole.select("part", "doc_id", "local_start", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.data").alias("data"))
 
     def verify(x: dict) -> Iterator[dict]:
         ids = []
-        for root, n, chunks in zip(x["root"], x["n_tokens"], x["chunks"], strict=True):
-            chunks = sorted(chunks, key=lambda c: c["pos"])
-            if any(c["data"] is None or digest(c["data"]) != c["digest"] for c in chunks) or hashlib.sha256(b"".join(c["digest"] for c in chunks)).digest() != root:
+        for root, n, names, data in zip(x["root"], x["n_tokens"], x["digests"], x["data"], strict=True):
+            if None in data or [digest(c) for c in data] != names or hashlib.sha256(b"".join(names)).digest() != root:
                 raise ValueError("a chunk or recipe of the store is damaged")
-            data = np.frombuffer(b"".join(c["data"] for c in chunks), kind)
-            if len(data) != n:
+            found = np.frombuffer(b"".join(data), kind)
+            if len(found) != n:
                 raise ValueError("a document of the store has another length than its recipe says")
-            ids.append(data.astype("<u4").tobytes())
+            ids.append(found.astype("<u4").tobytes())
         yield {k: x[k] for k in ("part", "doc_id", "local_start", "n_tokens")} | {"ids": ids}
 
     read = map_arrow(whole, "part int, doc_id long, local_start long, n_tokens long, ids binary", verify, 64)
