@@ -40,8 +40,8 @@ def _let(value: Column, body) -> Column:
 def _repeated_words(words: Column, n: Column, window: int) -> Column:
     """Number of words that lie in a window of ``window`` words occurring at least twice in the text."""
 
-    def windows(render) -> Column:
-        return F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: render(F.slice(words, i, window), i))
+    def windows(render) -> Column:  # words are bound, so that a plan that inlines them doesn't split the text at every window
+        return _let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: render(F.slice(w, i, window), i)))
 
     def covered(spots: Column) -> Column:  # sorted start positions of repeated windows
         return F.aggregate(
@@ -108,4 +108,7 @@ def verdict(rules: dict[str, tuple[str, float | None, float | None]]) -> Column:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_row")
-    return measures(docs.select(row, F.col("text").alias("_q_in")), "_q_in", ("_q_row",)).where("kept").select("_q_row.*")
+    judged = measures(docs.select(row, F.col("text").alias("_q_in")), "_q_in", ("_q_row",))
+    # As a filter, the verdict would be pushed below the projections and evaluate each of them again.
+    kept = judged.select(F.when(F.col("kept"), F.array("_q_row")).otherwise(F.slice(F.array("_q_row"), 1, 0)).alias("_q_kept"))
+    return kept.select(F.explode("_q_kept").alias("_q_row")).select("_q_row.*")
