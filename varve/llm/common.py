@@ -47,6 +47,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with at most 1,000 rows in an Arrow batch: whole texts are wide, and a batch is held on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def map_arrow(df: DataFrame, schema: str, f: Callable[[dict[str, list]], Iterator[dict[str, list]]], rows: int = 256) -> DataFrame:
     """mapInArrow with f from a dict of at most ``rows`` values a column to dicts of the result's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,7 +66,7 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[dict[str, list]], Iterato
                 for made in f(batch.slice(at, rows).to_pydict()):
                     yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def by_size(small: DataFrame, most_rows: int) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .tokens import encoder
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -123,4 +124,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, spa
         yield from flush()
 
     columns = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select("doc_id" if kind == "bigint" else docs["doc_id"].cast("string"), "text").mapInArrow(run, f"doc_id {'long' if kind == 'bigint' else 'string'}, {columns}")
+    return small_batches(docs).select("doc_id" if kind == "bigint" else docs["doc_id"].cast("string"), "text").mapInArrow(run, f"doc_id {'long' if kind == 'bigint' else 'string'}, {columns}")

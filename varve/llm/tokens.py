@@ -33,27 +33,22 @@ class _Pieces(dict):
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256)}
         self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())].__getitem__
-        self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
-    def _unit(self, unit: str, memo: dict[str, bytes]) -> bytes:
-        found = memo.get(unit)
-        if found is None:
-            found = memo[unit] = b"".join([self.packed(t.id) for t in self.merge(unit.translate(self.visible))])
-        return found
-
-    def clear(self) -> None:
-        super().clear()
-        self.letters.clear()
-        self.marks.clear()
+    def _unit(self, unit: str) -> bytes:
+        return b"".join([self.packed(t.id) for t in self.merge(unit.translate(self.visible))])
 
     def __missing__(self, piece: str) -> bytes:
         simple = _SIMPLE.fullmatch(piece)
         if simple:
             letters, marks = simple.groups()
-            found = self._unit(letters if self.spaced else letters.lower(), self.letters)
+            if not self.spaced:
+                letters = letters.lower()
+            found = self._unit(piece) if letters == piece else self[letters]
             if marks:
-                found += self._unit(marks, self.marks)
+                if marks not in self.marks:
+                    self.marks[marks] = self._unit(marks)
+                found += self.marks[marks]
         else:
             found = b"".join(map(self.packed, self.whole.encode(piece, add_special_tokens=False).ids))
         self[piece] = found
@@ -80,6 +75,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > self.most_cached:
             self.pieces.clear()
+            self.pieces.marks.clear()
         ids = self.pieces.__getitem__
         return [b"".join(map(ids, self._split(t or ""))) for t in texts]
 
