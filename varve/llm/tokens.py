@@ -1,9 +1,9 @@
-"""Exact token ids at the speed of a word cache.
+"""Exact token ids at the speed of a unit cache.
 
-Both tokenizers split a text before merging, and never across a space that starts a word. So a text's ids are those
-of its pieces at such spaces, and a bounded cache from piece to ids replaces most merges. A new piece of Latin letters
-with or without punctuation after them is two units of either tokenizer, which the library's merge model takes
-directly; any other new piece goes through the whole tokenizer. Null texts count as empty.
+Both tokenizers split a text by a fixed pattern and merge within the units found. For texts of Latin-1 and common
+punctuation alone, whose letters, digits and spaces Python and the tokenizers class alike, the same pattern splits here,
+and a bounded cache from unit to ids replaces most merges; the library's merge model takes new units. Any other text,
+or one with the start of a control string, goes through the whole tokenizer. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -11,73 +11,64 @@ from __future__ import annotations
 import os
 import re
 
-#: A space that does not start a word: such texts take the slower split.
-_ODD = re.compile(r" (?=\s|$)")
-_STARTS = re.compile(r"(?= \S)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PUNCTUATION = r"!-/:-@\[-`{-~"
-_SIMPLE = re.compile(f"( ?[{_LETTERS}]+)([{_PUNCTUATION}]*)")
+#: A character beyond Latin-1 and common punctuation, or one that is a space to one side only.
+_OTHER = re.compile("[^\\t\\n\\r -~\xa1-\xff‐-‧‰-›€]")
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The tokenizers' own patterns, over these classes. In the first, a unit carries the space before it.
+_SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 
 
-class _Pieces(dict):
-    """piece -> ids as little-endian unsigned 32-bit integers, found when first asked for."""
+class _Visible(dict):
+    """Character -> the visible characters that stand for its UTF-8 bytes."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, c: int) -> str:
+        self[c] = self.level.pre_tokenize_str(chr(c))[0][0]
+        return self[c]
+
+
+class _Units(dict):
+    """unit -> ids as little-endian unsigned 32-bit integers, found when first asked for."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.whole, self.spaced = Tokenizer.from_file(path), spaced
-        self.merge = self.whole.model.tokenize
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.visible = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256)}
+        self.whole = Tokenizer.from_file(path)
+        self.merge, self.visible = self.whole.model.tokenize, _Visible()
         self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())].__getitem__
-        self.marks: dict[str, bytes] = {}
-
-    def _unit(self, unit: str) -> bytes:
-        return b"".join([self.packed(t.id) for t in self.merge(unit.translate(self.visible))])
-
-    def __missing__(self, piece: str) -> bytes:
-        simple = _SIMPLE.fullmatch(piece)
-        if simple:
-            letters, marks = simple.groups()
-            if not self.spaced:
-                letters = letters.lower()
-            found = self._unit(piece) if letters == piece else self[letters]
-            if marks:
-                if marks not in self.marks:
-                    self.marks[marks] = self._unit(marks)
-                found += self.marks[marks]
-        else:
-            found = b"".join(map(self.packed, self.whole.encode(piece, add_special_tokens=False).ids))
-        self[piece] = found
+
+    def __missing__(self, unit: str) -> bytes:
+        plain = unit.isascii() and unit.isalpha()  # such letters stand for themselves
+        found = self[unit] = b"".join([self.packed(t.id) for t in self.merge(unit if plain else unit.translate(self.visible))])
         return found
 
 
 class Encoder:
-    """spaced: a word's piece carries the space before it (byte-level ids); otherwise spaces are dropped."""
+    """spaced: byte-level ids, a word's unit with the space before it; otherwise lower-cased words, spaces dropped."""
 
-    most_cached = 500_000
+    most_cached = 300_000
 
     def __init__(self, path: str, spaced: bool):
-        self.pieces, self.spaced = _Pieces(path, spaced), spaced
+        self.units, self.spaced = _Units(path), spaced
+        self.split = (_SPACED if spaced else _PLAIN).findall
 
-    def _split(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.split(" ")
-        if _ODD.search(text):
-            return [p for p in _STARTS.split(text) if p]
-        words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [p for p in _STARTS.split(text) if p]
-        return words
+    def _ids(self, text: str) -> bytes:
+        if _OTHER.search(text) or "<|" in text:
+            return b"".join(map(self.units.packed, self.units.whole.encode(text, add_special_tokens=False).ids))
+        return b"".join(map(self.units.__getitem__, self.split(text if self.spaced else text.lower())))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > self.most_cached:
-            self.pieces.clear()
-            self.pieces.marks.clear()
-        ids = self.pieces.__getitem__
-        return [b"".join(map(ids, self._split(t or ""))) for t in texts]
+        if len(self.units) > self.most_cached:
+            self.units.clear()
+        return [self._ids(t or "") for t in texts]
 
 
 _made: dict[tuple[str, bool], Encoder] = {}
