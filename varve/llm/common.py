@@ -48,8 +48,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with at most 1,000 rows in an Arrow batch: whole texts are wide, and a batch is held on both sides."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """df, with at most 256 rows in an Arrow batch: whole texts are wide, and a batch is held on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return df
 
 
@@ -65,6 +65,7 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[dict[str, list]], Iterato
             for at in range(0, batch.num_rows, rows):
                 for made in f(batch.slice(at, rows).to_pydict()):
                     yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) for x in out], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return small_batches(df).mapInArrow(run, schema)
 
