@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of "plain" words.
@@ -70,6 +70,11 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[dict[str, list]], Iterato
     return small_batches(df).mapInArrow(run, schema)
 
 
-def by_size(small: DataFrame, most_rows: int) -> DataFrame:
-    """small with a broadcast hint if it has at most most_rows rows (of bounded width); otherwise joins shuffle."""
-    return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
+def by_size(small: DataFrame, most_rows: int, weight: Column | None = None) -> DataFrame:
+    """small with a broadcast hint if it has at most most_rows rows of bounded width; otherwise joins shuffle.
+
+    weight (of a row, in such rows) bounds a row that may be wide: then the weights' sum is compared.
+    """
+    if weight is None:
+        return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
+    return F.broadcast(small) if (small.agg(F.sum(weight)).first()[0] or 0) <= most_rows else small

@@ -112,7 +112,7 @@ def strip(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A document of which nothing but white space is left goes."""
     spark = docs.sparkSession
     spans = passages(docs, min_words).groupBy(F.col("doc_id").alias("_s_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s_spans"))
-    spans = by_size(cut(spark, spans, "passages"), 200_000)
+    spans = by_size(cut(spark, spans, "passages"), 500_000, F.size("_s_spans") + 1)
     held = docs.join(spans, F.col("doc_id").cast("long") == F.col("_s_id"), "left").drop("_s_id")
 
     @F.pandas_udf("string")
