@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from varve.operators import simulate
+from varve.operators import moments, panel, simulate
 from varve.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -44,3 +44,27 @@ def test_monopoly_markup():
     assert s[0] == 1 and abs(mu[0] - 3.0) < 1e-12
     s, mu = simulate.solve(np.full(5, 2.0), 6.0, 1.5)
     assert np.allclose(s, 0.2) and np.allclose(mu, mu[0])
+
+
+def test_content_hash_ignores_order_and_sees_changes(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k long, v string")
+    one = moments.content_hash(df).first()
+    assert one == moments.content_hash(df.orderBy("k").repartition(3)).first() and one.n == 3
+    assert one.hash != moments.content_hash(df.distinct()).first().hash
+
+
+def test_bootstrap_matches_the_mean_and_its_error(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(5, 2, 400)
+    df = spark.createDataFrame([(int(i // 2), float(v)) for i, v in enumerate(x)], "entity long, x double")
+    means = moments.bootstrap(df, "entity", "x", 300).toPandas()["mean"]
+    by_entity = x.reshape(-1, 2).mean(axis=1)
+    assert abs(means.mean() - x.mean()) < 0.05
+    assert abs(means.std() / (by_entity.std() / np.sqrt(200)) - 1) < 0.2
+    assert moments.bootstrap(df.where("entity < 0"), "entity", "x", 3).count() == 0
+
+
+def test_validation_counts_faults(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 1, 0.0), (None, 1, 1.0)], "entity long, year long, x double")
+    assert tuple(panel.validate(df, ["entity", "year"], "x").first()) == (3, 1, 1, 1)
+    assert tuple(panel.validate(df.where("entity > 5"), ["entity", "year"], "x").first()) == (0, 0, 0, 0)

@@ -64,3 +64,15 @@ def waterfall(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
         passed = passed & F.coalesce(condition, F.lit(False))
         flags.append(F.struct(F.lit(len(flags) + 1).alias("step"), F.lit(name).alias("name"), passed.alias("ok")))
     return df.select("entity", F.explode(F.array(*flags)).alias("s")).where("s.ok").groupBy("s.step", "s.name").agg(F.count("*").alias("n_rows"), F.countDistinct("entity").alias("n_entities"))
+
+
+def validate(df: DataFrame, keys: list[str], positive: str) -> DataFrame:
+    """One row: n, rows that repeat a key, rows with a null key, rows whose column is not positive."""
+    by_key = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~(F.col(positive) > 0)).alias("bad"))
+    null_key = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
+    return by_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"),
+        F.coalesce(F.sum(F.when(null_key, F.col("n")).otherwise(0)), F.lit(0)).alias("null_keys"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("not_positive"),
+    )

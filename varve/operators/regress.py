@@ -41,3 +41,14 @@ def rolling(df: DataFrame, half: int, period: str = "year") -> DataFrame:
     df = df.join(F.broadcast(bounds))
     spots = F.sequence(F.greatest(F.col(period) - half, F.col("_lo")), F.least(F.col(period) + half, F.col("_hi")))
     return df.withColumn("centre", F.explode(spots)).drop("_lo", "_hi")
+
+
+def clustered(df: DataFrame, y: str, x: str, absorb: list[str], cluster: str) -> DataFrame:
+    """Slope of y on x with a fixed effect for each absorbed group, and its standard error clustered (without a
+    small-sample factor). A cluster's score is sum(x y) - b sum(x x), so one sum by cluster gives slope and scores."""
+    w = Window.partitionBy(*absorb)
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(cluster).alias("_c"), (F.col(x) - F.avg(x).over(w)).alias("_x"), (F.col(y) - F.avg(y).over(w)).alias("_y"))
+    sums = df.groupBy("_c").agg(F.sum(F.col("_x") * F.col("_y")).alias("a"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
+    slope = F.sum("a") / F.sum("q")
+    meat = F.sum(F.col("a") * F.col("a")) - 2 * slope * F.sum(F.col("a") * F.col("q")) + slope * slope * F.sum(F.col("q") * F.col("q"))
+    return sums.agg(slope.alias("slope"), F.count("*").alias("clusters"), (F.sqrt(meat) / F.sum("q")).alias("se"))
