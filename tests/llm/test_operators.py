@@ -133,6 +133,50 @@ def test_substring_passages_are_found_and_removed(spark, none):
     assert substrings.repeats(none).count() == 0 and substrings.strip(none).count() == 0
 
 
+def test_substrings_leave_texts_of_many_owners_chunks(spark):
+    r = random.Random(8)
+    lexicon = ["".join(r.choice("abcdefghij") for _ in range(17)) for _ in range(5000)]
+    rows = [(i, " ".join(r.choice(lexicon) for _ in range(90))) for i in range(80)]
+    parts = lambda t: [raw[a:b] for raw, e, _ in [substrings.chunk(t)] for a, b in zip(e, e[1:])]
+    held = {p.strip() for _, t in rows for p in parts(t)}
+    made = ""
+    for _, t in rows:
+        for p in parts(t)[1:-1]:
+            tried = made + p.decode()
+            if len(p.split()) <= 3 and all(x.strip() in held for x in parts(tried)):
+                made = tried
+                break
+    assert len(made.split()) >= 30 and all(p.strip() in held for p in parts(made))
+    docs = spark.createDataFrame([*rows, (900, made)], "doc_id long, text string")
+    assert substrings.repeats(docs).count() == 0 and by_id(substrings.strip(docs))[900].text == made
+
+
+def test_substring_passages_equal_brute_force(spark):
+    r = random.Random(9)
+    old = [f"z{r.randrange(10**6)}" for _ in range(700)]
+    rows = []
+    for d in range(60):
+        words = []
+        while len(words) < 150:
+            at, n = r.randrange(len(old)), r.randrange(3, 40)
+            words += old[at : at + n] if r.random() < 0.6 else [f"q{r.randrange(9)}" for _ in range(r.randrange(1, 9))]
+        rows.append((d, " ".join(words)))
+    rows.append((60, " ".join(["the cat"] * 60)))
+    want, seen = set(), set()
+    for d, t in rows:
+        raw, e, w = substrings.chunk(t)
+        p, n, hit, own = [raw[a:b].strip() for a, b in zip(e, e[1:])], len(e) - 1, set(), {}
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                if w[j] - w[i] >= 12:
+                    if tuple(p[i:j]) in seen or own.setdefault(tuple(p[i:j]), j) <= i:
+                        hit.update(range(i, j))
+        seen.update(own)
+        want |= {(d, int(e[i]), int(e[next(k for k in range(i, n + 1) if k not in hit)])) for i in hit if i - 1 not in hit}
+    assert len(want) > 60
+    assert {(x.doc_id, x.start, x.end) for x in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_chunks_resist_insertions_and_cover_texts():
     r = random.Random(2)
     words = [f"y{r.randrange(10**6)}" for _ in range(500)]

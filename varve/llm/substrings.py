@@ -2,9 +2,13 @@
 
 A gear hash rolls over a text's UTF-8 bytes; where it is below a threshold at the start of a word, a chunk starts. So
 chunk borders depend only on the bytes just before them, and text inserted or deleted shifts no later border. Chunks
-are counted by a 128-bit digest over the corpus. The first document (least doc_id) with a chunk owns it; elsewhere,
-and where a document repeats itself, it is a copy. Runs of adjoining copies of at least ``MIN_WORDS`` words are
-repeated passages, and ``strip`` removes them.
+have 128-bit digests; a passage is looked up as a sequence of them, so its words stand together wherever it is found.
+
+A sequence of adjoining chunks with at least ``MIN_WORDS`` words is a copy if a document of a lesser doc_id has it, or
+if the document itself has it before, apart from it. The chunks of all copies, joined where they overlap or adjoin, are
+repeated passages, and ``strip`` removes them. Sequences that are short in both directions suffice to find them all:
+*anchors*, which lose ``MIN_WORDS`` with either end chunk, and the anchors' extensions to one side up to the next
+anchor. A copied extension has an anchor that stands at two places, so only the extensions of such are compared.
 
 Null and empty texts have no chunks and stay as they are. Rows that repeat a doc_id are one document whose first row
 (by text) speaks for it in ``passages``; ``strip`` treats each by that document's spans only if the text is the same.
@@ -59,41 +63,86 @@ def chunk(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return raw, edges, np.searchsorted(starts, edges)
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, i (number of the chunk), start, length, words, h1, h2, again (the document has had it before)."""
-    fields = ("doc_id", "i", "start", "length", "words", "h1", "h2", "again")
+def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """From the words before each chunk edge: first and last edges of the anchors; then of each head (a sequence that is
+    shortest from its first edge on) its anchor's number and its first edge; of each tail its anchor and last edge."""
+    n = len(words) - 1
+    ends = np.searchsorted(words, words + least, "left")  # beyond n where too few words follow
+    starts = np.searchsorted(words, words - least, "right") - 1  # -1 where too few go before
+    edge, some = np.arange(n + 1), ends <= n
+    both = some & (starts[np.minimum(ends, n)] == edge)
+    first, last = edge[both], ends[both]
+    head = edge[some & ~both]
+    tail = edge[(starts >= 0) & (ends[starts] != edge)]
+    return first, last, np.searchsorted(last, ends[head]), head, np.searchsorted(first, starts[tail]), tail
+
+
+def _sequences(docs: DataFrame, least: int) -> DataFrame:
+    """Anchors: doc_id, i and j (chunk edges), start and end (bytes), w0 and w1 (words before these), h1, h2, again (the
+    document has had it before), and of each extension a hash of the chunks added (xs) and where it ends (spots): byte,
+    side (1: tail), again, chunks and words added, in 31, 1, 1, 15 and 15 bits."""
+    fields = ("doc_id", "i", "j", "start", "end", "w0", "w1", "h1", "h2", "again", "xs", "spots")
 
     def f(x: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in fields}
         for d, t in zip(x["doc_id"], x["text"], strict=True):
             raw, edges, words = chunk(t)
-            n = len(edges) - 1
-            cuts, seen, again = edges.tolist(), set(), []
-            digests = [xxhash.xxh3_128_digest(raw[a:b].strip()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            for g in digests:
-                again.append(g in seen)
-                seen.add(g)
+            if words[-1] < least:
+                continue
+            first, last, of_head, head, of_tail, tail = anchors(words, least)
+            cuts, before = edges.tolist(), words.tolist()
+            chunks = b"".join(xxhash.xxh3_128_digest(raw[a:b].strip()) for a, b in zip(cuts, cuts[1:], strict=False))
+            ends: dict[bytes, int] = {}  # of a sequence where it first stands
+            i, j = first.tolist(), last.tolist()
+            digests = [xxhash.xxh3_128_digest(chunks[16 * a : 16 * b]) for a, b in zip(i, j, strict=True)]
+            xs: list[list[int]] = [[] for _ in i]
+            spots: list[list[int]] = [[] for _ in i]
+            for k, a in zip(of_head.tolist(), head.tolist(), strict=True):
+                h = xxhash.xxh3_64_digest(chunks[16 * a : 16 * i[k]], 1)
+                again = ends.setdefault(digests[k] + h, j[k]) <= a
+                xs[k].append(int.from_bytes(h, "big", signed=True))
+                spots[k].append(cuts[a] << 32 | again << 30 | i[k] - a << 15 | before[i[k]] - before[a])
+            for k, b in zip(of_tail.tolist(), tail.tolist(), strict=True):
+                h = xxhash.xxh3_64_digest(chunks[16 * j[k] : 16 * b], 2)
+                again = ends.setdefault(digests[k] + h, b) <= i[k]
+                xs[k].append(int.from_bytes(h, "big", signed=True))
+                spots[k].append(cuts[b] << 32 | 1 << 31 | again << 30 | b - j[k] << 15 | before[b] - before[j[k]])
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            for k, v in zip(fields, ([d] * n, range(n), cuts[:-1], np.diff(edges).tolist(), np.diff(words).tolist(), h[:, 0].tolist(), h[:, 1].tolist(), again), strict=True):
+            again = [ends.setdefault(g, b) <= a for g, a, b in zip(digests, i, j, strict=True)]
+            for k, v in zip(fields, ([d] * len(i), i, j, edges[first].tolist(), edges[last].tolist(), words[first].tolist(), words[last].tolist(), h[:, 0].tolist(), h[:, 1].tolist(), again, xs, spots), strict=True):
                 out[k] += v
         yield out
 
-    return map_arrow(docs, "doc_id long, i int, start int, length int, words int, h1 long, h2 long, again boolean", f, 64)
+    return map_arrow(docs, "doc_id long, i int, j int, start int, end int, w0 int, w1 int, h1 long, h2 long, again boolean, xs array<long>, spots array<long>", f, 64)
+
+
+def _copies(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows whose keys the document has had before, or several documents hold, with owner: the least of these. The rows
+    of the first kind need no partner; they are dealt by their place, as one document may have a sequence at many."""
+    owned = rows.where("not again").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")).where("c > 1").drop("c")
+    dealt = rows.withColumn("_k", F.when(F.col("again"), F.xxhash64("doc_id", "i", "j")).otherwise(F.col(keys[0])))
+    met = dealt.join(owned, [F.col("_k") == F.col(f"_{keys[0]}"), *(F.col(k) == F.col(f"_{k}") for k in keys[1:])], "left")
+    return met.where("again or owner is not null").withColumn("owner", F.when(F.col("again"), F.col("doc_id")).otherwise(F.col("owner"))).drop("_k", *(f"_{k}" for k in keys))
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated passages: doc_id, start and end (bytes), n_words, n_chunks, owners (documents that have it first)."""
+    """Repeated passages: doc_id, start and end (bytes), n_words, n_chunks, owners (documents that have its parts first)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    chunks = _chunks(docs)
-    owned = chunks.where("not again").groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = chunks.where("not again").join(owned, ["h1", "h2"]).where("doc_id > owner").drop("h1", "h2", "again")
-    copies = copies.unionByName(chunks.where("again").withColumn("owner", F.col("doc_id")).drop("h1", "h2", "again"))
-    run = F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
-    copies = copies.withColumn("run", run)
+    held = cut(docs.sparkSession, _copies(_sequences(docs, max(1, min_words)), "h1", "h2"), "anchors")
+    spot, tail = F.col("m.spots"), F.col("m.spots").bitwiseAND(1 << 31) != 0
+    chunks, words, byte = F.shiftright(spot, 15).bitwiseAND(0x7FFF), spot.bitwiseAND(0x7FFF), F.shiftright(spot, 32)
+    moved = {"i": (~tail, F.col("i") - chunks), "j": (tail, F.col("j") + chunks), "start": (~tail, byte), "end": (tail, byte), "w0": (~tail, F.col("w0") - words), "w1": (tail, F.col("w1") + words)}
+    more = held.drop("owner", "again").withColumn("m", F.explode(F.arrays_zip("xs", "spots"))).select(
+        "doc_id", "h1", "h2", F.col("m.xs").alias("x"), (spot.bitwiseAND(1 << 30) != 0).alias("again"), *(F.when(on, to.cast("int")).otherwise(F.col(c)).alias(c) for c, (on, to) in moved.items())
+    )
+    copies = [x.where(F.col("again") | (F.col("doc_id") > F.col("owner"))).select("doc_id", *moved, "owner") for x in (held, _copies(more, "h1", "h2", "x"))]
+    order = Window.partitionBy("doc_id").orderBy("i", "j")
+    reached = F.max("j").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = copies[0].unionByName(copies[1]).withColumn("new", F.when(F.col("i") <= reached, 0).otherwise(1))
     return (
-        copies.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_set("owner")).alias("owners"))
-        .where(F.col("n_words") >= min_words)
+        joined.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), (F.max("j") - F.min("i")).cast("long").alias("n_chunks"), F.sort_array(F.collect_set("owner")).alias("owners"))
         .drop("run")
     )
 
