@@ -350,6 +350,44 @@ def test_lm_prefers_corpus_order(spark, sf, none, odd):
         assert len(got) == few.count() and all((r.mean_log_prob is None) == (r.n_words == 0) for r in got)
 
 
+def test_lm_context_tells_words_of_one_class_apart(spark):
+    r = random.Random(6)
+    start = next(w for w in (f"s{i}" for i in range(1000)) if lm._hash(w.encode()) % 2**64 % 10 == 0)
+    fill = lambda k: [f"f{r.randrange(120)}" for _ in range(k)]
+    rows = [(i, " ".join([start, *fill(3), "kx" if i % 2 else "ky", f"{'ab'[i % 2]}{r.randrange(200)}", *fill(4)])) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    vocab = lm.vocabulary(docs)
+    net = lm.train(docs, vocab)
+    code = lambda *w: vocab.encode([x.encode() for x in w])
+    pairs = [(a, b) for a in code(*(f"a{i}" for i in range(200))) for b in code(*(f"b{i}" for i in range(200))) if vocab.class_of[a] == vocab.class_of[b]]
+    a, b = np.array(pairs).T
+    around = lambda k: np.repeat(code("f1", k, "f2", "f3")[None], len(a), axis=0)
+    ratio = {k: lm.conditional(vocab, net, around(k), a) - lm.conditional(vocab, net, around(k), b) for k in ("kx", "ky")}
+    assert len(pairs) > 100 and np.mean(ratio["ky"] - ratio["kx"]) > 1
+    every = np.arange(1, len(vocab.class_of))
+    whole = lm.conditional(vocab, net, np.repeat(around("kx")[:1], len(every), axis=0), every) - vocab.log_share[every]
+    assert abs(np.exp(whole).sum() - 1) < 1e-3
+
+
+def test_lm_gradients_of_decisions():
+    g = np.random.default_rng(3)
+    n = np.array([0, *g.integers(1, 50, 29)], float)
+    class_of = np.repeat([lm.CLASSES - 1, 2, 5], 10)
+    vocab = lm.Vocabulary({}, class_of, np.zeros(30), *lm._trees(n, class_of))
+    net = [p.astype(np.float64) + g.normal(0, 0.1, p.shape) for p in lm.initial(30)]
+    c, ids = g.integers(0, 30, (7, 4)), g.integers(1, 30, 7)
+    before = [p.copy() for p in net]
+    lm.step(net, [np.full_like(p, 1e12) for p in net], c, class_of[ids], vocab, ids)
+    for k in range(6):
+        move = (before[k] - net[k]) / lm.RATE * 1e6
+        i = np.unravel_index(np.abs(move).argmax(), move.shape)
+        shifted = [[p.copy() for p in before] for _ in range(2)]
+        for s, sign in zip(shifted, (1, -1), strict=True):
+            s[k][i] += sign * 1e-5
+        up, down = (-lm.conditional(vocab, s, c, ids).mean() for s in shifted)
+        assert abs((up - down) / 2e-5 - move[i]) < 1e-3 * max(1e-3, abs(move[i])) + 1e-6
+
+
 def test_lm_gradients():
     g = np.random.default_rng(0)
     net = [p.astype(np.float64) for p in lm.initial(30)]

@@ -1,20 +1,22 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides of it.
 
-Corpus counts over all documents give the vocabulary: the ``VOCABULARY`` most frequent words have ids of their own,
-all rarer ones share one. The network takes the embeddings of two words to the left and two to the right, never the
-word itself, and predicts the word's class: the ``SINGLES`` most frequent words are classes of their own, the others
-of the vocabulary fall in classes of about equal counts, rare words are one class. A word's probability is that of its
-class times its share of the class's corpus count (for rare words, one in the number of rare words).
+Corpus counts over all documents give the vocabulary: the ``VOCABULARY`` most frequent words have ids of their own, all
+rarer ones fall in ``BUCKETS`` hashed ids. The network takes the embeddings of two words to the left and two to the
+right, never the word itself, and predicts the word in two levels from the same hidden layer: its class (the ``SINGLES``
+most frequent words are classes of their own, the others of the vocabulary fall in classes of about equal counts, the
+buckets are one class), then its place in the class by the decisions along a Huffman tree over the class's ids. Each
+decision starts at the corpus share and learns a vector. The words of one bucket share its probability equally.
 
-Training is data-parallel and sees every document: each task fits the network on its documents, masking one position
-in ``MASK_EVERY``, and the tasks' weights are averaged by examples in a tree, 64 to one. So what is counted, trained
-and averaged grows with the corpus; only the bounded weights and vocabulary reach the driver.
+Training is data-parallel and sees every document: each task fits the network on its documents, every position a target
+once, and the tasks' weights are averaged by examples in a tree, ``FAN`` to one. So what is counted, trained and averaged
+grows with the corpus; only the bounded weights and vocabulary reach the driver.
 
 Null, empty and wordless texts have no words: their sum is 0 and their mean null. Repeated rows score alike.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,18 +31,23 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, small_batches
 from .decontaminate import words_of
 
-VOCABULARY, SINGLES, CLASSES = 16_384, 96, 128
-WIDTH, HIDDEN, SIDE, MASK_EVERY = 16, 48, 2, 10
-RATE, BATCH = 0.1, 512
+VOCABULARY, BUCKETS, SINGLES, CLASSES = 16_384, 4_096, 96, 128
+WIDTH, HIDDEN, SIDE, FAN = 16, 48, 2, 16
+RATE, BATCH = 0.1, 2048
 
 
 @dataclass
 class Vocabulary:
-    """ids: 64-bit hash of a word -> id from 2 on; 0 stands beyond a text's ends, 1 for rare words."""
+    """ids: 64-bit hash of a word -> id from 1 on; 0 stands beyond a text's ends, the last BUCKETS ids are of rare words.
+    The decisions of id i are nodes[at[i]:at[i + 1]], with signs; offset: a node's log-odds in the corpus counts."""
 
     ids: dict[int, int]
     class_of: np.ndarray
     log_share: np.ndarray
+    at: np.ndarray
+    nodes: np.ndarray
+    signs: np.ndarray
+    offset: np.ndarray
     words: dict[bytes, int] | None = None
 
     def encode(self, words: list[bytes]) -> np.ndarray:
@@ -49,10 +56,19 @@ class Vocabulary:
         memo = self.words
         if len(memo) > 300_000:
             memo.clear()
+        rare = len(self.class_of) - BUCKETS
         for w in set(words).difference(memo):
-            memo[w] = self.ids.get(_hash(w), 1)
+            h = _hash(w)
+            memo[w] = self.ids.get(h) or rare + h % BUCKETS
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
+    def decisions(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row in ids, node and sign of every decision on the way to each id."""
+        n = self.at[ids + 1] - self.at[ids]
+        rows = np.repeat(np.arange(len(ids)), n)
+        spots = np.arange(len(rows)) + (self.at[ids] - np.cumsum(n) + n)[rows]
+        return rows, self.nodes[spots], self.signs[spots]
+
 
 def _hash(word: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(word)
@@ -67,24 +83,52 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
         yield {"word": list(map(_hash, seen)), "n": list(seen.values())}
 
     counts = cut(docs.sparkSession, map_arrow(docs.select("text"), "word long, n long", count, 1024).groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(most).collect()  # the vocabulary's bound
-    n = np.array([0, 0, *(r.n for r in top)], float)
-    n[1] = max(1, total - n.sum())
+    rare_n, rare_types = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # a row a bucket
+        rare_n[r.k], rare_types[r.k] = r.n, r.types
+    for r in top:
+        rare_n[r.word % BUCKETS] -= r.n
+        rare_types[r.word % BUCKETS] -= 1
+    n = np.array([0, *(r.n for r in top), *np.maximum(rare_n, 1)], float)
     class_of = np.full(len(n), CLASSES - 1)
-    class_of[2 : 2 + SINGLES] = np.arange(len(class_of[2 : 2 + SINGLES]))
-    tail = np.cumsum(n[2 + SINGLES :])
+    class_of[1 : 1 + min(SINGLES, len(top))] = np.arange(min(SINGLES, len(top)))
+    tail = np.cumsum(n[1 + SINGLES : 1 + len(top)])
     if len(tail):
-        class_of[2 + SINGLES :] = SINGLES + np.minimum((tail - 1) * (CLASSES - 1 - SINGLES) / tail[-1], CLASSES - 2 - SINGLES).astype(int)
-    sums = np.bincount(class_of[1:], n[1:], CLASSES)
-    share = np.log(np.maximum(n, 1) / np.maximum(sums[class_of], 1))
-    share[1] = -np.log(max(1, types - len(top)))
-    return Vocabulary({r.word: i for i, r in enumerate(top, 2)}, class_of, share)
+        class_of[1 + SINGLES : 1 + len(top)] = SINGLES + np.minimum((tail - 1) * (CLASSES - 1 - SINGLES) / tail[-1], CLASSES - 2 - SINGLES).astype(int)
+    share = np.zeros(len(n))
+    share[1 + len(top) :] = -np.log(np.maximum(rare_types, 1))
+    return Vocabulary({r.word: i for i, r in enumerate(top, 1)}, class_of, share, *_trees(n, class_of))
+
+
+def _trees(n: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """at, nodes, signs and offset of a Huffman tree for each class, over its ids' counts."""
+    up: dict[int, tuple[int, int]] = {}  # an id, or -1 - node: its parent and the sign of the branch
+    offset: list[float] = []
+    for c in range(CLASSES):
+        heap = [(n[i], int(i)) for i in np.flatnonzero(class_of == c) if i]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            up[left], up[right] = (len(offset), 1), (len(offset), -1)
+            offset.append(float(np.log(a / b)))
+            heapq.heappush(heap, (a + b, -len(offset)))
+    at, nodes, signs = [0], [], []
+    for i in range(len(n)):
+        k = i
+        while k in up:
+            node, sign = up[k]
+            nodes.append(node)
+            signs.append(sign)
+            k = -1 - node
+        at.append(len(nodes))
+    return np.array(at), np.array(nodes, np.int32), np.array(signs, np.float32), np.array(offset, np.float32)
 
 
 def initial(n_ids: int) -> list[np.ndarray]:
+    """Embeddings, hidden layer and its bias, classes and their bias, and a vector with bias for each decision."""
     g = np.random.default_rng(11)
-    return [x.astype(np.float32) for x in (g.normal(0, 0.1, (n_ids, WIDTH)), g.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH, HIDDEN)), np.zeros(HIDDEN), g.normal(0, 0.1, (HIDDEN, CLASSES)), np.zeros(CLASSES))]
+    return [x.astype(np.float32) for x in (g.normal(0, 0.1, (n_ids, WIDTH)), g.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH, HIDDEN)), np.zeros(HIDDEN), g.normal(0, 0.1, (HIDDEN, CLASSES)), np.zeros(CLASSES), np.zeros((n_ids, HIDDEN + 1)))]
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -94,7 +138,7 @@ def contexts(ids: np.ndarray) -> np.ndarray:
 
 
 def forward(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e, u, a, v, b = net
+    e, u, a, v, b = net[:5]
     x = e[context].reshape(len(context), -1)
     h = np.tanh(x @ u + a)
     z = h @ v + b
@@ -103,26 +147,49 @@ def forward(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.
     return x, h, z
 
 
-def step(net: list[np.ndarray], square: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> float:
-    """One Adagrad step on the mean negative log-probability of the targets' classes, which is returned."""
-    e, u, a, v, b = net
+def odds(net: list[np.ndarray], h: np.ndarray, vocab: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """rows, nodes, signs of the ids' decisions, the hidden layer at each with 1 appended, and the log-odds of its branch."""
+    rows, nodes, signs = vocab.decisions(ids)
+    wide = np.concatenate((h, np.ones((len(h), 1), h.dtype)), axis=1)[rows]
+    return rows, nodes, signs, wide, signs * (np.einsum("ij,ij->i", wide, net[5][nodes]) + vocab.offset[nodes])
+
+
+def _spread(p: np.ndarray, square: np.ndarray, spots: np.ndarray, grads: np.ndarray) -> None:
+    """An Adagrad step on the rows of p at spots, whose gradients are summed where they repeat."""
+    order = np.argsort(spots, kind="stable")
+    held = spots[order]
+    first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+    g, at = np.add.reduceat(grads[order], first, axis=0), held[first]
+    square[at] += g * g
+    p[at] -= RATE * g / (np.sqrt(square[at]) + 1e-6)
+
+
+def step(net: list[np.ndarray], square: list[np.ndarray], context: np.ndarray, target: np.ndarray, vocab: Vocabulary | None = None, ids: np.ndarray | None = None) -> float:
+    """One Adagrad step on the mean negative log-probability of the targets' classes and, with their ids, of their
+    places in the classes, which is returned."""
+    e, u, a, v, b = net[:5]
     x, h, z = forward(net, context)
     n = len(target)
     loss = -float(z[np.arange(n), target].mean())
     d = np.exp(z)
     d[np.arange(n), target] -= 1
     d /= n
-    dh = (d @ v.T) * (1 - h * h)
+    dh = d @ v.T
+    if vocab is not None and ids is not None:
+        rows, nodes, signs, wide, o = odds(net, h, vocab, ids)
+        if len(rows):
+            loss += float(np.logaddexp(0, -o).sum()) / n
+            slope = (-signs / (1 + np.exp(np.clip(o, -60, 60))) / n).astype(h.dtype)[:, None]
+            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            dh[rows[first]] += np.add.reduceat(slope * net[5][nodes, :HIDDEN], first, axis=0)
+            _spread(net[5], square[5], nodes, slope * wide)
+    dh *= 1 - h * h
     grads = [None, x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
     dx = (dh @ u.T).reshape(-1, WIDTH)
-    for p, s, g in zip(net[1:], square[1:], grads[1:], strict=True):
+    for p, s, g in zip(net[1:5], square[1:5], grads[1:], strict=True):
         s += g * g
         p -= RATE * g / (np.sqrt(s) + 1e-6)
-    spots, inverse = np.unique(context.ravel(), return_inverse=True)
-    g = np.zeros((len(spots), WIDTH), np.float32)
-    np.add.at(g, inverse, dx)
-    square[0][spots] += g * g
-    e[spots] -= RATE * g / (np.sqrt(square[0][spots]) + 1e-6)
+    _spread(e, square[0], context.ravel(), dx)
     return loss
 
 
@@ -133,9 +200,20 @@ def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        net, seen, first = initial(n_ids), 0, True
+        net, seen = initial(n_ids), 0
         square = [np.full_like(p, 1e-8) for p in net]
         held_c, held_t, n = [], [], 0
+
+        def fit(least: int) -> None:
+            nonlocal held_c, held_t, n, seen
+            c, t = np.concatenate(held_c), np.concatenate(held_t)
+            at = 0
+            while n >= least and n:
+                k = min(BATCH, n)
+                step(net, square, c[at : at + k], v.class_of[t[at : at + k]], v, t[at : at + k])
+                seen, at, n = seen + k, at + k, n - k
+            held_c, held_t = [c[at:]], [t[at:]]
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.slice(at, 256).column(0).to_pylist():
@@ -143,18 +221,13 @@ def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
                     if not words:
                         continue
                     ids = v.encode(words)
-                    mask = np.arange(xxhash.xxh3_64_intdigest(words[0]) % MASK_EVERY % max(1, len(ids)), len(ids), MASK_EVERY)
-                    held_c.append(contexts(ids)[mask])
-                    held_t.append(v.class_of[ids[mask]])
-                    n += len(mask)
-                    while n >= BATCH:
-                        c, t = np.concatenate(held_c), np.concatenate(held_t)
-                        step(net, square, c[:BATCH], t[:BATCH])
-                        seen += BATCH
-                        held_c, held_t, n = [c[BATCH:]], [t[BATCH:]], n - BATCH
+                    held_c.append(contexts(ids))
+                    held_t.append(ids)
+                    n += len(ids)
+                    if n >= BATCH:
+                        fit(BATCH)
         if n:
-            step(net, square, np.concatenate(held_c), np.concatenate(held_t))
-            seen += n
+            fit(1)
         if seen:
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [seen], "net": [_pack(net)]})
 
@@ -162,26 +235,27 @@ def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
 
     def mean(table: pa.Table) -> pa.Table:
         total, net = 0, None
-        for row in table.to_batches(1):  # a group has at most 64
+        for row in table.to_batches(1):  # a group has at most FAN
             for n, w in zip(row["n"].to_pylist(), row["net"].to_pylist(), strict=True):
                 w = np.frombuffer(w, np.float32) * n
                 net, total = w if net is None else net + w, total + n
-        return pa.table({"part": [table["part"][0].as_py() // 64], "n": [total], "net": [(net / total).astype(np.float32).tobytes()]})
+        return pa.table({"part": [table["part"][0].as_py() // FAN], "n": [total], "net": [(net / total).astype(np.float32).tobytes()]})
 
     while nets.count() > 1:
-        nets = cut(spark, nets.groupBy(F.floor(F.col("part") / 64).alias("g")).applyInArrow(mean, "part long, n long, net binary"), "networks")
+        nets = cut(spark, nets.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(mean, "part long, n long, net binary"), "networks")
     row = nets.first()
     return _unpack(row.net, n_ids) if row else initial(n_ids)
 
 
 def _pack(net: list[np.ndarray]) -> bytes:
-    return b"".join(p.astype(np.float32).tobytes() for p in net)
+    """What training has changed: zero, so stored in little space, for words and decisions not met."""
+    return b"".join((p - q).astype(np.float32).tobytes() for p, q in zip(net, initial(len(net[0])), strict=True))
 
 
 def _unpack(raw: bytes, n_ids: int) -> list[np.ndarray]:
     flat, out = np.frombuffer(raw, np.float32), []
     for p in initial(n_ids):
-        out.append(flat[: p.size].reshape(p.shape))
+        out.append(p + flat[: p.size].reshape(p.shape))
         flat = flat[p.size :]
     return out
 
@@ -190,12 +264,17 @@ def log_probabilities(vocab: Vocabulary, net: list[np.ndarray], ids: np.ndarray)
     """Of every word given its neighbours."""
     out, c = np.empty(len(ids)), contexts(ids)
     for at in range(0, len(ids), 2048):
-        own = ids[at : at + 2048]
-        z = forward(net, c[at : at + 2048])[2]
-        out[at : at + 2048] = z[np.arange(len(own)), vocab.class_of[own]] + vocab.log_share[own]
+        out[at : at + 2048] = conditional(vocab, net, c[at : at + 2048], ids[at : at + 2048])
     return out
 
 
+def conditional(vocab: Vocabulary, net: list[np.ndarray], context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    _, h, z = forward(net, context)
+    rows, *_, o = odds(net, h, vocab, ids)
+    within = np.bincount(rows, np.logaddexp(0, -o), len(ids))
+    return z[np.arange(len(ids)), vocab.class_of[ids]] - within + vocab.log_share[ids]
+
+
 def score(docs: DataFrame, vocab: Vocabulary, net: list[np.ndarray]) -> DataFrame:
     """Per row: doc_id, n_words, sum_log_prob, mean_log_prob."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
