@@ -421,6 +421,19 @@ def test_licenses(spark, both, none, sf):
     assert licenses.scan(none, templates).count() == 0
 
 
+def test_short_licenses_between_long_ones(spark):
+    short = [(k, x) for k, x in licenses.TEMPLATES if len(x.split()) < 12]
+    long = [(k, x) for k, x in licenses.TEMPLATES if len(x.split()) > 20]
+    rows, want = [], {}
+    for k, x in short:
+        others = [y for other, y in long if other != k]
+        for n in range(16):
+            want[len(rows)] = k
+            rows.append((len(rows), f"{'pad ' * n}{others[n % len(others)]} {x} {others[(n + 1) % len(others)]}"))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.default_templates(spark)).collect()}
+    assert set(want.items()) <= got
+
+
 def test_pipeline_runs_on_odd_tables(spark, both, none, sf):
     import corpus_pipeline
 

@@ -4,7 +4,9 @@ Texts and license templates are cut into five-word shingles (lower case; anythin
 words). A shingle that no template has cannot count for any, so only a document's template shingles go on; they fall
 into overlapping windows of ``WINDOW`` words, ``STEP`` apart. Templates have such a window at every word. Each window
 has ``HASHES`` min-hashes, each a band of its own: a window pair of similarity s meets with probability
-1 - (1 - s)^HASHES, over 0.99998 at s = 0.5, and a passage copied whole has an equal window (s = 1). Pairs of document
+1 - (1 - s)^HASHES, over 0.99998 at s = 0.5, and a passage copied whole has an equal window (s = 1). So that this holds
+for short templates beside other license text too, there are windows of each number of shingles in ``SCALES`` at every
+shingle, and templates have those of the three largest numbers that do not exceed their own. Pairs of document
 and template that meet are verified by exact containment of the template's shingles, ``PERCENT`` of 100 at least.
 
 Templates are taken in blocks of at most ``BLOCK`` templates, whose shingles are broadcast; templates of fewer words
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 SHINGLE, WINDOW, STEP, HASHES, PERCENT, BLOCK = 5, 32, 16, 16, 80, 200
 
+SCALES = (1, 2, 4, 8, 16)
+
 #: Notices of public licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -83,9 +87,16 @@ def _scan(docs: DataFrame, templates: DataFrame, percent: int) -> DataFrame:
 
     last = WINDOW - SHINGLE  # shingles of a window start at most so far after its first word
     place = F.floor((F.col("i") - 1) / STEP).cast("int")
-    windows = own.select("doc_id", "h", F.explode(F.filter(F.array(place, place - 1), lambda w: F.col("i") - 1 - w * STEP <= last)).alias("w"))
-    every = spots.alias("a").join(spots.alias("b"), "template_id").where(f"b.i between a.i and a.i + {last}").select("template_id", F.col("a.i").alias("w"), F.col("b.h").alias("h"))
-    met = _bands(windows, "doc_id", "w").join(F.broadcast(_bands(every, "template_id", "w").select("band", "value", "template_id").distinct()), ["band", "value"]).select("doc_id", "template_id").distinct()
+    windows = own.select("doc_id", "h", F.lit(0).alias("scale"), F.explode(F.filter(F.array(place, place - 1), lambda w: F.col("i") - 1 - w * STEP <= last)).alias("w"))
+    for s in SCALES:
+        windows = windows.unionByName(own.select("doc_id", "h", F.lit(s).alias("scale"), F.explode(F.sequence(F.col("i") - (s - 1), F.col("i"))).alias("w")))
+    length = spots.groupBy("template_id").agg(F.max("i").alias("length"))
+    fits = F.filter(F.array(*map(F.lit, SCALES)), lambda s: s <= F.col("length"))
+    scales = length.select("template_id", "length", F.explode(F.concat(F.array(F.lit(0)), F.slice(F.reverse(fits), 1, 3))).alias("scale"))
+    inside = F.expr(f"b.i between a.i and a.i + if(scale = 0, {last}, scale - 1) and (scale = 0 or a.i + scale - 1 <= length)")
+    every = spots.alias("a").join(spots.alias("b"), "template_id").join(scales, "template_id").where(inside).select("template_id", "scale", F.col("a.i").alias("w"), F.col("b.h").alias("h"))
+    known = F.broadcast(_bands(every, "template_id", "scale", "w").select("scale", "band", "value", "template_id").distinct())
+    met = _bands(windows, "doc_id", "scale", "w").join(known, ["scale", "band", "value"]).select("doc_id", "template_id").distinct()
 
     sizes = F.broadcast(spots.groupBy("template_id", "license").agg(F.countDistinct("h").alias("n_template")))
     need = F.broadcast(spots.select("template_id", "h").distinct())
