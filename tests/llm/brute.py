@@ -76,3 +76,17 @@ def base_measures(text):
         seen[tuple(words[i : i + 8])].append(i)
     hit = {j for spots in seen.values() if len(spots) > 1 for i in spots for j in range(i, i + 8)}
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), len(words) < 20 or 100 * len(hit) > 30 * len(words)
+
+
+def ratios(text):
+    """Of words: mean length, symbols, exclamation marks and stop words; of lines: repeats."""
+    import regex
+
+    from varve.llm.quality import STOP_WORDS
+
+    text = text or ""
+    words, lines = plain_words(text), [x for x in text.split("\n") if plain_words(x)]
+    stops = sum(w in STOP_WORDS for w in plain_words(regex.sub(r"[^\p{L}\p{N} \t\n\x0b\f\r]", "", text.lower())))
+    n = len(words)
+    share = lambda x, y: x / y if y else 0.0
+    return share(sum(map(len, words)), n), share(sum(text.count(c) for c in "#*$%&|<>"), n), share(text.count("!"), n), share(stops, n), share(len(lines) - len(set(lines)), len(lines))

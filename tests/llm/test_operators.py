@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -46,9 +47,10 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_cached_ids_equal_plain_ids(both, name, spaced):
-    plain, fast = Tokenizer.from_file(public_tokenizers.path(name)), tokens.encoder(public_tokenizers.path(name), spaced)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cached_ids_equal_plain_ids(both, name):
+    plain, fast = Tokenizer.from_file(public_tokenizers.path(name)), tokens.encoder(public_tokenizers.path(name))
+    assert fast.split is not None
     texts = [r.text for r in both.collect()]
     for t, raw in zip(texts, fast.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
@@ -60,7 +62,9 @@ def test_quality_equals_brute_force(both, none):
     for d, t in texts.items():
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_measures(t), t
-        assert not (r.base_failed and r.kept)
+        ratios = brute.ratios(t)
+        assert (r.mean_word_chars, r.symbol_ratio, r.exclamation_ratio, r.stop_word_ratio, r.dup_line_ratio) == ratios, t
+        assert r.kept == (not r.base_failed and 2 <= ratios[0] <= 15 and ratios[1] <= 0.3 and ratios[2] <= 0.5 and ratios[3] >= 0.03 and ratios[4] <= 0.4)
     assert quality.measures(none).count() == 0
 
 
@@ -116,23 +120,75 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, 300: 300, 301: 300}
 
 
+def word_maker(seed):
+    r = random.Random(seed)
+    return r, lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10 ** r.randrange(5, 9))}" for _ in range(n))
+
+
 def test_substring_passages_are_found_and_removed(spark, none):
-    r = random.Random(5)
-    text = lambda n: " ".join(f"x{r.randrange(10**7)}" for _ in range(n))
+    r, text = word_maker(5)
     passage = text(60)
     rows = [(i, f"{text(r.randrange(5, 90))} {passage}\n{text(40)}" if i < 30 else text(120)) for i in range(200)] + [(900, None), (901, ""), (902, f"{text(30)} {passage} {text(20)} {passage} {text(9)}")]
-    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, start string")
+    docs = spark.createDataFrame([(d, t, "c", "c") for d, t in rows], "doc_id long, text string, start string, _s_d string")
     found = by_id(substrings.repeats(docs))
     assert {*range(1, 30), 902} == set(found)
-    assert all(x.owner_ids[0] == 0 for x in found.values()) and all(x.n_words >= 30 for x in found.values())
+    assert all(x.owner_ids[0] == 0 for x in found.values())
+    assert all(x.n_words == 60 and x.starts == [dict(rows)[d].split().index(passage.split()[0])] for d, x in found.items() if d < 900)
+    assert found[902].starts == [30, 110] and found[902].ends == [90, 170]
     left = by_id(substrings.strip(docs))
     assert len(left) == len(rows) and left[0].text == rows[0][1] and left[900].text is None and left[0].start == "c"
-    middle = " ".join(passage.split()[25:35])
-    assert all(middle not in left[d].text for d in range(1, 30)) and left[902].text.split()[-9:] == rows[-1][1].split()[-9:]
+    assert all(left[d].text.split() == t.replace(passage, "").split() for d, t in rows if 0 < d < 30 or d == 902)
     assert all(left[d].text == t for d, t in rows if 30 <= d < 900)
     assert substrings.repeats(none).count() == 0 and substrings.strip(none).count() == 0
 
 
+def test_substrings_tell_rows_of_one_id_apart(spark):
+    _, text = word_maker(6)
+    p, b = text(60), text(70)
+    rows = [(0, p), (1, f"{text(10)} {p} {text(5)}"), (1, b), (1, b), (None, f"{text(3)} {b}"), (None, text(50)), (2, None), (2, "")]
+    left = [(x.doc_id, x.text) for x in substrings.strip(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    words = sorted((d if d is not None else 9, len((t or "").split())) for d, t in left)
+    assert words == sorted([(0, 60), (1, 15), (1, 70), (1, 70), (9, 3), (9, 50), (2, 0), (2, 0)])
+
+
+@pytest.mark.parametrize("n,least", [(30, 0.9), (40, 0.97), (50, 0.99)])
+def test_substring_recall_by_length(spark, n, least):
+    _, text = word_maker(n)
+    shared = [text(n) for _ in range(300)]
+    docs = spark.createDataFrame([(1000 * k + i, f"{text(40)} {p} {text(40)}") for k in (0, 1) for i, p in enumerate(shared)], "doc_id long, text string")
+    found = by_id(substrings.repeats(docs))
+    assert all(d >= 1000 and x.starts == [40] and x.ends == [40 + n] for d, x in found.items())
+    assert len(found) >= least * 300
+
+
+def test_substring_passages_stand_in_earlier_documents(spark):
+    """All that is found stands whole in an earlier document, or earlier in its own, and most of what does is found, though
+    these documents are made of short slices of each other, so that most anchors are owned by documents without the rest."""
+    r, text = word_maker(9)
+    old = text(1500).split()
+    rows = []
+    for d in range(80):
+        made = []
+        while len(made) < 150:
+            at, n = r.randrange(len(old)), r.randrange(3, 70)
+            made += old[at : at + n] if r.random() < 0.6 else [f"q{r.randrange(9)}" for _ in range(r.randrange(1, 9))]
+        rows.append((d, " ".join(made)))
+    rows += [(90, " ".join(["the cat"] * 60)), (91, " ".join(text(1).split() * 200))]
+    texts = dict(rows)
+    found = by_id(substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    brute_hit = got_hit = both = 0
+    for d, t in rows:
+        w = t.split()
+        before = {tuple(e[i : i + 30]) for k in texts if k < d for e in [texts[k].split()] for i in range(len(e) - 29)}
+        first = {}
+        want = {j for i in range(len(w) - 29) if tuple(w[i : i + 30]) in before or first.setdefault(tuple(w[i : i + 30]), i) <= i - 30 for j in range(i, i + 30)}
+        got = {j for x in [found.get(d)] if x for a, b in zip(x.starts, x.ends, strict=True) for j in range(a, b)}
+        assert got <= want, d
+        brute_hit, got_hit, both = brute_hit + len(want), got_hit + len(got), both + len(want & got)
+    assert brute_hit > 1000 and both > 0.8 * brute_hit
+    assert found[90].starts[0] >= 30 and 91 in found
+
+
 def test_substrings_leave_texts_of_many_owners_chunks(spark):
     r = random.Random(8)
     lexicon = ["".join(r.choice("abcdefghij") for _ in range(17)) for _ in range(5000)]
@@ -151,32 +207,6 @@ def test_substrings_leave_texts_of_many_owners_chunks(spark):
     assert substrings.repeats(docs).count() == 0 and by_id(substrings.strip(docs))[900].text == made
 
 
-def test_substring_passages_equal_brute_force(spark):
-    r = random.Random(9)
-    old = [f"z{r.randrange(10**6)}" for _ in range(700)]
-    rows = []
-    for d in range(60):
-        words = []
-        while len(words) < 150:
-            at, n = r.randrange(len(old)), r.randrange(3, 40)
-            words += old[at : at + n] if r.random() < 0.6 else [f"q{r.randrange(9)}" for _ in range(r.randrange(1, 9))]
-        rows.append((d, " ".join(words)))
-    rows.append((60, " ".join(["the cat"] * 60)))
-    want, seen = set(), set()
-    for d, t in rows:
-        raw, e, w = substrings.chunk(t)
-        p, n, hit, own = [raw[a:b].strip() for a, b in zip(e, e[1:])], len(e) - 1, set(), {}
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                if w[j] - w[i] >= 12:
-                    if tuple(p[i:j]) in seen or own.setdefault(tuple(p[i:j]), j) <= i:
-                        hit.update(range(i, j))
-        seen.update(own)
-        want |= {(d, int(e[i]), int(e[next(k for k in range(i, n + 1) if k not in hit)])) for i in hit if i - 1 not in hit}
-    assert len(want) > 60
-    assert {(x.doc_id, x.start, x.end) for x in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
-
-
 def test_chunks_resist_insertions_and_cover_texts():
     r = random.Random(2)
     words = [f"y{r.randrange(10**6)}" for _ in range(500)]
@@ -198,16 +228,28 @@ def test_decontamination_equals_brute_force(spark, both, none, sf):
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = {r.doc_id: r.text for r in both.collect()}
     want = {d: brute.hits(t, items, 10) for d, t in texts.items()}
-    for per_block in (5000, 30):
-        got = by_id(decontaminate.hits(both, bench, 10, per_block))
+    for most in (decontaminate.MOST, 100):  # broadcast, and by a shuffle
+        got = by_id(decontaminate.hits(both, bench, 10, most))
         assert {d: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for d, r in got.items()} == want
     assert any(w[4] for w in want.values())
-    kept = {r.doc_id for r in decontaminate.keep_clean(both, bench).collect()}
-    assert kept == {d for d, w in want.items() if not w[4]}
-    assert decontaminate.hits(none, bench).count() == 0
+    for most in (decontaminate.MOST, 100):
+        kept = {r.doc_id for r in decontaminate.keep_clean(both, bench, 10, most).collect()}
+        assert kept == {d for d, w in want.items() if not w[4]}
+        assert decontaminate.hits(none, bench, 10, most).count() == 0
     assert not any(r.contaminated for r in decontaminate.hits(both, bench.limit(0)).collect())
 
 
+def test_decontamination_judges_each_row(spark):
+    bench = spark.createDataFrame([("x", " ".join(f"b{i}" for i in range(30)))], "item_id string, text string")
+    dirty, clean = "so " + " ".join(f"b{i}" for i in range(5, 20)), "all is well here"
+    docs = spark.createDataFrame([(1, dirty, "r"), (1, clean, "r"), (None, dirty, "r"), (None, clean, "r"), (1, clean, "r"), (2, None, "r")], "doc_id long, text string, _d_row string")
+    for most in (decontaminate.MOST, 1):
+        kept = decontaminate.keep_clean(docs, bench, 10, most)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, clean), (1, clean), (1, clean), (2, "")]
+        assert sorted((r.doc_id or -1, r.n_hit) for r in decontaminate.hits(docs, bench, 10, most).collect()) == [(-1, 0), (-1, 15), (1, 0), (1, 0), (1, 15), (2, 0)]
+
+
 def test_packing_holds_every_id_once(both, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
@@ -230,6 +272,30 @@ def test_packing_holds_every_id_once(both, none):
         padding += 0 if end & (end - 1) == 0 else 2048 - end
     assert padding == 0
     assert packing.pack(none, path).count() == 0
+    odd_ids = both.sparkSession.createDataFrame([(None, "a b"), (7, "c"), (7, "c"), (7, None)], "doc_id int, text string").coalesce(1)
+    made = packing.pack(odd_ids, path)
+    assert dict(made.dtypes)["doc_id"] == "int" and sorted((p.doc_id or 0, p.length) for p in made.collect()) == [(0, 3), (7, 1), (7, 2), (7, 2)]
+
+
+def test_packing_equals_a_plain_search():
+    """Descending rests each go to the cheapest sequence with room, and are cut over the emptiest only where none has."""
+    r = random.Random(3)
+    lengths = [r.choice([r.randrange(1, 300), r.randrange(1, 20)]) for _ in range(400)]
+    made = packing.plan(lengths, 128)
+    whole = sum(n // 128 for n in lengths)
+    room = {s: 0 for *_, s, _ in made if s >= whole}
+    for *_, n, s, _ in made:
+        if s >= whole:
+            room[s] += n
+    spent, at, want = dict.fromkeys(room, 0.0), dict.fromkeys(room, 0), []
+    for n, d in sorted(((n % 128, d) for d, n in enumerate(lengths) if n % 128), key=lambda x: (-x[0], x[1])):
+        fits, start = [s for s in room if room[s] - at[s] >= n], lengths[d] // 128 * 128
+        while n:
+            s = min(fits, key=lambda s: (spent[s], s)) if fits else max(room, key=lambda s: (room[s] - at[s], -s))
+            k = min(n, room[s] - at[s])
+            want.append((d, start, k, s, at[s]))
+            at[s], spent[s], start, n = at[s] + k, spent[s] + packing.cost(k), start + k, n - k
+    assert [x for x in made if x[3] >= whole] == want
 
 
 def test_packing_balances_cost():
@@ -250,24 +316,53 @@ def test_chat_round_trip(spark, none):
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_records(chat.as_records(docs))).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for c in (1, 2, 3, None):
+    for c in (1, 2, 3, None):  # the only row without a conv_id
         turns = [(r or "", t or "") for _, _, r, t in sorted((x for x in rows if x[0] == c), key=lambda x: x[1])]
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss))
     assert chat.read_back(chat.format_records(chat.as_records(docs.limit(0)))).count() == 0
 
 
-def test_chat_layouts():
+RECORDS = [
+    ({"messages": [{"role": "human", "content": "a"}, {"role": "assistant", "content": None}]}, [("human", "a"), ("assistant", "")]),
+    ({"messages": [{"role": "user", "content": "a", "name": "Kim"}, {"content": "b", "role": "assistant"}]}, [("user", "a"), ("assistant", "b")]),
+    ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("user", "a"), ("assistant", "b")]),
+    ({"turns": [{"speaker": "bot", "text": "<|x"}, {"speaker": "user", "text": 3}]}, [("assistant", "<|x"), ("user", "3")]),
+    ({"completion": "y", "prompt": "x"}, [("user", "x"), ("assistant", "y")]),
+    ({"response": "y", "prompt": "x"}, [("user", "x"), ("assistant", "y")]),
+    ({"response": "y", "prompt": "x", "system": "s"}, [("system", "s"), ("user", "x"), ("assistant", "y")]),
+    ({"question": "q", "answer": None}, [("user", "q"), ("assistant", "")]),
+    ({"question": "q", "answer": "r", "context": "c"}, [("user", "c\n\nq"), ("assistant", "r")]),
+    ({"instruction": "do", "output": "done"}, [("user", "do"), ("assistant", "done")]),
+    ({"instruction": "do", "input": "this", "output": "done"}, [("user", "do\n\nthis"), ("assistant", "done")]),
+    ({"system": "s", "instruction": "do", "input": "", "output": "done"}, [("system", "s"), ("user", "do"), ("assistant", "done")]),
+    ({"prompt": [{"role": "user", "content": "p"}], "completion": [{"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")]),
+]
+
+
+def test_chat_layouts(spark):
     import json
 
-    for record, turns in [
-        ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("user", "a"), ("assistant", "b")]),
-        ({"instruction": "do", "input": "this", "output": "done"}, [("user", "do\n\nthis"), ("assistant", "done")]),
-        ({"completion": "y", "prompt": "x"}, [("user", "x"), ("assistant", "y")]),
-    ]:
-        assert chat.turns_of(json.dumps(record))[1] == turns
-    with pytest.raises(ValueError):
-        chat.turns_of('{"unknown": 1}')
+    bad = [None, "", "no json", "[1, 2]", "3", "{}", '{"messages": []}', '{"unknown": 1}', '{"messages": [{"role": "user", "content": "a"}, 3]}', '{"prompt": "x"}']
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(RECORDS)] + [(100 + i, b) for i, b in enumerate(bad)] + [(None, bad[0])]
+    made = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string"))
+    got = {r.conv_id: r for r in made.collect()}
+    for i, (_, turns) in enumerate(RECORDS):
+        assert got[i].problem is None and chat.parse(got[i].formatted) == turns
+        assert [got[i].formatted[m.start : m.end] for m in got[i].mask] == [chat.escape(t) for r, t in turns if r == "assistant"]
+    assert len({got[i].fingerprint for i in range(len(RECORDS))}) == len(RECORDS)
+    assert all(got[100 + i].problem and got[100 + i].formatted is None and got[100 + i].fingerprint for i in range(len(bad)))
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert all(back[100 + i].n_turns == 0 and back[100 + i].formatted_chars == 0 for i in range(len(bad))) and len(back) == len({k for k, _ in rows})
+
+
+def test_chat_layouts_keep_roles_and_lone_rows(spark):
+    rows = [(c, t, r, f"{c} {t} {r}") for c in range(30) for t, r in enumerate(["user", "assistant", "gpt"] if c % 5 == 0 else ["system", "user", "assistant"])] + [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", None)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.as_records(docs, ("messages", "conversations", "turns"))
+    made = chat.format_records(records).collect()
+    assert len({m.fingerprint for m in made}) == 3 and len(made) == 33
+    assert all(chat.parse(m.formatted) == [(r, x) for c, _, r, x in rows if c == m.conv_id] for m in made if m.conv_id is not None)
 
 
 def test_store_round_trip(spark, both, none):
@@ -288,18 +383,43 @@ def test_store_round_trip(spark, both, none):
     empty = new_path(spark, "store")
     store.write(none, empty, path)
     assert store.read(spark, empty).count() == 0
+    again = new_path(spark, "store")
+    store.write(spark.createDataFrame([(None, "a"), (3, "b c"), (3, "a"), (3, None)], "doc_id long, text string"), again, path)
+    assert sorted((r.doc_id or 0, r.start, r.n_tokens) for r in store.read(spark, again).collect())[0] == (0, 0, 2)
+    assert sorted(r.n_tokens for r in store.read(spark, again).collect()) == [1, 2, 2, 3]
 
 
-def test_store_notices_damage(spark, odd):
+@pytest.mark.parametrize("table", ["chunks", "recipes", "manifest", "head"])
+@pytest.mark.parametrize("change", ["lost", "twice", "changed"])
+def test_store_notices_damage(spark, odd, table, change):
     to = new_path(spark, "store")
     store.write(odd, to, public_tokenizers.path("word_bpe_49k.json"))
-    chunks = spark.read.parquet(f"{to}/chunks").collect()
-    bad = spark.createDataFrame([(c.digest, c.data[:-2] + b"zz") for c in chunks], "digest binary, data binary")
-    bad.write.mode("overwrite").parquet(f"{to}/chunks")
-    with pytest.raises(Exception, match="damaged"):
+    held = spark.read.parquet(f"{to}/{table}")
+    rows = held.collect()
+    if change == "lost":
+        rows = rows[1:]
+    elif change == "twice":
+        rows = [*rows, rows[0]]
+    else:
+        field = {"chunks": "digest", "recipes": "root", "manifest": "root", "head": "root"}[table]
+        rows = [r if i else type(r)(*(b"0" * 16 if f == field else r[f] for f in held.columns)) for i, r in enumerate(rows)]
+    spark.createDataFrame(rows, held.schema).write.mode("overwrite").parquet(f"{to}/{table}")
+    if (table, change) == ("chunks", "twice"):
+        return  # a chunk stored twice makes a document longer than its recipe says
+    with pytest.raises(Exception, match="damaged|another length"):
         store.read(spark, to).count()
 
 
+def test_store_width_follows_the_vocabulary(spark, odd):
+    path, to = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "store")
+    store.write(odd, to, path, end_id=1 << 20)
+    assert spark.read.parquet(f"{to}/head").first().width == 4
+    assert all(np.frombuffer(bytes(r.ids), "<u4")[-1] == 1 << 20 for r in store.read(spark, to).collect())
+    for n in (1, 5, 1000):
+        ids = np.random.default_rng(n).integers(0, 1 << 16, n).astype("<u4")
+        assert all((store.unpacked(store.packed(ids, w), w) == ids).all() for w in (2, 4))
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     sf = sf.replace("0.001", "0.01")
     got = by_id(queries.op1_toxicity(spark, sf))
@@ -308,22 +428,43 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for d, r in got.items())
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
     auc = np.mean([[(p > n) + 0.5 * (p == n) for n in neg] for p in pos])
-    assert auc > 0.8, auc
+    assert auc > 0.85, auc
+    assert sum(not r.evidence_ids for r in got.values()) < 0.05 * len(got)
+    # The whole query against a plain scan of all examples.
+    docs, rows = load(spark, sf, "documents"), load(spark, sf, "labels").where(~toxicity.held_out())
+    index = toxicity.fit(docs, rows)
+    texts, ids = {r.doc_id: r.text for r in docs.collect()}, index.ids.tolist()
+    assert sorted(ids) == sorted(r.doc_id for r in rows.collect())
+    vectors = []
+    for d in ids:
+        c, w = index.vector({t: n for t, n in Counter(toxicity.words(texts[d])).items()})
+        vectors.append(dict(zip(c.tolist(), w.tolist())))
+    for d in list(texts)[:150]:
+        c, w = index.vector(Counter(toxicity.words(texts[d])))
+        full = np.array([sum(x * v.get(t, 0.0) for t, x in zip(c.tolist(), w.tolist())) for v in vectors])
+        k = np.sort(full)[-toxicity.NEIGHBOURS]
+        spot = np.flatnonzero(full >= max(k - 1e-9, 1e-12))
+        assert abs(index.calibrated(index.vote(spot, full[spot])) - got[d].score) < 1e-6
 
 
 def test_neighbours_equal_full_scan():
     r = random.Random(4)
-    words = [f"t{i}" for i in range(60)]
-    examples = [(i, r.randrange(2), {w: r.randrange(1, 4) for w in r.sample(words, r.randrange(0, 9))}) for i in range(900)]
-    index = toxicity.build(examples, {w: r.randrange(1, 200) for w in words}, 1000)
-    for _ in range(100):
-        c, w = index.vector({x: 1 for x in r.sample(words, 4)})
-        spot, sim = index.neighbours(c, w)
-        dense = np.zeros(60)
-        dense[c] = w
-        full = np.add.reduceat(dense[index.columns] * index.weights, index.indptr[:-1])
+    names = [f"t{i}" for i in range(60)]
+    examples = [(i, r.randrange(2), {w: r.randrange(1, 4) for w in r.sample(names, r.randrange(0, 9))}) for i in range(900)]
+    index = toxicity.build(examples, {w: r.randrange(1, 200) for w in names}, 1000)
+    dense = np.zeros((900, len(index.names)))
+    for i, d in enumerate(index.ids.tolist()):
+        c, w = index.vector(examples[d][2])
+        dense[i, c] = w
+    for n in range(100):
+        c, w = index.vector({x: 1 for x in r.sample(names, 4)})
+        but = n if n % 2 else -1
+        full = dense[:, c] @ w
+        if but >= 0:
+            full[but] = 0
+        spot, sim = index.neighbours(c, w, but=but)
         least = np.sort(full)[-toxicity.NEIGHBOURS]
-        assert sorted(spot.tolist()) == np.flatnonzero((full >= least - 1e-9) & (full > 1e-9)).tolist()
+        assert spot.tolist() == np.flatnonzero((full >= least - 1e-9) & (full > 1e-9)).tolist()
         assert np.allclose(full[spot], sim)
 
 
@@ -332,77 +473,68 @@ def test_toxicity_of_odd_and_empty(spark, odd, none):
     for docs in (odd, none):
         index = toxicity.fit(docs, labels)
         assert toxicity.score(docs, index).count() == docs.count()
+    twice = spark.createDataFrame([(1, "bad words here"), (1, "a good day"), (2, "bad bad"), (None, "bad"), (3, None)], "doc_id long, text string")
+    scores = [sorted((r.doc_id or 0, r.score) for r in toxicity.score(twice, toxicity.fit(twice.repartition(n), labels)).collect()) for n in (1, 4)]
+    assert scores[0] == scores[1] and all(0 <= x <= 1 for _, x in scores[0])
 
 
 def test_lm_prefers_corpus_order(spark, sf, none, odd):
     docs = load(spark, sf.replace("0.001", "0.01"), "documents").repartition(4)
     vocab = lm.vocabulary(docs)
-    net = lm.train(docs, vocab)
-    flat = [p.copy() for p in lm.initial(len(vocab.class_of))]
+    net = lm.train(docs, vocab, 100_000)
     loss = {}
-    for k, n in (("trained", net), ("fresh", flat)):
+    for k, n in (("trained", net), ("unigrams", lm.initial(len(vocab.share)))):
         got = [r for r in lm.score(docs, vocab, n).collect() if r.n_words]
         loss[k] = -sum(r.sum_log_prob for r in got) / sum(r.n_words for r in got)
-    assert loss["trained"] < loss["fresh"] - 0.2
-    for few in (none, odd):
+    assert loss["trained"] < loss["unigrams"] - 0.1
+    other = docs.repartition(7)
+    again = lm.train(other, lm.vocabulary(other), 100_000)
+    assert all((a == b).all() for a, b in zip(net, again, strict=True))
+    # Sums by document, one word at a time, with the exact normalizer over all ids beside the estimate of it.
+    scores, errors = by_id(lm.score(docs, vocab, net)), []
+    for r in docs.orderBy("doc_id").limit(12).collect():
+        ids = vocab.encode(lm.words_of(r.text))
+        c = lm.contexts(ids)
+        assert abs(sum(float(lm.conditional(vocab, net, c[i : i + 1], ids[i : i + 1])[0]) for i in range(len(ids))) - scores[r.doc_id].sum_log_prob) < 1e-3 * max(1, len(ids))
+        _, h = lm.hidden(net, c[:40])
+        every = np.log(np.exp(h @ net[3].T) @ vocab.share)
+        errors += (np.log(vocab.share[ids[:40]]) + np.einsum("ij,ij->i", h, net[3][ids[:40]]) - every + vocab.log_in[ids[:40]] - lm.conditional(vocab, net, c[:40], ids[:40])).tolist()
+    assert abs(np.mean(errors)) < 0.2 and np.std(errors) < 0.2
+    for few in (none, odd, odd.unionByName(odd).withColumn("doc_id", F.lit(None).cast("long"))):
         v = lm.vocabulary(few)
         got = lm.score(few, v, lm.train(few, v)).collect()
         assert len(got) == few.count() and all((r.mean_log_prob is None) == (r.n_words == 0) for r in got)
 
 
-def test_lm_context_tells_words_of_one_class_apart(spark):
+def test_lm_context_tells_words_apart(spark):
     r = random.Random(6)
-    start = next(w for w in (f"s{i}" for i in range(1000)) if lm._hash(w.encode()) % 2**64 % 10 == 0)
     fill = lambda k: [f"f{r.randrange(120)}" for _ in range(k)]
-    rows = [(i, " ".join([start, *fill(3), "kx" if i % 2 else "ky", f"{'ab'[i % 2]}{r.randrange(200)}", *fill(4)])) for i in range(20_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    rows = [(i, " ".join([*fill(4), "kx" if i % 2 else "ky", f"{'ab'[i % 2]}{r.randrange(200)}", *fill(4)])) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     vocab = lm.vocabulary(docs)
     net = lm.train(docs, vocab)
     code = lambda *w: vocab.encode([x.encode() for x in w])
-    pairs = [(a, b) for a in code(*(f"a{i}" for i in range(200))) for b in code(*(f"b{i}" for i in range(200))) if vocab.class_of[a] == vocab.class_of[b]]
-    a, b = np.array(pairs).T
-    around = lambda k: np.repeat(code("f1", k, "f2", "f3")[None], len(a), axis=0)
+    a, b = code(*(f"a{i}" for i in range(200))), code(*(f"b{i}" for i in range(200)))
+    around = lambda k: np.repeat(code("f1", k, "f2", "f3")[None], 200, axis=0)
     ratio = {k: lm.conditional(vocab, net, around(k), a) - lm.conditional(vocab, net, around(k), b) for k in ("kx", "ky")}
-    assert len(pairs) > 100 and np.mean(ratio["ky"] - ratio["kx"]) > 1
-    every = np.arange(1, len(vocab.class_of))
-    whole = lm.conditional(vocab, net, np.repeat(around("kx")[:1], len(every), axis=0), every) - vocab.log_share[every]
-    assert abs(np.exp(whole).sum() - 1) < 1e-3
-
-
-def test_lm_gradients_of_decisions():
-    g = np.random.default_rng(3)
-    n = np.array([0, *g.integers(1, 50, 29)], float)
-    class_of = np.repeat([lm.CLASSES - 1, 2, 5], 10)
-    vocab = lm.Vocabulary({}, class_of, np.zeros(30), *lm._trees(n, class_of))
-    net = [p.astype(np.float64) + g.normal(0, 0.1, p.shape) for p in lm.initial(30)]
-    c, ids = g.integers(0, 30, (7, 4)), g.integers(1, 30, 7)
-    before = [p.copy() for p in net]
-    lm.step(net, [np.full_like(p, 1e12) for p in net], c, class_of[ids], vocab, ids)
-    for k in range(6):
-        move = (before[k] - net[k]) / lm.RATE * 1e6
-        i = np.unravel_index(np.abs(move).argmax(), move.shape)
-        shifted = [[p.copy() for p in before] for _ in range(2)]
-        for s, sign in zip(shifted, (1, -1), strict=True):
-            s[k][i] += sign * 1e-5
-        up, down = (-lm.conditional(vocab, s, c, ids).mean() for s in shifted)
-        assert abs((up - down) / 2e-5 - move[i]) < 1e-3 * max(1e-3, abs(move[i])) + 1e-6
+    assert np.mean(ratio["ky"] - ratio["kx"]) > 2
 
 
 def test_lm_gradients():
     g = np.random.default_rng(0)
-    net = [p.astype(np.float64) for p in lm.initial(30)]
-    c, t = g.integers(0, 30, (7, 4)), g.integers(0, lm.CLASSES, 7)
+    net = [p.astype(np.float64) + g.normal(0, 0.1, p.shape) for p in lm.initial(30)]
+    c, ids, noise = g.integers(0, 30, (7, 4)), g.integers(1, 30, 7), g.integers(1, 30, 5)
     before = [p.copy() for p in net]
-    square = [np.full_like(p, 1e12) for p in net]  # so steps are tiny multiples of the gradient
-    lm.step(net, square, c, t)
-    for k in range(5):
+    lm.step(net, [np.full_like(p, 1e12) for p in net], c, ids, noise)  # so steps are tiny multiples of the gradient
+    for k in range(4):
         move = (before[k] - net[k]) / lm.RATE * 1e6
         i = np.unravel_index(np.abs(move).argmax(), move.shape)
-        shifted = [[p.copy() for p in before] for _ in range(2)]
-        for s, sign in zip(shifted, (1, -1), strict=True):
-            s[k][i] += sign * 1e-5
-        up, down = (-lm.forward(s, c)[2][np.arange(7), t].mean() for s in shifted)
-        assert abs((up - down) / 2e-5 - move[i]) < 1e-3 * max(1e-3, abs(move[i])) + 1e-6
+        losses = []
+        for sign in (1, -1):
+            shifted = [p.copy() for p in before]
+            shifted[k][i] += sign * 1e-5
+            losses.append(lm.step(shifted, [np.full_like(p, 1e12) for p in net], c, ids, noise))
+        assert abs((losses[0] - losses[1]) / 2e-5 - move[i]) < 1e-3 * max(1e-3, abs(move[i])) + 1e-6
 
 
 def test_licenses(spark, both, none, sf):
@@ -410,7 +542,7 @@ def test_licenses(spark, both, none, sf):
     r = random.Random(6)
     fill = lambda n: " ".join(f"z{r.randrange(10**6)}" for _ in range(n))
     rows = [(k, f"{fill(r.randrange(0, 60))} {t} {fill(9)}", i) for i, (k, t) in enumerate(licenses.TEMPLATES)]
-    docs = spark.createDataFrame([(i, t, "q") for _, t, i in rows], "doc_id long, text string, license string").drop("license")
+    docs = spark.createDataFrame([(i, t, "q", "q") for _, t, i in rows], "doc_id long, text string, license string, h string")
     got = {}
     for x in licenses.scan(docs, templates).collect():
         got.setdefault(x.doc_id, set()).add(x.license)
@@ -419,6 +551,9 @@ def test_licenses(spark, both, none, sf):
     lines = {d.doc_id for d in both.collect() if any(s in (d.text or "") for s in ("Licensed under", "is licensed under", "Released under the MIT License"))}
     assert lines == set(real)
     assert licenses.scan(none, templates).count() == 0
+    notice = licenses.TEMPLATES[2][1]
+    twice = spark.createDataFrame([(1, notice), (1, "x"), (1, notice), (None, notice), (None, "x"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.license, r.n_places) for r in licenses.scan(twice, templates).collect()) == [(0, "Apache-2.0", 1), (1, "Apache-2.0", 2)]
 
 
 def test_short_licenses_between_long_ones(spark):
@@ -434,12 +569,46 @@ def test_short_licenses_between_long_ones(spark):
     assert set(want.items()) <= got
 
 
-def test_pipeline_runs_on_odd_tables(spark, both, none, sf):
+def test_queries_equal_sql(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name, text in queries.oracle_sql().items():
+        want, got = db.execute(text).df(), queries.queries()[name](spark, sf).toPandas()
+        columns = sorted(want.columns)
+        assert sorted(got.columns) == columns
+        key = [c for c in ("doc_id", "conv_id", "license") if c in columns]
+        assert got[columns].sort_values(key, ignore_index=True).equals(want[columns].sort_values(key, ignore_index=True)), name
+
+
+def test_pipeline_on_odd_tables(spark, both, none, sf):
+    """Each stage against what it promises: its columns, what goes and what stays, and the packed tokens of what is left."""
     import corpus_pipeline
 
-    for docs in (both.withColumn("key", F.lit(1)), none):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
+    _, text = word_maker(12)
+    again = both.where("doc_id < 40").withColumn("text", F.concat("text", F.lit(" the end of it")))
+    lone = spark.createDataFrame([(None, f"the and of {text(40)} in that", "en", None, 1), (None, None, None, None, None), (5, "the of and " + "very long words in the text " + text(30_000), "en", "s", 3)], SCHEMA)
+    whole = both.unionByName(again).unionByName(lone).withColumn("key", F.lit(1)).withColumn("_s_text", F.lit("x")).withColumn("_n_id", F.lit(2))
+    for docs in (whole, none):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             made = stage(spark, docs, sf)
             assert made.columns == docs.columns
             docs = spark.createDataFrame(made.collect(), made.schema)
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 0
+            assert docs.count() <= n
+            n = docs.count()
+            texts = [(r.doc_id, r.text) for r in docs.collect()]
+            if name == "quality_rules":
+                assert all(not brute.base_measures(t)[-1] for _, t in texts)
+            elif name == "near_dedup":
+                ids = {d: t for d, t in texts if d is not None and sum(d == e for e, _ in texts) == 1}
+                assert all(d == c for d, (_, c) in brute.components(ids, 5, 80).items())
+            elif name == "decontaminate":
+                items = [(r.item_id, r.text) for r in load(spark, sf, "benchmark").collect()]
+                assert not any(brute.hits(t, items, 10)[4] for _, t in texts)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        assert sum(p.length for p in pieces) == sum(len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts)
+        assert (n == 0) == (not pieces)

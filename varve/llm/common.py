@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none (local tests) is a temporary one made and recorded.
+    Where the session has none, a local master (tests) gets a temporary one, which is recorded; on a cluster that is an
+    error, as executors would each write to a disk of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="varve-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -78,3 +82,29 @@ def by_size(small: DataFrame, most_rows: int, weight: Column | None = None) -> D
     if weight is None:
         return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
     return F.broadcast(small) if (small.agg(F.sum(weight)).first()[0] or 0) <= most_rows else small
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def deal(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n", most_hot: int = 50_000) -> DataFrame:
+    """rows left-joined with groups, which has one row for each value of keys and in column n the number of rows with it.
+
+    Groups with over one part in most_hot of all rows (at most most_hot of them, so they are broadcast) are met without a
+    shuffle, and their rows are dealt out by chance; all others are shuffled on keys. So no key's rows meet in one task.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    least = max(1000, -(-total // most_hot))
+    rest = [c for c in groups.columns if c not in keys]
+    hot = F.broadcast(groups.where(F.col(n) > least).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), *(F.col(c).alias(f"_hot_{c}") for c in rest)))
+    cold = groups.where(F.col(n) <= least).select(*(F.col(k).alias(f"_cold_{k}") for k in keys), *rest)
+    met = rows.join(hot, [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
+    # The first key of a row that has met its group is replaced by a number of its own, which no group has but by chance.
+    other = F.when(F.col(f"_hot_{n}").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*(c for c in rows.columns if dict(rows.dtypes)[c] in ("bigint", "int"))))
+    met = met.withColumn("_dealt", other)
+    both = met.join(cold, [F.col("_dealt") == F.col(f"_cold_{keys[0]}"), *(F.col(k) == F.col(f"_cold_{k}") for k in keys[1:])], "left")
+    return both.select(*rows.columns, *(F.when(F.col(f"_hot_{n}").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in rest))

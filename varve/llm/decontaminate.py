@@ -1,12 +1,15 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-Each window of ``size`` consecutive item words must occur whole, so its necessary prefix is one word: its rarest
-by document frequency over the whole corpus. Documents meet windows on that word; the word's offset in the window
-bounds the position, the window's length bounds the place left, and the words are then compared exactly.
+Items are cut into windows of ``size`` consecutive words. Each window must occur whole, so its necessary prefix is one
+word: its rarest by document frequency over the whole corpus. Documents meet windows on that word; the word's place in the
+window bounds where it starts, the window's length bounds the room left, and the words are then compared exactly.
 
-Items are taken in blocks of bounded expected size, and only one block's windows are broadcast at a time.
-Null texts have no words; a document without words has no hits; an item without words has no windows. Rows
-repeat as in the input. Items that share an item_id count once.
+Frequencies and prefixes are Spark aggregations and joins. If all windows together are of bounded size (``most`` words and
+item ids, counted first), they are broadcast and each document is joined in place. Otherwise documents' words are
+shuffled to the windows (a frequent word's rows dealt out), and what meets goes back to its document to be compared.
+
+Null texts have no words; a document without words has no hits; an item without words has no windows. Rows are judged one
+by one, whatever doc_id they repeat or lack. Items that share an item_id count once.
 """
 
 from __future__ import annotations
@@ -15,13 +18,17 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, map_arrow
+from .common import cut, deal, map_arrow, small_batches, unused
 
+#: Words and item ids of all windows that are broadcast at most.
+MOST = 4_000_000
 #: A-Z become a-z; other ASCII characters that are no letter or digit separate words; the rest are word characters.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -32,30 +39,60 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> Counter:
-    """Documents in which each word of the (block-bounded) vocabulary occurs, over the whole corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _hash(word: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """window (its words joined by blanks), items (ids as strings)."""
+
+    def f(x: dict) -> Iterator[dict]:
+        pairs = {(b" ".join(w), str(i)) for i, t in zip(x["item_id"], x["text"], strict=True) for w in windows_of(words_of(t), size)}
+        yield {"window": [w for w, _ in pairs], "item": [i for _, i in pairs]}
+
+    made = map_arrow(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item_id"), "text"), "window binary, item string", f)
+    return made.groupBy("window").agg(F.collect_set("item").alias("items"))
+
+
+def frequencies(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """word, df: documents in which each of the words occurs, over the whole corpus."""
+    few = words.distinct()
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.word) for r in few.collect())) if few.count() <= MOST // 8 else None
 
     def count(x: dict) -> Iterator[dict]:
         seen: Counter = Counter()
         for t in x["text"]:
-            seen.update(shared.value.intersection(words_of(t)))
+            seen.update(known.value.intersection(words_of(t)) if known else set(words_of(t)))
         yield {"word": list(seen), "n": list(seen.values())}
 
-    found = map_arrow(docs.select("text"), "word binary, n long", count, 4096).groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({bytes(r.word): r.n for r in found.collect()})  # at most the block's words
+    return map_arrow(docs.select("text"), "word binary, n long", count, 4096).groupBy("word").agg(F.sum("n").alias("df"))
 
 
-def _index(items: list[tuple], size: int, df: Counter) -> dict[bytes, list[tuple[int, list[bytes], tuple]]]:
-    holders: dict[tuple[bytes, ...], set] = {}
-    for item_id, text in items:
-        for w in windows_of(words_of(text), size):
-            holders.setdefault(w, set()).add(item_id)
-    out: dict[bytes, list] = {}
-    for w, ids in holders.items():
-        at = min(range(len(w)), key=lambda i: (df[w[i]], w[i], i))
-        out.setdefault(w[at], []).append((at, list(w), tuple(ids)))
-    return out
+def prefixes(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """window, items, word (the window's rarest), at (its place in the window), df."""
+    spark = docs.sparkSession
+    held = cut(spark, windows(benchmark, size), "windows")
+
+    def split(x: dict) -> Iterator[dict]:
+        rows = [(w, i, word) for w in x["window"] for i, word in enumerate(w.split())]
+        yield {"window": [r[0] for r in rows], "at": [r[1] for r in rows], "word": [r[2] for r in rows]}
+
+    words = map_arrow(held.select("window"), "window binary, at int, word binary", split)
+    rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "at")
+    rarest = words.join(frequencies(docs, words.select("word")), "word", "left").groupBy("window").agg(F.min(rarity).alias("r"))
+    return held.join(rarest, "window").select("window", "items", "r.word", "r.at", "r.df")
+
+
+def _broadcast(table: DataFrame, most: int):
+    """word -> its windows (place of the word, words, items), broadcast; None if they are more than most."""
+    weight = table.agg(F.sum(F.length("window") / 4 + F.size("items") + 2)).first()[0] or 0
+    if weight > most:
+        return None
+    index: dict[bytes, list] = {}
+    for r in table.toLocalIterator():
+        index.setdefault(bytes(r.word), []).append((r.at, bytes(r.window).split(), tuple(r["items"])))
+    return table.sparkSession.sparkContext.broadcast(index)
 
 
 def _spans(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set]:
@@ -79,78 +116,82 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 
 def digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, docs: DataFrame, size: int, per_block: int) -> list:
-    benchmark = benchmark.select("item_id", "text")
-    n = -(-benchmark.count() // per_block)
-    made = []
-    for k in range(n):
-        block = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else benchmark
-        items = [(r.item_id, r.text) for r in block.collect()]  # per_block rows in expectation
-        df = _frequencies(docs, frozenset(w for _, t in items for w in words_of(t)))
-        made.append(spark.sparkContext.broadcast(_index(items, size, df)))
-    return made or [spark.sparkContext.broadcast({})]
+def _result(words: list[list[bytes]], found: list[tuple[list, set]]) -> dict:
+    n = [covered(s) for s, _ in found]
+    return {
+        "n_words": [len(w) for w in words], "n_hit": n, "n_items": [len(i) for _, i in found], "items_sha256": [digest(i) for _, i in found],
+        "contaminated": [x > 0 for x in n], "items": [sorted(i) for _, i in found],
+    }
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, per_block: int = 5000) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (ids as strings)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    blocks = _blocks(spark, benchmark, docs, size, per_block)
-
-    def result(n_words: list[int], found: list[tuple[list, set]]) -> dict:
-        n = [covered(s) for s, _ in found]
-        return {
-            "n_words": n_words, "n_hit": n, "n_items": [len(i) for _, i in found], "items_sha256": [digest(i) for _, i in found],
-            "contaminated": [x > 0 for x in n], "items": [sorted(map(str, i)) for _, i in found],
-        }
+def _met(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """By a shuffle on the prefix: row and the fields of its result, from rows (row, text)."""
 
-    fields = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    if len(blocks) == 1:
-        index = blocks[0]
+    def places(x: dict) -> Iterator[dict]:
+        out: dict[str, list] = {"row": [], "i": [], "h": []}
+        for r, t in zip(x["row"], x["text"], strict=True):
+            h = list(map(_hash, words_of(t)))
+            out["row"] += [r] * len(h)
+            out["i"] += range(len(h))
+            out["h"] += h
+        yield out
 
-        def one(x: dict) -> Iterator[dict]:
-            words = [words_of(t) for t in x["text"]]
-            yield {"doc_id": x["doc_id"]} | result([len(w) for w in words], [_spans(w, index.value) for w in words])
+    def keyed(x: dict) -> Iterator[dict]:
+        yield {"h": list(map(_hash, x["word"]))} | {k: x[k] for k in ("window", "at", "items", "df")}
 
-        return map_arrow(docs, f"doc_id {_type(docs)}, {fields}", one)
+    groups = map_arrow(table, "h long, window binary, at int, items array<string>, df long", keyed).groupBy("h").agg(F.collect_list(F.struct("window", "at", "items")).alias("windows"), F.max("df").alias("n"))
+    met = deal(map_arrow(rows.select("row", "text"), "row long, i int, h long", places), groups, ["h"])
+    some = met.where("windows is not null").select("row", "i", F.explode("windows").alias("w")).where("i >= w.at").groupBy("row").agg(F.collect_list(F.struct((F.col("i") - F.col("w.at")).alias("start"), "w.window", "w.items")).alias("spots"))
 
-    # Several blocks: each gives the spans it finds, and a document's spans of all blocks meet by row.
-    from .common import cut
+    def verify(x: dict) -> Iterator[dict]:
+        words, found = [words_of(t) for t in x["text"]], []
+        for own, spots in zip(words, x["spots"], strict=True):
+            true = []
+            for s in spots or []:
+                w = s["window"].split()
+                if own[s["start"] : s["start"] + len(w)] == w:
+                    true.append((s["start"], len(w), s["items"]))
+            found.append(([(a, a + n) for a, n, _ in true], {i for *_, ids in true for i in ids}))
+        yield {"row": x["row"]} | _result(words, found)
 
-    rows = cut(spark, docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    parts = []
-    for index in blocks:
+    return map_arrow(rows.select("row", "text").join(some, "row", "left"), f"row long, {_FIELDS}", verify, 64)
 
-        def some(x: dict, index=index) -> Iterator[dict]:
-            words = [words_of(t) for t in x["text"]]
-            found = [_spans(w, index.value) for w in words]
-            yield {"row": x["row"], "n_words": [len(w) for w in words], "starts": [[a for a, _ in s] for s, _ in found], "ends": [[b for _, b in s] for s, _ in found], "ids": [sorted(map(str, i)) for _, i in found]}
 
-        parts.append(map_arrow(rows, "row long, n_words long, starts array<long>, ends array<long>, ids array<string>", some))
-    met = parts[0]
-    for p in parts[1:]:
-        met = met.unionByName(p)
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    met = met.groupBy("row").agg(F.max("n_words").alias("n_words"), flat("starts"), flat("ends"), flat("ids"))
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = MOST) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (ids as strings)."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    table = cut(spark, prefixes(docs, benchmark, size), "prefixes")
+    index = _broadcast(table, most)
+    if index is not None:
 
-    def merge(x: dict) -> Iterator[dict]:
-        yield {"row": x["row"]} | result(x["n_words"], [(list(zip(a, b, strict=True)), set(i)) for a, b, i in zip(x["starts"], x["ends"], x["ids"], strict=True)])
+        def one(x: dict) -> Iterator[dict]:
+            words = [words_of(t) for t in x["text"]]
+            yield {"doc_id": x["doc_id"]} | _result(words, [_spans(w, index.value) for w in words])
 
-    return rows.select("doc_id", "row").join(map_arrow(met, f"row long, {fields}", merge), "row").drop("row")
+        return map_arrow(docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_FIELDS}", one)
+    rows = cut(spark, docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.select("doc_id", "row").join(_met(rows, table), "row").drop("row")
 
 
-def _type(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = MOST) -> DataFrame:
+    """The rows of docs, with all their columns, that have no benchmark passage in them."""
+    spark = docs.sparkSession
+    table = cut(spark, prefixes(docs, benchmark, size), "prefixes")
+    index = _broadcast(table, most)
+    if index is not None:
 
+        @F.pandas_udf("boolean")
+        def clean(texts):
+            import pandas as pd
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs without a benchmark passage; rows with a null doc_id are judged like any other."""
-    tag = docs.withColumn("_d_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.sha2(F.coalesce("text", F.lit("")), 256))))
-    found = hits(tag.select(F.col("_d_key").alias("doc_id"), "text"), benchmark, size).where("contaminated").select(F.col("doc_id").alias("_d_key")).distinct()
-    from .common import cut
+            return pd.Series([not _spans(words_of(t), index.value)[0] for t in texts], dtype=bool)
 
-    bad = cut(docs.sparkSession, found, "contaminated")
-    return tag.join(by_size(bad, 1_000_000), "_d_key", "left_anti").drop("_d_key")
+        return small_batches(docs).where(clean("text"))
+    row = unused(docs, "_d_row")
+    rows = cut(spark, docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    bad = _met(rows.select(F.col(row).alias("row"), "text"), table).where("contaminated").select(F.col("row").alias(row))
+    return rows.join(bad, row, "left_anti").drop(row)

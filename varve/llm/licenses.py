@@ -9,23 +9,24 @@ for short templates beside other license text too, there are windows of each num
 shingle, and templates have those of the three largest numbers that do not exceed their own. Pairs of document
 and template that meet are verified by exact containment of the template's shingles, ``PERCENT`` of 100 at least.
 
-Templates are taken in blocks of at most ``BLOCK`` templates, whose shingles are broadcast; templates of fewer words
-than a shingle have none and match nothing. Null, empty and short texts match nothing. Rows of one doc_id count as one
-document, rows without one as another.
+Documents are read once; what is left of them is written and used for retrieval and verification. The tables of templates
+are broadcast up to ``MOST`` rows each (counted first), beyond that joins shuffle. Templates of fewer words than a shingle
+have none and match nothing. Null, empty and short texts match nothing. Rows of one doc_id count as one document, rows
+without one as another. Words are compared by 64-bit hashes of five-word shingles.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW, STEP, HASHES, PERCENT, BLOCK = 5, 32, 16, 16, 80, 200
+from .common import by_size, cut
+
+SHINGLE, WINDOW, STEP, HASHES, PERCENT, MOST = 5, 32, 16, 16, 80, 1_000_000
 
 SCALES = (1, 2, 4, 8, 16)
 
-#: Notices of public licenses.
+#: Notices and texts of public licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
@@ -47,6 +48,14 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
 ]
 
 
@@ -71,19 +80,11 @@ def _bands(windows: DataFrame, *keys: str) -> DataFrame:
 
 def scan(docs: DataFrame, templates: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document and license found: doc_id, license, template_id (the best), containment, first_word, n_places."""
-    n = max(1, -(-templates.count() // BLOCK))
-    blocks = [templates.where(F.pmod(F.xxhash64("template_id"), F.lit(n)) == k) if n > 1 else templates for k in range(n)]
-    found = reduce(DataFrame.unionByName, [_scan(docs, b, percent) for b in blocks])
-    best = F.max_by(F.struct("template_id", "first_word", "n_places"), F.struct("containment", F.col("n_template"), -F.col("template_id")))
-    out = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), best.alias("b"))
-    return out.select("doc_id", "license", "b.template_id", "containment", "b.first_word", "b.n_places")
-
-
-def _scan(docs: DataFrame, templates: DataFrame, percent: int) -> DataFrame:
-    spots = templates.select("template_id", "license", F.explode(_spots(F.col("template"))).alias("s")).select("template_id", "license", "s.h", "s.i")
-    hashes = [r.h for r in spots.select("h").distinct().collect()]  # of at most BLOCK templates
-    kept = F.filter(_spots(F.col("text")), lambda s: s["h"].isin(hashes) if hashes else F.lit(False))
-    own = docs.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.h", "s.i")
+    spark = docs.sparkSession
+    spots = cut(spark, templates.select("template_id", "license", F.explode(_spots(F.col("template"))).alias("s")).select("template_id", "license", "s.h", "s.i"), "templates")
+    need = by_size(spots.select("h").distinct(), MOST)
+    own = docs.select("doc_id", F.explode(_spots(F.col("text"))).alias("s")).select("doc_id", "s.h", "s.i").join(need, "h")
+    own = cut(spark, own, "shingles")  # documents are read and cut into shingles once
 
     last = WINDOW - SHINGLE  # shingles of a window start at most so far after its first word
     place = F.floor((F.col("i") - 1) / STEP).cast("int")
@@ -95,14 +96,17 @@ def _scan(docs: DataFrame, templates: DataFrame, percent: int) -> DataFrame:
     scales = length.select("template_id", "length", F.explode(F.concat(F.array(F.lit(0)), F.slice(F.reverse(fits), 1, 3))).alias("scale"))
     inside = F.expr(f"b.i between a.i and a.i + if(scale = 0, {last}, scale - 1) and (scale = 0 or a.i + scale - 1 <= length)")
     every = spots.alias("a").join(spots.alias("b"), "template_id").join(scales, "template_id").where(inside).select("template_id", "scale", F.col("a.i").alias("w"), F.col("b.h").alias("h"))
-    known = F.broadcast(_bands(every, "template_id", "scale", "w").select("scale", "band", "value", "template_id").distinct())
+    known = by_size(cut(spark, _bands(every, "template_id", "scale", "w").select("scale", "band", "value", "template_id").distinct(), "bands"), MOST)
     met = _bands(windows, "doc_id", "scale", "w").join(known, ["scale", "band", "value"]).select("doc_id", "template_id").distinct()
 
-    sizes = F.broadcast(spots.groupBy("template_id", "license").agg(F.countDistinct("h").alias("n_template")))
-    need = F.broadcast(spots.select("template_id", "h").distinct())
+    sizes = by_size(spots.groupBy("template_id", "license").agg(F.countDistinct("h").alias("n_template")), MOST)
+    holders = by_size(spots.select("template_id", "h").distinct(), MOST)
     # Only a document's own template shingles are joined, each with the few templates that have it.
-    shared = own.groupBy("doc_id", "h").agg(F.min("i").alias("i"), F.count("*").alias("c")).join(need, "h")
+    shared = own.groupBy("doc_id", "h").agg(F.min("i").alias("i"), F.count("*").alias("c")).join(holders, "h")
     match = met.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("d"), "template_id").distinct()
     counts = shared.groupBy("doc_id", "template_id").agg(F.count("*").alias("k"), F.min("i").alias("first_word"), F.max("c").alias("n_places"))
     counts = counts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).join(match, ["d", "template_id"], "left_semi")
-    return counts.join(sizes, "template_id").where(F.col("k") * 100 >= F.col("n_template") * percent).select("doc_id", "license", "template_id", "n_template", (F.col("k") / F.col("n_template")).alias("containment"), "first_word", "n_places")
+    found = counts.join(sizes, "template_id").where(F.col("k") * 100 >= F.col("n_template") * percent).select("doc_id", "license", "template_id", "n_template", (F.col("k") / F.col("n_template")).alias("containment"), "first_word", "n_places")
+    best = F.max_by(F.struct("template_id", "first_word", "n_places"), F.struct("containment", F.col("n_template"), -F.col("template_id")))
+    out = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), best.alias("b"))
+    return out.select("doc_id", "license", "b.template_id", "containment", "b.first_word", "b.n_places")

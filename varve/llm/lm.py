@@ -1,22 +1,26 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides of it.
 
 Corpus counts over all documents give the vocabulary: the ``VOCABULARY`` most frequent words have ids of their own, all
-rarer ones fall in ``BUCKETS`` hashed ids. The network takes the embeddings of two words to the left and two to the
-right, never the word itself, and predicts the word in two levels from the same hidden layer: its class (the ``SINGLES``
-most frequent words are classes of their own, the others of the vocabulary fall in classes of about equal counts, the
-buckets are one class), then its place in the class by the decisions along a Huffman tree over the class's ids. Each
-decision starts at the corpus share and learns a vector. The words of one bucket share its probability equally.
+rarer ones fall in ``BUCKETS`` hashed ids; q is an id's share of the corpus. A hidden layer h sees the embeddings of two
+words to the left and two to the right, never the word itself, and each id w has an output vector v and bias b of its own:
 
-Training is data-parallel and sees every document: each task fits the network on its documents, every position a target
-once, and the tasks' weights are averaged by examples in a tree, ``FAN`` to one. So what is counted, trained and averaged
-grows with the corpus; only the bounded weights and vocabulary reach the driver.
+    log p(w | both sides) = log q(w) + h.v(w) + b(w) - log Z,    Z = sum over all ids of q exp(h.v + b).
+
+Training is noise-contrastive (each position against ``NOISE`` ids drawn from q for its batch), which needs no Z. Scoring
+estimates Z from the ``HEAD`` most frequent ids, exactly, and a fixed stratified sample of ``TAIL`` of the others, which
+stand for equal shares of the rest. The words of one hashed id share its probability equally.
+
+Every position of every document is a target once. Documents are dealt to shards by a hash of doc_id and text, each of
+about ``SHARD`` words, and sorted in them, so the result does not depend on how the input is partitioned. Each shard
+fits the network from the same start; the shards' changes are averaged in a tree, ``FAN`` to one, a word's vectors weighted
+by its occurrences in the shard. So what is counted, trained and averaged grows with the corpus; only the bounded
+weights and vocabulary reach the driver.
 
 Null, empty and wordless texts have no words: their sum is 0 and their mean null. Repeated rows score alike.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,23 +35,24 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, small_batches
 from .decontaminate import words_of
 
-VOCABULARY, BUCKETS, SINGLES, CLASSES = 16_384, 4_096, 96, 128
-WIDTH, HIDDEN, SIDE, FAN = 16, 48, 2, 16
-RATE, BATCH = 0.1, 2048
+VOCABULARY, BUCKETS = 16_384, 4_096
+WIDTH, HIDDEN, SIDE = 16, 32, 2
+NOISE, HEAD, TAIL = 64, 64, 64
+SHARD, MOST_SHARDS, FAN = 3_000_000, 20_000, 16
+RATE, BATCH = 0.1, 4096
 
 
 @dataclass
 class Vocabulary:
     """ids: 64-bit hash of a word -> id from 1 on; 0 stands beyond a text's ends, the last BUCKETS ids are of rare words.
-    The decisions of id i are nodes[at[i]:at[i + 1]], with signs; offset: a node's log-odds in the corpus counts."""
+    share: q of each id, log_in: log of a word's part of its id, total: words of the corpus; support and its log_weight: the ids that estimate Z."""
 
     ids: dict[int, int]
-    class_of: np.ndarray
-    log_share: np.ndarray
-    at: np.ndarray
-    nodes: np.ndarray
-    signs: np.ndarray
-    offset: np.ndarray
+    share: np.ndarray
+    log_in: np.ndarray
+    total: int
+    support: np.ndarray
+    log_weight: np.ndarray
     words: dict[bytes, int] | None = None
 
     def encode(self, words: list[bytes]) -> np.ndarray:
@@ -56,19 +61,12 @@ class Vocabulary:
         memo = self.words
         if len(memo) > 300_000:
             memo.clear()
-        rare = len(self.class_of) - BUCKETS
+        rare = len(self.share) - BUCKETS
         for w in set(words).difference(memo):
             h = _hash(w)
             memo[w] = self.ids.get(h) or rare + h % BUCKETS
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
-    def decisions(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row in ids, node and sign of every decision on the way to each id."""
-        n = self.at[ids + 1] - self.at[ids]
-        rows = np.repeat(np.arange(len(ids)), n)
-        spots = np.arange(len(rows)) + (self.at[ids] - np.cumsum(n) + n)[rows]
-        return rows, self.nodes[spots], self.signs[spots]
-
 
 def _hash(word: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(word)
@@ -87,48 +85,31 @@ def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
     rare_n, rare_types = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # a row a bucket
         rare_n[r.k], rare_types[r.k] = r.n, r.types
+    total = int(rare_n.sum())
     for r in top:
         rare_n[r.word % BUCKETS] -= r.n
         rare_types[r.word % BUCKETS] -= 1
     n = np.array([0, *(r.n for r in top), *np.maximum(rare_n, 1)], float)
-    class_of = np.full(len(n), CLASSES - 1)
-    class_of[1 : 1 + min(SINGLES, len(top))] = np.arange(min(SINGLES, len(top)))
-    tail = np.cumsum(n[1 + SINGLES : 1 + len(top)])
-    if len(tail):
-        class_of[1 + SINGLES : 1 + len(top)] = SINGLES + np.minimum((tail - 1) * (CLASSES - 1 - SINGLES) / tail[-1], CLASSES - 2 - SINGLES).astype(int)
-    share = np.zeros(len(n))
-    share[1 + len(top) :] = -np.log(np.maximum(rare_types, 1))
-    return Vocabulary({r.word: i for i, r in enumerate(top, 1)}, class_of, share, *_trees(n, class_of))
-
-
-def _trees(n: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, ...]:
-    """at, nodes, signs and offset of a Huffman tree for each class, over its ids' counts."""
-    up: dict[int, tuple[int, int]] = {}  # an id, or -1 - node: its parent and the sign of the branch
-    offset: list[float] = []
-    for c in range(CLASSES):
-        heap = [(n[i], int(i)) for i in np.flatnonzero(class_of == c) if i]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
-            up[left], up[right] = (len(offset), 1), (len(offset), -1)
-            offset.append(float(np.log(a / b)))
-            heapq.heappush(heap, (a + b, -len(offset)))
-    at, nodes, signs = [0], [], []
-    for i in range(len(n)):
-        k = i
-        while k in up:
-            node, sign = up[k]
-            nodes.append(node)
-            signs.append(sign)
-            k = -1 - node
-        at.append(len(nodes))
-    return np.array(at), np.array(nodes, np.int32), np.array(signs, np.float32), np.array(offset, np.float32)
+    log_in = np.zeros(len(n))
+    log_in[1 + len(top) :] = -np.log(np.maximum(rare_types, 1))
+    return Vocabulary({r.word: i for i, r in enumerate(top, 1)}, n / n.sum(), log_in, total, *_support(n / n.sum()))
+
+
+def _support(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The HEAD likeliest ids with their shares, and ids at TAIL even steps of the others' cumulative share."""
+    order = np.argsort(-q, kind="stable")[: np.count_nonzero(q)]
+    head, rest = order[:HEAD], order[HEAD:]
+    if not len(rest):
+        return head, np.log(q[head])
+    steps = np.cumsum(q[rest])
+    tail = rest[np.minimum(np.searchsorted(steps, (np.arange(TAIL) + 0.5) / TAIL * steps[-1]), len(rest) - 1)]
+    return np.concatenate((head, tail)), np.log(np.concatenate((q[head], np.full(TAIL, steps[-1] / TAIL))))
 
 
 def initial(n_ids: int) -> list[np.ndarray]:
-    """Embeddings, hidden layer and its bias, classes and their bias, and a vector with bias for each decision."""
+    """Embeddings, hidden layer and its bias, output vectors with their bias last."""
     g = np.random.default_rng(11)
-    return [x.astype(np.float32) for x in (g.normal(0, 0.1, (n_ids, WIDTH)), g.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH, HIDDEN)), np.zeros(HIDDEN), g.normal(0, 0.1, (HIDDEN, CLASSES)), np.zeros(CLASSES), np.zeros((n_ids, HIDDEN + 1)))]
+    return [x.astype(np.float32) for x in (g.normal(0, 0.1, (n_ids, WIDTH)), g.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros((n_ids, HIDDEN + 1)))]
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -137,21 +118,13 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def forward(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e, u, a, v, b = net[:5]
+def hidden(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings side by side, and the hidden layer with 1 appended."""
+    e, u, a, _ = net
     x = e[context].reshape(len(context), -1)
-    h = np.tanh(x @ u + a)
-    z = h @ v + b
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return x, h, z
-
-
-def odds(net: list[np.ndarray], h: np.ndarray, vocab: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """rows, nodes, signs of the ids' decisions, the hidden layer at each with 1 appended, and the log-odds of its branch."""
-    rows, nodes, signs = vocab.decisions(ids)
-    wide = np.concatenate((h, np.ones((len(h), 1), h.dtype)), axis=1)[rows]
-    return rows, nodes, signs, wide, signs * (np.einsum("ij,ij->i", wide, net[5][nodes]) + vocab.offset[nodes])
+    h = np.ones((len(x), HIDDEN + 1), x.dtype)
+    np.tanh(x @ u + a, out=h[:, :HIDDEN])
+    return x, h
 
 
 def _spread(p: np.ndarray, square: np.ndarray, spots: np.ndarray, grads: np.ndarray) -> None:
@@ -164,100 +137,118 @@ def _spread(p: np.ndarray, square: np.ndarray, spots: np.ndarray, grads: np.ndar
     p[at] -= RATE * g / (np.sqrt(square[at]) + 1e-6)
 
 
-def step(net: list[np.ndarray], square: list[np.ndarray], context: np.ndarray, target: np.ndarray, vocab: Vocabulary | None = None, ids: np.ndarray | None = None) -> float:
-    """One Adagrad step on the mean negative log-probability of the targets' classes and, with their ids, of their
-    places in the classes, which is returned."""
-    e, u, a, v, b = net[:5]
-    x, h, z = forward(net, context)
-    n = len(target)
-    loss = -float(z[np.arange(n), target].mean())
-    d = np.exp(z)
-    d[np.arange(n), target] -= 1
-    d /= n
-    dh = d @ v.T
-    if vocab is not None and ids is not None:
-        rows, nodes, signs, wide, o = odds(net, h, vocab, ids)
-        if len(rows):
-            loss += float(np.logaddexp(0, -o).sum()) / n
-            slope = (-signs / (1 + np.exp(np.clip(o, -60, 60))) / n).astype(h.dtype)[:, None]
-            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            dh[rows[first]] += np.add.reduceat(slope * net[5][nodes, :HIDDEN], first, axis=0)
-            _spread(net[5], square[5], nodes, slope * wide)
-    dh *= 1 - h * h
-    grads = [None, x.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
-    dx = (dh @ u.T).reshape(-1, WIDTH)
-    for p, s, g in zip(net[1:5], square[1:5], grads[1:], strict=True):
-        s += g * g
-        p -= RATE * g / (np.sqrt(s) + 1e-6)
+def step(net: list[np.ndarray], square: list[np.ndarray], context: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> float:
+    """One Adagrad step on the mean noise-contrastive loss of telling each id from the noise ids, which is returned."""
+    e, u, _, v = net
+    x, h = hidden(net, context)
+    n, shift = len(ids), np.float32(np.log(len(noise)))
+    own, others = v[ids], v[noise]
+    good = np.einsum("ij,ij->i", h, own) - shift
+    bad = h @ others.T - shift
+    loss = float(np.logaddexp(0, -good).mean() + np.logaddexp(0, bad).sum() / n)
+    up = -1 / (1 + np.exp(good)) / n
+    down = 1 / (1 + np.exp(-bad)) / n
+    d = (up[:, None] * own + down @ others)[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+    _spread(v, square[3], np.concatenate((ids, noise)), np.concatenate((up[:, None] * h, down.T @ h)))
+    dx = (d @ u.T).reshape(-1, WIDTH)
+    for k, g in ((1, x.T @ d), (2, d.sum(0))):
+        square[k] += g * g
+        net[k] -= RATE * g / (np.sqrt(square[k]) + 1e-6)
     _spread(e, square[0], context.ravel(), dx)
     return loss
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> list[np.ndarray]:
+def train(docs: DataFrame, vocab: Vocabulary, shard: int = SHARD) -> list[np.ndarray]:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
-    n_ids = len(vocab.class_of)
+    n_ids = len(vocab.share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        net, seen = initial(n_ids), 0
+        v, g = shared.value, np.random.default_rng(17)
+        steps = np.cumsum(v.share)
+        net, seen = initial(n_ids), np.zeros(n_ids)
         square = [np.full_like(p, 1e-8) for p in net]
-        held_c, held_t, n = [], [], 0
+        held: list[np.ndarray] = []
+        n = 0
 
         def fit(least: int) -> None:
-            nonlocal held_c, held_t, n, seen
-            c, t = np.concatenate(held_c), np.concatenate(held_t)
-            at = 0
-            while n >= least and n:
-                k = min(BATCH, n)
-                step(net, square, c[at : at + k], v.class_of[t[at : at + k]], v, t[at : at + k])
-                seen, at, n = seen + k, at + k, n - k
-            held_c, held_t = [c[at:]], [t[at:]]
+            nonlocal held, n
+            flat = np.concatenate(held)
+            c, at = contexts(flat), 0
+            real = np.flatnonzero(flat)  # texts are set apart by empty places
+            while len(real) - at >= least and at < len(real):
+                some = real[at : at + BATCH]
+                step(net, square, c[some], flat[some], np.searchsorted(steps, g.random(NOISE) * steps[-1]))
+                at += len(some)
+            seen[:] += np.bincount(flat[real[:at]], minlength=n_ids)
+            left = real[at] - SIDE if at < len(real) else len(flat)
+            held, n = [flat[max(0, left) :]], len(real) - at
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.slice(at, 256).column(0).to_pylist():
-                    words = words_of(text)
-                    if not words:
-                        continue
-                    ids = v.encode(words)
-                    held_c.append(contexts(ids))
-                    held_t.append(ids)
-                    n += len(ids)
-                    if n >= BATCH:
-                        fit(BATCH)
+            for text in batch.column(0).to_pylist():
+                if words := words_of(text):
+                    held += [v.encode(words), np.zeros(SIDE, np.int32)]
+                    n += len(words)
+                if n >= 8 * BATCH:
+                    fit(BATCH)
         if n:
             fit(1)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [seen], "net": [_pack(net)]})
+        if seen.any():
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "net": [_pack(net, seen)]})
 
-    nets = cut(spark, small_batches(docs).select("text").mapInArrow(run, "part long, n long, net binary"), "networks")
+    n = min(MOST_SHARDS, max(1, -(-vocab.total // shard)))
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).repartition(n, "k").sortWithinPartitions("k", "text").select("text")
+    nets = cut(spark, small_batches(dealt).mapInArrow(run, "part long, net binary"), "networks")
 
     def mean(table: pa.Table) -> pa.Table:
-        total, net = 0, None
-        for row in table.to_batches(1):  # a group has at most FAN
-            for n, w in zip(row["n"].to_pylist(), row["net"].to_pylist(), strict=True):
-                w = np.frombuffer(w, np.float32) * n
-                net, total = w if net is None else net + w, total + n
-        return pa.table({"part": [table["part"][0].as_py() // FAN], "n": [total], "net": [(net / total).astype(np.float32).tobytes()]})
+        total, sums = np.zeros(n_ids), None
+        for raw in sorted(zip(table["part"].to_pylist(), table["net"].to_pylist(), strict=True)):  # at most FAN
+            change, seen = _unpack(raw[1], n_ids)
+            part = [c * w for c, w in zip(change, _weights(seen), strict=True)]
+            sums = part if sums is None else [a + b for a, b in zip(sums, part, strict=True)]
+            total += seen
+        change = [s / np.maximum(w, 1) for s, w in zip(sums, _weights(total), strict=True)]
+        return pa.table({"part": [table["part"][0].as_py() // FAN], "net": [_packed(change, total)]})
 
     while nets.count() > 1:
-        nets = cut(spark, nets.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(mean, "part long, n long, net binary"), "networks")
+        nets = cut(spark, nets.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(mean, "part long, net binary"), "networks")
     row = nets.first()
-    return _unpack(row.net, n_ids) if row else initial(n_ids)
+    net = initial(n_ids)
+    return [p + c.astype(np.float32) for p, c in zip(net, _unpack(row.net, n_ids)[0], strict=True)] if row else net
+
+
+def _weights(seen: np.ndarray) -> list:
+    """Of each part of a network in an average; what is beyond a text's ends is met in each."""
+    rows = np.where(np.arange(len(seen)) == 0, seen.sum(), seen)[:, None]
+    return [rows, seen.sum(), seen.sum(), rows]
 
 
-def _pack(net: list[np.ndarray]) -> bytes:
-    """What training has changed: zero, so stored in little space, for words and decisions not met."""
-    return b"".join((p - q).astype(np.float32).tobytes() for p, q in zip(net, initial(len(net[0])), strict=True))
+def _packed(change: list[np.ndarray], seen: np.ndarray) -> bytes:
+    return seen.astype("<f4").tobytes() + b"".join(c.astype("<f2").tobytes() for c in change)
 
 
-def _unpack(raw: bytes, n_ids: int) -> list[np.ndarray]:
-    flat, out = np.frombuffer(raw, np.float32), []
+def _pack(net: list[np.ndarray], seen: np.ndarray) -> bytes:
+    """What training has changed, zero for words not met, and how often each id was a target."""
+    rows = _weights(seen)[0] > 0
+    return _packed([(p - q) * (rows if p.ndim == 2 and len(p) == len(seen) else 1) for p, q in zip(net, initial(len(seen)), strict=True)], seen)
+
+
+def _unpack(raw: bytes, n_ids: int) -> tuple[list[np.ndarray], np.ndarray]:
+    flat, out = np.frombuffer(raw, "<f2", offset=4 * n_ids), []
     for p in initial(n_ids):
-        out.append(p + flat[: p.size].reshape(p.shape))
+        out.append(flat[: p.size].reshape(p.shape).astype(np.float64))
         flat = flat[p.size :]
-    return out
+    return out, np.frombuffer(raw, "<f4", n_ids).astype(np.float64)
+
+
+def conditional(vocab: Vocabulary, net: list[np.ndarray], context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """log p of each id between its neighbours, as a word of it has."""
+    _, h = hidden(net, context)
+    v = net[3]
+    z = h @ v[vocab.support].T + vocab.log_weight.astype(np.float32)
+    top = z.max(axis=1)
+    log_z = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+    return np.log(np.maximum(vocab.share[ids], 1e-300)) + np.einsum("ij,ij->i", h, v[ids]) - log_z + vocab.log_in[ids]
 
 
 def log_probabilities(vocab: Vocabulary, net: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
@@ -268,13 +259,6 @@ def log_probabilities(vocab: Vocabulary, net: list[np.ndarray], ids: np.ndarray)
     return out
 
 
-def conditional(vocab: Vocabulary, net: list[np.ndarray], context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    _, h, z = forward(net, context)
-    rows, *_, o = odds(net, h, vocab, ids)
-    within = np.bincount(rows, np.logaddexp(0, -o), len(ids))
-    return z[np.arange(len(ids)), vocab.class_of[ids]] - within + vocab.log_share[ids]
-
-
 def score(docs: DataFrame, vocab: Vocabulary, net: list[np.ndarray]) -> DataFrame:
     """Per row: doc_id, n_words, sum_log_prob, mean_log_prob."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, map_arrow
+from .common import by_size, cut, deal, map_arrow, unused
 
 ROWS, BANDS = 5, 36
 K = ROWS * BANDS
@@ -202,8 +202,10 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sketch = cut(spark, _sketch(docs, size), "sketch")
     # Documents of equal sets are one class under the least doc_id.
     filled = sketch.where("n > 0 and doc_id is not null")
-    reps = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    table = filled.join(reps, ["h1", "h2"]).where("doc_id = id").select("id", F.explode("keys").alias("key")).distinct()
+    sets = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"))
+    sets = cut(spark, sets, "sets")
+    reps = sets.select("h1", "h2", "id", "n")
+    table = sets.select("id", F.explode("keys").alias("key")).distinct()
     many = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     table = cut(spark, table.join(many, "key"), "bands")
     wanted = by_size(cut(spark, table.select(F.col("id").alias("doc_id")).distinct(), "wanted"), 2_000_000)
@@ -233,7 +235,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     # Rows of one doc_id with different sets belong together whatever their sets.
     own = filled.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y")
-    ids = filled.join(reps, ["h1", "h2"]).select("doc_id", "id")
+    ids = deal(filled.select("doc_id", "h1", "h2"), reps, ["h1", "h2"]).select("doc_id", "id")  # thousands may share a set
     bridges = cut(spark, ids.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "bridges")
     if not (found.isEmpty() and bridges.isEmpty()):
         stars_of = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -245,5 +247,6 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component. Of rows that repeat a doc_id, all stay or go."""
-    gone = cut(docs.sparkSession, classes(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_n_id")).distinct(), "gone")
-    return docs.join(by_size(gone, 2_000_000), F.col("doc_id").cast("long") == F.col("_n_id"), "left_anti")
+    name = unused(docs, "_n_id")
+    gone = cut(docs.sparkSession, classes(docs, size, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(by_size(gone, 2_000_000), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -2,16 +2,16 @@
 
 Each task packs its own documents, in groups of bounded size, so nothing is shuffled and no group is unbounded. In a
 group, whole sequences are cut off documents longer than one; the rest are taken in descending order, and each goes to
-the open sequence of the lowest estimated cost (linear plus quadratic in each piece, as attention is) that has room
+the sequence of the lowest estimated cost (linear plus quadratic in each piece, as attention is) of all that have room
 for it. A rest that fits nowhere whole is cut over the emptiest sequences. The last tokens of a group fill sequences
 of powers of two, which need no padding.
 
-Null texts count as empty: such a document is its end id alone. Repeated rows and null doc_ids are packed as they are.
+Null texts count as empty: such a document is its end id alone. Repeated rows and null doc_ids are packed as they are,
+each row a document; doc_id keeps its type.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,72 +48,53 @@ def plan(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
     for b in reversed(range(size.bit_length())):  # the tail in powers of two
         if left % size >> b & 1:
             room.append(1 << b)
-    fill, first = [0] * len(room), n_seq
-    heap = [(0.0, -room[s], s) for s in range(len(room))]
-    spent = [0.0] * len(room)
-    heapq.heapify(heap)
+    free, spent, first = np.array(room, np.int64), np.zeros(len(room)), n_seq
+    fill = [0] * len(room)
 
     def put(s: int, d: int, start: int, n: int) -> None:
         out.append((d, start, n, first + s, fill[s]))
         fill[s] += n
+        free[s] -= n
         spent[s] += cost(n)
 
     for n, d, start in sorted(rests, key=lambda x: (-x[0], x[1])):
-        aside, goal = [], None
-        while heap and goal is None and len(aside) < 64:
-            top = heapq.heappop(heap)
-            if room[top[2]] - fill[top[2]] >= n:
-                goal = top[2]
-            else:
-                aside.append(top)
-        if goal is not None:
-            put(goal, d, start, n)
-            aside.append((spent[goal], fill[goal] - room[goal], goal))
-        else:  # cut over the cheapest sequences seen, the emptiest first
-            while n:
-                if not aside:
-                    aside.append(heapq.heappop(heap))
-                aside.sort(key=lambda x: (x[1], x[0], x[2]))
-                s = aside.pop(0)[2]
-                take = min(n, room[s] - fill[s])
-                put(s, d, start, take)
-                start, n = start + take, n - take
-                if fill[s] < room[s]:
-                    aside.append((spent[s], fill[s] - room[s], s))
-        for x in aside:
-            if fill[x[2]] < room[x[2]]:
-                heapq.heappush(heap, x)
+        s = int(np.argmin(np.where(free >= n, spent, np.inf)))
+        if free[s] >= n:
+            put(s, d, start, n)
+            continue
+        while n:  # it fits nowhere whole: cut over the emptiest
+            s = int(np.argmax(free))
+            take = min(n, int(free[s]))
+            put(s, d, start, take)
+            start, n = start + take, n - take
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, spaced: bool = True, group_tokens: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, group_tokens: int = 1 << 21) -> DataFrame:
     """Per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = {"doc_id": pa.int64() if kind == "bigint" else pa.string(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()}
-    schema, end = pa.schema(list(names.items())), np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4").tobytes()
+    longs = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer, spaced)
+        code = encoder(tokenizer)
         base = TaskContext.get().partitionId() << 36  # sequences of one task stay apart from those of others
         held: list[tuple[object, bytes]] = []
-        tokens = 0
+        tokens, kind = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, tokens, base
             made = plan([len(x) // 4 for _, x in held], size)
             for at in range(0, len(made), 4096):
                 some = made[at : at + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([held[d][0] for d, *_ in some], schema.field(0).type), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.int64()),
-                        pa.array([len(held[x[0]][1]) // 4 for x in some], pa.int64()), pa.array([base + x[3] for x in some], pa.int64()), pa.array([x[4] for x in some], pa.int64()),
-                        pa.array([held[d][1][4 * s : 4 * (s + n)] for d, s, n, *_ in some], pa.binary()),
-                    ], schema=schema,
-                )
+                columns = {"doc_id": pa.array([held[d][0] for d, *_ in some], kind)}
+                values = ([s for _, s, *_ in some], [n for _, _, n, *_ in some], [len(held[d][1]) // 4 for d, *_ in some], [base + q for *_, q, _ in some], [o for *_, o in some])
+                columns |= {k: pa.array(v, pa.int64()) for k, v in zip(longs, values, strict=True)}
+                yield pa.RecordBatch.from_pydict(columns | {"ids": pa.array([held[d][1][4 * s : 4 * (s + n)] for d, s, n, *_ in some], pa.binary())})
             base += 1 + max((x[3] for x in made), default=-1)
             held, tokens = [], 0
 
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64).to_pydict()
                 for d, ids in zip(part["doc_id"], code.encode(part["text"]), strict=True):
@@ -121,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, spa
                     tokens += len(ids) // 4 + 1
                 if tokens >= group_tokens:
                     yield from flush()
-        yield from flush()
+        if held:
+            yield from flush()
 
-    columns = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return small_batches(docs).select("doc_id" if kind == "bigint" else docs["doc_id"].cast("string"), "text").mapInArrow(run, f"doc_id {'long' if kind == 'bigint' else 'string'}, {columns}")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{k} long' for k in longs)}, ids binary")

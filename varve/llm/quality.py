@@ -38,10 +38,10 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeated_words(words: Column, n: Column, window: int) -> Column:
-    """Number of words that lie in a window of ``window`` words occurring at least twice in the text."""
+    """Number of words that lie in a window of ``window`` words occurring at least twice in the text.
 
-    def windows(render) -> Column:  # words are bound, so that a plan that inlines them doesn't split the text at every window
-        return _let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: render(F.slice(w, i, window), i)))
+    Windows are sorted by a hash of their words, and neighbours of equal hash compare their words, so a long text is held
+    as one number and one place a window."""
 
     def covered(spots: Column) -> Column:  # sorted start positions of repeated windows
         return F.aggregate(
@@ -50,16 +50,20 @@ def _repeated_words(words: Column, n: Column, window: int) -> Column:
             lambda acc, p: F.struct((p + window).alias("end"), (acc["sum"] + (p + window) - F.greatest(p, acc["end"])).alias("sum")),
         )["sum"]
 
-    def exact(pairs: Column) -> Column:  # windows sorted by their words; equal neighbours are repeats
-        same = lambda a, b: (a >= 0) & (b < F.size(pairs)) & (F.get(pairs, a)["w"] == F.get(pairs, b)["w"])
-        repeated = F.filter(F.transform(pairs, lambda x, j: F.when(same(j - 1, j) | same(j, j + 1), x["i"])), lambda p: p.isNotNull())
-        return _let(F.sort_array(repeated), covered)
+    def windows(w: Column) -> Column:  # words are bound, so that a plan that inlines them doesn't split the text at every window
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, window)).alias("h"), i.alias("i")))
 
-    render_text = lambda w, i: F.struct(F.concat_ws(" ", w).alias("w"), i.alias("i"))
-    hashed = windows(lambda w, i: F.xxhash64(w))
-    # Equal windows have equal hashes: a text whose hashes all differ has no repeat, and only the others compare words.
-    any_repeat = _let(hashed, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(n < window, 0).when(any_repeat, _let(F.sort_array(windows(render_text)), exact)).otherwise(0)
+    def exact(w: Column, found: Column) -> Column:  # found: windows sorted by hash
+        at = lambda j: F.get(found, j)
+        same = lambda a, b: (at(a)["h"] == at(b)["h"]) & (F.slice(w, at(a)["i"], window) == F.slice(w, at(b)["i"], window))
+        met = lambda j: ((j > 0) & same(F.greatest(j - 1, F.lit(0)), j)) | ((j + 1 < F.size(found)) & same(j, F.least(j + 1, F.size(found) - 1)))
+        return _let(F.sort_array(F.filter(F.transform(found, lambda x, j: F.when(met(j), x["i"])), lambda p: p.isNotNull())), covered)
+
+    def counted(w: Column) -> Column:
+        # Equal windows have equal hashes: a text whose hashes all differ has no repeat, and only the others compare words.
+        return _let(windows(w), lambda x: F.when(F.size(F.array_distinct(x["h"])) < F.size(x), _let(F.sort_array(x), lambda found: exact(w, found))).otherwise(0))
+
+    return F.when(n < window, 0).otherwise(_let(words, counted))
 
 
 def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -109,6 +113,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_row")
     judged = measures(docs.select(row, F.col("text").alias("_q_in")), "_q_in", ("_q_row",))
-    # As a filter, the verdict would be pushed below the projections and evaluate each of them again.
-    kept = judged.select(F.when(F.col("kept"), F.array("_q_row")).otherwise(F.slice(F.array("_q_row"), 1, 0)).alias("_q_kept"))
-    return kept.select(F.explode("_q_kept").alias("_q_row")).select("_q_row.*")
+    # As a filter, the verdict would be pushed below the projections and evaluate each of them again. It decides instead
+    # whether an array holds the row, and of an outer explode Spark infers no filter on the array's size.
+    kept = judged.select(F.when(F.col("kept"), F.array("_q_row")).alias("_q_kept"))
+    return kept.select(F.explode_outer("_q_kept").alias("_q_row")).where(F.col("_q_row").isNotNull()).select("_q_row.*")

@@ -1,26 +1,32 @@
 """A content-addressed store of token ids.
 
 Documents' id streams are cut where a rolling gear hash over the last 16 ids is below a threshold, so equal passages
-give equal chunks. A folder holds three Parquet tables:
+give equal chunks. A folder holds four Parquet tables:
 
-* ``chunks`` (digest, data): each distinct chunk once; digest is BLAKE2b-128 of data, ids as little-endian unsigned
-  16-bit numbers if all of the vocabulary fit, else 32-bit.
+* ``chunks`` (digest, data): each distinct chunk once. data: ids as little-endian numbers of ``width`` bytes (2 if the
+  whole vocabulary and the end id fit, else 4), their low bytes before the higher ones, compressed (zstd); digest is
+  BLAKE2b-128 of the ids.
 * ``recipes`` (part, row, doc_id, local_start, n_tokens, root, digests): documents in ascending doc_id order (nulls
   first, then by root), in range parts; root is the SHA-256 of the digests in order; local_start counts ids in the part.
-* ``manifest`` (part, n_docs, n_tokens, root): per part, root being the Merkle root of its documents' roots.
-
-Reading joins recipes with chunks, verifies every chunk's digest and each document's root, and adds the parts' starts.
-Null and empty texts are documents of the end id alone. Rows that repeat a doc_id are documents of their own.
+* ``manifest`` (part, n_docs, n_tokens, root): per part, root being the Merkle root of its documents (doc_id, place,
+  length and root of each).
+* ``head`` (width, n_parts, n_docs, n_tokens, root): one row; root is the Merkle root of the manifest's rows.
+
+Reading verifies all of it: the head against the manifest, every part's Merkle root and counts against its recipes, every
+chunk against its digest and every document against its root. A missing, extra or changed chunk, recipe or manifest row
+is an error. Null and empty texts are documents of the end id alone. Rows that repeat a doc_id, and rows without one, are
+documents of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,25 +63,41 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    while len(leaves) > 1:
-        leaves = [hashlib.sha256(b"".join(leaves[i : i + 2])).digest() for i in range(0, len(leaves), 2)]
-    return leaves[0] if leaves else hashlib.sha256(b"").digest()
+def packed(ids: np.ndarray, width: int, pack=zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)) -> bytes:
+    return pack.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unpacked(data: bytes, width: int, unpack=zstandard.ZstdDecompressor()) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack.decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype("<u4")
+
 
+def merkle(leaves: Iterable[bytes]) -> bytes:
+    """Root over leaves in order, of which a few are held at a time: equal subtrees are joined as soon as they are full."""
+    peaks: list[tuple[int, bytes]] = []
+    for leaf in leaves:
+        level, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while peaks and peaks[-1][0] == level:
+            node = hashlib.sha256(b"\1" + peaks.pop()[1] + node).digest()
+            level += 1
+        peaks.append((level, node))
+    node = b""
+    for _, peak in reversed(peaks):
+        node = hashlib.sha256(b"\2" + peak + node).digest()
+    return node or hashlib.sha256(b"").digest()
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, spaced: bool = False, wide: bool = False) -> None:
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     spark = docs.sparkSession
-    kind, end = ("<u4" if wide else "<u2"), np.array([end_id], "<u4")
+    width, end = 2 if max(encoder(tokenizer).largest, end_id) < 1 << 16 else 4, np.array([end_id], "<u4")
 
     def encode(x: dict) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "root", "digests", "chunks")}
-        for d, raw in zip(x["doc_id"], encoder(tokenizer, spaced).encode(x["text"]), strict=True):
+        for d, raw in zip(x["doc_id"], encoder(tokenizer).encode(x["text"]), strict=True):
             ids = np.concatenate((np.frombuffer(raw, "<u4"), end))
-            data = ids.astype(kind)
             ends = cuts(ids)
-            chunks = [data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-            names = [digest(c) for c in chunks]
-            for k, v in zip(out, (d, len(ids), hashlib.sha256(b"".join(names)).digest(), names, chunks), strict=True):
+            chunks = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            names = [digest(c.tobytes()) for c in chunks]
+            for k, v in zip(out, (d, len(ids), hashlib.sha256(b"".join(names)).digest(), names, [packed(c, width) for c in chunks]), strict=True):
                 out[k].append(v)
         yield out
 
@@ -98,31 +120,73 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, spaced: b
     small = staged.select("doc_id", "n_tokens", "root", "digests")
     ordered = small.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.mapInArrow(number, "part int, row long, doc_id long, local_start long, n_tokens long, root binary, digests array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
-
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for p, r, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "row", "n_tokens", "root")), strict=True):
-                held.setdefault(p, []).append((r, n, root))
-        for p, rows in held.items():
-            rows.sort()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "n_docs": [len(rows)], "n_tokens": [sum(n for _, n, _ in rows)], "root": [merkle([x for *_, x in rows])]})
-
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "n_tokens", "root")
-    recipes.repartition("part").mapInArrow(summarize, "part int, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    summary(spark, path).coalesce(1).write.parquet(f"{path}/manifest")
     remove(spark, staged_path)
+    manifest = _manifest(spark, path)
+    head = [(width, len(manifest), sum(r.n_docs for r in manifest), sum(r.n_tokens for r in manifest), _root(manifest))]
+    spark.createDataFrame(head, "width int, n_parts int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/head")
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """What the recipes say of each part: its counts and the Merkle root of its documents, taken in order of row."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("part", "row", "doc_id", "local_start", "n_tokens", "root")), strict=True)
+
+        out: dict[str, list] = {"part": [], "n_docs": [], "n_tokens": [], "root": []}
+        todo = rows()
+        ahead = next(todo, None)
+        while ahead is not None:
+            part, n_docs, n_tokens = ahead[0], 0, 0
+
+            def leaves() -> Iterator[bytes]:
+                nonlocal ahead, n_docs, n_tokens
+                while ahead is not None and ahead[0] == part:
+                    _, row, doc_id, start, n, root = ahead
+                    yield f"{row},{doc_id},{start},{n},".encode() + root
+                    n_docs, n_tokens = n_docs + 1, n_tokens + n
+                    ahead = next(todo, None)
+
+            root = merkle(leaves())
+            for k, v in zip(out, (part, n_docs, n_tokens, root), strict=True):
+                out[k].append(v)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int32()), "n_docs": pa.array(out["n_docs"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "root": pa.array(out["root"], pa.binary())})
+
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "doc_id", "local_start", "n_tokens", "root")
+    return recipes.repartition("part").sortWithinPartitions("part", "row").mapInArrow(f, "part int, n_docs long, n_tokens long, root binary")
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    """A row a part, so small beside the recipes."""
+    return spark.read.parquet(f"{path}/manifest").orderBy("part").collect()
+
+
+def _root(manifest: list) -> bytes:
+    return merkle(f"{r.part},{r.n_docs},{r.n_tokens},".encode() + bytes(r.root) for r in manifest)
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, base): ids before each part. One row a part, so the manifest is small; its running sum is made on the driver."""
-    rows = sorted((r.part, r.n_tokens) for r in spark.read.parquet(f"{path}/manifest").select("part", "n_tokens").collect())
-    base = [0, *accumulate(n for _, n in rows)]
-    return spark.createDataFrame([(p, base[i]) for i, (p, _) in enumerate(rows)], "part int, base long")
+def verified(spark: SparkSession, path: str) -> tuple[int, list]:
+    """The id width and the manifest, once head, manifest and recipes agree; an error otherwise."""
+    heads, manifest = spark.read.parquet(f"{path}/head").collect(), _manifest(spark, path)
+    told = (len(manifest), sum(r.n_docs for r in manifest), sum(r.n_tokens for r in manifest), _root(manifest))
+    if len(heads) != 1 or tuple(heads[0])[1:4] != told[:3] or bytes(heads[0].root) != told[3]:
+        raise ValueError("the store's manifest is damaged: it differs from the head")
+    kept = spark.createDataFrame(manifest, "part int, n_docs long, n_tokens long, root binary")
+    found = summary(spark, path).withColumnsRenamed({c: f"_{c}" for c in ("n_docs", "n_tokens", "root")})
+    same = F.col("n_docs").eqNullSafe(F.col("_n_docs")) & F.col("n_tokens").eqNullSafe(F.col("_n_tokens")) & F.col("root").eqNullSafe(F.col("_root"))
+    bad = [r.part for r in found.join(F.broadcast(kept), "part", "full_outer").where(~same).select("part").take(10)]
+    if bad:
+        raise ValueError(f"the store's recipes are damaged: parts {bad} differ from the manifest")
+    return heads[0].width, manifest
 
 
-def read(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), in no order; verified."""
-    kind = "<u4" if wide else "<u2"
+    width, manifest = verified(spark, path)
+    base = list(accumulate((r.n_tokens for r in manifest), initial=0))
+    starts = spark.createDataFrame([(r.part, b) for r, b in zip(manifest, base, strict=False)], "part int, base long")
     recipes = spark.read.parquet(f"{path}/recipes")
     places = recipes.select("part", "row", "n_tokens", "root", "doc_id", "local_start", F.posexplode("digests").alias("pos", "digest"))
     got = places.join(spark.read.parquet(f"{path}/chunks"), "digest", "left")
@@ -133,13 +197,14 @@ def read(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     def verify(x: dict) -> Iterator[dict]:
         ids = []
         for root, n, names, data in zip(x["root"], x["n_tokens"], x["digests"], x["data"], strict=True):
-            if None in data or [digest(c) for c in data] != names or hashlib.sha256(b"".join(names)).digest() != root:
+            chunks = [] if None in data else [unpacked(c, width) for c in data]
+            if [digest(c.tobytes()) for c in chunks] != names or hashlib.sha256(b"".join(names)).digest() != root:
                 raise ValueError("a chunk or recipe of the store is damaged")
-            found = np.frombuffer(b"".join(data), kind)
+            found = np.concatenate(chunks)
             if len(found) != n:
                 raise ValueError("a document of the store has another length than its recipe says")
-            ids.append(found.astype("<u4").tobytes())
+            ids.append(found.tobytes())
         yield {k: x[k] for k in ("part", "doc_id", "local_start", "n_tokens")} | {"ids": ids}
 
-    read = map_arrow(whole, "part int, doc_id long, local_start long, n_tokens long, ids binary", verify, 64)
-    return read.join(F.broadcast(starts(spark, path)), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    whole = map_arrow(whole, "part int, doc_id long, local_start long, n_tokens long, ids binary", verify, 64)
+    return whole.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")

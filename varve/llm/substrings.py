@@ -2,16 +2,19 @@
 
 A gear hash rolls over a text's UTF-8 bytes; where it is below a threshold at the start of a word, a chunk starts. So
 chunk borders depend only on the bytes just before them, and text inserted or deleted shifts no later border. Chunks
-have 128-bit digests; a passage is looked up as a sequence of them, so its words stand together wherever it is found.
-
-A sequence of adjoining chunks with at least ``MIN_WORDS`` words is a copy if a document of a lesser doc_id has it, or
-if the document itself has it before, apart from it. The chunks of all copies, joined where they overlap or adjoin, are
-repeated passages, and ``strip`` removes them. Sequences that are short in both directions suffice to find them all:
-*anchors*, which lose ``MIN_WORDS`` with either end chunk, and the anchors' extensions to one side up to the next
-anchor. A copied extension has an anchor that stands at two places, so only the extensions of such are compared.
-
-Null and empty texts have no chunks and stay as they are. Rows that repeat a doc_id are one document whose first row
-(by text) speaks for it in ``passages``; ``strip`` treats each by that document's spans only if the text is the same.
+have 128-bit digests; their sequences are looked up, so words stand together wherever they are found.
+
+*Anchors* are the sequences of adjoining chunks that have ``SEED_WORDS`` words at least and lose that with either end
+chunk. The first place of an anchor, in the order of documents (by doc_id, then by a hash of the text; rows without a doc_id
+last) and of words in them, owns it. Anchors elsewhere are copies; those of one document that follow on each other at one
+distance from their owners' places are a run. Each run is extended word by word to its true ends, by comparing up to
+``REACH`` bytes of text on either side of both places. A run of ``MIN_WORDS`` words or more is a repeated passage, and
+``strip`` removes it: all of its words stand together at its owner's place too. A passage inside one document counts once
+it lies wholly after its owner's place, so the first of them stays. A passage of ``MIN_WORDS`` words is missed if no
+anchor lies in it, or if all of its anchors are owned by documents that lack the rest of it; tests measure how often.
+
+Null and empty texts have no chunks and stay as they are. Rows that share a doc_id but differ in text are documents of
+their own; rows equal in both are one document. Rows with a null doc_id are judged by their texts.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, map_arrow
+from .common import by_size, cut, deal, map_arrow, unused
 
-#: Expected words in a chunk, bytes after which a chunk ends at the next word at latest, words that make a passage.
-MEAN_WORDS, MOST_BYTES, MIN_WORDS = 5, 1024, 12
+#: Expected words in a chunk, bytes after which a chunk ends at the next word at latest, words of an anchor and of a
+#: passage, bytes of text compared beyond each end of a run.
+MEAN_WORDS, MOST_BYTES, SEED_WORDS, MIN_WORDS, REACH = 5, 1024, 8, 30, 320
+_LAST = (1 << 63) - 1  # stands for a null doc_id
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BELOW = np.uint16((1 << 16) // MEAN_WORDS)
 _SPACES = np.zeros(256, bool)
@@ -63,126 +68,164 @@ def chunk(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return raw, edges, np.searchsorted(starts, edges)
 
 
-def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """From the words before each chunk edge: first and last edges of the anchors; then of each head (a sequence that is
-    shortest from its first edge on) its anchor's number and its first edge; of each tail its anchor and last edge."""
+def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last edges of the anchors, from the words before each chunk edge."""
     n = len(words) - 1
     ends = np.searchsorted(words, words + least, "left")  # beyond n where too few words follow
-    starts = np.searchsorted(words, words - least, "right") - 1  # -1 where too few go before
-    edge, some = np.arange(n + 1), ends <= n
-    both = some & (starts[np.minimum(ends, n)] == edge)
-    first, last = edge[both], ends[both]
-    head = edge[some & ~both]
-    tail = edge[(starts >= 0) & (ends[starts] != edge)]
-    return first, last, np.searchsorted(last, ends[head]), head, np.searchsorted(first, starts[tail]), tail
+    starts = np.searchsorted(words, words - least, "right") - 1
+    first = np.flatnonzero((ends <= n) & (starts[np.minimum(ends, n)] == np.arange(n + 1)))
+    return first, ends[first]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """d and t, which name a document, and its text."""
+    return docs.select(*identity(), "text")
 
 
-def _sequences(docs: DataFrame, least: int) -> DataFrame:
-    """Anchors: doc_id, i and j (chunk edges), start and end (bytes), w0 and w1 (words before these), h1, h2, again (the
-    document has had it before), and of each extension a hash of the chunks added (xs) and where it ends (spots): byte,
-    side (1: tail), again, chunks and words added, in 31, 1, 1, 15 and 15 bits."""
-    fields = ("doc_id", "i", "j", "start", "end", "w0", "w1", "h1", "h2", "again", "xs", "spots")
+def identity() -> tuple[Column, Column]:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.hash("text").alias("t")
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """Anchors: d, t, h (the digest), w (words before it) and n (its words)."""
 
     def f(x: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in fields}
-        for d, t in zip(x["doc_id"], x["text"], strict=True):
-            raw, edges, words = chunk(t)
-            if words[-1] < least:
+        out: dict[str, list] = {k: [] for k in ("d", "t", "h", "w", "n")}
+        for d, t, text in zip(x["d"], x["t"], x["text"], strict=True):
+            raw, edges, words = chunk(text)
+            if words[-1] < SEED_WORDS:
                 continue
-            first, last, of_head, head, of_tail, tail = anchors(words, least)
-            cuts, before = edges.tolist(), words.tolist()
-            chunks = b"".join(xxhash.xxh3_128_digest(raw[a:b].strip()) for a, b in zip(cuts, cuts[1:], strict=False))
-            ends: dict[bytes, int] = {}  # of a sequence where it first stands
-            i, j = first.tolist(), last.tolist()
-            digests = [xxhash.xxh3_128_digest(chunks[16 * a : 16 * b]) for a, b in zip(i, j, strict=True)]
-            xs: list[list[int]] = [[] for _ in i]
-            spots: list[list[int]] = [[] for _ in i]
-            for k, a in zip(of_head.tolist(), head.tolist(), strict=True):
-                h = xxhash.xxh3_64_digest(chunks[16 * a : 16 * i[k]], 1)
-                again = ends.setdefault(digests[k] + h, j[k]) <= a
-                xs[k].append(int.from_bytes(h, "big", signed=True))
-                spots[k].append(cuts[a] << 32 | again << 30 | i[k] - a << 15 | before[i[k]] - before[a])
-            for k, b in zip(of_tail.tolist(), tail.tolist(), strict=True):
-                h = xxhash.xxh3_64_digest(chunks[16 * j[k] : 16 * b], 2)
-                again = ends.setdefault(digests[k] + h, b) <= i[k]
-                xs[k].append(int.from_bytes(h, "big", signed=True))
-                spots[k].append(cuts[b] << 32 | 1 << 31 | again << 30 | b - j[k] << 15 | before[b] - before[j[k]])
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            again = [ends.setdefault(g, b) <= a for g, a, b in zip(digests, i, j, strict=True)]
-            for k, v in zip(fields, ([d] * len(i), i, j, edges[first].tolist(), edges[last].tolist(), words[first].tolist(), words[last].tolist(), h[:, 0].tolist(), h[:, 1].tolist(), again, xs, spots), strict=True):
+            first, last = anchors(words, SEED_WORDS)
+            cuts = edges.tolist()
+            chunks = b"".join([xxhash.xxh3_128_digest(raw[a:b].strip()) for a, b in zip(cuts, cuts[1:], strict=False)])
+            digests = b"".join([xxhash.xxh3_64_digest(chunks[16 * a : 16 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+            for k, v in zip(out, ([d] * len(first), [t] * len(first), np.frombuffer(digests, np.int64).tolist(), words[first].tolist(), (words[last] - words[first]).tolist()), strict=True):
                 out[k] += v
         yield out
 
-    return map_arrow(docs, "doc_id long, i int, j int, start int, end int, w0 int, w1 int, h1 long, h2 long, again boolean, xs array<long>, spots array<long>", f, 64)
+    return map_arrow(docs, "d long, t int, h long, w int, n int", f, 64)
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Copied anchors that follow on each other: run, d, t, w0 and w1 (words), and their owner's od, ot, ow0."""
+    owners = rows.groupBy("h").agg(F.min(F.struct("d", "t", "w")).alias("o"), F.count("*").alias("c")).where("c > 1")
+    met = deal(rows, owners, ["h"], "c").where("o is not null").select("d", "t", "w", "n", F.col("o.d").alias("od"), F.col("o.t").alias("ot"), F.col("o.w").alias("ow"))
+    own = (F.col("d") == F.col("od")) & (F.col("t") == F.col("ot"))
+    copies = met.where(~own | (F.col("w") >= F.col("ow") + F.col("n"))).withColumn("shift", F.col("w") - F.col("ow"))
+    order = Window.partitionBy("d", "t", "od", "ot", "shift").orderBy("w")
+    reached = F.max(F.col("w") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = copies.withColumn("new", F.when(F.col("w") <= reached, 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    made = marked.groupBy("d", "t", "od", "ot", "shift", "part").agg(F.min("w").alias("w0"), F.max(F.col("w") + F.col("n")).alias("w1"))
+    return made.select(F.xxhash64("d", "t", "od", "ot", "shift", "part").alias("run"), "d", "t", "w0", "w1", "od", "ot", (F.col("w0") - F.col("shift")).alias("ow0"))
+
+
+def _word_starts(raw: bytes) -> np.ndarray:
+    space = _SPACES[np.frombuffer(raw, np.uint8)]
+    return np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+
+
+def _around(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """d, t, w, left (whether the text before word w is meant), near: up to REACH bytes of whole words there."""
+    wanted = places.distinct().groupBy("d", "t").agg(F.collect_list(F.struct("w", "left")).alias("places"), F.count("*").alias("c"))
+    wanted = by_size(cut(docs.sparkSession, wanted, "places"), 500_000, F.col("c") + 2).drop("c")
+
+    def f(x: dict) -> Iterator[dict]:
+        out: dict[str, list] = {k: [] for k in ("d", "t", "w", "left", "near")}
+        for d, t, text, places in zip(x["d"], x["t"], x["text"], x["places"], strict=True):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            starts = np.append(_word_starts(raw), len(raw))
+            for p in places:
+                at = int(starts[p["w"]])
+                if p["left"]:
+                    near = raw[starts[np.searchsorted(starts, at - REACH)] : at]
+                else:
+                    near = raw[at : starts[np.searchsorted(starts, at + REACH, "right") - 1]]
+                for k, v in zip(out, (d, t, p["w"], p["left"], near), strict=True):
+                    out[k].append(v)
+        yield out
+
+    return map_arrow(docs.join(wanted, ["d", "t"]).select("d", "t", "text", "places"), "d long, t int, w int, left boolean, near binary", f, 64).distinct()
 
 
-def _copies(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows whose keys the document has had before, or several documents hold, with owner: the least of these. The rows
-    of the first kind need no partner; they are dealt by their place, as one document may have a sequence at many."""
-    owned = rows.where("not again").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")).where("c > 1").drop("c")
-    dealt = rows.withColumn("_k", F.when(F.col("again"), F.xxhash64("doc_id", "i", "j")).otherwise(F.col(keys[0])))
-    met = dealt.join(owned, [F.col("_k") == F.col(f"_{keys[0]}"), *(F.col(k) == F.col(f"_{k}") for k in keys[1:])], "left")
-    return met.where("again or owner is not null").withColumn("owner", F.when(F.col("again"), F.col("doc_id")).otherwise(F.col("owner"))).drop("_k", *(f"_{k}" for k in keys))
+def _alike(left: bool, a: bytes, b: bytes) -> int:
+    """Words that two texts have in common at the end (left) or at the start."""
+    x, y = a.split(), b.split()
+    n = 0
+    for u, v in zip(reversed(x), reversed(y), strict=False) if left else zip(x, y, strict=False):
+        if u != v:
+            break
+        n += 1
+    return n
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated passages: doc_id, start and end (bytes), n_words, n_chunks, owners (documents that have its parts first)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    held = cut(docs.sparkSession, _copies(_sequences(docs, max(1, min_words)), "h1", "h2"), "anchors")
-    spot, tail = F.col("m.spots"), F.col("m.spots").bitwiseAND(1 << 31) != 0
-    chunks, words, byte = F.shiftright(spot, 15).bitwiseAND(0x7FFF), spot.bitwiseAND(0x7FFF), F.shiftright(spot, 32)
-    moved = {"i": (~tail, F.col("i") - chunks), "j": (tail, F.col("j") + chunks), "start": (~tail, byte), "end": (tail, byte), "w0": (~tail, F.col("w0") - words), "w1": (tail, F.col("w1") + words)}
-    more = held.drop("owner", "again").withColumn("m", F.explode(F.arrays_zip("xs", "spots"))).select(
-        "doc_id", "h1", "h2", F.col("m.xs").alias("x"), (spot.bitwiseAND(1 << 30) != 0).alias("again"), *(F.when(on, to.cast("int")).otherwise(F.col(c)).alias(c) for c, (on, to) in moved.items())
-    )
-    copies = [x.where(F.col("again") | (F.col("doc_id") > F.col("owner"))).select("doc_id", *moved, "owner") for x in (held, _copies(more, "h1", "h2", "x"))]
-    order = Window.partitionBy("doc_id").orderBy("i", "j")
-    reached = F.max("j").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = copies[0].unionByName(copies[1]).withColumn("new", F.when(F.col("i") <= reached, 0).otherwise(1))
-    return (
-        joined.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), (F.max("j") - F.min("i")).cast("long").alias("n_chunks"), F.sort_array(F.collect_set("owner")).alias("owners"))
-        .drop("run")
-    )
+    """Repeated passages: d, t (the document: ``identity``), w0 and w1 (its words), owners (d of documents that had parts of it first)."""
+    docs = keyed(docs)
+    runs = cut(docs.sparkSession, _runs(_anchors(docs)), "runs")
+    length = F.col("w1") - F.col("w0")
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("w0").alias("w"), F.col("ow0").alias("ow")), F.struct(F.lit(False).alias("left"), F.col("w1").alias("w"), (F.col("ow0") + length).alias("ow"))))
+    ends = runs.select("run", "d", "t", "od", "ot", sides.alias("s")).select("run", "d", "t", "od", "ot", "s.*")
+    near = cut(docs.sparkSession, _around(docs, ends.select("d", "t", "w", "left").union(ends.select("od", "ot", "ow", "left"))), "near")
+    # Thousands of copies may have one owner's place.
+    place = ["od", "ot", "ow", "left"]
+    owners = ends.groupBy(*place).agg(F.count("*").alias("c")).join(near.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("w").alias("ow"), "left", F.col("near").alias("onear")), place)
+    met = deal(ends.join(near, ["d", "t", "w", "left"]), owners, place, "c")
+
+    def grow(x: dict) -> Iterator[dict]:
+        yield {"run": x["run"], "before": [_alike(s, a, b) if s else 0 for s, a, b in zip(x["left"], x["near"], x["onear"], strict=True)], "after": [0 if s else _alike(s, a, b) for s, a, b in zip(x["left"], x["near"], x["onear"], strict=True)]}
+
+    more = map_arrow(met.select("run", "left", "near", "onear"), "run long, before int, after int", grow).groupBy("run").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    grown = runs.join(more, "run")
+    # Inside one document a copy starts where its owner's place ends, at the earliest.
+    shift = F.col("w0") - F.col("ow0")
+    own = (F.col("d") == F.col("od")) & (F.col("t") == F.col("ot"))
+    room = F.greatest(shift - length, F.lit(0))
+    before = F.when(own, F.least("before", room)).otherwise(F.col("before"))
+    after = F.when(own, F.least("after", F.greatest(room - before, F.lit(0)))).otherwise(F.col("after"))
+    found = grown.select("d", "t", (F.col("w0") - before).alias("w0"), (F.col("w1") + after).alias("w1"), "od").where((F.col("w1") - F.col("w0") >= min_words))
+    order = Window.partitionBy("d", "t").orderBy("w0", "w1")
+    reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("new", F.when(F.col("w0") <= reached, 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("d", "t", "part").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.sort_array(F.collect_set(F.when(F.col("od") != _LAST, F.col("od")))).alias("owners")).drop("part")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document with repeated passages: doc_id, n_passages, n_words, n_bytes, owner_ids."""
-    return (
-        passages(docs, min_words)
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n_passages"), F.sum("n_words").alias("n_words"), F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("owner_ids"))
-    )
+    """Per document with repeated passages: doc_id, n_passages, n_words, starts and ends (in words), owner_ids."""
+    spans = F.sort_array(F.collect_list(F.struct("w0", "w1")))
+    found = passages(docs, min_words).groupBy("d", "t").agg(F.count("*").alias("n_passages"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("owner_ids"))
+    return found.select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "n_passages", "n_words", F.col("s.w0").alias("starts"), F.col("s.w1").alias("ends"), "owner_ids")
 
 
 def strip(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with all its columns, repeated passages taken out of ``text`` (and ``n_chars`` following, if there).
     A document of which nothing but white space is left goes."""
-    spark = docs.sparkSession
-    spans = passages(docs, min_words).groupBy(F.col("doc_id").alias("_s_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s_spans"))
-    spans = by_size(cut(spark, spans, "passages"), 500_000, F.size("_s_spans") + 1)
-    held = docs.join(spans, F.col("doc_id").cast("long") == F.col("_s_id"), "left").drop("_s_id")
+    names = {k: unused(docs, f"_s_{k}") for k in ("d", "t", "spans", "text")}
+    spans = passages(docs, min_words).groupBy(F.col("d").alias(names["d"]), F.col("t").alias(names["t"])).agg(F.sort_array(F.collect_list(F.struct("w0", "w1"))).alias(names["spans"]))
+    spans = by_size(cut(docs.sparkSession, spans, "passages"), 500_000, F.size(names["spans"]) + 1)
+    d, t = identity()
+    held = docs.join(spans, (d == F.col(names["d"])) & (t == F.col(names["t"])), "left")
 
     @F.pandas_udf("string")
     def without(texts, all_spans):
         import pandas as pd
 
         out = []
-        for t, spans in zip(texts, all_spans, strict=True):
-            if spans is None or t is None:
-                out.append(t)
+        for text, spans in zip(texts, all_spans, strict=True):
+            if spans is None or text is None:
+                out.append(text)
                 continue
-            raw, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
+            raw, at, parts = text.encode("utf-8", "surrogatepass"), 0, []
+            starts = np.append(_word_starts(raw), len(raw))
             for s in spans:
-                parts.append(raw[at : s["start"]])
-                at = s["end"]
+                parts.append(raw[at : starts[s["w0"]]])
+                at = int(starts[s["w1"]])
             out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    done = held.withColumn("_s_text", F.when(F.col("_s_spans").isNotNull(), without("text", "_s_spans")).otherwise(F.col("text")))
-    done = done.where(F.col("_s_spans").isNull() | (F.trim(F.regexp_replace("_s_text", r"\s+", " ")) != ""))
-    change = {"text": F.col("_s_text")}
+    spans, text = F.col(names["spans"]), F.col(names["text"])
+    done = held.withColumn(names["text"], F.when(spans.isNotNull(), without("text", spans)).otherwise(F.col("text")))
+    done = done.where(spans.isNull() | (F.trim(F.regexp_replace(text, r"\s+", " ")) != ""))
+    change = {"text": text}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.col("_s_spans").isNotNull(), F.length("_s_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        change["n_chars"] = F.when(spans.isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumns(change).select(*(f"`{c}`" for c in docs.columns))

@@ -50,19 +50,36 @@ class _Units(dict):
         return found
 
 
+#: A text of all kinds of units, on which a way of splitting must agree with the tokenizer itself.
+PROBE = "It's  we'LL 'S naïve CAFÉ  12 345x\t\n\n a_b c-d !!! #$%&|<> “quoted” — ½ µ\u00aa \n\r\n  x  "
+
+
 class Encoder:
-    """spaced: byte-level ids, a word's unit with the space before it; otherwise lower-cased words, spaces dropped."""
+    """A tokenizer file's ids. Of the two ways of splitting (byte-level, with the space before a unit; lower-cased, without
+    spaces) that one is taken which gives the tokenizer's own ids on PROBE; if none does, every text goes through the tokenizer."""
 
     most_cached = 300_000
 
-    def __init__(self, path: str, spaced: bool):
-        self.units, self.spaced = _Units(path), spaced
-        self.split = (_SPACED if spaced else _PLAIN).findall
+    def __init__(self, path: str):
+        self.units = _Units(path)
+        self.largest = max(self.units.whole.get_vocab(with_added_tokens=True).values())
+        self.controls = [t.content for t in self.units.whole.get_added_tokens_decoder().values()]
+        self.split, self.lower = None, False
+        ways = ((_SPACED.findall, False), (_PLAIN.findall, True))
+        found = [w for w in ways if self._split(PROBE, *w) == self._whole(PROBE)]
+        if found:
+            self.split, self.lower = found[0]
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.units.packed, self.units.whole.encode(text, add_special_tokens=False).ids))
+
+    def _split(self, text: str, split, lower: bool) -> bytes:
+        return b"".join(map(self.units.__getitem__, split(text.lower() if lower else text)))
 
     def _ids(self, text: str) -> bytes:
-        if _OTHER.search(text) or "<|" in text:
-            return b"".join(map(self.units.packed, self.units.whole.encode(text, add_special_tokens=False).ids))
-        return b"".join(map(self.units.__getitem__, self.split(text if self.spaced else text.lower())))
+        if self.split is None or _OTHER.search(text) or any(c in text for c in self.controls) or "<|" in text:
+            return self._whole(text)
+        return self._split(text, self.split, self.lower)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -71,11 +88,11 @@ class Encoder:
         return [self._ids(t or "") for t in texts]
 
 
-_made: dict[tuple[str, bool], Encoder] = {}
+_made: dict[str, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
-    if (path, spaced) not in _made:
-        _made[path, spaced] = Encoder(path, spaced)
-    return _made[path, spaced]
+    if path not in _made:
+        _made[path] = Encoder(path)
+    return _made[path]

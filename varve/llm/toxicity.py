@@ -1,22 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and prefixes of words (4 and 5 characters, marked ``^``), of which those associated with the label by
-a chi-squared test over the sample stay. Vectors are (1 + ln tf) * idf, of length 1; idf is over all documents.
-Examples of the index lie in blocks; for each term and block the greatest weight is kept, so a query's dot product with
-a block's maxima bounds its similarity to all examples in the block. Blocks are scored in descending bound until the
-bound is below the k-th best similarity: the neighbours found (with all ties of the k-th) are exact.
-
-Neighbours vote for their labels with their similarities; the share is shrunk towards the share of toxic examples
-among those without any term, then calibrated by a logistic curve fitted on the examples themselves, each left out
-of its own vote. A document without any selected term has no neighbours and gets the calibrated base share. So does a
-null or empty text.
-
-The classifier is fitted on at most ``MAX_EXAMPLES`` labelled rows, a hash sample; rows without a label, a doc_id or a
-document give no example; doc_ids labelled twice count as toxic if any of their labels says so.
+The vector of a text has every word that a sampled example has: (1 + ln tf) * idf * association, of length 1. idf is over
+all documents; association, 1 + sqrt(chi2) of word and label over the sample, makes words that tell the labels apart
+weigh more, and drops none. All sampled examples are in the index.
+
+The index is inverted: for each word, the examples that have it, in blocks of ``BLOCK`` examples, with the greatest weight
+in each block. The sum of a query's weights times those maxima bounds its similarity to all examples of a block. Blocks
+are scored in descending bound until the bound is below the k-th best similarity, so the neighbours found (with all that
+tie with the k-th) are exact.
+
+Neighbours vote for their labels, each with its similarity (1 - distance); the share is shrunk towards the share of toxic
+examples, then calibrated by a logistic curve fitted on all examples, each left out of its own vote. A text without any
+word of the index, a null or an empty one has no neighbours and gets the calibrated base share.
+
+The classifier is fitted on at most ``MAX_EXAMPLES`` labelled rows, a hash sample by doc_id. Rows without a label, a
+doc_id or a document give no example. A doc_id labelled twice counts as toxic if any of its labels says so; of the texts
+that share a doc_id the least is the example. Every row of docs gets a score, repeated ones the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,78 +32,81 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 
-MAX_EXAMPLES, MAX_TERMS, MIN_CHI2, MIN_DF = 20_000, 6_000, 30.0, 5
-NEIGHBOURS, SHRINK, BLOCK = 15, 1.0, 64
+MAX_EXAMPLES = 4096
+NEIGHBOURS, SHRINK, BLOCK = 15, 0.1, 64
 _WORD = re.compile(r"[^\W_]+")
+_NONE = np.empty(0, np.int64), np.empty(0)
 
 
-def terms(text: str | None) -> Counter:
-    """Words, and prefixes of them, with their counts."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in (4, 5):
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, in one array."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 @dataclass
 class Index:
-    """A block-max inverted index of bounded size, and the calibration of its votes."""
+    """A block-max inverted index of the sampled examples, and the calibration of their votes.
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    indptr: np.ndarray
-    columns: np.ndarray
-    weights: np.ndarray
+    Word t has the runs first[t]:first[t + 1], one for each block with it: block, greatest weight, and where its entries
+    (example, weight) begin."""
+
+    names: list[str]
+    weight: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    maxima: np.ndarray  # term x block
+    first: np.ndarray
+    block: np.ndarray
+    greatest: np.ndarray
+    begins: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
     base: float
     slope: float = 1.0
     shift: float = 0.0
     memo: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.vocabulary = {t: i for i, t in enumerate(self.names)}
+
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary)
-        c = np.array([t for t, _ in found], np.int64)
-        w = (1 + np.log(np.array([n for _, n in found], float))) * self.idf[c] if found else np.empty(0)
-        return c, w / (np.linalg.norm(w) or 1)
+        known = [t for t in counts if t in self.vocabulary]
+        c = np.fromiter(map(self.vocabulary.__getitem__, known), np.int64, len(known))
+        w = (1 + np.log(np.fromiter(map(counts.__getitem__, known), float, len(known)))) * self.weight[c]
+        order = np.argsort(c)
+        return c[order], w[order] / (np.linalg.norm(w) or 1)
 
     def neighbours(self, c: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of the k most similar examples and of all that tie with the last of them."""
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(c) or not len(self.labels):
-            return none
-        bound = w @ self.maxima[c] * (1 + 1e-6) + 1e-9
+        """Numbers and similarities of the k most similar examples, but one, and of all that tie with the last of them."""
+        n = len(self.labels)
+        if not len(c) or not n:
+            return _NONE
+        many = self.first[c + 1] - self.first[c]
+        runs, own = spans(self.first[c], many), np.repeat(w, many)
+        blocks = self.block[runs]
+        bound = np.bincount(blocks, own * self.greatest[runs], -(-n // BLOCK)) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
-        dense = np.zeros(len(self.idf))
-        dense[c] = w
-        spots, sims, least, at, step = [], [], 0.0, 0, 2
-        while at < len(order) and bound[order[at]] > 1e-8 and bound[order[at]] >= least:
-            for b in order[at : at + step]:
-                if bound[b] < least or bound[b] <= 1e-8:
-                    break
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.labels))
-                s, e = self.indptr[lo], self.indptr[hi]
-                sim = np.add.reduceat(dense[self.columns[s:e]] * self.weights[s:e], self.indptr[lo:hi] - s)
-                keep = np.flatnonzero(sim > 1e-9)
-                spots.append(keep + lo)
-                sims.append(sim[keep])
+        turn = np.empty(len(order), np.int64)
+        turn[order] = np.arange(len(order))
+        turn = turn[blocks]
+        sims, least, at, step = np.zeros(n), 0.0, 0, 4
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-9:
+            some = (turn >= at) & (turn < at + step)
+            r = runs[some]
+            size = self.begins[r + 1] - self.begins[r]
+            p = spans(self.begins[r], size)
+            sims += np.bincount(self.example[p], np.repeat(own[some], size) * self.value[p], n)
+            if but >= 0:
+                sims[but] = 0
             at, step = at + step, step * 2
-            if sum(map(len, sims)) > k:
-                so_far = np.concatenate(sims)
-                least = max(least, np.partition(so_far, len(so_far) - k - (but >= 0))[len(so_far) - k - (but >= 0)] - 1e-9) if len(so_far) > k + (but >= 0) else least
-        if not spots:
-            return none
-        spot, sim = np.concatenate(spots), np.concatenate(sims)
-        if but >= 0:
-            spot, sim = spot[spot != but], sim[spot != but]
-        if len(sim) > k:
-            keep = sim >= np.partition(sim, len(sim) - k)[len(sim) - k] - 1e-9
-            spot, sim = spot[keep], sim[keep]
-        return spot, sim
+            if n > k:
+                least = np.partition(sims, n - k)[n - k]
+        spot = np.flatnonzero(sims >= max(least - 1e-9, 1e-12))
+        return spot, sims[spot]
 
     def vote(self, spot: np.ndarray, sim: np.ndarray) -> float:
         if len(sim) > NEIGHBOURS:  # ties share the votes of NEIGHBOURS
@@ -111,47 +118,63 @@ class Index:
         return 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float], list[str]]:
-        """Score, evidence (ids and similarities of the nearest few examples) and the terms that met them."""
-        counts = {t: n for t, n in terms(text).items() if t in self.vocabulary}
-        key = tuple(sorted(counts.items()))
+        """Score, evidence (ids and similarities of the nearest few examples) and the words that weigh most."""
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in self.memo:
             if len(self.memo) > 20_000:
                 self.memo.clear()
-            spot, sim = self.neighbours(*self.vector(counts))
-            near = np.argsort(-sim, kind="stable")[:3]
-            heavy = sorted(counts, key=lambda t: (-self.idf[self.vocabulary[t]], t))[:5]
+            c, w = self.vector(Counter(words(text)))
+            spot, sim = self.neighbours(c, w)
+            near = np.lexsort((self.ids[spot], -sim))[:3]
+            heavy = [self.names[i] for i in c[np.lexsort((c, -w))[:5]]]
             self.memo[key] = float(self.calibrated(self.vote(spot, sim))), self.ids[spot[near]].tolist(), sim[near].round(6).tolist(), heavy
         return self.memo[key]
 
 
+def association(n1: np.ndarray, n0: np.ndarray, p: int, q: int) -> np.ndarray:
+    """1 + sqrt(chi2) of words that n1 of p toxic and n0 of q other examples have."""
+    cross = n1 * (q - n0) - n0 * (p - n1)
+    room = p * q * (n1 + n0) * (p + q - n1 - n0)
+    return 1 + np.abs(cross) * np.sqrt(np.divide(p + q, room, out=np.zeros_like(room), where=room > 0))
+
+
 def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int) -> Index:
-    """The index of examples (id, label, counts of vocabulary terms), calibrated."""
-    vocabulary = {t: i for i, t in enumerate(sorted(df))}
-    idf = np.array([np.log((1 + n_docs) / (1 + df[t])) + 1 for t in sorted(df)])
-    empty = [y for _, y, c in examples if not c]
-    rows = sorted(((max(c, key=lambda t: (idf[vocabulary[t]], t)), d, y, c) for d, y, c in examples if c), key=lambda x: x[:2])
-    index = Index(vocabulary, idf, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.array([r[2] for r in rows], float), np.array([r[1] for r in rows], np.int64), np.zeros((len(idf), -(-len(rows) // BLOCK))), (sum(empty) + 1) / (len(empty) + 20))
-    vectors = [index.vector(r[3]) for r in rows]
-    index.indptr = np.cumsum([0, *(len(c) for c, _ in vectors)])
-    if rows:
-        index.columns, index.weights = (np.concatenate(x) for x in zip(*vectors, strict=True))
-        np.maximum.at(index.maxima, (index.columns, np.repeat(np.arange(len(rows)) // BLOCK, np.diff(index.indptr))), index.weights)
-        # Calibration on every other example at most, each without its own vote, and the examples without terms.
-        some = range(0, len(rows), max(1, len(rows) // 4000))
-        votes = [(index.vote(*index.neighbours(*vectors[i], but=i)), rows[i][2], len(rows) / len(some)) for i in some]
-        votes.append((index.vote(np.empty(0, np.int64), np.empty(0)), index.base, len(empty)))
-        index.slope, index.shift = _logistic(*map(np.array, zip(*votes, strict=True)))
+    """The index of examples (id, label, counts of words), not yet calibrated; df: documents that have each word."""
+    names = sorted({t for *_, c in examples for t in c})
+    vocabulary = {t: i for i, t in enumerate(names)}
+    labels = np.array([y for _, y, _ in examples], float)
+    n1, n0 = np.zeros(len(names)), np.zeros(len(names))
+    for _, y, c in examples:
+        (n1 if y else n0)[[vocabulary[t] for t in c]] += 1
+    p = int(labels.sum())
+    idf = np.log((1 + n_docs) / (1 + np.array([df.get(t, 0) for t in names], float))) + 1
+    weight = idf * association(n1, n0, p, len(labels) - p)
+    # Examples of one heaviest word lie together, which keeps the bounds of other blocks low.
+    rows = sorted(examples, key=lambda x: (max(((weight[vocabulary[t]], t) for t in x[2]), default=(0, "")), x[0]))
+    none = np.zeros(1, np.int64)
+    index = Index(names, weight, np.array([y for _, y, _ in rows], float), np.array([d for d, *_ in rows], np.int64), np.zeros(len(names) + 1, np.int64), none[:0], none[:0].astype(float), none, none[:0], none[:0].astype(float), (p + 1) / (len(rows) + 20))
+    vectors = [index.vector(c) for *_, c in rows]
+    if names:
+        word, value = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        example = np.repeat(np.arange(len(rows)), [len(c) for c, _ in vectors])
+        order = np.lexsort((example, word))
+        word, index.example, index.value = word[order], example[order], value[order]
+        run = word * (-(-len(rows) // BLOCK)) + index.example // BLOCK
+        at = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        index.begins, index.block = np.append(at, len(word)), index.example[at] // BLOCK
+        index.greatest = np.maximum.reduceat(index.value, at)
+        index.first = np.searchsorted(word[at], np.arange(len(names) + 1))
     return index
 
 
-def _logistic(v: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     v = np.clip(v, 1e-4, 1 - 1e-4)
     x = np.stack([np.log(v / (1 - v)), np.ones_like(v)], axis=1)
     b = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + 0.1 * (b - [1.0, 0.0])
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        grad = x.T @ (p - y) + 0.1 * (b - [1.0, 0.0])
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         b = b - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
@@ -163,60 +186,51 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     """labels: doc_id and toxic, of the rows that may be learnt from."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # the sample's documented bound
-    examples = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    examples = cut(spark, examples, "examples")
+    examples = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(x: dict) -> Iterator[dict]:
-        n1, n0 = Counter(), Counter()
-        for t, y in zip(x["text"], x["toxic"], strict=True):
-            (n1 if y else n0).update(terms(t).keys())
-        both = list(n1.keys() | n0.keys())
-        yield {"term": both, "n1": [n1[t] for t in both], "n0": [n0[t] for t in both]}
-
-    totals = examples.agg(F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
-    p, q = float(totals.p), float(totals.n - totals.p)
-    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    cross = n1 * (q - n0) - n0 * (p - n1)
-    chi2 = F.try_divide((p + q) * cross * cross, F.lit(p) * q * (n1 + n0) * (p + q - n1 - n0))
-    table = map_arrow(examples.select("text", "toxic"), "term string, n1 long, n0 long", count, 2048).groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    best = table.withColumn("chi2", chi2).where((F.col("chi2") >= MIN_CHI2) & (n1 + n0 >= MIN_DF)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
-    vocabulary = frozenset(r.term for r in best.collect())
-    shared = spark.sparkContext.broadcast(vocabulary)
+        found = [Counter(words(t)) for t in x["text"]]
+        yield {"doc_id": x["doc_id"], "toxic": [int(bool(y)) for y in x["toxic"]], "words": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
+
+    examples = cut(spark, map_arrow(examples, "doc_id long, toxic int, words array<string>, counts array<int>", count), "examples")
+    rows = [(r.doc_id, r.toxic, dict(zip(r.words, r.counts, strict=True))) for r in examples.orderBy("doc_id").toLocalIterator()]  # bounded by max_examples
+    vocabulary = spark.sparkContext.broadcast(frozenset(t for *_, c in rows for t in c))
 
     def frequency(x: dict) -> Iterator[dict]:
         seen: Counter = Counter()
         for t in x["text"]:
-            seen.update(shared.value.intersection(_keys(t)))
-        seen["\n"] = len(x["text"])  # no term: the documents counted
-        yield {"term": list(seen), "n": list(seen.values())}
+            seen.update(vocabulary.value.intersection(words(t)))
+        seen["\n"] = len(x["text"])  # no word: the documents counted
+        yield {"word": list(seen), "n": list(seen.values())}
 
-    df = {r.term: r.n for r in map_arrow(docs.select("text"), "term string, n long", frequency, 4096).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = {r.word: r.n for r in map_arrow(docs.select("text"), "word string, n long", frequency, 4096).groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()}
     n_docs = df.pop("\n", 0)
-
-    def encode(x: dict) -> Iterator[dict]:
-        found = [{k: n for k, n in terms(t).items() if k in shared.value} for t in x["text"]]
-        yield {"doc_id": x["doc_id"], "toxic": [int(bool(y)) for y in x["toxic"]], "terms": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
-
-    rows = map_arrow(examples.select("doc_id", "text", "toxic"), "doc_id long, toxic int, terms array<string>, counts array<int>", encode).collect()  # bounded by max_examples
-    return build([(r.doc_id, r.toxic, dict(zip(r.terms, r.counts, strict=True))) for r in rows], {t: df.get(t, 0) for t in vocabulary}, n_docs)
-
-
-def _keys(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {"^" + w[:4] for w in words if len(w) > 4} | {"^" + w[:5] for w in words if len(w) > 5}
+    index = build(rows, df, n_docs)
+    shared = spark.sparkContext.broadcast((index, {d: i for i, d in enumerate(index.ids.tolist())}))
+
+    def left_out(x: dict) -> Iterator[dict]:
+        held, place = shared.value
+        votes = [held.vote(*held.neighbours(*held.vector(dict(zip(t, n, strict=True))), but=place[d])) for d, t, n in zip(x["doc_id"], x["words"], x["counts"], strict=True)]
+        yield {"vote": votes, "toxic": x["toxic"]}
+
+    few = examples.repartition(max(1, -(-len(rows) // 256)))
+    votes = map_arrow(few, "vote double, toxic int", left_out).collect()  # of the examples
+    if votes:
+        index.slope, index.shift = _logistic(np.array([r.vote for r in votes]), np.array([r.toxic for r in votes], float))
+    return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """Per row: doc_id, score, predicted, evidence_ids, evidence_similarities, evidence_terms."""
+    """Per row: doc_id, score, predicted, evidence_ids, evidence_similarities, evidence_words."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def f(x: dict) -> Iterator[dict]:
         got = [shared.value.score(t) for t in x["text"]]
-        yield {"doc_id": x["doc_id"], "score": [g[0] for g in got], "predicted": [int(g[0] >= 0.5) for g in got], "evidence_ids": [g[1] for g in got], "evidence_similarities": [g[2] for g in got], "evidence_terms": [g[3] for g in got]}
+        yield {"doc_id": x["doc_id"], "score": [g[0] for g in got], "predicted": [int(g[0] >= 0.5) for g in got], "evidence_ids": [g[1] for g in got], "evidence_similarities": [g[2] for g in got], "evidence_words": [g[3] for g in got]}
 
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, score double, predicted int, evidence_ids array<long>, evidence_similarities array<double>, evidence_terms array<string>", f)
+    return map_arrow(docs.select("doc_id", "text"), "doc_id long, score double, predicted int, evidence_ids array<long>, evidence_similarities array<double>, evidence_words array<string>", f)
 
 
 def held_out(doc_id: str = "doc_id"):
