@@ -447,10 +447,11 @@ def test_toxicity_on_held_out_rows(spark, sf):
         assert abs(index.calibrated(index.vote(spot, full[spot])) - got[d].score) < 1e-6
 
 
-def test_neighbours_equal_full_scan():
+def test_neighbours_equal_full_scan(monkeypatch):
     r = random.Random(4)
     names = [f"t{i}" for i in range(60)]
     examples = [(i, r.randrange(2), {w: r.randrange(1, 4) for w in r.sample(names, r.randrange(0, 9))}) for i in range(900)]
+    monkeypatch.setattr(toxicity, "FREQUENT", 20)
     index = toxicity.build(examples, {w: r.randrange(1, 200) for w in names}, 1000)
     dense = np.zeros((900, len(index.names)))
     for i, d in enumerate(index.ids.tolist()):
@@ -462,7 +463,7 @@ def test_neighbours_equal_full_scan():
         full = dense[:, c] @ w
         if but >= 0:
             full[but] = 0
-        spot, sim = index.neighbours(c, w, but=but)
+        spot, sim = index.neighbours([(c, w)], but=[but] if but >= 0 else None)[0]
         least = np.sort(full)[-toxicity.NEIGHBOURS]
         assert spot.tolist() == np.flatnonzero((full >= least - 1e-9) & (full > 1e-9)).tolist()
         assert np.allclose(full[spot], sim)

@@ -5,9 +5,10 @@ all documents; association, 1 + sqrt(chi2) of word and label over the sample, ma
 weigh more, and drops none. All sampled examples are in the index.
 
 The index is inverted: for each word, the examples that have it, in blocks of ``BLOCK`` examples, with the greatest weight
-in each block. The sum of a query's weights times those maxima bounds its similarity to all examples of a block. Blocks
-are scored in descending bound until the bound is below the k-th best similarity, so the neighbours found (with all that
-tie with the k-th) are exact.
+of each frequent word in each block. The sum of a query's weights times those maxima, and the most that its rarer words
+(whose lists are short, and added up first) give an example there, bound its similarity to all examples of a block. The
+``FIRST_BLOCKS`` of highest bound are scored, then all whose bound reaches the k-th best similarity so far; no other block
+can hold a neighbour, so those found (with all that tie with the k-th) are exact. Blocks hold examples of like words.
 
 Neighbours vote for their labels, each with its similarity (1 - distance); the share is shrunk towards the share of toxic
 examples, then calibrated by a logistic curve fitted on all examples, each left out of its own vote. A text without any
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow
 
 MAX_EXAMPLES = 4096
-NEIGHBOURS, SHRINK, BLOCK = 15, 0.1, 64
+NEIGHBOURS, SHRINK, BLOCK, FIRST_BLOCKS = 15, 0.1, 64, 6
+#: Words with dense weights in the index, and queries that are searched together.
+FREQUENT, QUERIES = 256, 64
 _WORD = re.compile(r"[^\W_]+")
 _NONE = np.empty(0, np.int64), np.empty(0)
 
@@ -52,15 +55,16 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Index:
     """A block-max inverted index of the sampled examples, and the calibration of their votes.
 
-    Word t has the runs first[t]:first[t + 1], one for each block with it: block, greatest weight, and where its entries
-    (example, weight) begin."""
+    Of the FREQUENT words that most examples have (place: their number, -1 for others), dense holds each block's weights
+    (block x word x example) and greatest the most in each block (word x block). Any other word t has the short list
+    begins[t]:begins[t + 1] of example and value."""
 
     names: list[str]
     weight: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    first: np.ndarray
-    block: np.ndarray
+    place: np.ndarray
+    dense: np.ndarray
     greatest: np.ndarray
     begins: np.ndarray
     example: np.ndarray
@@ -77,36 +81,44 @@ class Index:
         known = [t for t in counts if t in self.vocabulary]
         c = np.fromiter(map(self.vocabulary.__getitem__, known), np.int64, len(known))
         w = (1 + np.log(np.fromiter(map(counts.__getitem__, known), float, len(known)))) * self.weight[c]
-        order = np.argsort(c)
-        return c[order], w[order] / (np.linalg.norm(w) or 1)
-
-    def neighbours(self, c: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities of the k most similar examples, but one, and of all that tie with the last of them."""
-        n = len(self.labels)
-        if not len(c) or not n:
-            return _NONE
-        many = self.first[c + 1] - self.first[c]
-        runs, own = spans(self.first[c], many), np.repeat(w, many)
-        blocks = self.block[runs]
-        bound = np.bincount(blocks, own * self.greatest[runs], -(-n // BLOCK)) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        turn = np.empty(len(order), np.int64)
-        turn[order] = np.arange(len(order))
-        turn = turn[blocks]
-        sims, least, at, step = np.zeros(n), 0.0, 0, 4
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-9:
-            some = (turn >= at) & (turn < at + step)
-            r = runs[some]
-            size = self.begins[r + 1] - self.begins[r]
-            p = spans(self.begins[r], size)
-            sims += np.bincount(self.example[p], np.repeat(own[some], size) * self.value[p], n)
-            if but >= 0:
-                sims[but] = 0
-            at, step = at + step, step * 2
-            if n > k:
-                least = np.partition(sims, n - k)[n - k]
-        spot = np.flatnonzero(sims >= max(least - 1e-9, 1e-12))
-        return spot, sims[spot]
+        return c, w / (np.linalg.norm(w) or 1)
+
+    def neighbours(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (words, weights): numbers and similarities of the k most similar examples, but one, and of all
+        that tie with the last of them."""
+        n, n_blocks = len(self.labels), len(self.dense)
+        if not n or not queries:
+            return [_NONE] * len(queries)
+        c, w = (np.concatenate(x) for x in zip(*queries, strict=True))
+        query = np.repeat(np.arange(len(queries)), [len(x) for x, _ in queries])
+        often = self.place[c] >= 0
+        frequent = np.zeros((len(queries), self.dense.shape[1]))
+        frequent[query[often], self.place[c[often]]] = w[often]
+        c, w, query = c[~often], w[~often], query[~often]
+        size = self.begins[c + 1] - self.begins[c]
+        p = spans(self.begins[c], size)
+        sims = np.bincount(np.repeat(query, size) * (n_blocks * BLOCK) + self.example[p], np.repeat(w, size) * self.value[p], len(queries) * n_blocks * BLOCK).reshape(len(queries), n_blocks, BLOCK)
+        bound = frequent @ self.greatest + sims.max(axis=2)
+        scored = np.zeros(sims.shape)
+        some = bound >= np.partition(bound, max(0, n_blocks - FIRST_BLOCKS), axis=1)[:, max(0, n_blocks - FIRST_BLOCKS), None]
+        some &= bound > 0
+        least = np.zeros(len(queries))
+        while some.any():
+            for b in np.flatnonzero(some.any(axis=0)):
+                q = np.flatnonzero(some[:, b])
+                scored[q, b] = frequent[q] @ self.dense[b] + sims[q, b]
+            if but is not None:
+                scored.reshape(len(queries), -1)[np.arange(len(queries)), but] = 0
+            bound[some] = 0
+            flat = scored.reshape(len(queries), -1)
+            if flat.shape[1] > k:
+                least = np.partition(flat, flat.shape[1] - k, axis=1)[:, flat.shape[1] - k]
+            some = (bound > 0) & (bound >= least[:, None] - 1e-9)
+        out = []
+        for row, reached in zip(scored.reshape(len(queries), -1), least.tolist(), strict=True):
+            spot = np.flatnonzero(row >= max(reached - 1e-9, 1e-12))
+            out.append((spot, row[spot]))
+        return out
 
     def vote(self, spot: np.ndarray, sim: np.ndarray) -> float:
         if len(sim) > NEIGHBOURS:  # ties share the votes of NEIGHBOURS
@@ -117,18 +129,20 @@ class Index:
         v = min(max(vote, 1e-4), 1 - 1e-4)
         return 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float], list[str]]:
-        """Score, evidence (ids and similarities of the nearest few examples) and the words that weigh most."""
-        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if key not in self.memo:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            c, w = self.vector(Counter(words(text)))
-            spot, sim = self.neighbours(c, w)
-            near = np.lexsort((self.ids[spot], -sim))[:3]
-            heavy = [self.names[i] for i in c[np.lexsort((c, -w))[:5]]]
-            self.memo[key] = float(self.calibrated(self.vote(spot, sim))), self.ids[spot[near]].tolist(), sim[near].round(6).tolist(), heavy
-        return self.memo[key]
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float], list[str]]]:
+        """Of each text: score, evidence (ids and similarities of the nearest few examples) and the words that weigh most."""
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self.memo) > 20_000:
+            self.memo.clear()
+        new = list({k: t for k, t in zip(keys, texts, strict=True) if k not in self.memo}.items())
+        for at in range(0, len(new), QUERIES):
+            some = new[at : at + QUERIES]
+            vectors = [self.vector(Counter(words(t))) for _, t in some]
+            for (key, _), (c, w), (spot, sim) in zip(some, vectors, self.neighbours(vectors), strict=True):
+                near = np.lexsort((self.ids[spot], -sim))[:3]
+                heavy = [self.names[i] for i in c[np.lexsort((c, -w))[:5]]]
+                self.memo[key] = float(self.calibrated(self.vote(spot, sim))), self.ids[spot[near]].tolist(), sim[near].round(6).tolist(), heavy
+        return [self.memo[k] for k in keys]
 
 
 def association(n1: np.ndarray, n0: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -138,6 +152,20 @@ def association(n1: np.ndarray, n0: np.ndarray, p: int, q: int) -> np.ndarray:
     return 1 + np.abs(cross) * np.sqrt(np.divide(p + q, room, out=np.zeros_like(room), where=room > 0))
 
 
+def _groups(found: list[set[int]], df: np.ndarray, n_words: int = 256, n_groups: int = 12) -> list[int]:
+    """A group for each example, by k-means over which of the most frequent words it has."""
+    frequent = np.argsort(-df, kind="stable")[:n_words]
+    has = np.array([[t in f for t in frequent.tolist()] for f in found], float).reshape(len(found), len(frequent))
+    has /= np.maximum(np.linalg.norm(has, axis=1, keepdims=True), 1)
+    centres = has[:: max(1, len(has) // n_groups)][:n_groups]
+    group = np.zeros(len(has), int)
+    for _ in range(8 if len(has) else 0):
+        group = np.argmax(has @ centres.T, axis=1)
+        sums = np.array([has[group == g].sum(axis=0) for g in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return group.tolist()
+
+
 def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n_docs: int) -> Index:
     """The index of examples (id, label, counts of words), not yet calibrated; df: documents that have each word."""
     names = sorted({t for *_, c in examples for t in c})
@@ -149,21 +177,24 @@ def build(examples: list[tuple[int, int, dict[str, int]]], df: dict[str, int], n
     p = int(labels.sum())
     idf = np.log((1 + n_docs) / (1 + np.array([df.get(t, 0) for t in names], float))) + 1
     weight = idf * association(n1, n0, p, len(labels) - p)
-    # Examples of one heaviest word lie together, which keeps the bounds of other blocks low.
-    rows = sorted(examples, key=lambda x: (max(((weight[vocabulary[t]], t) for t in x[2]), default=(0, "")), x[0]))
-    none = np.zeros(1, np.int64)
-    index = Index(names, weight, np.array([y for _, y, _ in rows], float), np.array([d for d, *_ in rows], np.int64), np.zeros(len(names) + 1, np.int64), none[:0], none[:0].astype(float), none, none[:0], none[:0].astype(float), (p + 1) / (len(rows) + 20))
+    # Examples of like words lie together, which keeps the bounds of other blocks low.
+    group = _groups([{vocabulary[t] for t in c} for *_, c in examples], n1 + n0)
+    heaviest = [max(((weight[vocabulary[t]], t) for t in c), default=(0, "")) for *_, c in examples]
+    rows = [examples[i] for i in sorted(range(len(examples)), key=lambda i: (group[i], heaviest[i], examples[i][0]))]
+    n_blocks, often = -(-len(rows) // BLOCK), np.argsort(-(n1 + n0), kind="stable")[:FREQUENT]
+    place = np.full(len(names), -1)
+    place[often] = np.arange(len(often))
+    index = Index(names, weight, np.array([y for _, y, _ in rows], float), np.array([d for d, *_ in rows], np.int64), place, np.zeros((n_blocks, len(often), BLOCK)), np.zeros((len(often), n_blocks)), np.zeros(len(names) + 1, np.int64), np.empty(0, np.int64), np.empty(0), (p + 1) / (len(rows) + 20))
     vectors = [index.vector(c) for *_, c in rows]
     if names:
         word, value = (np.concatenate(x) for x in zip(*vectors, strict=True))
         example = np.repeat(np.arange(len(rows)), [len(c) for c, _ in vectors])
-        order = np.lexsort((example, word))
-        word, index.example, index.value = word[order], example[order], value[order]
-        run = word * (-(-len(rows) // BLOCK)) + index.example // BLOCK
-        at = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        index.begins, index.block = np.append(at, len(word)), index.example[at] // BLOCK
-        index.greatest = np.maximum.reduceat(index.value, at)
-        index.first = np.searchsorted(word[at], np.arange(len(names) + 1))
+        at = place[word] >= 0
+        index.dense[example[at] // BLOCK, place[word[at]], example[at] % BLOCK] = value[at]
+        index.greatest = index.dense.max(axis=2).T.copy()
+        order = np.flatnonzero(~at)[np.lexsort((example[~at], word[~at]))]
+        index.example, index.value = example[order], value[order]
+        index.begins = np.searchsorted(word[order], np.arange(len(names) + 1))
     return index
 
 
@@ -212,11 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 
     def left_out(x: dict) -> Iterator[dict]:
         held, place = shared.value
-        votes = [held.vote(*held.neighbours(*held.vector(dict(zip(t, n, strict=True))), but=place[d])) for d, t, n in zip(x["doc_id"], x["words"], x["counts"], strict=True)]
+        vectors = [held.vector(dict(zip(t, n, strict=True))) for t, n in zip(x["words"], x["counts"], strict=True)]
+        votes = [held.vote(*found) for found in held.neighbours(vectors, but=[place[d] for d in x["doc_id"]])]
         yield {"vote": votes, "toxic": x["toxic"]}
 
     few = examples.repartition(max(1, -(-len(rows) // 256)))
-    votes = map_arrow(few, "vote double, toxic int", left_out).collect()  # of the examples
+    votes = map_arrow(few, "vote double, toxic int", left_out, QUERIES).collect()  # of the examples
     if votes:
         index.slope, index.shift = _logistic(np.array([r.vote for r in votes]), np.array([r.toxic for r in votes], float))
     return index
@@ -227,7 +259,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def f(x: dict) -> Iterator[dict]:
-        got = [shared.value.score(t) for t in x["text"]]
+        got = shared.value.scores(x["text"])
         yield {"doc_id": x["doc_id"], "score": [g[0] for g in got], "predicted": [int(g[0] >= 0.5) for g in got], "evidence_ids": [g[1] for g in got], "evidence_similarities": [g[2] for g in got], "evidence_words": [g[3] for g in got]}
 
     return map_arrow(docs.select("doc_id", "text"), "doc_id long, score double, predicted int, evidence_ids array<long>, evidence_similarities array<double>, evidence_words array<string>", f)
