@@ -39,7 +39,7 @@ VOCABULARY, BUCKETS = 16_384, 4_096
 WIDTH, HIDDEN, SIDE = 16, 32, 2
 NOISE, HEAD, TAIL = 64, 64, 64
 SHARD, MOST_SHARDS, FAN = 3_000_000, 20_000, 16
-RATE, BATCH = 0.1, 4096
+RATE, BATCH = 0.1, 2048
 
 
 @dataclass
@@ -112,6 +112,11 @@ def initial(n_ids: int) -> list[np.ndarray]:
     return [x.astype(np.float32) for x in (g.normal(0, 0.1, (n_ids, WIDTH)), g.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros((n_ids, HIDDEN + 1)))]
 
 
+def squares(net: list[np.ndarray], start: float = 1e-8) -> list[np.ndarray]:
+    """Sums of squared gradients."""
+    return [np.full_like(p, start) for p in net]
+
+
 def contexts(ids: np.ndarray) -> np.ndarray:
     """Per word the ids of its neighbours, SIDE to the left and SIDE to the right."""
     padded = np.concatenate((np.zeros(SIDE, np.int32), ids, np.zeros(SIDE, np.int32)))
@@ -129,33 +134,52 @@ def hidden(net: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _spread(p: np.ndarray, square: np.ndarray, spots: np.ndarray, grads: np.ndarray) -> None:
     """An Adagrad step on the rows of p at spots, whose gradients are summed where they repeat."""
-    order = np.argsort(spots, kind="stable")
+    order = np.argsort(spots.astype(np.uint16) if len(p) < 1 << 16 else spots, kind="stable")
     held = spots[order]
     first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
     g, at = np.add.reduceat(grads[order], first, axis=0), held[first]
-    square[at] += g * g
-    p[at] -= RATE * g / (np.sqrt(square[at]) + 1e-6)
+    rate = square[at]
+    rate += g * g
+    square[at] = rate
+    np.sqrt(rate, out=rate)
+    rate += 1e-6
+    g /= rate
+    g *= RATE
+    p[at] -= g
+
+
+def _margins(net: list[np.ndarray], context: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x, the hidden layer, the output vectors of ids and noise, and the log-odds that each is the word rather than noise."""
+    x, h = hidden(net, context)
+    own, others = net[3][ids], net[3][noise]
+    shift = np.float32(np.log(len(noise)))
+    return x, h, own, others, np.einsum("ij,ij->i", h, own) - shift, h @ others.T - shift
 
 
-def step(net: list[np.ndarray], square: list[np.ndarray], context: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> float:
-    """One Adagrad step on the mean noise-contrastive loss of telling each id from the noise ids, which is returned."""
+def loss(net: list[np.ndarray], context: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> float:
+    """Mean noise-contrastive loss of telling each id from the noise ids."""
+    *_, good, bad = _margins(net, context, ids, noise)
+    return float(np.logaddexp(0, -good).mean() + np.logaddexp(0, bad).sum() / len(ids))
+
+
+def step(net: list[np.ndarray], square: list[np.ndarray], context: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> None:
+    """One Adagrad step on the loss."""
     e, u, _, v = net
-    x, h = hidden(net, context)
-    n, shift = len(ids), np.float32(np.log(len(noise)))
-    own, others = v[ids], v[noise]
-    good = np.einsum("ij,ij->i", h, own) - shift
-    bad = h @ others.T - shift
-    loss = float(np.logaddexp(0, -good).mean() + np.logaddexp(0, bad).sum() / n)
-    up = -1 / (1 + np.exp(good)) / n
-    down = 1 / (1 + np.exp(-bad)) / n
-    d = (up[:, None] * own + down @ others)[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+    x, h, own, others, good, bad = _margins(net, context, ids, noise)
+    n = np.float32(len(ids))
+    up = -1 / (n + n * np.exp(good))
+    down = np.exp(np.negative(bad, out=bad), out=bad)
+    down += 1
+    down *= n
+    np.reciprocal(down, out=down)
+    d = (up[:, None] * own + down @ others)[:, :HIDDEN]
+    d *= 1 - h[:, :HIDDEN] ** 2
     _spread(v, square[3], np.concatenate((ids, noise)), np.concatenate((up[:, None] * h, down.T @ h)))
     dx = (d @ u.T).reshape(-1, WIDTH)
     for k, g in ((1, x.T @ d), (2, d.sum(0))):
         square[k] += g * g
         net[k] -= RATE * g / (np.sqrt(square[k]) + 1e-6)
     _spread(e, square[0], context.ravel(), dx)
-    return loss
 
 
 def train(docs: DataFrame, vocab: Vocabulary, shard: int = SHARD) -> list[np.ndarray]:
@@ -167,7 +191,7 @@ def train(docs: DataFrame, vocab: Vocabulary, shard: int = SHARD) -> list[np.nda
         v, g = shared.value, np.random.default_rng(17)
         steps = np.cumsum(v.share)
         net, seen = initial(n_ids), np.zeros(n_ids)
-        square = [np.full_like(p, 1e-8) for p in net]
+        square = squares(net)
         held: list[np.ndarray] = []
         n = 0
 
