@@ -4,8 +4,7 @@ Documents' id streams are cut where a rolling gear hash over the last 16 ids is
 give equal chunks. A folder holds four Parquet tables:
 
 * ``chunks`` (digest, data): each distinct chunk once. data: ids as little-endian numbers of ``width`` bytes (2 if the
-  whole vocabulary and the end id fit, else 4), their low bytes before the higher ones, compressed (zstd); digest is
-  BLAKE2b-128 of the ids.
+  whole vocabulary and the end id fit, else 4); digest is its BLAKE2b-128.
 * ``recipes`` (part, row, doc_id, local_start, n_tokens, root, digests): documents in ascending doc_id order (nulls
   first, then by root), in range parts; root is the SHA-256 of the digests in order; local_start counts ids in the part.
 * ``manifest`` (part, n_docs, n_tokens, root): per part, root being the Merkle root of its documents (doc_id, place,
@@ -26,12 +25,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_path, remove
+from .common import by_size, cut, map_arrow, new_path, remove
 from .tokens import encoder
 
 MEAN, LEAST, MOST = 512, 64, 4096
@@ -63,14 +61,6 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def packed(ids: np.ndarray, width: int, pack=zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)) -> bytes:
-    return pack.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
-
-
-def unpacked(data: bytes, width: int, unpack=zstandard.ZstdDecompressor()) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(unpack.decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype("<u4")
-
-
 def merkle(leaves: Iterable[bytes]) -> bytes:
     """Root over leaves in order, of which a few are held at a time: equal subtrees are joined as soon as they are full."""
     peaks: list[tuple[int, bytes]] = []
@@ -94,10 +84,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "root", "digests", "chunks")}
         for d, raw in zip(x["doc_id"], encoder(tokenizer).encode(x["text"]), strict=True):
             ids = np.concatenate((np.frombuffer(raw, "<u4"), end))
-            ends = cuts(ids)
-            chunks = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            names = [digest(c.tobytes()) for c in chunks]
-            for k, v in zip(out, (d, len(ids), hashlib.sha256(b"".join(names)).digest(), names, [packed(c, width) for c in chunks]), strict=True):
+            data, ends = ids.astype(f"<u{width}"), cuts(ids)
+            chunks = [data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            names = [digest(c) for c in chunks]
+            for k, v in zip(out, (d, len(ids), hashlib.sha256(b"".join(names)).digest(), names, chunks), strict=True):
                 out[k].append(v)
         yield out
 
@@ -107,7 +97,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     staged = spark.read.schema(staged.schema).parquet(staged_path)
 
     one = staged.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("data"))
-    one.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # Most chunks stand once: only those that don't are shuffled, if the others can be told from a table of bounded size.
+    twice = staged.select(F.explode("digests").alias("digest")).groupBy("digest").count().where("count > 1").select("digest")
+    twice = by_size(cut(spark, twice, "twice"), 500_000)
+    chunks = one.join(twice, "digest", "left_anti").unionByName(one.join(twice, "digest", "left_semi").dropDuplicates(["digest"]))
+    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, row, part = 0, 0, TaskContext.get().partitionId()
@@ -197,13 +191,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def verify(x: dict) -> Iterator[dict]:
         ids = []
         for root, n, names, data in zip(x["root"], x["n_tokens"], x["digests"], x["data"], strict=True):
-            chunks = [] if None in data else [unpacked(c, width) for c in data]
-            if [digest(c.tobytes()) for c in chunks] != names or hashlib.sha256(b"".join(names)).digest() != root:
+            if None in data or [digest(c) for c in data] != names or hashlib.sha256(b"".join(names)).digest() != root:
                 raise ValueError("a chunk or recipe of the store is damaged")
-            found = np.concatenate(chunks)
+            found = np.frombuffer(b"".join(data), f"<u{width}")
             if len(found) != n:
                 raise ValueError("a document of the store has another length than its recipe says")
-            ids.append(found.tobytes())
+            ids.append(found.astype("<u4").tobytes())
         yield {k: x[k] for k in ("part", "doc_id", "local_start", "n_tokens")} | {"ids": ids}
 
     whole = map_arrow(whole, "part int, doc_id long, local_start long, n_tokens long, ids binary", verify, 64)
