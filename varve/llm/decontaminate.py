@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, deal, map_arrow, small_batches, unused
+from .common import by_size, cut, deal, map_arrow, small_batches, unused
 
 #: Words and item ids of all windows that are broadcast at most.
 MOST = 4_000_000
@@ -80,7 +80,8 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
 
     words = map_arrow(held.select("window"), "window binary, at int, word binary", split)
     rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "at")
-    rarest = words.join(frequencies(docs, words.select("word")), "word", "left").groupBy("window").agg(F.min(rarity).alias("r"))
+    counts = by_size(cut(spark, frequencies(docs, words.select("word")), "frequencies"), MOST // 8)
+    rarest = words.join(counts, "word", "left").groupBy("window").agg(F.min(rarity).alias("r"))
     return held.join(rarest, "window").select("window", "items", "r.word", "r.at", "r.df")
 
 
