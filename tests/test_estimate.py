@@ -4,35 +4,63 @@ import pandas as pd
 from varve.operators import estimate
 
 
+def terms(k, m, l):  # noqa: E741
+    return np.stack([np.ones_like(k), k, m, l, k * k, m * m, l * l, k * m, k * l, m * l], 1)
+
+
+TRUE = np.array([0.5, 0.05, 0.08, 0.03, -0.01, 0.03, 0.01, 0.02, -0.02, 0.015])
+
+
 def test_share_nls_finds_the_coefficients(spark):
     g = np.random.default_rng(1)
-    k, m = g.normal(0, 0.5, (2, 3000))
-    true = np.array([0.5, 0.05, 0.08, -0.01, 0.02, 0.03])
-    s = np.log(np.stack([np.ones_like(k), k, m, k * k, k * m, m * m], 1) @ true) + g.normal(0, 0.01, 3000)
-    df = spark.createDataFrame(pd.DataFrame({"cell": np.where(np.arange(3000) % 2, "a", "b"), "k": k, "m": m, "s": s}))
+    k, m, lab = g.normal(0, 0.5, (3, 4000))
+    s = np.log(terms(k, m, lab) @ TRUE) + g.normal(0, 0.01, 4000)
+    df = spark.createDataFrame(pd.DataFrame({"cell": np.where(np.arange(4000) % 2, "a", "b"), "k": k, "m": m, "l": lab, "s": s}))
     got = estimate.share_nls(df, "cell").toPandas()
-    assert sorted(got["cell"]) == ["a", "b"] and (got["n"] == 1500).all()
-    assert np.abs(got[[f"c{i}" for i in range(6)]].to_numpy() - true).max() < 0.005
+    assert sorted(got["cell"]) == ["a", "b"] and (got["n"] == 2000).all() and got["converged"].all()
+    assert np.abs(got[[f"c{i}" for i in range(10)]].to_numpy() - TRUE).max() < 0.005
     assert np.abs(got["loss"] - 1e-4).max() < 1e-5
     assert estimate.share_nls(df.where("k > 99"), "cell").count() == 0
 
 
-def test_markov_gmm_finds_the_elasticity_and_every_root_is_exact(spark):
+def test_markov_gmm_finds_capital_and_labour(spark):
     g = np.random.default_rng(2)
-    n, alpha, rho = 20000, 0.35, 0.7
-    w0 = g.normal(0, 1, n)
-    lk = g.normal(0, 1, n)
+    n, rho, alpha = 40000, 0.7, np.array([0.35, 0.4, 0.02, -0.03, 0.01])
+    w0, lk, ll = g.normal(0, 1, n), g.normal(0, 1, n), g.normal(0, 1, n)
+    shock = g.normal(0, 0.2, n)
     k = 0.8 * lk + 0.3 * w0 + g.normal(0, 0.5, n)
-    a, la = rho * w0 + g.normal(0, 0.2, n) + alpha * k, w0 + alpha * lk
-    df = spark.createDataFrame(pd.DataFrame({"cell": "c", "a": a, "k": k, "l_a": la, "l_k": lk}))
-    got = estimate.markov_gmm(df, ["cell"]).toPandas()
-    near = got.iloc[(got["alpha"] - alpha).abs().argmin()]
-    assert abs(near["alpha"] - alpha) < 0.02 and abs(near["persistence"] - rho) < 0.03
-    for x in got["alpha"]:
-        w, lw = a - x * k, la - x * lk
-        design = np.stack([np.ones(n), lw, lw * lw], 1)
-        rest = w - design @ np.linalg.lstsq(design, w, rcond=None)[0]
-        assert abs((rest * k).mean()) < 1e-6
+    lab = 0.7 * ll + 0.2 * w0 + shock + g.normal(0, 0.3, n)  # labour sees the innovation, so least squares is biased
+    p2 = lambda a, b: np.stack([a, b, a * a, b * b, a * b], 1) @ alpha
+    a, la = rho * w0 + shock + p2(k, lab), w0 + p2(lk, ll)
+    df = spark.createDataFrame(pd.DataFrame({"cell": "c", "a": a, "k": k, "l": lab, "l_a": la, "l_k": lk, "l_l": ll}))
+    got = estimate.markov_gmm(df.repartition(5), ["cell"]).toPandas().iloc[0]
+    found = got[[f"alpha_{t}" for t in estimate.CONSTANT]].to_numpy(float)
+    assert got["n"] == n and got["loss"] < 1e-6, got["loss"]
+    assert np.abs(found - alpha).max() < 0.05 and abs(got["persistence"] - rho) < 0.03, (found, got["persistence"])
+    w, lw = a - np.stack([k, lab, k * k, lab * lab, k * lab], 1) @ found, la - np.stack([lk, ll, lk * lk, ll * ll, lk * ll], 1) @ found
+    design = np.stack([np.ones(n), lw, lw * lw], 1)
+    rest = w - design @ np.linalg.lstsq(design, w, rcond=None)[0]
+    direct = np.array([(rest * z).mean() for z in (k, k * k, ll, ll * ll, k * ll)])
+    assert abs(direct @ direct - got["loss"]) < 1e-10 and got["converged"] == (got["loss"] < 1e-14)
+
+
+def test_iv_equals_matrix_algebra(spark):
+    g = np.random.default_rng(5)
+    n = 3000
+    z, c, d, u = g.normal(0, 1, (4, n))
+    x = z + 0.5 * c + 0.7 * u + g.normal(0, 1, n)
+    y = 1 + 2 * x - c + 0.3 * d + u * (1 + z * z)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": x, "z": z, "y": y, "c": c, "d": d}))
+    got = estimate.iv_exogenous(df, "y", "x", "z", ["c", "d"], ["g"]).toPandas().iloc[0]
+    xs, zs = np.stack([x, c, d, np.ones(n)], 1), np.stack([z, c, d, np.ones(n)], 1)
+    inv = np.linalg.inv(zs.T @ xs)
+    b = inv @ zs.T @ y
+    s = (y - xs @ b)[:, None] * zs
+    zz = np.linalg.inv(zs.T @ zs)
+    p = zz @ zs.T @ x
+    e = (x - zs @ p)[:, None] * zs
+    assert np.isclose(got["beta"], b[0]) and np.isclose(got["se"], np.sqrt((inv @ s.T @ s @ inv.T)[0, 0]))
+    assert np.isclose(got["first_t"], p[0] / np.sqrt((zz @ e.T @ e @ zz)[0, 0]))
 
 
 def test_wls_equals_matrix_algebra(spark):
@@ -53,16 +81,15 @@ def test_wls_equals_matrix_algebra(spark):
 def test_two_steps_on_the_proxy_panel(spark, sf):
     import __spark_entry__ as entry
 
-    got = entry.queries()["est17_markov_gmm"](spark, sf)  # takes the first step and the elasticities too
-    assert got.columns == ["cell", "n", "root", "alpha", "persistence"]
-    assert np.isfinite(got.toPandas()[["alpha", "persistence"]].to_numpy(float)).all()
+    got = entry.queries()["est17_markov_gmm"](spark, sf).toPandas()  # takes the first step and the elasticities too
+    assert len(got) == 6 and np.isfinite(got.drop(columns=["cell", "converged"]).to_numpy(float)).all()
 
 
 def test_elasticities_are_the_slopes_of_the_integral(spark):
-    c = spark.createDataFrame([("a", 0.5, 0.05, 0.08, -0.01, 0.02, 0.03)], "cell string, " + ", ".join(f"c{i} double" for i in range(6)))
-    h = 1e-5
-    df = spark.createDataFrame([("a", 0.3 + i * h, 0.7 + j * h) for i in (-1, 0, 1) for j in (-1, 0, 1)], "cell string, k double, m double")
-    got = estimate.elasticities(df, c, "cell").toPandas().sort_values(["k", "m"], ignore_index=True)
-    mid = got.iloc[4]
-    assert abs((got["integral"][5] - got["integral"][3]) / (2 * h) - mid["melast"]) < 1e-8
-    assert abs((got["integral"][7] - got["integral"][1]) / (2 * h) - mid["kelast"]) < 1e-8
+    c = spark.createDataFrame([("a", *TRUE.tolist())], "cell string, " + ", ".join(f"c{i} double" for i in range(10)))
+    h, at = 1e-5, {"k": 0.3, "m": 0.7, "l": -0.4}
+    points = {"mid": at} | {f"{v}{s}": at | {v: at[v] + s * h} for v in at for s in (-1, 1)}
+    df = spark.createDataFrame([("a", n, x["k"], x["m"], x["l"]) for n, x in points.items()], "cell string, name string, k double, m double, l double")
+    got = {r["name"]: r for r in estimate.elasticities(df, c, "cell").collect()}
+    for v, name in (("m", "melast"), ("k", "kelast"), ("l", "lelast")):
+        assert abs((got[f"{v}1"].integral - got[f"{v}-1"].integral) / (2 * h) - got["mid"][name]) < 1e-8

@@ -1 +1 @@
-"""functions of the panel and market analytics engine."""
+"""Scalar functions that Spark has no built-in for, as column expressions."""

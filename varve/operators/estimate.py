@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERMS = ("1", "k", "m", "kk", "km", "mm")
+#: The share's terms, and those of the second step's function of capital and labour.
+TERMS = ("1", "k", "m", "l", "kk", "mm", "ll", "km", "kl", "ml")
+CONSTANT = ("k", "l", "kk", "ll", "kl")
 #: Below this, the logarithm of the share goes on as its tangent.
 FLOOR = 1e-6
 
@@ -69,25 +71,27 @@ def wls(df: DataFrame, y: str, xs: list[str], keys: list[str], weight: str | Non
     return meat.mapInPandas(errors, f"{key_ddl}, term string, n long, coef double, se double")
 
 
-def share_terms(k: Column, m: Column) -> list[Column]:
-    return [F.lit(1.0), k, m, k * k, k * m, m * m]
+def share_terms(k: Column, m: Column, l: Column) -> list[Column]:  # noqa: E741
+    return [F.lit(1.0), k, m, l, k * k, m * m, l * l, k * m, k * l, m * l]
 
 
 def centred(df: DataFrame, key: str) -> DataFrame:
-    """k and m as deviations from their means in the group; the quadratic form is as general, and better conditioned."""
-    w = Window.partitionBy(key)
-    return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in ("k", "m")})
+    """k, m and l as deviations from their means in the group; the quadratic form is as general, and better conditioned."""
+    names = ("k", "m", "l")
+    means = df.groupBy(key).agg(*(F.avg(c).alias(f"_m{c}") for c in names))
+    return df.join(means, key).withColumns({c: F.col(c) - F.col(f"_m{c}") for c in names}).drop(*(f"_m{c}" for c in names))
 
 
 def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8) -> DataFrame:
-    """Per group: n, loss and the coefficients c0 to c5 that minimize mean((ln(P c) - s)^2), P the quadratic terms of k
-    and m. Levenberg-Marquardt steps for all groups at once: each is one aggregation of 28 sums by group, so a group of
-    any size is summed by all tasks; the driver holds coefficients of the groups alone."""
+    """Per group: n, loss, converged and the coefficients c0 to c9 that minimize mean((ln(P c) - s)^2), P the quadratic
+    TERMS of k, m and l. Levenberg-Marquardt steps for all groups at once: each is one aggregation of 66 sums by group, so a
+    group of any size is summed by all tasks; the driver holds coefficients of the groups alone. The start is a constant
+    share. converged: a step no longer lowers the loss by tol of it, within most steps."""
     spark = df.sparkSession
-    df = df.select(key, "k", "m", "s").dropna().persist()
+    df = df.select(key, "k", "m", "l", "s").dropna().persist()
     kind = df.schema[key].dataType.simpleString()
-    p = share_terms(F.col("k"), F.col("m"))
-    fit = sum((F.col("_c")[i] * p[i] for i in range(1, 6)), F.col("_c")[0])
+    p, t = share_terms(F.col("k"), F.col("m"), F.col("l")), len(TERMS)
+    fit = sum((F.col("_c")[i] * p[i] for i in range(1, t)), F.col("_c")[0])
     low = fit < FLOOR
     value = F.when(low, np.log(FLOOR) + fit / FLOOR - 1).otherwise(F.ln(F.greatest(fit, F.lit(FLOOR))))
     slope = F.when(low, 1 / FLOOR).otherwise(1 / F.greatest(fit, F.lit(FLOOR)))
@@ -96,21 +100,21 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8) -> Dat
     def sums(trial: dict) -> dict:
         table = spark.createDataFrame([(g, c.tolist()) for g, c in trial.items()], f"`{key}` {kind}, _c array<double>")
         rows = df.join(F.broadcast(table), key).groupBy(key).agg(F.count("*").alias("n"), *_gram(vector)).collect()  # a row a group
-        return {r[key]: (r.n, _matrix(r, 7)) for r in rows}
+        return {r[key]: (r.n, _matrix(r, t + 1)) for r in rows}
 
     starts = df.groupBy(key).agg(F.avg("s").alias("a")).collect()
-    best = {r[key]: np.array([np.exp(r.a), 0, 0, 0, 0, 0]) for r in starts}
+    best = {r[key]: np.array([np.exp(r.a), *[0.0] * (t - 1)]) for r in starts}
     state, damping, done = sums(best) if best else {}, dict.fromkeys(best, 1e-3), set()
     for _ in range(most):
         trial = {}
         for g in best:
             if g not in done:
-                a, b = state[g][1][:6, :6], state[g][1][:6, 6]
+                a, b = state[g][1][:t, :t], state[g][1][:t, t]
                 trial[g] = best[g] - np.linalg.lstsq(a + damping[g] * np.diag(np.maximum(np.diag(a), 1e-12)), b, rcond=None)[0]
         if not trial:
             break
         for g, (n, matrix) in sums(trial).items():
-            before, after = state[g][1][6, 6], matrix[6, 6]
+            before, after = state[g][1][t, t], matrix[t, t]
             if after <= before:
                 best[g], state[g], damping[g] = trial[g], (n, matrix), damping[g] / 5
                 if before - after <= tol * before:
@@ -120,59 +124,130 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8) -> Dat
                 if damping[g] > 1e6:
                     done.add(g)
     df.unpersist()
-    rows = [(g, int(state[g][0]), float(state[g][1][6, 6] / state[g][0]), *map(float, c)) for g, c in best.items()]
-    return spark.createDataFrame(rows, f"`{key}` {kind}, n long, loss double, " + ", ".join(f"c{i} double" for i in range(6)))
+    rows = [(g, int(state[g][0]), float(state[g][1][t, t] / state[g][0]), g in done, *map(float, c)) for g, c in best.items()]
+    return spark.createDataFrame(rows, f"`{key}` {kind}, n long, loss double, converged boolean, " + ", ".join(f"c{i} double" for i in range(t)))
 
 
 def elasticities(df: DataFrame, coefficients: DataFrame, key: str) -> DataFrame:
-    """df with melast (the fitted share), integral (of it over m) and kelast (the integral's slope in k)."""
-    c = [F.col(f"c{i}") for i in range(6)]
-    k, m = F.col("k"), F.col("m")
-    made = df.join(F.broadcast(coefficients.select(key, *(f"c{i}" for i in range(6)))), key)
+    """df with melast (the fitted share), integral (of it over m), kelast and lelast (the integral's slopes in k and l)."""
+    c = [F.col(f"c{i}") for i in range(len(TERMS))]
+    k, m, l = F.col("k"), F.col("m"), F.col("l")  # noqa: E741
+    made = df.join(F.broadcast(coefficients.select(key, *(f"c{i}" for i in range(len(TERMS))))), key)  # a row a group
     return made.withColumns({
-        "melast": sum((a * b for a, b in zip(c[1:], share_terms(k, m)[1:], strict=True)), c[0]),
-        "integral": m * (c[0] + c[1] * k + c[3] * k * k + m * (c[2] + c[4] * k) / 2 + c[5] * m * m / 3),
-        "kelast": m * (c[1] + 2 * c[3] * k + c[4] * m / 2),
-    }).drop(*(f"c{i}" for i in range(6)))
+        "melast": sum((a * b for a, b in zip(c[1:], share_terms(k, m, l)[1:], strict=True)), c[0]),
+        "integral": m * (c[0] + c[1] * k + c[3] * l + c[4] * k * k + c[6] * l * l + c[8] * k * l + m * (c[2] + c[7] * k + c[9] * l) / 2 + c[5] * m * m / 3),
+        "kelast": m * (c[1] + 2 * c[4] * k + c[8] * l + c[7] * m / 2),
+        "lelast": m * (c[3] + 2 * c[6] * l + c[8] * k + c[9] * m / 2),
+    }).drop(*(f"c{i}" for i in range(len(TERMS))))
 
 
-def markov_gmm(df: DataFrame, keys: list[str], low: float = -2.0, high: float = 3.0, grid: int = 2001) -> DataFrame:
-    """Per group and root: n, root (number, ascending), alpha, persistence.
+def cross_moments(df: DataFrame, keys: list[str], make: Callable[[pd.DataFrame], np.ndarray], width: int) -> DataFrame:
+    """Per group: n and gram, the sums of products of make's columns (upper triangle by rows). Each task adds up its rows in
+    numpy, and the tasks' sums are added by group and place."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    upper = np.triu_indices(width)
 
-    Productivity is w = a - alpha k and follows a quadratic Markov process; alpha makes the innovation orthogonal to k. w, its
-    lags' polynomial and k are linear in eight monomials of a, k and their lags with weights that depend on alpha alone, so
-    one pass for the monomials' cross moments gives the exact moment at any alpha; its roots are found from them.
-    df has a, k, l_a and l_k; rows with a null are left out.
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, rows in batch.groupby(keys):
+                x = make(rows)
+                held[key] = held.get(key, 0) + np.append((x.T @ x)[upper], len(rows))
+        yield pd.DataFrame([(*k, v.tolist()) for k, v in held.items()], columns=[*keys, "g"])
+
+    sums = df.mapInPandas(part, f"{kinds}, g array<double>").select(*keys, F.posexplode("g").alias("pos", "g")).groupBy(*keys, "pos").agg(F.sum("g").alias("g"))
+    last = len(upper[0])
+    whole = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("g"))
+    return whole.select(*keys, F.col("g")[last]["g"].cast("long").alias("n"), F.slice("g.g", 1, last).alias("gram"))
+
+
+def markov_gmm(df: DataFrame, keys: list[str], most: int = 60) -> DataFrame:
+    """Per group: n, alpha_<term> of CONSTANT, persistence, loss and converged.
+
+    Productivity is w = a - alpha.(k, l, kk, ll, kl) and follows a quadratic Markov process; alpha makes the innovation
+    orthogonal to k, kk, the lagged l, its square, and k times it. w, its lag and the lag's square are linear in 35 monomials
+    with weights that depend on alpha alone, so one pass for the monomials' cross moments gives the exact moments at
+    any alpha; Newton steps, halved until the moments shrink, from the least-squares alpha, half of it and zero find where
+    they vanish, and the best is kept. loss: sum of squared moments; converged: it is zero to rounding. df has a, k, l and their lags l_a, l_k,
+    l_l; rows with a null are left out, and groups of fewer rows than monomials.
     """
-    df = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("a", "k", "l_a", "l_k"))).dropna()
-    la, lk = F.col("l_a"), F.col("l_k")
-    vector = [F.lit(1.0), F.col("a"), F.col("k"), la, lk, la * la, la * lk, lk * lk]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-    def moment(g: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
-        x = np.zeros((3, 8))
-        x[0, 0], x[1, 3], x[1, 4], x[2, 5:] = 1, 1, -alpha, (1, -2 * alpha, alpha * alpha)
-        w = np.array([0, 1, -alpha, 0, 0, 0, 0, 0.0])
+    names = ["a", "k", "l", "l_a", "l_k", "l_l"]
+    df = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in names)).dropna()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    left, right = np.triu_indices(6)
+    at = {"a": 1, "p": slice(2, 7), "lag": slice(7, 13), "squares": slice(13, 34)}
+    instruments = [2, 4, 9, 11, 34]  # k, kk, lagged l, its square, k times it
+
+    def make(x: pd.DataFrame) -> np.ndarray:
+        a, k, l, la, lk, ll = (x[c].to_numpy() for c in names)  # noqa: E741
+        lag = np.stack([la, lk, ll, lk * lk, ll * ll, lk * ll], 1)
+        return np.column_stack([np.ones(len(x)), a, k, l, k * k, l * l, k * l, lag, lag[:, left] * lag[:, right], k * ll])
+
+    def moments(g: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, x, own = np.zeros(35), np.zeros((3, 35)), np.concatenate(([1.0], -alpha))
+        w[at["a"]], w[at["p"]] = 1, -alpha
+        x[0, 0], x[1, at["lag"]] = 1, own
+        x[2, at["squares"]] = np.where(left == right, 1, 2) * own[left] * own[right]
         b = np.linalg.lstsq(x @ g @ x.T, x @ g @ w, rcond=None)[0]
-        return float(g[2] @ (w - b @ x)), b
+        return g[instruments] @ (w - b @ x), b
+
+    def solve_one(g: np.ndarray) -> tuple[np.ndarray, float, float]:
+        design = [0, *range(2, 7)]
+        ols = np.linalg.lstsq(g[np.ix_(design, design)], g[design, 1], rcond=None)[0][1:]
+        best = None
+        for alpha in (ols, ols / 2, np.zeros(5)):
+            f = moments(g, alpha)[0]
+            for _ in range(most):
+                h = 1e-5 * np.maximum(1, np.abs(alpha))
+                jac = np.stack([(moments(g, alpha + h * e)[0] - moments(g, alpha - h * e)[0]) / (2 * h[i]) for i, e in enumerate(np.eye(5))], 1)
+                step, size = np.linalg.lstsq(jac, -f, rcond=None)[0], 1.0
+                while size > 1e-4 and not (trial := moments(g, alpha + size * step)[0]) @ trial < f @ f:
+                    size /= 2
+                if size <= 1e-4 or f @ f < 1e-24:
+                    break
+                alpha, f = alpha + size * step, trial
+            if best is None or f @ f < best[1]:
+                best = alpha, float(f @ f)
+        return best[0], best[1], float(moments(g, best[0])[1][1])
 
-    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                g = _matrix(row, 8) / row["n"]
-                at = np.linspace(low, high, grid)
-                f = [moment(g, x)[0] for x in at]
-                found = 0
-                for i in range(grid - 1):
-                    if f[i] == 0 or f[i] * f[i + 1] < 0:
-                        a, b, fa = at[i], at[i + 1], f[i]
-                        for _ in range(60):
-                            mid = (a + b) / 2
-                            fm = moment(g, mid)[0]
-                            a, b, fa = (mid, b, fm) if fa * fm > 0 else (a, mid, fa)
-                        found += 1
-                        out.append((*(row[c] for c in keys), row["n"], found, (a + b) / 2, float(moment(g, (a + b) / 2)[1][1])))
-            yield pd.DataFrame(out, columns=[*keys, "n", "root", "alpha", "persistence"])
-
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *_gram(vector)).mapInPandas(roots, f"{key_ddl}, n long, root int, alpha double, persistence double")
+                if row["n"] < 35:
+                    continue
+                g = np.zeros((35, 35))
+                g[np.triu_indices(35)] = row["gram"]
+                alpha, loss, persistence = solve_one((g + np.triu(g, 1).T) / row["n"])
+                out.append((*(row[c] for c in keys), row["n"], *alpha.tolist(), persistence, loss, loss < 1e-14))
+            yield pd.DataFrame(out, columns=[*keys, "n", *(f"alpha_{c}" for c in CONSTANT), "persistence", "loss", "converged"])
+
+    return cross_moments(df, keys, make, 35).mapInPandas(solve, f"{kinds}, n long, {', '.join(f'alpha_{c} double' for c in CONSTANT)}, persistence double, loss double, converged boolean")
+
+
+def iv_exogenous(df: DataFrame, y: str, x: str, z: str, exogenous: list[str], keys: list[str]) -> DataFrame:
+    """Per group: n, beta of x (instrument z, with exogenous regressors and a constant), its HC0 standard error, and the
+    first stage's robust t of z. Two passes, as in ``wls``: cross moments, then both stages' squared scores."""
+    names = [x, z, y, *exogenous]
+    df = df.select(*keys, *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names))).dropna()
+    more = [F.lit(1.0), *(F.col(f"_v{i}") for i in range(3, len(names)))]
+    k = len(more) + 1
+    xs, zs, target = [F.col("_v0"), *more], [F.col("_v1"), *more], F.col("_v2")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    moments = df.groupBy(*keys).agg(F.count("*").alias("n"), *_gram([F.col("_v0"), F.col("_v1"), target, *more]))
+    zi, xi = [1, *range(3, k + 2)], [0, *range(3, k + 2)]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                g = _matrix(row, k + 2)
+                zx, zz = g[np.ix_(zi, xi)], g[np.ix_(zi, zi)]
+                if row["n"] > k and np.linalg.matrix_rank(zx) == k and np.linalg.matrix_rank(zz) == k:
+                    rows.append((*(row[c] for c in keys), row["n"], np.linalg.solve(zx, g[zi, 2]).tolist(), np.linalg.solve(zz, g[zi, 0]).tolist(), np.linalg.inv(zx)[0].tolist(), np.linalg.inv(zz)[0].tolist()))
+            yield pd.DataFrame(rows, columns=[*keys, "n", "_b", "_p", "_zx", "_zz"])
+
+    fitted = moments.mapInPandas(solve, f"{kinds}, n long, _b array<double>, _p array<double>, _zx array<double>, _zz array<double>")
+    dot = lambda name, v: sum((F.col(name)[i] * c for i, c in enumerate(v)), F.lit(0.0))
+    scored = df.join(fitted, keys).select(*keys, "n", F.col("_b")[0].alias("beta"), F.col("_p")[0].alias("_pi"), ((target - dot("_b", xs)) * dot("_zx", zs)).alias("_u"), ((F.col("_v0") - dot("_p", zs)) * dot("_zz", zs)).alias("_w"))
+    return scored.groupBy(*keys).agg(F.first("n").alias("n"), F.first("beta").alias("beta"), F.sqrt(F.sum(F.col("_u") * F.col("_u"))).alias("se"), (F.first("_pi") / F.sqrt(F.sum(F.col("_w") * F.col("_w")))).alias("first_t"))

@@ -12,10 +12,12 @@ def weighted_mean(x: str | Column, w: str | Column) -> Column:
     return F.try_divide(F.sum(w * x), F.sum(w))
 
 
-def weighted_corr(x: str, y: str, w: str) -> Column:
-    mx, my = weighted_mean(x, w), weighted_mean(y, w)
-    cov = weighted_mean(F.col(x) * F.col(y), w) - mx * my
-    return F.try_divide(cov, F.sqrt((weighted_mean(F.col(x) * F.col(x), w) - mx * mx) * (weighted_mean(F.col(y) * F.col(y), w) - my * my)))
+def weighted_corr(df: DataFrame, x: str, y: str, w: str, keys: list[str], name: str) -> DataFrame:
+    """Weighted correlation by group. Deviations from the group's weighted means are summed, so large means don't cancel."""
+    means = df.groupBy(*keys).agg(weighted_mean(x, w).alias("_mx"), weighted_mean(y, w).alias("_my"))
+    d = df.join(means, keys).select(*keys, F.col(w).alias("_w"), (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"))
+    s = lambda a, b: F.sum(F.col("_w") * F.col(a) * F.col(b))
+    return d.groupBy(*keys).agg(F.try_divide(s("_x", "_y"), F.sqrt(s("_x", "_x") * s("_y", "_y"))).alias(name))
 
 
 def partial_corr(x: str, y: str, control: str) -> Column:

@@ -34,18 +34,21 @@ def safe_ln(x: str | Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def _with_cuts(df: DataFrame, column: str, keys: list[str], low: float, high: float) -> DataFrame:
+    """df with the group's linear quantiles as cut_low and cut_high: they are aggregated by group, and the few rows joined."""
+    cuts = df.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_cut"))
+    return df.drop("cut_low", "cut_high").join(cuts.select(*keys, F.col("_cut")[0].alias("cut_low"), F.col("_cut")[1].alias("cut_high")), keys)
+
+
 def trim_by(df: DataFrame, column: str, keys: list[str], low: float, high: float, strict: bool = True) -> DataFrame:
-    """Rows between the group's linear quantiles of the column."""
-    cuts = F.percentile(column, F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*keys))
-    df = df.withColumn("_cut", cuts)
-    x, a, b = F.col(column), F.col("_cut")[0], F.col("_cut")[1]
-    return df.where((x > a) & (x < b) if strict else x.between(a, b)).drop("_cut")
+    """Rows between the group's linear quantiles of the column, with these as cut_low and cut_high."""
+    x, a, b = F.col(column), F.col("cut_low"), F.col("cut_high")
+    return _with_cuts(df, column, keys, low, high).where((x > a) & (x < b) if strict else x.between(a, b))
 
 
 def winsorize_by(df: DataFrame, column: str, keys: list[str], low: float, high: float, name: str) -> DataFrame:
-    cuts = F.percentile(column, F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*keys))
-    df = df.withColumn("_cut", cuts)
-    return df.withColumn(name, F.when(F.col(column).isNotNull(), F.greatest(F.col("_cut")[0], F.least(F.col(column), F.col("_cut")[1])))).drop("_cut")
+    inside = F.greatest(F.col("cut_low"), F.least(F.col(column), F.col("cut_high")))
+    return _with_cuts(df, column, keys, low, high).withColumn(name, F.when(F.col(column).isNotNull(), inside)).drop("cut_low", "cut_high")
 
 
 def lookup_with_fallback(df: DataFrame, levels: list[tuple[DataFrame, list[str]]], value: str) -> DataFrame:
@@ -58,12 +61,15 @@ def lookup_with_fallback(df: DataFrame, levels: list[tuple[DataFrame, list[str]]
 
 
 def waterfall(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
-    """Rows and distinct entities left after each filter, in one pass: step, name, n_rows, n_entities."""
+    """Rows and distinct entities left after each filter, and rows that it dropped, in one pass: step, name, n_rows, n_entities, dropped."""
     passed, flags = F.lit(True), []
     for name, condition in steps:
         passed = passed & F.coalesce(condition, F.lit(False))
         flags.append(F.struct(F.lit(len(flags) + 1).alias("step"), F.lit(name).alias("name"), passed.alias("ok")))
-    return df.select("entity", F.explode(F.array(*flags)).alias("s")).where("s.ok").groupBy("s.step", "s.name").agg(F.count("*").alias("n_rows"), F.countDistinct("entity").alias("n_entities"))
+    left = df.select("entity", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.lit("all").alias("name"), F.lit(True).alias("ok")), *flags)).alias("s")).where("s.ok")
+    left = left.groupBy("s.step", "s.name").agg(F.count("*").alias("n_rows"), F.countDistinct("entity").alias("n_entities"))
+    before = F.lag("n_rows").over(Window.orderBy("step"))  # a row a step
+    return left.withColumn("dropped", before - F.col("n_rows")).where("step > 0")
 
 
 def validate(df: DataFrame, keys: list[str], positive: str) -> DataFrame:

@@ -46,7 +46,7 @@ def _(p):
 @query("agg14_weighted_correlation", LOGS + """, m AS (SELECT *, sum(cap*x) OVER (PARTITION BY cell)/sum(cap) OVER (PARTITION BY cell) AS mx, sum(cap*y) OVER (PARTITION BY cell)/sum(cap) OVER (PARTITION BY cell) AS my FROM v)
 SELECT cell, round(sum(cap*(x-mx)*(y-my))/sqrt(sum(cap*(x-mx)*(x-mx))*sum(cap*(y-my)*(y-my))), 6) AS r FROM m GROUP BY 1""")
 def _(p):
-    return r6(logs(p).groupBy("cell").agg(moments.weighted_corr("x", "y", "cap").alias("r")))
+    return r6(moments.weighted_corr(logs(p), "x", "y", "cap", ["cell"], "r"))
 
 
 @query("agg16_pooled_rank_correlation", """r AS (SELECT (rank() OVER (PARTITION BY market ORDER BY rev) + (count(*) OVER (PARTITION BY market, rev)-1)/2.0)/count(*) OVER (PARTITION BY market) AS a, (rank() OVER (PARTITION BY market ORDER BY cap) + (count(*) OVER (PARTITION BY market, cap)-1)/2.0)/count(*) OVER (PARTITION BY market) AS b FROM panel)
@@ -86,10 +86,10 @@ def _(p):
     return p.groupBy("cell", *KEYS).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("agg38_log_summary", LOGS + "\nSELECT year, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd, round(quantile_cont(y, 0.1), 6) AS p10, round(quantile_cont(y, 0.9), 6) AS p90 FROM v GROUP BY 1")
+@query("agg38_log_summary", LOGS + "\nSELECT year, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd, round(quantile_cont(y, 0.1), 6) AS p10, round(quantile_cont(y, 0.5), 6) AS p50, round(quantile_cont(y, 0.9), 6) AS p90, round(quantile_cont(y, 0.99), 6) AS p99 FROM v GROUP BY 1")
 def _(p):
     q = lambda a: F.percentile("y", F.lit(a))
-    return r6(logs(p).groupBy("year").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev("y").alias("sd"), q(0.1).alias("p10"), q(0.9).alias("p90")))
+    return r6(logs(p).groupBy("year").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev("y").alias("sd"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99")))
 
 
 @query("agg40_firm_means", LOGS + "\nSELECT market, entity, round(avg(y), 6) AS mean_ln, round(ln(avg(exp(y))), 6) AS ln_mean FROM v WHERE year BETWEEN 1996 AND 1999 GROUP BY 1, 2")

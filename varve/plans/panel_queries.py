@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varve.operators import market, panel, quantiles, regress, simulate
+from varve.operators import market, panel, quantiles, regress
 from varve.sources.proxy import firm_years, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +53,11 @@ def _(p):
     return r6(p.select("entity", "year", (F.col("mate") / F.col("rev")).alias("share")).where("share between 0.2D and 0.8D"))
 
 
-@query("flt7_waterfall", """SELECT 1 AS step, 'positive' AS name, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM panel WHERE staf > 0
+@query("flt7_waterfall", """s AS (SELECT 0 AS step, '' AS name, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM panel
+UNION ALL SELECT 1, 'positive', count(*), count(DISTINCT entity) FROM panel WHERE staf > 0
 UNION ALL SELECT 2, 'recent', count(*), count(DISTINCT entity) FROM panel WHERE staf > 0 AND year >= 1997
-UNION ALL SELECT 3, 'band', count(*), count(DISTINCT entity) FROM panel WHERE staf > 0 AND year >= 1997 AND mate < rev""")
+UNION ALL SELECT 3, 'band', count(*), count(DISTINCT entity) FROM panel WHERE staf > 0 AND year >= 1997 AND mate < rev)
+SELECT * FROM (SELECT *, lag(n_rows) OVER (ORDER BY step) - n_rows AS dropped FROM s) WHERE step > 0""")
 def _(p):
     return panel.waterfall(p, [("positive", F.col("staf") > 0), ("recent", F.col("year") >= 1997), ("band", F.col("mate") < F.col("rev"))])
 
@@ -221,9 +223,9 @@ def _(p):
 
 
 @query("win12_trim", """q AS (SELECT cell, quantile_cont(rev, 0.01) AS a, quantile_cont(rev, 0.99) AS b FROM panel GROUP BY 1)
-SELECT entity, year, rev FROM panel JOIN q USING (cell) WHERE rev > a AND rev < b""")
+SELECT entity, year, rev, round(a, 6) AS cut_low, round(b, 6) AS cut_high FROM panel JOIN q USING (cell) WHERE rev > a AND rev < b""")
 def _(p):
-    return panel.trim_by(p, "rev", ["cell"], 0.01, 0.99).select("entity", "year", "rev")
+    return r6(panel.trim_by(p, "rev", ["cell"], 0.01, 0.99).select("entity", "year", "rev", "cut_low", "cut_high"))
 
 
 @query("win13_winsorize", """q AS (SELECT cell, quantile_cont(cap, 0.05) AS a, quantile_cont(cap, 0.95) AS b FROM panel GROUP BY 1)
@@ -265,12 +267,15 @@ def _(p):
 
 
 @query("est8_rolling_iv", """g AS (SELECT cell, year, ln(rev) AS y, ln(mate) AS x, CASE WHEN lag(year) OVER w = year-1 THEN ln(lag(mate) OVER w) END AS z FROM panel WINDOW w AS (PARTITION BY entity ORDER BY year)),
-k AS (SELECT g.cell, c.year AS centre, y, x, z FROM g JOIN (SELECT DISTINCT year FROM panel) c ON g.year BETWEEN c.year-2 AND c.year+2 WHERE z IS NOT NULL),
-d AS (SELECT cell, centre, y-avg(y) OVER w AS y, x-avg(x) OVER w AS x, z-avg(z) OVER w AS z FROM k WINDOW w AS (PARTITION BY cell, centre)), b AS (SELECT cell, centre, sum(z*y)/sum(z*x) AS b FROM d GROUP BY 1, 2)
-SELECT cell, centre, count(*) AS n, round(any_value(b), 4) AS beta, round(sqrt(sum((y-b*x)*(y-b*x)*z*z))/abs(sum(z*x)), 4) AS se FROM d JOIN b USING (cell, centre) GROUP BY 1, 2""")
+k AS (SELECT g.cell, c.centre, y, x, z FROM g JOIN (SELECT unnest(range(1997, 2001)) AS centre) c ON g.year BETWEEN centre-2 AND centre+2 WHERE z IS NOT NULL),
+d AS (SELECT cell, centre, y-avg(y) OVER w AS y, x-avg(x) OVER w AS x, z-avg(z) OVER w AS z FROM k WINDOW w AS (PARTITION BY cell, centre)),
+b AS (SELECT cell, centre, sum(z*y)/sum(z*x) AS b, sum(z*x)/sum(z*z) AS p, sum(z*x) AS zx, sum(z*z) AS zz FROM d GROUP BY 1, 2),
+e AS (SELECT cell, centre, count(*) AS n, round(any_value(b), 4) AS beta, round(sqrt(sum((y-b*x)*(y-b*x)*z*z))/abs(any_value(zx)), 4) AS se, round(any_value(p*zz)/sqrt(sum((x-p*z)*(x-p*z)*z*z)), 2) AS first_t FROM d JOIN b USING (cell, centre) GROUP BY 1, 2 HAVING count(*) >= 10)
+SELECT cell, CAST(centre AS INTEGER) AS year, n, beta, se, first_t, false AS imputed FROM e UNION ALL SELECT cell, CAST(y.year AS INTEGER), n, beta, se, first_t, true FROM e, (SELECT unnest([1995, 1996]) AS year) y WHERE centre = 1997""")
 def _(p):
     p = panel.consecutive_lag(p, ["mate"]).select("cell", "year", panel.safe_ln("rev").alias("y"), panel.safe_ln("mate").alias("x"), panel.safe_ln("l_mate").alias("z"))
-    return regress.iv(regress.rolling(p, 2), "y", "x", "z", ["cell", "centre"]).select("cell", "centre", "n", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"))
+    got = regress.rolling_iv(p, "y", "x", "z", "cell", 2, (1997, 2000), [1995, 1996], 10)
+    return got.select("cell", "year", "n", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"), F.round("first_t", 2).alias("first_t"), "imputed")
 
 
 @query("est23_trend", "SELECT market, round(10*regr_slope(cap, year), 6) AS per_decade FROM panel GROUP BY 1")
@@ -290,7 +295,6 @@ def _(p):
     return p.where("mate > 0").select("entity", "year", F.round(1 / F.avg(1 / F.col("mate")).over(Window.partitionBy("cell")), 4).alias("level"))
 
 
-QUERIES["sim8_market_fixed_point"] = lambda spark, sf_dir: r6(simulate.markets(spark, 2000))
 QUERIES["smp1_entity_sample"] = lambda spark, sf_dir: firm_years(spark, sf_dir).where(F.pmod(F.xxhash64("entity", F.lit(7)), F.lit(10_000)) < 2_500).select("entity", "year", "rev")
 QUERIES["agg1_orders"] = lambda spark, sf_dir: r6(table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total")))
 SQL["agg1_orders"] = "SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"

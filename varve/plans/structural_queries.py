@@ -17,8 +17,9 @@ def logged(p):
 
 
 def production(p):
-    """k, m (centred in the cell), s (log share) and a year's own columns."""
-    return estimate.centred(logged(p).withColumns({"k": F.col("x"), "m": F.col("z"), "s": F.col("z") - F.col("y")}), "cell")
+    """k, m, l (centred in the cell), s (log share) and a year's own columns; rows without labour are left out."""
+    logs = logged(p).where("staf > 0").withColumns({"k": F.col("x"), "m": F.col("z"), "l": F.ln("staf"), "s": F.col("z") - F.col("y")})
+    return estimate.centred(logs, "cell")
 
 
 @query("agg8_weighted_median", "c AS (SELECT market, rev, sum(cap) OVER (PARTITION BY market ORDER BY rev)/sum(cap) OVER (PARTITION BY market) AS c FROM panel WHERE cap > 0)\nSELECT market, min(rev) AS med FROM c WHERE c >= 0.5 - 1e-12 GROUP BY 1")
@@ -32,7 +33,7 @@ def _(p):
     return d.groupBy("cell").agg(F.round(F.sqrt(moments.weighted_mean(F.col("d") * F.col("d"), "cap")), 4).alias("sd"))
 
 
-@query("agg18_residual_correlation", V + ", b AS (SELECT cell, regr_slope(y, x) AS by_, regr_slope(z, x) AS bz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM v GROUP BY 1)\nSELECT cell, round(corr(y-my-by_*(x-mx), z-mz-bz*(x-mx)), 6) AS r FROM v JOIN b USING (cell) GROUP BY 1")
+@query("agg18_residual_correlation", V + ", b AS (SELECT cell, regr_slope(y, x) AS by_, regr_slope(z, x) AS sz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM v GROUP BY 1)\nSELECT cell, round(corr(y-my-by_*(x-mx), z-mz-bz*(x-mx)), 6) AS r FROM v JOIN b USING (cell) GROUP BY 1")
 def _(p):
     w = Window.partitionBy("cell")
     rest = lambda c: F.col(c) - F.avg(c).over(w) - F.regr_slope(c, "x").over(w) * (F.col("x") - F.avg("x").over(w))
@@ -226,8 +227,8 @@ def _(p):
 
 
 @query("est5_weighted_fixed_effects", V + """, m AS (SELECT cap AS w, y - sum(cap*y) OVER g/sum(cap) OVER g AS y, x - sum(cap*x) OVER g/sum(cap) OVER g AS x, z - sum(cap*z) OVER g/sum(cap) OVER g AS z FROM v WINDOW g AS (PARTITION BY market, year)),
-s AS (SELECT count(*) AS n, sum(w*x*x) AS xx, sum(w*x*z) AS xz, sum(w*z*z) AS zz, sum(w*x*y) AS xy, sum(w*z*y) AS zy, sum(w*y*y) AS yy FROM m), b AS (SELECT *, (xy*zz-zy*xz)/(xx*zz-xz*xz) AS bx, (zy*xx-xy*xz)/(xx*zz-xz*xz) AS bz FROM s)
-SELECT n, round(bx, 6) AS bx, round(bz, 6) AS bz, round((bx*xy+bz*zy)/yy, 6) AS r2, round(xy*xy/xx/yy, 6) AS r2_x, round(zy*zy/zz/yy, 6) AS r2_z FROM b""")
+s AS (SELECT count(*) AS n, sum(w*x*x) AS xx, sum(w*x*z) AS xz, sum(w*z*z) AS zz, sum(w*x*y) AS xy, sum(w*z*y) AS zy, sum(w*y*y) AS yy FROM m), b AS (SELECT *, (xy*zz-zy*xz)/(xx*zz-xz*xz) AS sx, (zy*xx-xy*xz)/(xx*zz-xz*xz) AS bz FROM s)
+SELECT n, round(bx, 6) AS sx, round(bz, 6) AS sz, round((bx*xy+bz*zy)/yy, 6) AS r2, round(xy*xy/xx/yy, 6) AS r2_x, round(zy*zy/zz/yy, 6) AS r2_z FROM b""")
 def _(p):
     d = logged(p).select(F.col("cap").alias("w"), *(moments.demean(c, ["market", "year"], "cap").alias(c) for c in "xyz"))
     s = d.agg(F.count("*").alias("n"), *(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "xz", "zz", "xy", "zy", "yy")))
@@ -258,7 +259,7 @@ def _(p):
     return r6(estimate.wls(logged(p), "y", ["x"], ["cell"], "cap").where("term = 'x'").select("cell", "n", "coef", "se"))
 
 
-@query("est7_two_regressors", V + """, m AS (SELECT cell, y-avg(y) OVER (PARTITION BY cell) AS y, x-avg(x) OVER (PARTITION BY cell) AS x, z-avg(z) OVER (PARTITION BY cell) AS z FROM v), s AS (SELECT cell, count(*) AS n, sum(x*x) AS xx, sum(x*z) AS xz, sum(z*z) AS zz, sum(x*y) AS xy, sum(z*y) AS zy FROM m GROUP BY 1)
+@query("est5_two_regressors", V + """, m AS (SELECT cell, y-avg(y) OVER (PARTITION BY cell) AS y, x-avg(x) OVER (PARTITION BY cell) AS x, z-avg(z) OVER (PARTITION BY cell) AS z FROM v), s AS (SELECT cell, count(*) AS n, sum(x*x) AS xx, sum(x*z) AS xz, sum(z*z) AS zz, sum(x*y) AS xy, sum(z*y) AS zy FROM m GROUP BY 1)
 SELECT cell, n, 'x' AS term, round((xy*zz-zy*xz)/(xx*zz-xz*xz), 6) AS coef FROM s UNION ALL SELECT cell, n, 'z', round((zy*xx-xy*xz)/(xx*zz-xz*xz), 6) FROM s""")
 def _(p):
     return r6(estimate.wls(logged(p), "y", ["x", "z"], ["cell"]).where("term <> 'const'").select("cell", "n", "term", "coef"))
@@ -301,14 +302,25 @@ def est14_share_nls(spark, sf_dir):
 
 def est16_elasticities(spark, sf_dir):
     p = production(firm_years(spark, sf_dir))
-    return r6(estimate.elasticities(p, estimate.share_nls(p, "cell"), "cell").select("entity", "year", "melast", "kelast"))
+    return r6(estimate.elasticities(p, estimate.share_nls(p, "cell"), "cell").select("entity", "year", "melast", "kelast", "lelast"))
 
 
 def est17_markov_gmm(spark, sf_dir):
-    """The second step: all exact roots of the capital moment in each cell, net of the integrated elasticity."""
+    """The second step in each cell: five coefficients of capital and labour, net of the integrated elasticity."""
     p = production(firm_years(spark, sf_dir))
     net = estimate.elasticities(p, estimate.share_nls(p, "cell"), "cell").withColumn("a", F.col("y") - F.col("integral"))
-    return r6(estimate.markov_gmm(panel.consecutive_lag(net, ["a", "k"]), ["cell"]))
+    return r6(estimate.markov_gmm(panel.consecutive_lag(net, ["a", "k", "l"]), ["cell"]))
 
 
 QUERIES |= {f.__name__: f for f in (est14_share_nls, est16_elasticities, est17_markov_gmm)}
+
+
+@query("est7_iv", """g AS (SELECT entity, cell, ln(rev) AS y, ln(mate) AS x, ln(cap) AS k, CASE WHEN lag(year) OVER w = year-1 THEN ln(lag(mate) OVER w) END AS z FROM panel WHERE rev > 0 AND cap > 0 AND mate > 0 WINDOW w AS (PARTITION BY entity ORDER BY year)),
+f AS (SELECT cell, regr_slope(y, k) AS sy, regr_intercept(y, k) AS ay, regr_slope(x, k) AS sx, regr_intercept(x, k) AS ax, regr_slope(z, k) AS sz, regr_intercept(z, k) AS az FROM g WHERE z IS NOT NULL GROUP BY 1),
+d AS (SELECT cell, y-ay-sy*k AS y, x-ax-sx*k AS x, z-az-sz*k AS z FROM g JOIN f USING (cell) WHERE z IS NOT NULL),
+b AS (SELECT cell, sum(z*y)/sum(z*x) AS b, sum(z*x)/sum(z*z) AS p, sum(z*x) AS zx, sum(z*z) AS zz FROM d GROUP BY 1)
+SELECT cell, count(*) AS n, round(any_value(b), 4) AS beta, round(sqrt(sum((y-b*x)*(y-b*x)*z*z))/abs(any_value(zx)), 4) AS se, round(any_value(p*zz)/sqrt(sum((x-p*z)*(x-p*z)*z*z)), 2) AS first_t FROM d JOIN b USING (cell) GROUP BY 1""")
+def _(p):
+    lagged = panel.consecutive_lag(logged(p), ["z"])
+    got = estimate.iv_exogenous(lagged, "y", "z", "l_z", ["x"], ["cell"])
+    return got.select("cell", "n", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"), F.round("first_t", 2).alias("first_t"))

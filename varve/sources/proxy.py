@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def firm_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity, year, cell, market, rev, mate, staf, cap; (entity, year) is a key."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(
+def firm_years(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """entity, year, cell, market, rev, mate, staf, cap; (entity, year) is a key. Bounds on the year reach the scan as bounds
+    on the ship date."""
+    lines = table(spark, sf_dir, "lineitem")
+    if first is not None:
+        lines = lines.where(F.col("l_shipdate") >= F.lit(f"{first}-01-01").cast(lines.schema["l_shipdate"].dataType))
+    if last is not None:
+        lines = lines.where(F.col("l_shipdate") < F.lit(f"{last + 1}-01-01").cast(lines.schema["l_shipdate"].dataType))
+    lines = lines.groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"),
         F.sum("l_quantity").alias("cap"),
         F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("staf"),
