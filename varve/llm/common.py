@@ -94,6 +94,8 @@ def unused(df: DataFrame, name: str) -> str:
 def deal(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n", most_hot: int = 50_000) -> DataFrame:
     """rows left-joined with groups, which has one row for each value of keys and in column n the number of rows with it.
 
+    groups is read three times, so it should be a written table (``cut``).
+
     Groups with over one part in most_hot of all rows (at most most_hot of them, so they are broadcast) are met without a
     shuffle, and their rows are dealt out by chance; all others are shuffled on keys. So no key's rows meet in one task.
     """

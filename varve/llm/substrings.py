@@ -109,6 +109,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
 def _runs(rows: DataFrame) -> DataFrame:
     """Copied anchors that follow on each other: run, d, t, w0 and w1 (words), and their owner's od, ot, ow0."""
     owners = rows.groupBy("h").agg(F.min(F.struct("d", "t", "w")).alias("o"), F.count("*").alias("c")).where("c > 1")
+    owners = cut(rows.sparkSession, owners, "owners")
     met = deal(rows, owners, ["h"], "c").where("o is not null").select("d", "t", "w", "n", F.col("o.d").alias("od"), F.col("o.t").alias("ot"), F.col("o.w").alias("ow"))
     own = (F.col("d") == F.col("od")) & (F.col("t") == F.col("ot"))
     copies = met.where(~own | (F.col("w") >= F.col("ow") + F.col("n"))).withColumn("shift", F.col("w") - F.col("ow"))
@@ -169,6 +170,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Thousands of copies may have one owner's place.
     place = ["od", "ot", "ow", "left"]
     owners = ends.groupBy(*place).agg(F.count("*").alias("c")).join(near.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("w").alias("ow"), "left", F.col("near").alias("onear")), place)
+    owners = cut(docs.sparkSession, owners, "owners")
     met = deal(ends.join(near, ["d", "t", "w", "left"]), owners, place, "c")
 
     def grow(x: dict) -> Iterator[dict]:
