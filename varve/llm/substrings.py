@@ -30,7 +30,7 @@ from .common import by_size, cut, deal, map_arrow, unused
 
 #: Expected words in a chunk, bytes after which a chunk ends at the next word at latest, words of an anchor and of a
 #: passage, bytes of text compared beyond each end of a run.
-MEAN_WORDS, MOST_BYTES, SEED_WORDS, MIN_WORDS, REACH = 5, 1024, 8, 30, 320
+MEAN_WORDS, MOST_BYTES, SEED_WORDS, MIN_WORDS, REACH = 5, 128, 8, 30, 320
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BELOW = np.uint16((1 << 16) // MEAN_WORDS)
