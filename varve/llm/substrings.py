@@ -126,7 +126,7 @@ def _word_starts(raw: bytes) -> np.ndarray:
 
 
 def _around(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """d, t, w, left (whether the text before word w is meant), near: up to REACH bytes of whole words there."""
+    """d, t, w, left (whether the text before word w is meant), near: up to REACH bytes of whole words there. Equal rows of docs give equal rows."""
     wanted = places.distinct().groupBy("d", "t").agg(F.collect_list(F.struct("w", "left")).alias("places"), F.count("*").alias("c"))
     wanted = by_size(cut(docs.sparkSession, wanted, "places"), 500_000, F.col("c") + 2).drop("c")
 
@@ -145,7 +145,7 @@ def _around(docs: DataFrame, places: DataFrame) -> DataFrame:
                     out[k].append(v)
         yield out
 
-    return map_arrow(docs.join(wanted, ["d", "t"]).select("d", "t", "text", "places"), "d long, t int, w int, left boolean, near binary", f, 64).distinct()
+    return map_arrow(docs.join(wanted, ["d", "t"]).select("d", "t", "text", "places"), "d long, t int, w int, left boolean, near binary", f, 64)
 
 
 def _alike(left: bool, a: bytes, b: bytes) -> int:
@@ -167,6 +167,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("w0").alias("w"), F.col("ow0").alias("ow")), F.struct(F.lit(False).alias("left"), F.col("w1").alias("w"), (F.col("ow0") + length).alias("ow"))))
     ends = runs.select("run", "d", "t", "od", "ot", sides.alias("s")).select("run", "d", "t", "od", "ot", "s.*")
     near = cut(docs.sparkSession, _around(docs, ends.select("d", "t", "w", "left").union(ends.select("od", "ot", "ow", "left"))), "near")
+    # One row a place, dealt by the keys of the joins below, which so need no other shuffle of the texts.
+    near = near.groupBy("d", "t", "w", "left").agg(F.min("near").alias("near"))
     # Thousands of copies may have one owner's place.
     place = ["od", "ot", "ow", "left"]
     owners = ends.groupBy(*place).agg(F.count("*").alias("c")).join(near.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("w").alias("ow"), "left", F.col("near").alias("onear")), place)
