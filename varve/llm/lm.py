@@ -13,7 +13,7 @@ stand for equal shares of the rest. The words of one hashed id share its probabi
 Every position of every document is a target once. Documents are dealt to shards by a hash of doc_id and text, each of
 about ``SHARD`` words, and sorted in them, so the result does not depend on how the input is partitioned. Each shard
 fits the network from the same start; the shards' changes are averaged in a tree, ``FAN`` to one, a word's vectors weighted
-by its occurrences in the shard. So what is counted, trained and averaged grows with the corpus; only the bounded
+by its occurrences in the shard. A network travels in ``PIECES`` by ranges of ids, averaged apart, so no row is wide. So what is counted, trained and averaged grows with the corpus; only the bounded
 weights and vocabulary reach the driver.
 
 Null, empty and wordless texts have no words: their sum is 0 and their mean null. Repeated rows score alike.
@@ -38,7 +38,7 @@ from .decontaminate import words_of
 VOCABULARY, BUCKETS = 16_384, 4_096
 WIDTH, HIDDEN, SIDE = 16, 32, 2
 NOISE, HEAD, TAIL = 64, 64, 64
-SHARD, MOST_SHARDS, FAN = 3_000_000, 20_000, 16
+SHARD, MOST_SHARDS, FAN, PIECES = 3_000_000, 20_000, 16, 16
 RATE, BATCH = 0.1, 2048
 
 
@@ -218,51 +218,75 @@ def train(docs: DataFrame, vocab: Vocabulary, shard: int = SHARD) -> list[np.nda
         if n:
             fit(1)
         if seen.any():
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "net": [_pack(net, seen)]})
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()] * PIECES, "piece": list(range(PIECES)), "net": _pack(net, seen)})
 
     n = min(MOST_SHARDS, max(1, -(-vocab.total // shard)))
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).repartition(n, "k").sortWithinPartitions("k", "text").select("text")
-    nets = cut(spark, small_batches(dealt).mapInArrow(run, "part long, net binary"), "networks")
+    schema = "part long, piece long, net binary"
+    nets = cut(spark, small_batches(dealt).mapInArrow(run, schema), "networks")
 
     def mean(table: pa.Table) -> pa.Table:
-        total, sums = np.zeros(n_ids), None
-        for raw in sorted(zip(table["part"].to_pylist(), table["net"].to_pylist(), strict=True)):  # at most FAN
-            change, seen = _unpack(raw[1], n_ids)
-            part = [c * w for c, w in zip(change, _weights(seen), strict=True)]
-            sums = part if sums is None else [a + b for a, b in zip(sums, part, strict=True)]
-            total += seen
-        change = [s / np.maximum(w, 1) for s, w in zip(sums, _weights(total), strict=True)]
-        return pa.table({"part": [table["part"][0].as_py() // FAN], "net": [_packed(change, total)]})
-
-    while nets.count() > 1:
-        nets = cut(spark, nets.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(mean, "part long, net binary"), "networks")
-    row = nets.first()
+        piece, sums, weights, all_seen, all_total = table["piece"][0].as_py(), None, None, 0.0, 0.0
+        for _, raw in sorted(zip(table["part"].to_pylist(), table["net"].to_pylist(), strict=True)):  # at most FAN
+            change, seen, total = _unpack(raw, piece, n_ids)
+            w = _weights(seen, total, piece)
+            part = [c * x for c, x in zip(change, w, strict=True)]
+            sums = part if sums is None else [x + y for x, y in zip(sums, part, strict=True)]
+            weights = w if weights is None else [x + y for x, y in zip(weights, w, strict=True)]
+            all_seen, all_total = all_seen + seen, all_total + total
+        change = [x / np.maximum(w, 1) for x, w in zip(sums, weights, strict=True)]
+        return pa.table({"part": [table["part"][0].as_py() // FAN], "piece": [piece], "net": [_packed(change, all_seen, all_total)]})
+
+    while nets.count() > PIECES:
+        nets = cut(spark, nets.groupBy(F.floor(F.col("part") / FAN).alias("g"), "piece").applyInArrow(mean, schema), "networks")
     net = initial(n_ids)
-    return [p + c.astype(np.float32) for p, c in zip(net, _unpack(row.net, n_ids)[0], strict=True)] if row else net
+    for row in nets.collect():  # one network
+        at = slice(*_range(row.piece, n_ids))
+        for p, c in zip((net[0][at], net[1], net[2], net[3][at]), _unpack(row.net, row.piece, n_ids)[0], strict=True):
+            if c.size:
+                p += c.astype(np.float32)
+    return net
 
 
-def _weights(seen: np.ndarray) -> list:
-    """Of each part of a network in an average; what is beyond a text's ends is met in each."""
-    rows = np.where(np.arange(len(seen)) == 0, seen.sum(), seen)[:, None]
-    return [rows, seen.sum(), seen.sum(), rows]
+def _range(piece: int, n_ids: int) -> tuple[int, int]:
+    """First id of a piece, and of the next."""
+    return piece * n_ids // PIECES, (piece + 1) * n_ids // PIECES
 
 
-def _packed(change: list[np.ndarray], seen: np.ndarray) -> bytes:
-    return seen.astype("<f4").tobytes() + b"".join(c.astype("<f2").tobytes() for c in change)
+def _weights(seen: np.ndarray, total: float, piece: int) -> list:
+    """Of each part of a piece in an average; what is beyond a text's ends (id 0) is met in each shard."""
+    rows = seen.copy()
+    if piece == 0 and len(rows):
+        rows[0] = total
+    return [rows[:, None], total, total, rows[:, None]]
 
 
-def _pack(net: list[np.ndarray], seen: np.ndarray) -> bytes:
-    """What training has changed, zero for words not met, and how often each id was a target."""
-    rows = _weights(seen)[0] > 0
-    return _packed([(p - q) * (rows if p.ndim == 2 and len(p) == len(seen) else 1) for p, q in zip(net, initial(len(seen)), strict=True)], seen)
+def _packed(change: list[np.ndarray], seen: np.ndarray, total: float) -> bytes:
+    return np.float64(total).tobytes() + seen.astype("<f4").tobytes() + b"".join(c.astype("<f2").tobytes() for c in change)
 
 
-def _unpack(raw: bytes, n_ids: int) -> tuple[list[np.ndarray], np.ndarray]:
-    flat, out = np.frombuffer(raw, "<f2", offset=4 * n_ids), []
-    for p in initial(n_ids):
-        out.append(flat[: p.size].reshape(p.shape).astype(np.float64))
-        flat = flat[p.size :]
-    return out, np.frombuffer(raw, "<f4", n_ids).astype(np.float64)
+def _pack(net: list[np.ndarray], seen: np.ndarray) -> list[bytes]:
+    """The pieces of what training has changed, zero for words not met, and how often each id was a target. The first has
+    the hidden layer."""
+    e, u, a, v = (p - q for p, q in zip(net, initial(len(seen)), strict=True))
+    out = []
+    for piece in range(PIECES):
+        at = slice(*_range(piece, len(seen)))
+        met = _weights(seen[at], seen.sum(), piece)[0] > 0
+        out.append(_packed([e[at] * met, *((u, a) if piece == 0 else (u[:0], a[:0])), v[at] * met], seen[at], seen.sum()))
+    return out
+
+
+def _unpack(raw: bytes, piece: int, n_ids: int) -> tuple[list[np.ndarray], np.ndarray, float]:
+    first, end = _range(piece, n_ids)
+    n, hidden_rows = end - first, 2 * SIDE * WIDTH if piece == 0 else 0
+    seen = np.frombuffer(raw, "<f4", n, 8).astype(np.float64)
+    flat, out = np.frombuffer(raw, "<f2", offset=8 + 4 * n), []
+    for shape in ((n, WIDTH), (hidden_rows, HIDDEN), (HIDDEN if piece == 0 else 0,), (n, HIDDEN + 1)):
+        size = int(np.prod(shape))
+        out.append(flat[:size].reshape(shape).astype(np.float64))
+        flat = flat[size:]
+    return out, seen, float(np.frombuffer(raw, "<f8", 1)[0])
 
 
 def conditional(vocab: Vocabulary, net: list[np.ndarray], context: np.ndarray, ids: np.ndarray) -> np.ndarray:
