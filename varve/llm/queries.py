@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, lm, neardup, packing, quality, sql, store, substrings, toxicity
-from .common import load, new_path
+from . import chat, classifier, decontaminate, licenses, lm, neardup, packing, phrases, quality, repair, sql, sql_phrases, sql_repair, store, substrings, toxicity
+from .common import cut, load, new_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -70,11 +70,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(documents(spark, sf_dir))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = load(spark, sf_dir, "labels").select("doc_id", "quality").where(~toxicity.held_out())
+    return classifier.score(docs, classifier.fit(docs, labels)).withColumn("held_out", toxicity.held_out())
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damage(load(spark, sf_dir, "conversations"))
+    return repair.digests(rows, cut(spark, repair.audits(repair.signatures(rows)), "audits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_queries = (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_packing, op5_minhash_dedup, op6_decontaminate, op7_chat_format, op8_content_store, op9_license_scan, op10_quality_rules)
+    all_queries = (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_packing, op5_minhash_dedup, op6_decontaminate, op7_chat_format, op8_content_store, op9_license_scan, op10_quality_rules, op11_quality_classifier, op12_phrase_mining, op13_conversation_repair)
     return {f.__name__: f for f in all_queries}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL expresses; tests/llm compares the others with brute force."""
-    return {"op5_minhash_dedup": sql.OP5, "op6_decontaminate": sql.OP6, "op7_chat_format": sql.OP7, "op9_license_scan": sql.OP9, "op10_quality_rules": sql.OP10}
+    return {"op5_minhash_dedup": sql.OP5, "op6_decontaminate": sql.OP6, "op7_chat_format": sql.OP7, "op9_license_scan": sql.OP9, "op10_quality_rules": sql.OP10, "op12_phrase_mining": sql_phrases.OP12, "op13_conversation_repair": sql_repair.OP13}
