@@ -93,7 +93,7 @@ def _grams(batch: pa.Table, lengths: tuple[int, ...], parts: np.ndarray | None)
         may = np.concatenate((_bits(h, parts), np.zeros(n_words - len(h), bool))) & (x.left >= size)
     key = x.of_lang.astype(np.int64) * len(x.names) + x.code
     seen, key = np.unique(key, return_inverse=True)
-    for n in range(1, lengths[-1] + 1):
+    for n in range(1, min(lengths[-1], n_words) + 1):
         if n > 1:  # the n-gram is its first n - 1 words and one more
             at = key * len(x.names) + np.concatenate((x.code[n - 1 :], np.zeros(n - 1, x.code.dtype)))
             at[x.left < n] = -1
