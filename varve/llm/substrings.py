@@ -6,7 +6,7 @@ have 128-bit digests; their sequences are looked up, so words stand together whe
 
 *Anchors* are the sequences of adjoining chunks that have ``SEED_WORDS`` words at least and lose that with either end
 chunk. The first place of an anchor, in the order of documents (by doc_id, then by a hash of the text; rows without a doc_id
-last) and of words in them, owns it. Anchors elsewhere are copies; those of one document that follow on each other at one
+last, while ids are below 2^62) and of words in them, owns it. Anchors elsewhere are copies; those of one document that follow on each other at one
 distance from their owners' places are a run. Each run is extended word by word to its true ends, by comparing up to
 ``REACH`` bytes of text on either side of both places. A run of ``MIN_WORDS`` words or more is a repeated passage, and
 ``strip`` removes it: all of its words stand together at its owner's place too. A passage inside one document counts once
@@ -14,7 +14,7 @@ it lies wholly after its owner's place, so the first of them stays. A passage of
 anchor lies in it, or if all of its anchors are owned by documents that lack the rest of it; tests measure how often.
 
 Null and empty texts have no chunks and stay as they are. Rows that share a doc_id but differ in text are documents of
-their own; rows equal in both are one document. Rows with a null doc_id are judged by their texts.
+their own; rows equal in both are one document. Rows with a null doc_id are known by 125 bits of their texts' hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from .common import by_size, cut, deal, map_arrow, unused
 #: Expected words in a chunk, bytes after which a chunk ends at the next word at latest, words of an anchor and of a
 #: passage, bytes of text compared beyond each end of a run.
 MEAN_WORDS, MOST_BYTES, SEED_WORDS, MIN_WORDS, REACH = 5, 128, 8, 30, 320
-_LAST = (1 << 63) - 1  # stands for a null doc_id
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BELOW = np.uint16((1 << 16) // MEAN_WORDS)
 _SPACES = np.zeros(256, bool)
@@ -77,13 +76,25 @@ def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return first, ends[first]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """d and t, which name a document, and its text."""
-    return docs.select(*identity(), "text")
+def named(docs: DataFrame, d: str = "d", t: str = "t") -> DataFrame:
+    """docs with d and t, which name a row by its doc_id and, where that is null or repeated, by hashes of its text.
 
+    t is 0 for a doc_id that stands once, even and 63 bits of a hash for rows of one that is repeated. A row without a doc_id has an odd t
+    and another hash in d (from 2^62 on, so that it comes after other rows), 125 bits together."""
+    spark, name = docs.sparkSession, unused(docs, "_s_again")
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    again = by_size(cut(spark, again, "again"), 2_000_000)
+    most = (1 << 62) - 1
+    text = F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull().cast("int")
+    other = F.xxhash64(F.lit(1), *text).bitwiseAND(F.lit(most)).bitwiseOR(F.lit(most + 1))
+    half = F.xxhash64(*text).bitwiseAND(F.lit(-2))
+    made = docs.join(again, F.col("doc_id").cast("long") == F.col(name), "left")
+    made = made.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), other), t: F.when(F.col("doc_id").isNull(), half.bitwiseOR(F.lit(1))).when(F.col(name).isNotNull(), half).otherwise(F.lit(0).cast("long"))})
+    return made.select(*(f"`{c}`" for c in docs.columns), d, t)
 
-def identity() -> tuple[Column, Column]:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.hash("text").alias("t")
+
+def doc_id_of(d: Column, t: Column) -> Column:
+    return F.when(t.bitwiseAND(F.lit(1)) == 0, d)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -103,7 +114,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 out[k] += v
         yield out
 
-    return map_arrow(docs, "d long, t int, h long, w int, n int", f, 64)
+    return map_arrow(docs, "d long, t long, h long, w int, n int", f, 64)
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -145,7 +156,7 @@ def _around(docs: DataFrame, places: DataFrame) -> DataFrame:
                     out[k].append(v)
         yield out
 
-    return map_arrow(docs.join(wanted, ["d", "t"]).select("d", "t", "text", "places"), "d long, t int, w int, left boolean, near binary", f, 64)
+    return map_arrow(docs.join(wanted, ["d", "t"]).select("d", "t", "text", "places"), "d long, t long, w int, left boolean, near binary", f, 64)
 
 
 def _alike(left: bool, a: bytes, b: bytes) -> int:
@@ -160,8 +171,8 @@ def _alike(left: bool, a: bytes, b: bytes) -> int:
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated passages: d, t (the document: ``identity``), w0 and w1 (its words), owners (d of documents that had parts of it first)."""
-    docs = keyed(docs)
+    """Of docs as ``named`` has them, repeated passages: d, t, w0 and w1 (words), owners (doc_ids of documents that had parts of it first)."""
+    docs = docs.select("d", "t", "text")
     runs = cut(docs.sparkSession, _runs(_anchors(docs)), "runs")
     length = F.col("w1") - F.col("w0")
     sides = F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("w0").alias("w"), F.col("ow0").alias("ow")), F.struct(F.lit(False).alias("left"), F.col("w1").alias("w"), (F.col("ow0") + length).alias("ow"))))
@@ -186,28 +197,30 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     room = F.greatest(shift - length, F.lit(0))
     before = F.when(own, F.least("before", room)).otherwise(F.col("before"))
     after = F.when(own, F.least("after", F.greatest(room - before, F.lit(0)))).otherwise(F.col("after"))
-    found = grown.select("d", "t", (F.col("w0") - before).alias("w0"), (F.col("w1") + after).alias("w1"), "od").where((F.col("w1") - F.col("w0") >= min_words))
+    found = grown.select("d", "t", (F.col("w0") - before).alias("w0"), (F.col("w1") + after).alias("w1"), doc_id_of(F.col("od"), F.col("ot")).alias("owner")).where((F.col("w1") - F.col("w0") >= min_words))
     order = Window.partitionBy("d", "t").orderBy("w0", "w1")
     reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(F.col("w0") <= reached, 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("d", "t", "part").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.sort_array(F.collect_set(F.when(F.col("od") != _LAST, F.col("od")))).alias("owners")).drop("part")
+    return marked.groupBy("d", "t", "part").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.sort_array(F.collect_set("owner")).alias("owners")).drop("part")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document with repeated passages: doc_id, n_passages, n_words, starts and ends (in words), owner_ids."""
     spans = F.sort_array(F.collect_list(F.struct("w0", "w1")))
-    found = passages(docs, min_words).groupBy("d", "t").agg(F.count("*").alias("n_passages"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("owner_ids"))
-    return found.select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), "n_passages", "n_words", F.col("s.w0").alias("starts"), F.col("s.w1").alias("ends"), "owner_ids")
+    found = passages(named(docs.select("doc_id", "text")), min_words).groupBy("d", "t").agg(F.count("*").alias("n_passages"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("owner_ids"))
+    return found.select(doc_id_of(F.col("d"), F.col("t")).alias("doc_id"), "n_passages", "n_words", F.col("s.w0").alias("starts"), F.col("s.w1").alias("ends"), "owner_ids")
 
 
 def strip(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with all its columns, repeated passages taken out of ``text`` (and ``n_chars`` following, if there).
     A document of which nothing but white space is left goes."""
     names = {k: unused(docs, f"_s_{k}") for k in ("d", "t", "spans", "text")}
-    spans = passages(docs, min_words).groupBy(F.col("d").alias(names["d"]), F.col("t").alias(names["t"])).agg(F.sort_array(F.collect_list(F.struct("w0", "w1"))).alias(names["spans"]))
+    marked = named(docs, names["d"], names["t"])
+    texts = marked.select(F.col(names["d"]).alias("d"), F.col(names["t"]).alias("t"), "text")
+    names |= {"od": unused(docs, "_s_od"), "ot": unused(docs, "_s_ot")}
+    spans = passages(texts, min_words).groupBy(F.col("d").alias(names["od"]), F.col("t").alias(names["ot"])).agg(F.sort_array(F.collect_list(F.struct("w0", "w1"))).alias(names["spans"]))
     spans = by_size(cut(docs.sparkSession, spans, "passages"), 500_000, F.size(names["spans"]) + 1)
-    d, t = identity()
-    held = docs.join(spans, (d == F.col(names["d"])) & (t == F.col(names["t"])), "left")
+    held = marked.join(spans, (F.col(names["d"]) == F.col(names["od"])) & (F.col(names["t"]) == F.col(names["ot"])), "left")
 
     @F.pandas_udf("string")
     def without(texts, all_spans):
