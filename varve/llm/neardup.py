@@ -18,7 +18,7 @@ and random edits share next to nothing, so a group of thousands of near copies g
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8^5)^36, under 1e-6.
 
 Null, empty and wordless texts have an empty set, are linked with nothing and stand for themselves. Rows that repeat
-a doc_id stand in one class if their texts agree, and else join their classes. Rows with a null doc_id get a null
+a doc_id stand in one class, whatever their texts: each text is compared, and their classes are joined. Rows with a null doc_id get a null
 component, and are kept.
 """
 
@@ -123,9 +123,10 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 def _features(docs: DataFrame, size: int) -> DataFrame:
     def f(x: dict) -> Iterator[dict]:
         sets = [shingles(t, size) for t in x["text"]]
-        yield {"id": x["doc_id"], "registers": [registers(s).tobytes() if len(s) else b"" for s in sets], "elements": [s.tobytes() for s in sets]}
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
+        yield {"id": x["doc_id"], "h1": digests[::2].tolist(), "h2": digests[1::2].tolist(), "registers": [registers(s).tobytes() if len(s) else b"" for s in sets], "elements": [s.tobytes() for s in sets]}
 
-    return map_arrow(docs.select("doc_id", "text"), "id long, registers binary, elements binary", f, 64)
+    return map_arrow(docs.select("doc_id", "text"), "id long, h1 long, h2 long, registers binary, elements binary", f, 64)
 
 
 def _paired(pairs: DataFrame, features: DataFrame) -> DataFrame:
@@ -202,14 +203,29 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sketch = cut(spark, _sketch(docs, size), "sketch")
     # Documents of equal sets are one class under the least doc_id.
     filled = sketch.where("n > 0 and doc_id is not null")
+    # A doc_id whose rows have several sets names none of them: where it would, a set is known by a negative number from its digest.
+    own = cut(spark, filled.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("doc_id"), "several")
+    several = not own.isEmpty()
     sets = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"))
+    if several:
+        named = sets.join(by_size(own.withColumnsRenamed({"doc_id": "_own"}), 2_000_000), F.col("id") == F.col("_own"), "left")
+        sets = named.withColumn("id", F.when(F.col("_own").isNotNull(), F.col("h1").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("id"))).drop("_own")
     sets = cut(spark, sets, "sets")
     reps = sets.select("h1", "h2", "id", "n")
     table = sets.select("id", F.explode("keys").alias("key")).distinct()
     many = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     table = cut(spark, table.join(many, "key"), "bands")
-    wanted = by_size(cut(spark, table.select(F.col("id").alias("doc_id")).distinct(), "wanted"), 2_000_000)
-    features = cut(spark, _features(docs.join(wanted, "doc_id", "left_semi"), size), "features").dropDuplicates(["id"])
+    wanted = table.select("id").distinct()
+    if several:  # rows of the wanted sets, known by their digests; any row of a set has its features
+        rows = filled.join(reps, ["h1", "h2"]).join(wanted.where("id < 0"), "id", "left_semi").select("doc_id").distinct()
+        some = wanted.where("id >= 0").select(F.col("id").alias("doc_id")).unionByName(rows).distinct()
+    else:
+        some = wanted.select(F.col("id").alias("doc_id"))
+    some = by_size(cut(spark, some, "wanted"), 2_000_000)
+    features = cut(spark, _features(docs.join(some, "doc_id", "left_semi"), size), "features")
+    if several:
+        features = features.drop("id").join(reps.join(wanted, "id", "left_semi").select("id", "h1", "h2"), ["h1", "h2"])
+    features = features.select("id", "registers", "elements").dropDuplicates(["id"])
 
     # Each bucket's members with its hub.
     company = table.groupBy("id").agg(F.sum("c").alias("company"))
@@ -233,14 +249,18 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rest = x.join(y, same & apart & alike & reach).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
     found = cut(spark, _confirm(rest, features, percent), "links")
 
-    # Rows of one doc_id with different sets belong together whatever their sets.
-    own = filled.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y")
     ids = deal(filled.select("doc_id", "h1", "h2"), reps, ["h1", "h2"]).select("doc_id", "id")  # thousands may share a set
-    bridges = cut(spark, ids.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "bridges")
-    if not (found.isEmpty() and bridges.isEmpty()):
+    more = found
+    if several:  # rows of one doc_id with different sets belong together whatever their sets
+        shared = cut(spark, ids.join(by_size(own, 2_000_000), "doc_id", "left_semi").distinct(), "shared")
+        more = more.unionByName(shared.join(shared.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+    if not more.isEmpty():
         stars_of = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        labels = cut(spark, components(spark, stars_of.unionByName(found).unionByName(bridges)), "labels")
+        labels = cut(spark, components(spark, stars_of.unionByName(more)), "labels")
     ids = ids.join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
+    if several:  # components whose least number is no doc_id
+        least = ids.where("component < 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+        ids = deal(ids, cut(spark, least, "least"), ["component"]).select("doc_id", F.coalesce("least", "component").alias("component"))
     out = sketch.select("doc_id", "n").join(ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
