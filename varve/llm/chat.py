@@ -7,7 +7,8 @@ A record is a JSON object in any layout. Its fingerprint is a hash of its sorted
 is a list of (start, end) code points of the formatted text: the assistant's texts.
 
 A mapping's optional fields may be there or not: each combination has a fingerprint. Null texts count as empty, null
-roles as empty names. A record that has no mapping (unknown fields, an empty list, no JSON object, null) gets the
+roles as empty names. A record that has no mapping (unknown fields, an empty list, no JSON object, null), is nested too deeply or has half of a
+surrogate pair in a text or role gets the
 fingerprint of the fields it has, a ``problem``, no formatted text and an empty mask; reading it back gives no turns.
 
 Of a conversations table, turns are ordered by turn, then role and text, nulls first; repeated rows are repeated turns.
@@ -48,12 +49,22 @@ LAYOUTS: list[dict[str, Any]] = [
 ]
 
 
-def field_paths(value: Any, at: str = "") -> set[str]:
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, at + "[]") for v in value)) if value else set()
-    return {at}
+def _key(name: str) -> str:
+    """A field's name in a path; one with the path's own marks is quoted, so that no two layouts have the same paths."""
+    return json.dumps(name) if re.search(r'[.\[\]"\n]', name) or not name else name
+
+
+def field_paths(value: Any) -> set[str]:
+    found, todo = set(), [(value, "")]
+    while todo:
+        value, at = todo.pop()
+        if isinstance(value, dict):
+            todo += ((v, f"{at}.{_key(k)}" if at else _key(k)) for k, v in value.items())
+        elif isinstance(value, list):
+            todo += ((v, at + "[]") for v in value)
+        else:
+            found.add(at)
+    return found
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -76,12 +87,24 @@ def _text(value: Any) -> str:
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def turns_of(record: str | None) -> tuple[str, list[tuple[str, str]], str | None]:
     """The record's fingerprint, its canonical turns, and what kept it from having any."""
+    key, turns, problem = _turns_of(record)
+    if any(_LONE.search(x) for turn in turns for x in turn):  # no text in UTF-8
+        return key, [], "half of a surrogate pair"
+    return key, turns, problem
+
+
+def _turns_of(record: str | None) -> tuple[str, list[tuple[str, str]], str | None]:
     try:
         value = json.loads(record) if record is not None else None
     except ValueError:
         return fingerprint(set()), [], "no JSON"
+    except RecursionError:
+        return fingerprint(set()), [], "nested too deeply"
     if not isinstance(value, dict):
         return fingerprint(field_paths(value) if isinstance(value, list) else set()), [], "null" if value is None else "no object"
     key = fingerprint(field_paths(value))
@@ -90,7 +113,10 @@ def turns_of(record: str | None) -> tuple[str, list[tuple[str, str]], str | None
         return key, [], "no mapping for these fields" if field_paths(value) else "no fields"
     if "list" in mapping:
         name, role, text = mapping["list"]
-        rows = [t for k in mapping.get("lists", [name]) for t in value[k]]
+        lists = [value.get(k) for k in mapping.get("lists", [name])]
+        if not all(isinstance(x, list) for x in lists):
+            return key, [], "turns are no list"
+        rows = [t for x in lists for t in x]
         if not all(isinstance(t, dict) for t in rows):
             return key, [], "a turn is no object"
         roles = [_text(t.get(role)) for t in rows]
