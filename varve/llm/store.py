@@ -9,11 +9,12 @@ give equal chunks. A folder holds four Parquet tables:
   first, then by root), in range parts; root is the SHA-256 of the digests in order; local_start counts ids in the part.
 * ``manifest`` (part, n_docs, n_tokens, root): per part, root being the Merkle root of its documents (doc_id, place,
   length and root of each).
-* ``head`` (width, n_parts, n_docs, n_tokens, root): one row; root is the Merkle root of the manifest's rows.
+* ``head`` (width, n_parts, n_docs, n_tokens, root, n_chunks, chunk_sum): one row; root is the Merkle root of the manifest's rows,
+  chunk_sum the sum of 64-bit hashes of the chunks' digests.
 
 Reading verifies all of it: the head against the manifest, every part's Merkle root and counts against its recipes, every
-chunk against its digest and every document against its root. A missing, extra or changed chunk, recipe or manifest row
-is an error. Null and empty texts are documents of the end id alone. Rows that repeat a doc_id, and rows without one, are
+chunk that a recipe names against its digest, every document against its root, and the chunks' number and sum against the head. A missing,
+extra or changed chunk, recipe or manifest row is an error. Null and empty texts are documents of the end id alone. Rows that repeat a doc_id, and rows without one, are
 documents of their own.
 """
 
@@ -117,8 +118,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     summary(spark, path).coalesce(1).write.parquet(f"{path}/manifest")
     remove(spark, staged_path)
     manifest = _manifest(spark, path)
-    head = [(width, len(manifest), sum(r.n_docs for r in manifest), sum(r.n_tokens for r in manifest), _root(manifest))]
-    spark.createDataFrame(head, "width int, n_parts int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/head")
+    head = [(width, len(manifest), sum(r.n_docs for r in manifest), sum(r.n_tokens for r in manifest), _root(manifest), *_chunk_sum(spark, path))]
+    spark.createDataFrame(head, "width int, n_parts int, n_docs long, n_tokens long, root binary, n_chunks long, chunk_sum decimal(38,0)").write.parquet(f"{path}/head")
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
@@ -161,12 +162,20 @@ def _root(manifest: list) -> bytes:
     return merkle(f"{r.part},{r.n_docs},{r.n_tokens},".encode() + bytes(r.root) for r in manifest)
 
 
+def _chunk_sum(spark: SparkSession, path: str) -> tuple:
+    """Number of stored chunks, and the sum of their digests' hashes."""
+    hashed = F.coalesce(F.sum(F.xxhash64("digest").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return tuple(spark.read.parquet(f"{path}/chunks").agg(F.count("*"), hashed).first())
+
+
 def verified(spark: SparkSession, path: str) -> tuple[int, list]:
     """The id width and the manifest, once head, manifest and recipes agree; an error otherwise."""
     heads, manifest = spark.read.parquet(f"{path}/head").collect(), _manifest(spark, path)
     told = (len(manifest), sum(r.n_docs for r in manifest), sum(r.n_tokens for r in manifest), _root(manifest))
     if len(heads) != 1 or tuple(heads[0])[1:4] != told[:3] or bytes(heads[0].root) != told[3]:
         raise ValueError("the store's manifest is damaged: it differs from the head")
+    if _chunk_sum(spark, path) != tuple(heads[0])[5:7]:
+        raise ValueError("the store's chunks are damaged: some are lost, doubled or in excess")
     kept = spark.createDataFrame(manifest, "part int, n_docs long, n_tokens long, root binary")
     found = summary(spark, path).withColumnsRenamed({c: f"_{c}" for c in ("n_docs", "n_tokens", "root")})
     same = F.col("n_docs").eqNullSafe(F.col("_n_docs")) & F.col("n_tokens").eqNullSafe(F.col("_n_tokens")) & F.col("root").eqNullSafe(F.col("_root"))
