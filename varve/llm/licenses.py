@@ -11,8 +11,8 @@ and template that meet are verified by exact containment of the template's shing
 
 Documents are read once; what is left of them is written and used for retrieval and verification. The tables of templates
 are broadcast up to ``MOST`` rows each (counted first), beyond that joins shuffle. Templates of fewer words than a shingle
-have none and match nothing. Null, empty and short texts match nothing. Rows of one doc_id count as one document, rows
-without one as another. Words are compared by 64-bit hashes of five-word shingles.
+have none and match nothing. Null, empty and short texts match nothing. Each row is judged by itself, also where rows share
+a doc_id or have none, and gives a result row for each license found. Words are compared by 64-bit hashes of five-word shingles.
 """
 
 from __future__ import annotations
@@ -79,34 +79,34 @@ def _bands(windows: DataFrame, *keys: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document and license found: doc_id, license, template_id (the best), containment, first_word, n_places."""
+    """Per row of docs and license found: doc_id, license, template_id (the best), containment, first_word, n_places."""
     spark = docs.sparkSession
     spots = cut(spark, templates.select("template_id", "license", F.explode(_spots(F.col("template"))).alias("s")).select("template_id", "license", "s.h", "s.i"), "templates")
     need = by_size(spots.select("h").distinct(), MOST)
-    own = docs.select("doc_id", F.explode(_spots(F.col("text"))).alias("s")).select("doc_id", "s.h", "s.i").join(need, "h")
-    own = cut(spark, own, "shingles")  # documents are read and cut into shingles once
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _spots(F.col("text")).alias("spots"))
+    own = numbered.select("doc_id", "row", F.explode("spots").alias("s")).select("doc_id", "row", "s.h", "s.i").join(need, "h")
+    own = cut(spark, own, "shingles")  # documents are read, numbered and cut into shingles once
 
     last = WINDOW - SHINGLE  # shingles of a window start at most so far after its first word
     place = F.floor((F.col("i") - 1) / STEP).cast("int")
-    windows = own.select("doc_id", "h", F.lit(0).alias("scale"), F.explode(F.filter(F.array(place, place - 1), lambda w: F.col("i") - 1 - w * STEP <= last)).alias("w"))
+    windows = own.select("row", "h", F.lit(0).alias("scale"), F.explode(F.filter(F.array(place, place - 1), lambda w: F.col("i") - 1 - w * STEP <= last)).alias("w"))
     for s in SCALES:
-        windows = windows.unionByName(own.select("doc_id", "h", F.lit(s).alias("scale"), F.explode(F.sequence(F.col("i") - (s - 1), F.col("i"))).alias("w")))
+        windows = windows.unionByName(own.select("row", "h", F.lit(s).alias("scale"), F.explode(F.sequence(F.col("i") - (s - 1), F.col("i"))).alias("w")))
     length = spots.groupBy("template_id").agg(F.max("i").alias("length"))
     fits = F.filter(F.array(*map(F.lit, SCALES)), lambda s: s <= F.col("length"))
     scales = length.select("template_id", "length", F.explode(F.concat(F.array(F.lit(0)), F.slice(F.reverse(fits), 1, 3))).alias("scale"))
     inside = F.expr(f"b.i between a.i and a.i + if(scale = 0, {last}, scale - 1) and (scale = 0 or a.i + scale - 1 <= length)")
     every = spots.alias("a").join(spots.alias("b"), "template_id").join(scales, "template_id").where(inside).select("template_id", "scale", F.col("a.i").alias("w"), F.col("b.h").alias("h"))
     known = by_size(cut(spark, _bands(every, "template_id", "scale", "w").select("scale", "band", "value", "template_id").distinct(), "bands"), MOST)
-    met = _bands(windows, "doc_id", "scale", "w").join(known, ["scale", "band", "value"]).select("doc_id", "template_id").distinct()
+    met = _bands(windows, "row", "scale", "w").join(known, ["scale", "band", "value"]).select("row", "template_id").distinct()
 
     sizes = by_size(spots.groupBy("template_id", "license").agg(F.countDistinct("h").alias("n_template")), MOST)
     holders = by_size(spots.select("template_id", "h").distinct(), MOST)
     # Only a document's own template shingles are joined, each with the few templates that have it.
-    shared = own.groupBy("doc_id", "h").agg(F.min("i").alias("i"), F.count("*").alias("c")).join(holders, "h")
-    match = met.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("d"), "template_id").distinct()
-    counts = shared.groupBy("doc_id", "template_id").agg(F.count("*").alias("k"), F.min("i").alias("first_word"), F.max("c").alias("n_places"))
-    counts = counts.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).join(match, ["d", "template_id"], "left_semi")
-    found = counts.join(sizes, "template_id").where(F.col("k") * 100 >= F.col("n_template") * percent).select("doc_id", "license", "template_id", "n_template", (F.col("k") / F.col("n_template")).alias("containment"), "first_word", "n_places")
+    shared = own.groupBy("row", "h").agg(F.first("doc_id").alias("doc_id"), F.min("i").alias("i"), F.count("*").alias("c")).join(holders, "h")
+    counts = shared.groupBy("row", "template_id").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("k"), F.min("i").alias("first_word"), F.max("c").alias("n_places"))
+    counts = counts.join(met, ["row", "template_id"], "left_semi")
+    found = counts.join(sizes, "template_id").where(F.col("k") * 100 >= F.col("n_template") * percent).select("row", "doc_id", "license", "template_id", "n_template", (F.col("k") / F.col("n_template")).alias("containment"), "first_word", "n_places")
     best = F.max_by(F.struct("template_id", "first_word", "n_places"), F.struct("containment", F.col("n_template"), -F.col("template_id")))
-    out = found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), best.alias("b"))
+    out = found.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.max("containment").alias("containment"), best.alias("b"))
     return out.select("doc_id", "license", "b.template_id", "containment", "b.first_word", "b.n_places")
