@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import ordered
+from varve.operators import effects, ordered
 
 from .panel_queries import QUERIES, query, r6
 
@@ -39,3 +39,37 @@ def _(p):
 def _(p):
     q = lambda s: F.percentile("gap", F.lit(s))  # noqa: E731  (a row a replicate)
     return r6(gaps(p).agg(F.count("*").alias("replicates"), F.avg("gap").alias("mean"), F.stddev("gap").alias("se"), q(0.025).alias("low"), q(0.975).alias("high")))
+
+
+def rounds(rows: str, a: str, b: str, columns: str, steps: int = 120) -> str:
+    """SQL of alternating demeaning: table d of the rows after so many steps, by either factor in turn."""
+    less = lambda f: ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {f}) AS {c}" for c in columns)
+    both = ", ".join(f"CASE WHEN step % 2 = 0 THEN {c} - avg({c}) OVER (PARTITION BY {a}) ELSE {c} - avg({c}) OVER (PARTITION BY {b}) END" for c in columns)
+    return f"d0 AS (SELECT id, {a}, {b}, {less(a)} FROM {rows}), rec AS (SELECT * FROM (WITH RECURSIVE t AS (SELECT 1 AS step, * FROM d0 UNION ALL SELECT step + 1, id, {a}, {b}, {both} FROM t WHERE step < {steps}) SELECT * FROM t)), d AS (SELECT * FROM rec WHERE step = {steps})"
+
+
+TWO = "v AS (SELECT entity * 10000 + year AS id, entity, market, year, ln(rev) AS y, ln(cap) AS x, ln(staf) AS z FROM panel WHERE rev > 0 AND cap > 0 AND staf > 0 AND (entity + year) % 7 <> 0)"
+
+
+def two(p):
+    """Unbalanced on purpose: rows of some entities and years are out."""
+    good = p.where("rev > 0 and cap > 0 and staf > 0 and (entity + year) % 7 <> 0")
+    return good.select("entity", "market", "year", F.ln("rev").alias("y"), F.ln("cap").alias("x"), F.ln("staf").alias("z"))
+
+
+@query("est2_two_way_effects", TWO + ", " + rounds("v", "market", "year", "xy", 60) + """,
+b AS (SELECT count(*) AS n, sum(x*y)/sum(x*x) AS b, sum(x*x) AS xx, sum(y*y) AS yy FROM d), k AS (SELECT count(DISTINCT market) + count(DISTINCT year) AS levels, count(DISTINCT market) + count(DISTINCT year) - 1 + 1 AS k, var_pop(y)*count(*) AS total FROM v),
+e AS (SELECT any_value(b) AS coef, any_value(n) AS n, sqrt(sum((y-b*x)*(y-b*x)*x*x)*any_value(n)/(any_value(n)-any_value(k)))/any_value(xx) AS se, 1-sum((y-b*x)*(y-b*x))/any_value(total) AS r2, 1-sum((y-b*x)*(y-b*x))/any_value(yy) AS within_r2, any_value(levels) AS levels FROM d, b, k)
+SELECT 'x' AS term, round(coef, 6) AS coef, round(se, 6) AS se, n, round(r2, 6) AS r2, round(within_r2, 6) AS within_r2, levels, 1::BIGINT AS components FROM e""")
+def _(p):
+    return r6(effects.two_way(two(p), "y", ["x"], "market", "year").drop("t", "steps"))
+
+
+@query("est2_entity_year_clustered", TWO + ", " + rounds("v", "entity", "year", "xzy", 80) + """,
+s AS (SELECT count(*) AS n, sum(x*x) AS xx, sum(x*z) AS xz, sum(z*z) AS zz, sum(x*y) AS xy, sum(z*y) AS zy FROM d), b AS (SELECT *, xx*zz-xz*xz AS det, (xy*zz-zy*xz)/(xx*zz-xz*xz) AS bx, (zy*xx-xy*xz)/(xx*zz-xz*xz) AS bz FROM s),
+c AS (SELECT entity, sum(x*(y-bx*x-bz*z)) AS sx, sum(z*(y-bx*x-bz*z)) AS sz FROM d, b GROUP BY 1), m AS (SELECT count(*) AS g, sum(sx*sx) AS xx, sum(sx*sz) AS xz, sum(sz*sz) AS zz FROM c),
+k AS (SELECT count(DISTINCT entity) + count(DISTINCT year) AS levels FROM v), f AS (SELECT m.g/(m.g-1)*(b.n-1.0)/(b.n-(2+k.levels-1)) AS f FROM m, b, k)
+SELECT 'x' AS term, round(bx, 6) AS coef, round(sqrt(f*(b.zz*b.zz*m.xx-2*b.zz*b.xz*m.xz+b.xz*b.xz*m.zz))/det, 6) AS se, n FROM b, m, f
+UNION ALL SELECT 'z', round(bz, 6), round(sqrt(f*(b.xz*b.xz*m.xx-2*b.xx*b.xz*m.xz+b.xx*b.xx*m.zz))/det, 6), n FROM b, m, f""")
+def _(p):
+    return r6(effects.two_way(two(p), "y", ["x", "z"], "entity", "year", cluster="entity").select("term", "coef", "se", "n"))
