@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import effects, ordered
+from varve.operators import effects, ordered, specs
 
 from .panel_queries import QUERIES, query, r6
 
@@ -73,3 +73,65 @@ SELECT 'x' AS term, round(bx, 6) AS coef, round(sqrt(f*(b.zz*b.zz*m.xx-2*b.zz*b.
 UNION ALL SELECT 'z', round(bz, 6), round(sqrt(f*(b.xz*b.xz*m.xx-2*b.xx*b.xz*m.xz+b.xx*b.xx*m.zz))/det, 6), n FROM b, m, f""")
 def _(p):
     return r6(effects.two_way(two(p), "y", ["x", "z"], "entity", "year", cluster="entity").select("term", "coef", "se", "n"))
+
+
+WINDOWS = {
+    "ld 1995-1998": ([1995], [1998]), "ld 1994-1997": ([1994], [1997]), "ld_2yr_avg 1994-1998": ([1994, 1995], [1997, 1998]),
+    **{f"stacked_{g}yr {y}": ([y], [y + g]) for g in (1, 2) for y in range(1993, 1998 - g + 1)},
+}
+_VALUES = ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in WINDOWS.items())
+MARKETS = "m AS (SELECT market, year, sum(mate)/sum(rev) AS y, sum((rev/t)*(rev/t)) AS x, any_value(t) AS sale, count(*) AS n FROM (SELECT *, sum(rev) OVER (PARTITION BY market, year) AS t FROM panel) GROUP BY 1, 2), low AS (SELECT market, min(n) >= 40 AND count(*) = 7 AS fine FROM m GROUP BY 1)"
+
+
+@query("est10_specifications", MARKETS + f""", k AS (SELECT * FROM (VALUES {_VALUES}) t(win, a, b)),
+d AS (SELECT k.win, e.market, e.y - s.y AS dy, e.x - s.x AS dx, s.w FROM k, LATERAL (SELECT market, avg(y) AS y, avg(x) AS x FROM m WHERE list_contains(k.b, year) GROUP BY 1 HAVING count(*) = len(k.b)) e, LATERAL (SELECT market, avg(y) AS y, avg(x) AS x, avg(sale) AS w FROM m WHERE list_contains(k.a, year) GROUP BY 1 HAVING count(*) = len(k.a)) s WHERE e.market = s.market),
+f AS (SELECT CASE WHEN win LIKE 'stacked%' THEN left(win, 11) ELSE win END AS win, d.*EXCLUDE (win), fine FROM d JOIN low USING (market)),
+r AS (SELECT win, market, sample, weight, absorb, dy, dx, CASE weight WHEN 'sales' THEN w ELSE 1 END AS w, CASE absorb WHEN 'market' THEN market ELSE '' END AS g FROM f, (VALUES ('all'), ('fine')) a(sample), (VALUES ('none'), ('sales')) b(weight), (VALUES ('none'), ('market')) c(absorb) WHERE (sample = 'all' OR fine) AND (absorb = 'none' OR win LIKE 'stacked%')),
+c AS (SELECT *, dx - sum(w*dx) OVER g/sum(w) OVER g AS x, dy - sum(w*dy) OVER g/sum(w) OVER g AS y FROM r WINDOW g AS (PARTITION BY win, sample, weight, absorb, g)),
+s AS (SELECT win, sample, weight, absorb, count(*) AS n, count(DISTINCT g) AS levels, sum(w*x*y)/sum(w*x*x) AS b, sum(w*x*x) AS xx FROM c GROUP BY ALL)
+SELECT win AS spec, sample, weight, absorb, any_value(n) AS n, round(any_value(b), 6) AS coef, round(sqrt(sum(w*w*x*x*(y-b*x)*(y-b*x))*any_value(n)/(any_value(n)-any_value(levels)-1))/any_value(xx), 6) AS se, round(1-sum(w*(y-b*x)*(y-b*x))/sum(w*y*y), 6) AS within_r2
+FROM c JOIN s USING (win, sample, weight, absorb) GROUP BY ALL HAVING any_value(n) > any_value(levels) + 1""")
+def _(p):
+    m = market_years(p)
+    d = specs.differences(m, "market", "win", "year", {"y": "y", "x": "x"}, "sale", WINDOWS).dropna()
+    fine = m.groupBy("market").agg(((F.min("n") >= 40) & (F.count("*") == 7)).alias("fine"))
+    d = d.join(fine, "market").withColumn("win", F.when(F.col("win").startswith("stacked"), F.left("win", F.lit(11))).otherwise(F.col("win")))
+    d = d.withColumn("sample", F.explode(F.when(F.col("fine"), F.array(F.lit("all"), F.lit("fine"))).otherwise(F.array(F.lit("all")))))
+    got = specs.least_squares(d, ["win", "sample"], {"slope": ("d_y", ["d_x"])}, {"none": None, "sales": "w"}, {"none": None, "market": "market"})
+    got = got.where("absorb = 'none' or win like 'stacked%'")
+    return r6(got.select(F.col("win").alias("spec"), "sample", "weight", "absorb", "n", "coef", "se", "within_r2"))
+
+
+def market_years(p):
+    t = p.join(p.groupBy("market", "year").agg(F.sum("rev").alias("t")), ["market", "year"])
+    s = F.col("rev") / F.col("t")
+    return t.groupBy("market", "year").agg((F.sum("mate") / F.sum("rev")).alias("y"), F.sum(s * s).alias("x"), F.first("t").alias("sale"), F.count("*").alias("n"))
+
+
+CHANNELS = """t AS (SELECT cell, year, 1/regr_slope(ln(rev), ln(cap)) AS a, sum(mate)/sum(rev) AS b FROM panel WHERE rev > 0 AND cap > 0 GROUP BY 1, 2),
+h AS (SELECT cell, market, year, ln(sum(rev)) AS x, sum(mate)/sum(rev) AS y, sum(rev) AS w FROM panel GROUP BY 1, 2, 3),
+hc AS (SELECT cell, year, ln(sum(rev)) AS x FROM panel GROUP BY 1, 2),
+d AS (SELECT cell, q.x - p.x AS dx, 0.5*(s.b+e.b)*(e.a-s.a) AS theta_part, 0.5*(s.a+e.a)*(e.b-s.b) AS cost_share_part, e.a-s.a AS d_inv_theta, e.b-s.b AS d_cost_share FROM t s JOIN t e USING (cell) JOIN hc p USING (cell) JOIN hc q USING (cell) WHERE s.year = 1995 AND e.year = 1998 AND p.year = 1995 AND q.year = 1998),
+parts AS (SELECT part, dx, CASE part WHEN 'theta_part' THEN theta_part WHEN 'cost_share_part' THEN cost_share_part WHEN 'd_inv_theta' THEN d_inv_theta WHEN 'd_cost_share' THEN d_cost_share ELSE theta_part + cost_share_part END AS dy FROM d, (VALUES ('total'), ('theta_part'), ('cost_share_part'), ('d_inv_theta'), ('d_cost_share')) v(part)),
+f AS (SELECT s.cell, e.y - s.y AS dy, e.x - s.x AS dx, s.w FROM h s JOIN h e ON s.cell = e.cell AND s.market = e.market AND s.year = 1995 AND e.year = 1998),
+z AS (SELECT 'cells' AS level, part, dx, dy, '' AS grp FROM parts UNION ALL SELECT 'markets', 'pooled', dx, dy, '' FROM f
+    UNION ALL SELECT 'markets', 'within', dx, dy, cell FROM f UNION ALL SELECT 'markets', 'between', sum(w*dx)/sum(w), sum(w*dy)/sum(w), '' FROM f GROUP BY cell),
+c AS (SELECT level, part, grp, dx - avg(dx) OVER g AS x, dy - avg(dy) OVER g AS y FROM z WINDOW g AS (PARTITION BY level, part, grp)),
+s AS (SELECT level, part, count(*) AS n, count(DISTINCT grp) AS levels, sum(x*y)/sum(x*x) AS b, sum(x*x) AS xx FROM c GROUP BY 1, 2)
+"""
+
+
+@query("est11_channels", CHANNELS + """SELECT level, part, any_value(n) AS n, round(any_value(b), 6) AS coef, round(sqrt(sum(x*x*(y-b*x)*(y-b*x))*any_value(n)/(any_value(n)-any_value(levels)-1))/any_value(xx), 6) AS se FROM c JOIN s USING (level, part) GROUP BY 1, 2""")
+def _(p):
+    good = p.where("rev > 0 and cap > 0").groupBy("cell", "year").agg((1 / F.regr_slope(F.ln("rev"), F.ln("cap"))).alias("a"), (F.sum("mate") / F.sum("rev")).alias("b"))
+    good = good.join(p.groupBy("cell", "year").agg(F.ln(F.sum("rev")).alias("x")), ["cell", "year"])
+    ends = good.where("year in (1995, 1998)").groupBy("cell").agg(*(F.max(F.when(F.col("year") == y, F.col(c))).alias(f"{c}{k}") for c in "abx" for k, y in ((0, 1995), (1, 1998)))).dropna()
+    d = ends.selectExpr("x1 - x0 as dx", "0.5D * (b0 + b1) * (a1 - a0) as theta_part", "0.5D * (a0 + a1) * (b1 - b0) as cost_share_part", "a1 - a0 as d_inv_theta", "b1 - b0 as d_cost_share").withColumn("total", F.col("theta_part") + F.col("cost_share_part"))
+    parts = ("total", "theta_part", "cost_share_part", "d_inv_theta", "d_cost_share")
+    top = specs.least_squares(d, [], {c: (c, ["dx"]) for c in parts}).withColumn("level", F.lit("cells"))
+    h = p.groupBy("cell", "market", "year").agg(F.ln(F.sum("rev")).alias("x"), (F.sum("mate") / F.sum("rev")).alias("y"), F.sum("rev").alias("w"))
+    f = specs.differences(h.withColumn("id", F.concat_ws("|", "cell", "market")), "id", "win", "year", {"y": "y", "x": "x"}, "w", {"ld": ([1995], [1998])}).dropna().withColumn("cell", F.substring_index("id", "|", 1))
+    low = specs.least_squares(f, [], {"slope": ("d_y", ["d_x"])}, None, {"pooled": None, "within": "cell"}).withColumn("spec", F.col("absorb")).withColumn("level", F.lit("markets"))
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
+    mid = specs.least_squares(f.groupBy("cell").agg(mean("d_y"), mean("d_x")), [], {"between": ("d_y", ["d_x"])}).withColumn("level", F.lit("markets"))
+    return r6(top.unionByName(low).unionByName(mid).select("level", F.col("spec").alias("part"), "n", "coef", "se"))
