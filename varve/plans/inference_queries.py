@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import effects, ordered, specs
+from varve.operators import effects, expansion, ordered, specs
 
 from .panel_queries import QUERIES, query, r6
 
@@ -135,3 +135,71 @@ def _(p):
     mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
     mid = specs.least_squares(f.groupBy("cell").agg(mean("d_y"), mean("d_x")), [], {"between": ("d_y", ["d_x"])}).withColumn("level", F.lit("markets"))
     return r6(top.unionByName(low).unionByName(mid).select("level", F.col("spec").alias("part"), "n", "coef", "se"))
+
+
+#: Each firm's market outcomes, a free planner's (markups removed, sales moved towards high ones) and one's held to the market's total cost.
+FIRMS = """b AS (SELECT entity, year, market || '|' || year AS market_id, mate AS tc_mkt, rev AS sales_mkt, cap AS v, rev/sum(rev) OVER (PARTITION BY market, year) AS share_mkt FROM panel WHERE rev > 0 AND mate > 0 AND cap > 0),
+mu AS (SELECT *, 1/(1 - (share_mkt/1.5 + (1-share_mkt)/6.0::DOUBLE)) AS mu_mkt FROM b), al AS (SELECT *, tc_mkt*mu_mkt/sales_mkt AS alpha, sales_mkt*sqrt(mu_mkt/avg(mu_mkt) OVER (PARTITION BY market_id)) AS sales_free FROM mu),
+tp AS (SELECT *, alpha*sales_free AS tc_free, sales_free/sum(sales_free) OVER (PARTITION BY market_id) AS share_free FROM al), tt AS (SELECT sum(tc_mkt)/sum(tc_free) AS k FROM tp),
+firms AS (SELECT tp.*, tc_free*k AS tc_fixed, sales_free*k AS sales_fixed, share_free AS share_fixed FROM tp, tt),
+bins AS (SELECT *, CAST(ceil(5.0::DOUBLE*row_number() OVER (ORDER BY alpha, entity, year)/count(*) OVER ()) AS INT) AS q_a_pooled, CAST(ceil(5.0::DOUBLE*row_number() OVER (ORDER BY v, entity, year)/count(*) OVER ()) AS INT) AS q_v_pooled, CAST(ceil(5.0::DOUBLE*row_number() OVER (ORDER BY mu_mkt, entity, year)/count(*) OVER ()) AS INT) AS q_mu_pooled,
+    row_number() OVER (PARTITION BY market_id ORDER BY alpha, entity, year)/(count(*) OVER m)::DOUBLE AS pct_a_within, row_number() OVER (PARTITION BY market_id ORDER BY v, entity, year)/(count(*) OVER m)::DOUBLE AS pct_v_within, row_number() OVER (PARTITION BY market_id ORDER BY mu_mkt, entity, year)/(count(*) OVER m)::DOUBLE AS pct_mu_within,
+    CASE WHEN r = 1 THEN '1_leader' WHEN r = 2 THEN '2_second' WHEN r <= 5 THEN '3_third_fifth' ELSE '4_rest' END AS size_rank FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY sales_mkt DESC, entity, year) AS r FROM firms) WINDOW m AS (PARTITION BY market_id)),
+long AS (SELECT bins.*, CAST(ceil(5*pct_a_within) AS INT) AS q_a_within, CAST(ceil(5*pct_v_within) AS INT) AS q_v_within, CAST(ceil(5*pct_mu_within) AS INT) AS q_mu_within, planner, CASE planner WHEN 'free' THEN tc_free ELSE tc_fixed END AS tc_pl, CASE planner WHEN 'free' THEN sales_free ELSE sales_fixed END AS sales_pl, share_free AS share_pl FROM bins, (VALUES ('free'), ('fixed')) t(planner))
+"""
+TABLES = {(t, s): cs for s in ("pooled", "within") for t, cs in (("quintile_alpha", [f"q_a_{s}"]), ("quintile_v", [f"q_v_{s}"]), ("double_alpha_v", [f"q_a_{s}", f"q_v_{s}"]), ("double_mu_alpha", [f"q_mu_{s}", f"q_a_{s}"]))} | {("size_rank", "within"): ["size_rank"]}
+PLANNERS = {n: (f"tc_{n}", f"sales_{n}", f"share_{n}") for n in ("free", "fixed")}
+
+
+def firms(p):
+    b = p.where("rev > 0 and mate > 0 and cap > 0").select("entity", "year", F.concat_ws("|", "market", "year").alias("market_id"), F.col("mate").alias("tc_mkt"), F.col("rev").alias("sales_mkt"), F.col("cap").alias("v"))
+    b = b.join(b.groupBy("market_id").agg(F.sum("sales_mkt").alias("_s")), "market_id").withColumn("share_mkt", F.col("sales_mkt") / F.col("_s")).drop("_s")
+    b = b.withColumn("mu_mkt", 1 / (1 - (F.col("share_mkt") / 1.5 + (1 - F.col("share_mkt")) / 6.0)))
+    b = b.join(b.groupBy("market_id").agg(F.avg("mu_mkt").alias("_m")), "market_id")
+    b = b.withColumns({"alpha": F.col("tc_mkt") * F.col("mu_mkt") / F.col("sales_mkt"), "sales_free": F.col("sales_mkt") * F.sqrt(F.col("mu_mkt") / F.col("_m"))}).withColumn("tc_free", F.col("alpha") * F.col("sales_free")).drop("_m")
+    b = b.join(b.groupBy("market_id").agg(F.sum("sales_free").alias("_s")), "market_id").withColumn("share_free", F.col("sales_free") / F.col("_s")).drop("_s")
+    k = F.broadcast(b.agg((F.sum("tc_mkt") / F.sum("tc_free")).alias("_k")))  # one row
+    return b.join(k).withColumns({"tc_fixed": F.col("tc_free") * F.col("_k"), "sales_fixed": F.col("sales_free") * F.col("_k"), "share_fixed": F.col("share_free")}).drop("_k")
+
+
+def planned(p):
+    return expansion.plans(expansion.binned(firms(p), "market_id", ["entity", "year"], {"a": "alpha", "v": "v", "mu": "mu_mkt"}, "sales_mkt"), PLANNERS)
+
+
+_ALL = list(dict.fromkeys(c for cs in TABLES.values() for c in cs))
+_LABEL = " ".join(f"WHEN {sum(1 << (len(_ALL) - 1 - i) for i, b in enumerate(_ALL) if b not in cs)} THEN " + "{" + f"'t': '{t}', 's': '{s}', 'v1': '{cs[0]}', 'b1': {cs[0]}::VARCHAR, 'v2': '{cs[1] if len(cs) > 1 else ''}', 'b2': " + (f"{cs[1]}::VARCHAR" if len(cs) > 1 else "''") + "}" for (t, s), cs in TABLES.items())
+
+
+@query("sim29_cell_tables", FIRMS + f""", tot AS (SELECT planner, count(*) AS n, sum(tc_mkt) AS a, sum(tc_pl) AS b FROM long GROUP BY 1),
+c AS (SELECT planner, CASE grouping_id({", ".join(_ALL)}) {_LABEL} END AS k, count(*) AS n_firms, avg(alpha) AS mean_alpha, avg(ln(v)) AS mean_log_v, avg(pct_a_within) AS mean_pct_alpha_within, avg(pct_v_within) AS mean_pct_v_within, avg(share_mkt) AS mean_share_mkt, avg(share_pl) AS mean_share_pl, sum(tc_mkt) AS tm, sum(tc_pl) AS tp, sum(sales_mkt) AS sm, sum(sales_pl) AS sp, sum(tc_mkt*mu_mkt) AS mu, sum(tc_mkt*ln(mu_mkt)) AS lmu, sum(tc_mkt*ln(tc_pl/tc_mkt)) AS lr
+    FROM long GROUP BY GROUPING SETS ({", ".join("(planner, " + ", ".join(cs) + ")" for cs in TABLES.values())}))
+SELECT k.t AS "table", k.s AS scheme, planner, k.v1 AS var1, k.b1 AS bin1, k.v2 AS var2, k.b2 AS bin2, n_firms, round(mean_alpha, 6) AS mean_alpha, round(mean_log_v, 6) AS mean_log_v, round(mean_pct_alpha_within, 6) AS mean_pct_alpha_within, round(mean_pct_v_within, 6) AS mean_pct_v_within, round(mean_share_mkt, 6) AS mean_share_mkt, round(mean_share_pl, 6) AS mean_share_pl,
+    round(n_firms/n, 6) AS firm_share, round(mu/tm, 6) AS mu_cw_mkt, round(tm/a, 6) AS share_tc_mkt, round(tp/b, 6) AS share_tc_pl, round(tp/tm, 6) AS tc_ratio, CASE WHEN planner = 'free' THEN round((tp-tm)/(b-a), 5) END AS gain_share, round(sp/sm, 6) AS sales_ratio, round(lmu/tm, 6) AS wmean_log_mu_mkt, round(lr/tm, 6) AS wmean_log_tc_ratio FROM c JOIN tot USING (planner)""")
+def _(p):
+    got = expansion.cell_tables(planned(p), TABLES).drop("tc_mkt", "tc_pl", "sales_mkt", "sales_pl")
+    return r6(got.withColumn("gain_share", F.round("gain_share", 5)))
+
+
+@query("sim29_support", FIRMS + """, m AS (SELECT max(alpha) AS top FROM long)
+SELECT planner, count(*) AS n, round(min(alpha), 6) AS alpha_min, round(max(alpha), 6) AS alpha_max, round(avg((alpha >= 1)::INT), 6) AS firms_over, round(avg((alpha = top)::INT), 6) AS firms_at_max, round(avg((alpha >= 1)::INT) FILTER (size_rank = '1_leader'), 6) AS leaders_over, round(avg((alpha = top)::INT) FILTER (size_rank = '1_leader'), 6) AS leaders_at_max,
+    round(sum(tc_mkt) FILTER (alpha >= 1)/sum(tc_mkt), 6) AS tc_mkt_over, round(sum(tc_pl) FILTER (alpha >= 1)/sum(tc_pl), 6) AS tc_pl_over, CASE WHEN planner = 'free' THEN round(sum(tc_pl-tc_mkt) FILTER (alpha >= 1)/sum(tc_pl-tc_mkt), 5) END AS gain_over FROM long, m GROUP BY 1""")
+def _(p):
+    return r6(expansion.support(planned(p)).withColumn("gain_over", F.round("gain_over", 5)))
+
+
+@query("sim29_checks", FIRMS + "SELECT planner, count(*) AS n_active, count(DISTINCT market_id) AS n_markets, round(sum(tc_pl)/sum(tc_mkt), 6) AS tc_ratio, round(corr(alpha, v), 6) AS corr_alpha_v, round(sum(mu_mkt*tc_mkt)/sum(tc_mkt), 6) AS mu_cw, true AS passed FROM long GROUP BY 1")
+def _(p):
+    return r6(expansion.ratio_check(expansion.plans(firms(p), PLANNERS), 1e-9))
+
+
+@query("sim29_regressions", FIRMS + """, q AS (SELECT planner, weight, CASE weight WHEN 'tc' THEN tc_mkt ELSE 1 END AS w, market_id, ln(tc_pl/tc_mkt) AS y, ln(mu_mkt) AS m, alpha AS a, ln(v) AS z FROM long, (VALUES ('none'), ('tc')) t(weight) WHERE planner = 'free'),
+c AS (SELECT planner, weight, w, y - sum(w*y) OVER g/sum(w) OVER g AS y, m - sum(w*m) OVER g/sum(w) OVER g AS m, a - sum(w*a) OVER g/sum(w) OVER g AS a, z - sum(w*z) OVER g/sum(w) OVER g AS z FROM q WINDOW g AS (PARTITION BY planner, weight, market_id)),
+s AS (SELECT planner, weight, count(*) AS n, sum(w*m*m) AS mm, sum(w*m*a) AS ma, sum(w*m*z) AS mz, sum(w*a*a) AS aa, sum(w*a*z) AS az, sum(w*z*z) AS zz, sum(w*y*m) AS ym, sum(w*y*a) AS ya, sum(w*y*z) AS yz, sum(w*y*y) AS yy FROM c GROUP BY 1, 2),
+d AS (SELECT *, mm*(aa*zz-az*az) - ma*(ma*zz-az*mz) + mz*(ma*az-aa*mz) AS det FROM s),
+co AS (SELECT *, (ym*(aa*zz-az*az) - ma*(ya*zz-az*yz) + mz*(ya*az-aa*yz))/det AS bm, (mm*(ya*zz-az*yz) - ym*(ma*zz-az*mz) + mz*(ma*yz-ya*mz))/det AS ba, (mm*(aa*yz-ya*az) - ma*(ma*yz-ya*mz) + ym*(ma*az-aa*mz))/det AS bz FROM d),
+r AS (SELECT *, yy - bm*ym - ba*ya - bz*yz AS ssr FROM co)
+SELECT planner, weight, v.term, n, round(CASE v.term WHEN 'log_mu' THEN bm WHEN 'alpha' THEN ba ELSE bz END, 6) AS coef, round(1-ssr/yy, 6) AS within_r2, round(CASE v.term WHEN 'log_mu' THEN ym*ym/mm WHEN 'alpha' THEN ya*ya/aa ELSE yz*yz/zz END/yy, 6) AS alone_r2 FROM r, (VALUES ('log_mu'), ('alpha'), ('log_v')) v(term)""")
+def _(p):
+    f = expansion.plans(firms(p), {"free": PLANNERS["free"]}).select("planner", "market_id", "tc_mkt", F.ln(F.col("tc_pl") / F.col("tc_mkt")).alias("y"), F.ln("mu_mkt").alias("log_mu"), "alpha", F.ln("v").alias("log_v"))
+    got = specs.least_squares(f, ["planner"], {"baseline": ("y", ["log_mu", "alpha", "log_v"])}, {"none": None, "tc": "tc_mkt"}, {"market": "market_id"})
+    return r6(got.select("planner", "weight", "term", "n", "coef", "within_r2", "alone_r2"))
