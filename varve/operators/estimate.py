@@ -82,15 +82,39 @@ def centred(df: DataFrame, key: str) -> DataFrame:
     return df.join(means, key).withColumns({c: F.col(c) - F.col(f"_m{c}") for c in names}).drop(*(f"_m{c}" for c in names))
 
 
-def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8) -> DataFrame:
+#: Groups whose coefficients and sums the driver holds while it steps.
+MOST_GROUPS = 20_000
+
+
+def share_starts(df: DataFrame, key: str, jitters: int = 2, seed: int = 1) -> dict:
+    """Per group its starting points: a constant share; least squares of exp(s) on the terms, moved up until the fit at the mean share is positive; and seeded
+    jitters of the latter. One aggregation of sums by group."""
+    p, t = share_terms(F.col("k"), F.col("m"), F.col("l")), len(TERMS)
+    rows = df.groupBy(key).agg(F.avg("s").alias("a"), F.min(F.exp("s")).alias("low"), *_gram([*p, F.exp("s")])).collect()  # a row a group
+    out = {}
+    for r in rows:
+        g = _matrix(r, t + 1)
+        guess = np.linalg.lstsq(g[:t, :t], g[:t, t], rcond=None)[0]
+        guess[0] = max(guess[0], r.low / 2)  # the terms are centred, so this is the fit at their means
+        rng = np.random.default_rng([seed, *str(r[key]).encode()])
+        spread = 0.1 * np.maximum(np.abs(guess), 0.01)
+        out[r[key]] = [np.array([np.exp(r.a), *[0.0] * (t - 1)]), guess, *(guess + spread * rng.normal(size=t) for _ in range(jitters))]
+    return out
+
+
+def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8, starts: dict | None = None, bound: float = 100.0) -> DataFrame:
     """Per group: n, loss, converged and the coefficients c0 to c9 that minimize mean((ln(P c) - s)^2), P the quadratic
-    TERMS of k, m and l. Levenberg-Marquardt steps for all groups at once: each is one aggregation of 66 sums by group, so a
-    group of any size is summed by all tasks; the driver holds coefficients of the groups alone. The start is a constant
-    share. converged: a step no longer lowers the loss by tol of it, within most steps."""
+    TERMS of k, m and l, and n_starts, n_converged and spread (of the losses that the starts reach).
+
+    Levenberg-Marquardt steps from all starts of all groups at once: a step is one aggregation of 66 sums by group and start, so a group of any size is summed by all tasks; the driver
+    holds coefficients alone, and more than MOST_GROUPS groups are refused. starts: group -> points (``share_starts``); by default a constant share. Coefficients stay within
+    bound (100 for the constant, a tenth of that for others): a step is cut off there. The least loss is kept, ties to the earlier start. converged: a step no longer lowers the loss by
+    tol of it, within most steps."""
     spark = df.sparkSession
     df = df.select(key, "k", "m", "l", "s").dropna().persist()
     kind = df.schema[key].dataType.simpleString()
     p, t = share_terms(F.col("k"), F.col("m"), F.col("l")), len(TERMS)
+    limit = np.array([bound, *[bound / 10] * (t - 1)])
     fit = sum((F.col("_c")[i] * p[i] for i in range(1, t)), F.col("_c")[0])
     low = fit < FLOOR
     value = F.when(low, np.log(FLOOR) + fit / FLOOR - 1).otherwise(F.ln(F.greatest(fit, F.lit(FLOOR))))
@@ -98,19 +122,22 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8) -> Dat
     vector = [*(slope * x for x in p), value - F.col("s")]
 
     def sums(trial: dict) -> dict:
-        table = spark.createDataFrame([(g, c.tolist()) for g, c in trial.items()], f"`{key}` {kind}, _c array<double>")
-        rows = df.join(F.broadcast(table), key).groupBy(key).agg(F.count("*").alias("n"), *_gram(vector)).collect()  # a row a group
-        return {r[key]: (r.n, _matrix(r, t + 1)) for r in rows}
-
-    starts = df.groupBy(key).agg(F.avg("s").alias("a")).collect()
-    best = {r[key]: np.array([np.exp(r.a), *[0.0] * (t - 1)]) for r in starts}
+        table = spark.createDataFrame([(g, j, c.tolist()) for (g, j), c in trial.items()], f"`{key}` {kind}, _j int, _c array<double>")
+        rows = df.join(F.broadcast(table), key).groupBy(key, "_j").agg(F.count("*").alias("n"), *_gram(vector)).collect()  # a row a group and start
+        return {(r[key], r["_j"]): (r.n, _matrix(r, t + 1)) for r in rows}
+
+    few = df.groupBy(key).agg(F.avg("s").alias("a")).limit(MOST_GROUPS + 1).collect()
+    if len(few) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of {key}")
+    points = {r[key]: [np.array([np.exp(r.a), *[0.0] * (t - 1)])] for r in few} if starts is None else {r[key]: starts[r[key]] for r in few}
+    best = {(g, j): np.clip(np.asarray(c, float), -limit, limit) for g, cs in points.items() for j, c in enumerate(cs)}
     state, damping, done = sums(best) if best else {}, dict.fromkeys(best, 1e-3), set()
     for _ in range(most):
         trial = {}
         for g in best:
             if g not in done:
                 a, b = state[g][1][:t, :t], state[g][1][:t, t]
-                trial[g] = best[g] - np.linalg.lstsq(a + damping[g] * np.diag(np.maximum(np.diag(a), 1e-12)), b, rcond=None)[0]
+                trial[g] = np.clip(best[g] - np.linalg.lstsq(a + damping[g] * np.diag(np.maximum(np.diag(a), 1e-12)), b, rcond=None)[0], -limit, limit)
         if not trial:
             break
         for g, (n, matrix) in sums(trial).items():
@@ -124,8 +151,12 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8) -> Dat
                 if damping[g] > 1e6:
                     done.add(g)
     df.unpersist()
-    rows = [(g, int(state[g][0]), float(state[g][1][t, t] / state[g][0]), g in done, *map(float, c)) for g, c in best.items()]
-    return spark.createDataFrame(rows, f"`{key}` {kind}, n long, loss double, converged boolean, " + ", ".join(f"c{i} double" for i in range(t)))
+    rows = []
+    for g, cs in points.items():
+        losses = [float(state[g, j][1][t, t] / state[g, j][0]) for j in range(len(cs))]
+        j = int(np.argmin(losses))
+        rows.append((g, int(state[g, j][0]), losses[j], (g, j) in done, *map(float, best[g, j]), len(cs), sum((g, i) in done for i in range(len(cs))), max(losses) - min(losses)))
+    return spark.createDataFrame(rows, f"`{key}` {kind}, n long, loss double, converged boolean, " + ", ".join(f"c{i} double" for i in range(t)) + ", n_starts int, n_converged int, spread double")
 
 
 def elasticities(df: DataFrame, coefficients: DataFrame, key: str) -> DataFrame:

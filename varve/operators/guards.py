@@ -54,7 +54,7 @@ def join_matched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A hash of schema and rows that doesn't depend on their order."""
+    """A hash of schema and rows that doesn't depend on their order: a sum of 64-bit hashes, against accidents, not attackers."""
     rows = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).cast("decimal(38,0)")).alias("h")).first()
     return f"{df.schema.simpleString()}|{rows.n}|{rows.h}"
 
@@ -64,3 +64,13 @@ def require_same(df: DataFrame, expected: str) -> DataFrame:
     if fingerprint(df) != expected:
         raise Refused("the input differs from the one that the earlier step used")
     return df
+
+
+def record(df: DataFrame, path: str) -> None:
+    """Writes df's fingerprint, for a later step."""
+    df.sparkSession.createDataFrame([(fingerprint(df),)], "fingerprint string").coalesce(1).write.json(path)
+
+
+def require_recorded(df: DataFrame, path: str) -> DataFrame:
+    """df, if it is what ``record`` saw."""
+    return require_same(df, df.sparkSession.read.schema("fingerprint string").json(path).first().fingerprint)

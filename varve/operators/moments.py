@@ -35,8 +35,12 @@ def demean(x: str, keys: list[str], weight: str | None = None) -> Column:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Row count and a hash of the rows that doesn't depend on their order."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).cast("decimal(38,0)")).cast("string").alias("hash"))
+    """Row count and a hash of the rows that doesn't depend on their order: the sum of 60 bits of each row's MD5 (against accidents, not attackers).
+
+    Any engine can follow it: a row is its columns' texts joined by ``|``, a null ``\\N``, a float as a decimal with six places."""
+    text = [F.coalesce(F.col(f"`{c}`").cast("decimal(38,6)" if t in ("double", "float") else "string").cast("string"), F.lit("\\N")) for c, t in df.dtypes]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *text).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash"))
 
 
 def bootstrap(df: DataFrame, entity: str, x: str, replicates: int, seed: int = 1) -> DataFrame:

@@ -228,5 +228,9 @@ def _(p):
     return r6(e.select("entity", "year", "regime", rule.alias("markup")))
 
 
-QUERIES["agg54_content_hash"] = lambda spark, sf_dir: moments.content_hash(firm_years(spark, sf_dir))
+@query("agg54_content_hash", "SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', entity, year, cell, market, rev::DECIMAL(38,6), mate::DECIMAL(38,6))), 1, 15))::HUGEINT)::VARCHAR AS hash FROM panel")
+def _(p):
+    return moments.content_hash(p.select("entity", "year", "cell", "market", "rev", "mate"))
+
+
 QUERIES["smp2_cluster_bootstrap"] = lambda spark, sf_dir: r6(moments.bootstrap(firm_years(spark, sf_dir), "entity", "cap", 200))

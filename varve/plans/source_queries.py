@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varve.functions import scalars
+from varve.functions import dates, scalars
 from varve.operators import guards
 from varve.sources import files
 
@@ -62,7 +62,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = files.scratch(spark, "csv")
     files.write_csv(firm_years(spark, sf_dir).select("entity", "year", F.when(F.col("staf") > 0, F.col("staf")).alias("staf"), F.when(F.col("year") == 1996, "").otherwise(F.col("cell")).alias("cell")), path)
-    return files.read_csv(spark, path, "entity long, year int, staf double, cell string").withColumn("cell", F.coalesce("cell", F.lit("")))
+    return files.read_csv(spark, path, "entity long, year int, staf double, cell string")
 
 
 @register("src4_csv_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders")
@@ -129,10 +129,12 @@ def _(p):
     return guards.join_matched(p.groupBy(*KEYS).agg(F.max("rev").alias("rev")), p.groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS)
 
 
-@query("prv2_same_input", "SELECT year, count(*) AS n FROM panel GROUP BY 1")
-def _(p):
-    small = p.select("entity", "year", "cell")
-    return guards.require_same(small, guards.fingerprint(small)).groupBy("year").agg(F.count("*").alias("n"))
+@register("prv2_same_input", PANEL + "SELECT year, count(*) AS n FROM panel GROUP BY 1")
+def _(spark, sf_dir):
+    """The first step records its input's fingerprint; the second reads the input anew and is refused unless it is the same."""
+    path, small = files.scratch(spark, "recorded"), lambda: firm_years(spark, sf_dir).select("entity", "year", "cell")
+    guards.record(small(), path)
+    return guards.require_recorded(small(), path).groupBy("year").agg(F.count("*").alias("n"))
 
 
 @query("agg22_top_fraction", "r AS (SELECT market, year, rev, row_number() OVER (PARTITION BY market, year ORDER BY rev DESC) AS rk, count(*) OVER (PARTITION BY market, year) AS n FROM panel)\nSELECT market, year, round(coalesce(sum(CASE WHEN rk <= ceil(0.25*n) THEN rev END), 0)/sum(rev), 6) AS top, 0.0::DOUBLE AS none, 1.0::DOUBLE AS whole FROM r GROUP BY 1, 2")
@@ -192,8 +194,9 @@ def _(p):
 
 @query("ord6_partial_selection", "SELECT market, year, sum(top) AS top FROM (SELECT market, year, CASE WHEN row_number() OVER (PARTITION BY market, year ORDER BY cap DESC, entity) <= 3 THEN cap ELSE 0 END AS top FROM panel) GROUP BY 1, 2")
 def _(p):
-    top = F.slice(F.reverse(F.array_sort(F.collect_list("cap"))), 1, 3)
-    return p.groupBy(*KEYS).agg(F.aggregate(top, F.lit(0.0), lambda a, x: a + x).alias("top"))
+    # A rank filter: each task keeps the first three of a group before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("cap"), "entity"))
+    return p.select(*KEYS, "entity", "cap", rank.alias("rk")).where("rk <= 3").groupBy(*KEYS).agg(F.sum("cap").alias("top"))
 
 
 @query("set1_union_all", "SELECT entity, year FROM panel WHERE year <= 1996 UNION ALL SELECT entity, year FROM panel WHERE cap > 50")
@@ -226,13 +229,13 @@ def _(spark, sf_dir):
     return o.groupBy("o_custkey").agg(F.min("day").alias("first_day"), F.min(F.year("day")).alias("first_year"), (F.max(F.year("day")) - F.min(F.year("day"))).alias("span"))
 
 
-@register("dt2_splice", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS v FROM orders GROUP BY 1), y AS (SELECT year(day) AS year, avg(v) AS v FROM d GROUP BY 1)
-SELECT CAST(year AS INTEGER) AS year, round(CASE WHEN year <= 1997 THEN v ELSE v + 100 END, 4) AS v, CASE WHEN year <= 1997 THEN 'first' ELSE 'second' END AS source FROM y""")
+@register("dt2_splice", """WITH a AS (SELECT year(day) AS year, avg(v) AS v FROM (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS v FROM orders GROUP BY 1) GROUP BY 1 HAVING year(day) <= 1995),
+b AS (SELECT year(day) AS year, avg(v) AS v FROM (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1) GROUP BY 1), k AS (SELECT a.v/b.v AS factor, a.v-b.v AS spread FROM a JOIN b USING (year) WHERE year = 1995)
+SELECT CAST(year AS INTEGER) AS year, 'first' AS source, round(a.v, 4) AS v, round(a.v-b.v, 4) AS spread FROM a LEFT JOIN b USING (year) UNION ALL SELECT CAST(year AS INTEGER), 'second', round(b.v*factor, 4), round(spread, 4) FROM b, k WHERE year > 1995""")
 def _(spark, sf_dir):
-    daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.avg("o_totalprice").alias("v"))
-    yearly = daily.groupBy(F.year("day").alias("year")).agg(F.avg("v").alias("v"))
-    early = F.col("year") <= 1997
-    return yearly.select("year", F.round(F.when(early, F.col("v")).otherwise(F.col("v") + 100), 4).alias("v"), F.when(early, "first").otherwise("second").alias("source"))
+    """Two daily series as annual means; after the first one's last year the second goes on, scaled to it there, with the spread of that year."""
+    daily = lambda t, day, v: table(spark, sf_dir, t).groupBy(F.col(day).cast("date").alias("day")).agg(F.avg(v).alias("v")).groupBy(F.year("day").alias("year")).agg(F.avg("v").alias("v"))
+    return dates.splice(daily("orders", "o_orderdate", "o_totalprice").where("year <= 1995"), daily("lineitem", "l_shipdate", "l_extendedprice"), 1995)
 
 
 @query("dt3_odd_years", "SELECT year % 2 = 1 AS odd, count(*) AS n, round(avg(rev), 4) AS rev FROM panel GROUP BY 1")
@@ -255,9 +258,13 @@ def _(p):
     return r6(p.select("entity", "year", scalars.interpolate(F.col("cap"), [(10.0, 1.0), (50.0, 2.0), (100.0, 3.0)]).alias("v")))
 
 
-@query("jsn1_fingerprint", "SELECT entity, year, '{\"cell\":\"' || cell || '\",\"market\":\"' || market || '\"}' AS json FROM panel")
+@query("jsn1_fingerprint", "SELECT entity, year, '{\"cell\":\"' || cell || '\",\"market\":\"' || market || '\",\"year\":' || year || '}' AS json, sha256('{\"cell\":\"' || cell || '\",\"market\":\"' || market || '\",\"year\":' || year || '}') AS fingerprint, cell, market FROM panel")
 def _(p):
-    return p.select("entity", "year", F.to_json(F.struct(*(F.col(c) for c in sorted(["market", "cell"])))).alias("json"))
+    """Encoded with sorted keys, fingerprinted, and decoded again."""
+    named = ("market", "cell", "year")
+    made = p.select("entity", "year", F.to_json(F.struct(*(F.col(c) for c in sorted(named)))).alias("json")).withColumn("fingerprint", F.sha2(F.col("json").cast("binary"), 256))
+    back = made.withColumn("back", F.from_json("json", "cell string, market string, year int"))
+    return back.where("back.year = year").select("entity", "year", "json", "fingerprint", "back.cell", "back.market")
 
 
 @query("smp4_partial_reverse", "r AS (SELECT market, year, entity, rev, row_number() OVER (PARTITION BY market, year ORDER BY rev, entity) AS rk, count(*) OVER (PARTITION BY market, year) AS n FROM panel)\nSELECT a.market, a.year, a.entity, b.rev FROM r a JOIN r b ON a.market = b.market AND a.year = b.year AND b.rk = CASE WHEN a.rk <= round(0.5*a.n) THEN round(0.5*a.n) + 1 - a.rk ELSE a.rk END")
@@ -267,13 +274,3 @@ def _(p):
     some = F.round(F.lit(0.5) * F.col("n")).cast("int")  # the slots that change places, in an order fixed by rank
     moved = r.withColumn("rk", F.when(F.col("rk") <= some, some + 1 - F.col("rk")).otherwise(F.col("rk"))).select(*KEYS, "entity", "rk")
     return moved.join(r.select(*KEYS, "rk", "rev"), [*KEYS, "rk"]).drop("rk")
-
-
-def mth3_normal(spark, sf_dir):
-    """Normal distribution function of the standardized log revenue by cell; no DuckDB function to compare with."""
-    p = firm_years(spark, sf_dir).where("rev > 0").select("entity", "year", "cell", F.ln("rev").alias("y"))
-    m = p.groupBy("cell").agg(F.avg("y").alias("m"), F.stddev("y").alias("sd"))
-    return r6(p.join(m, "cell").select("entity", "year", scalars.normal_cdf((F.col("y") - F.col("m")) / F.col("sd")).alias("u")))
-
-
-QUERIES["mth3_normal"] = mth3_normal

@@ -296,8 +296,9 @@ def _(p):
 
 
 def est14_share_nls(spark, sf_dir):
-    """The first step of the production function in each cell: the share equation by nonlinear least squares."""
-    return r6(estimate.share_nls(production(firm_years(spark, sf_dir)), "cell"))
+    """The first step of the production function in each cell: the share equation by nonlinear least squares, from four starts."""
+    p = production(firm_years(spark, sf_dir)).select("cell", "k", "m", "l", "s")
+    return r6(estimate.share_nls(p, "cell", starts=estimate.share_starts(p, "cell")).drop("spread"))
 
 
 def est16_elasticities(spark, sf_dir):
