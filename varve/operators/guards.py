@@ -74,3 +74,29 @@ def record(df: DataFrame, path: str) -> None:
 def require_recorded(df: DataFrame, path: str) -> DataFrame:
     """df, if it is what ``record`` saw."""
     return require_same(df, df.sparkSession.read.schema("fingerprint string").json(path).first().fingerprint)
+
+
+def join_overlapping(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, most: float) -> DataFrame:
+    """a and b where both have the keys, with gap, the distance of x and y relative to x; refused if there are none such, or a gap exceeds most (or is undefined)."""
+    met = join_many_to_one(a, b, keys).where(F.col(y).isNotNull()).withColumn("gap", F.try_divide(F.abs(F.col(x) - F.col(y)), F.abs(F.col(x))))
+    seen = met.agg(F.count("*").alias("n"), F.max(F.coalesce("gap", F.lit(float("inf")))).alias("gap")).first()
+    if seen.n == 0 or seen.gap > most:
+        raise Refused(f"{x} and {y} meet in {seen.n} rows and differ by {seen.gap}, at most {most} is allowed")
+    return met
+
+
+def panel_checks(df: DataFrame, required: list[str], keys: list[str], positive: list[str], finite: list[str]) -> DataFrame:
+    """check and rows: how many rows lack a required column's value (all of them, if the column is missing), have a null key, repeat a key, or have
+    values that are not positive or not finite (NaN, infinite)."""
+    missing = [c for c in required if c not in df.columns]
+    have = lambda cs: [c for c in cs if c in df.columns]
+    any_of = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
+    bad = {
+        "missing columns": F.lit(bool(missing)), "null keys": any_of([F.col(k).isNull() for k in have(keys)]), "not positive": any_of([~F.coalesce(F.col(c) > 0, F.lit(True)) for c in have(positive)]),
+        "not finite": any_of([F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in have(finite)]),
+    }
+    counts = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in bad.items()))
+    twice = df.groupBy(*have(keys)).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated keys"))
+    both = counts.join(twice)
+    order = ["missing columns", "null keys", "repeated keys", "not positive", "not finite"]
+    return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("rows")) for n in order))).alias("x")).select("x.*")

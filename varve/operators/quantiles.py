@@ -1,15 +1,30 @@
-"""Quantiles by their conventions. Linear ones are Spark's ``percentile``; the others rank rows within groups."""
+"""Quantiles by their conventions, from ranks and cumulative weights along a distributed sort, so that groups may be of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def _ranked(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """_x, its rank _r in the group, and the group's row count _n; nulls are left out."""
     df = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_x"))
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"_r": F.row_number().over(w.orderBy("_x")), "_n": F.count("*").over(w)})
+    return running(df, keys, [F.col("_x")], rank="_r").withColumnRenamed("_r_total", "_n")
+
+
+def linear(df: DataFrame, column: str, keys: list[str], ps: list[float]) -> DataFrame:
+    """Interpolation at rank 1 + p (n - 1), for each p: columns q0, q1, ... Spark's ``percentile`` gives the same, but holds a group's distinct values in one task."""
+    ranked = _ranked(df, column, keys)
+    h = [1 + F.lit(p) * (F.col("_n") - 1) for p in ps]
+    near = [F.col("_r").between(F.floor(x), F.ceil(x)) for x in h]
+    any_near = near[0]
+    for c in near[1:]:
+        any_near = any_near | c
+    # Few rows a group are left: the order statistics around each level, weighted by their nearness to it.
+    parts = [F.sum(F.when(c, F.col("_x") * F.when(F.floor(x) == F.ceil(x), 1.0).otherwise(1 - F.abs(F.col("_r") - x)))).alias(f"q{i}") for i, (x, c) in enumerate(zip(h, near, strict=True))]
+    return ranked.where(any_near).groupBy(*keys).agg(*parts)
 
 
 def hazen(df: DataFrame, column: str, keys: list[str], p: float) -> DataFrame:
@@ -29,7 +44,7 @@ def averaged(df: DataFrame, column: str, keys: list[str], percent: int) -> DataF
 
 
 def weighted(df: DataFrame, column: str, weight: str, keys: list[str], p: float) -> DataFrame:
-    """Least value at which the cumulative weight reaches the share p."""
-    w = Window.partitionBy(*keys)
-    cum = F.sum(weight).over(w.orderBy(column).rangeBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
-    return df.where(F.col(column).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(column).alias("_x"), cum.alias("_c")).where(F.col("_c") >= p - 1e-12).groupBy(*keys).agg(F.min("_x").alias("q"))
+    """Least value at which the cumulative weight reaches the share p, over rows with a value and a positive weight."""
+    df = df.where(F.col(column).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(column).alias("_x"), F.col(weight).cast("double").alias("_w"))
+    run = running(df, keys, [F.col("_x")], {"_c": F.col("_w")}, rank=None)
+    return run.where(F.col("_c") / F.col("_c_total") >= p - 1e-12).groupBy(*keys).agg(F.min("_x").alias("q"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varve.functions import scalars
-from varve.operators import arrange, curves, ordered, specs
+from varve.operators import arrange, curves, guards, market, ordered, panel, quantiles, specs
 from varve.sources import files
 
 from .panel_queries import KEYS, PANEL, QUERIES, SQL, query, r6
@@ -166,3 +166,99 @@ def _(p):
     top = lambda q: F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(q) * F.col("rank_total")))
     share = lambda q: F.sum(F.when(top(q), F.col("s"))) / F.sum("s")
     return r6(r.agg(share(0.001).alias("top_01"), share(0.01).alias("top_1"), share(0.05).alias("top_5"), F.avg(F.when(top(0.01), F.col("a"))).alias("alpha_top_1"), (F.sum(F.when(top(0.01), F.col("s") * F.col("mu"))) / F.sum(F.when(top(0.01), F.col("s")))).alias("mu_sw_top_1")))
+
+
+@query("agg3_quantiles_by_sort", "SELECT cell, round(quantile_cont(rev, 0.01), 4) AS q01, round(quantile_cont(rev, 0.5), 4) AS q50, round(quantile_cont(rev, 0.99), 4) AS q99 FROM panel GROUP BY 1")
+def _(p):
+    """Exact linear quantiles along a distributed sort: no task holds a group."""
+    q = quantiles.linear(p, "rev", ["cell"], [0.01, 0.5, 0.99])
+    return q.select("cell", *(F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q01", "q50", "q99"))))
+
+
+@query("agg15_mean_spearman", """r AS (SELECT market, year, rank() OVER (PARTITION BY market, year ORDER BY rev) + (count(*) OVER (PARTITION BY market, year, rev)-1)/2.0 AS a, rank() OVER (PARTITION BY market, year ORDER BY cap) + (count(*) OVER (PARTITION BY market, year, cap)-1)/2.0 AS b FROM panel),
+g AS (SELECT market, year, count(*) AS n, CASE WHEN count(*) >= 75 THEN corr(a::DOUBLE, b::DOUBLE) END AS rho FROM r GROUP BY 1, 2) SELECT year, count(*) AS markets, count(rho) AS used, round(avg(rho), 6) AS rho FROM g GROUP BY 1""")
+def _(p):
+    """Rank correlations of markets with 75 firms or more (others have none), and their mean in each year."""
+    ranks = p.select(*KEYS, market.average_rank_share("rev", KEYS).alias("a"), market.average_rank_share("cap", KEYS).alias("b"))
+    g = ranks.groupBy(*KEYS).agg(F.when(F.count("*") >= 75, F.corr("a", "b")).alias("rho"))
+    return r6(g.groupBy("year").agg(F.count("*").alias("markets"), F.count("rho").alias("used"), F.avg("rho").alias("rho")))
+
+
+@query("agg18_two_controls", """v AS (SELECT cell, ln(rev) AS y, ln(mate) AS z, ln(cap) AS a, ln(staf) AS b FROM panel WHERE rev > 0 AND mate > 0 AND cap > 0 AND staf > 0), c AS (SELECT cell, corr(y,z) AS yz, corr(y,a) AS ya, corr(y,b) AS yb, corr(z,a) AS za, corr(z,b) AS zb, corr(a,b) AS ab FROM v GROUP BY 1),
+p AS (SELECT cell, (yz-ya*za)/sqrt((1-ya*ya)*(1-za*za)) AS yz, (yb-ya*ab)/sqrt((1-ya*ya)*(1-ab*ab)) AS yb, (zb-za*ab)/sqrt((1-za*za)*(1-ab*ab)) AS zb FROM c) SELECT cell, round((yz-yb*zb)/sqrt((1-yb*yb)*(1-zb*zb)), 6) AS r FROM p""")
+def _(p):
+    """Correlation of revenue and materials given capital and labour: the sign of one's coefficient on the other, and its partial R2."""
+    v = p.where("rev > 0 and mate > 0 and cap > 0 and staf > 0").select("cell", *(F.ln(c).alias(n) for c, n in (("rev", "y"), ("mate", "z"), ("cap", "a"), ("staf", "b"))))
+    got = specs.least_squares(v, ["cell"], {"s": ("y", ["z", "a", "b"])}).where("term = 'z'")
+    return r6(got.select("cell", (F.signum("coef") * F.sqrt("partial_r2")).alias("r")))
+
+
+@query("agg31_winsorized_nodes", """q AS (SELECT cell, quantile_cont(cap, 0.02) AS lo, quantile_cont(cap, 0.98) AS hi FROM panel GROUP BY 1), w AS (SELECT cell, greatest(lo, least(cap, hi)) AS x FROM panel JOIN q USING (cell)), n AS (SELECT cell, quantile_cont(x, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q FROM w GROUP BY 1)
+SELECT cell, k::INTEGER AS k, round(q[k], 6) AS node FROM n, range(1, 6) t(k)""")
+def _(p):
+    """Five nodes of equal mass, at the middle of their shares, after winsorizing."""
+    w = panel.winsorize_by(p.select("cell", "cap"), "cap", ["cell"], 0.02, 0.98, "x")
+    q = quantiles.linear(w, "x", ["cell"], [0.1, 0.3, 0.5, 0.7, 0.9])
+    return r6(q.select("cell", F.posexplode(F.array(*(f"q{i}" for i in range(5)))).alias("k", "node")).withColumn("k", F.col("k") + 1))
+
+
+@query("agg58_excluded_mass", """c AS (SELECT cell, cap, rev, sum(rev) OVER (PARTITION BY cell ORDER BY cap, entity, year ROWS UNBOUNDED PRECEDING)/sum(rev) OVER (PARTITION BY cell) AS w, row_number() OVER (PARTITION BY cell ORDER BY cap, entity, year)/(count(*) OVER (PARTITION BY cell))::DOUBLE AS u FROM panel)
+SELECT cell, round(max(u) FILTER (cap <= 100), 6) AS ecdf, round(max(w) FILTER (cap <= 100), 6) AS wcdf, round(1 - max(u) FILTER (cap <= 100), 6) AS excluded_firms, round(1 - max(w) FILTER (cap <= 100), 6) AS excluded_sales FROM c GROUP BY 1""")
+def _(p):
+    """Step distribution functions at a truncation point, and the mass above it."""
+    run = ordered.running(p.select("cell", "entity", "year", "cap", "rev"), ["cell"], [F.col("cap"), F.col("entity"), F.col("year")], {"w": F.col("rev")})
+    at = lambda n: F.max(F.when(F.col("cap") <= 100, F.col(n) / F.col(f"{n}_total")))
+    got = run.groupBy("cell").agg(at("rank").alias("ecdf"), at("w").alias("wcdf"))
+    return r6(got.withColumns({"excluded_firms": 1 - F.col("ecdf"), "excluded_sales": 1 - F.col("wcdf")}))
+
+
+@query("win17_distinct_edges", """v AS (SELECT cell, least(greatest(round(cap/20), 1), 3) AS x FROM panel), q AS (SELECT cell, list_sort(list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM v GROUP BY 1)
+SELECT cell, greatest(len(list_filter(e, lambda y: y < x)), 1)::INTEGER AS bin, count(*) AS n, len(any_value(e))::INTEGER AS edges FROM v JOIN q USING (cell) GROUP BY 1, 2""")
+def _(p):
+    """Quantile bins of a column of few values: edges that coincide are dropped, bins are closed on the right, the first on both sides."""
+    v = p.select("cell", F.least(F.greatest(F.round(F.col("cap") / 20), F.lit(1.0)), F.lit(3.0)).alias("x"))
+    q = quantiles.linear(v, "x", ["cell"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    edges = q.select("cell", F.array_sort(F.array_distinct(F.array(*(f"q{i}" for i in range(6))))).alias("e"))
+    bins = v.join(edges, "cell").select("cell", F.size("e").alias("edges"), F.greatest(F.size(F.filter("e", lambda y: y < F.col("x"))), F.lit(1)).alias("bin"))
+    return bins.groupBy("cell", "bin").agg(F.count("*").alias("n"), F.max("edges").alias("edges"))
+
+
+@query("jn16_overlap_gap", """a AS (SELECT year, avg(rev) AS u FROM panel WHERE year <= 1996 GROUP BY 1), b AS (SELECT year, avg(rev)*1.0001 AS v FROM panel WHERE year >= 1995 GROUP BY 1)
+SELECT year::INTEGER AS year, round(u, 4) AS u, round(v, 4) AS v, round(abs(u-v)/u, 6) AS gap FROM a JOIN b USING (year) WHERE (SELECT max(abs(u-v)/u) FROM a JOIN b USING (year)) <= 0.001""")
+def _(p):
+    """Two series must agree within 0.1 % in the years that both have, or the join is refused."""
+    a = p.where("year <= 1996").groupBy("year").agg(F.avg("rev").alias("u"))
+    b = p.where("year >= 1995").groupBy("year").agg((F.avg("rev") * 1.0001).alias("v"))
+    got = guards.join_overlapping(a, b, ["year"], "u", "v", 0.001)
+    return got.select("year", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"), F.round("gap", 6).alias("gap"))
+
+
+@query("jn21_panel_checks", "SELECT 'missing columns' AS check, 0::BIGINT AS rows UNION ALL SELECT 'null keys', 0 UNION ALL SELECT 'repeated keys', 0 UNION ALL SELECT 'not positive', count(*) FILTER (NOT staf > 0) FROM panel UNION ALL SELECT 'not finite', count(*) FILTER (staf = 0) FROM panel")
+def _(p):
+    """Required columns, keys, signs and finiteness, each with the rows that fail it, in two passes."""
+    q = p.select("entity", "year", "staf", (F.col("rev") / F.when(F.col("staf") == 0, None).otherwise(F.col("staf"))).alias("ratio"))
+    q = q.withColumn("ratio", F.coalesce("ratio", F.lit(float("inf"))))
+    return guards.panel_checks(q, ["entity", "year", "staf", "ratio"], ["entity", "year"], ["staf"], ["ratio"])
+
+
+@query("sim6_capped_markups", "SELECT entity, year, r.regime, round(CASE r.regime WHEN 'planner' THEN 1.0::DOUBLE WHEN 'uniform' THEN 1.2::DOUBLE ELSE least(e/(e-1), 1.25) END, 6) AS markup, (r.regime = 'market' AND e/(e-1) > 1.25) AS capped FROM (SELECT entity, year, 1/(s/1.5::DOUBLE + (1-s)/6.0::DOUBLE) AS e FROM (SELECT entity, year, rev/sum(rev) OVER (PARTITION BY market, year) AS s FROM panel)) CROSS JOIN (VALUES ('market'), ('planner'), ('uniform')) r(regime)")
+def _(p):
+    s = p.join(p.groupBy(*KEYS).agg(F.sum("rev").alias("t")), KEYS).select("entity", "year", (F.col("rev") / F.col("t")).alias("s"))
+    e = s.select("entity", "year", (1 / (F.col("s") / 1.5 + (1 - F.col("s")) / 6.0)).alias("e"), F.explode(F.array(*map(F.lit, ("market", "planner", "uniform")))).alias("regime"))
+    free = F.col("e") / (F.col("e") - 1)
+    rule = F.when(F.col("regime") == "planner", 1.0).when(F.col("regime") == "uniform", 1.2).otherwise(F.least(free, F.lit(1.25)))
+    return r6(e.select("entity", "year", "regime", rule.alias("markup"), ((F.col("regime") == "market") & (free > 1.25)).alias("capped")))
+
+
+@query("sim20_moments_table", """s AS (SELECT market, year, rev, mate, rev/sum(rev) OVER w AS s, row_number() OVER (PARTITION BY market, year ORDER BY rev DESC, entity) AS rk FROM panel WINDOW w AS (PARTITION BY market, year)), m AS (SELECT *, 1/(1-(s/1.5+(1-s)/6.0::DOUBLE)) AS mu FROM s), k AS (SELECT market, year, max(s) AS top, sum(s) FILTER (rk <= 4) AS cr4, sum(s*s) AS hhi, count(*) AS n FROM m GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM m) AS n_active, (SELECT count(*) FROM k) AS n_markets, (SELECT round(sum(mu*mate)/sum(mate), 6) FROM m) AS mu_cw, round(avg(cr4), 6) AS cr4, round(avg(hhi), 6) AS hhi, round(median(top), 6) AS top_median, round(quantile_cont(top, 0.9), 6) AS top_p90, round(avg(n), 6) AS firms FROM k""")
+def _(p):
+    """Moments of the materialized firm panel: one row."""
+    t = p.join(p.groupBy(*KEYS).agg(F.sum("rev").alias("t")), KEYS).withColumn("s", F.col("rev") / F.col("t"))
+    t = t.withColumn("mu", 1 / (1 - (F.col("s") / 1.5 + (1 - F.col("s")) / 6.0)))
+    four = t.withColumn("rk", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("rev"), "entity"))).where("rk <= 4").groupBy(*KEYS).agg(F.sum("s").alias("cr4"))
+    k = t.groupBy(*KEYS).agg(F.max("s").alias("top"), F.sum(F.col("s") * F.col("s")).alias("hhi"), F.count("*").alias("n")).join(four, KEYS)
+    q = F.percentile("top", F.array(F.lit(0.5), F.lit(0.9)))  # a row a market
+    moments = k.agg(F.count("*").alias("n_markets"), F.avg("cr4").alias("cr4"), F.avg("hhi").alias("hhi"), q.alias("q"), F.avg("n").alias("firms"))
+    firms = t.agg(F.count("*").alias("n_active"), (F.sum(F.col("mu") * F.col("mate")) / F.sum("mate")).alias("mu_cw"))
+    return r6(firms.join(moments).select("n_active", "n_markets", "mu_cw", "cr4", "hhi", F.col("q")[0].alias("top_median"), F.col("q")[1].alias("top_p90"), "firms"))

@@ -29,7 +29,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def write_csv(df: DataFrame, path: str) -> None:
     """With a header; nulls are empty fields and empty strings quoted ones, which ``read_csv`` tells apart."""
-    df.write.option("header", True).option("nullValue", "").option("emptyValue", '""').option("dateFormat", "yyyy-MM-dd").csv(path)
+    df.write.option("header", True).option("nullValue", "").option("emptyValue", '""').option("dateFormat", "yyyy-MM-dd").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 #: What a quoted empty field is read as before it becomes an empty string: two characters that Unicode keeps out of texts.
