@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def average_rank_share(x: str, keys: list[str]) -> Column:
     """Percentile rank with ties at their average: (rank + (ties - 1) / 2) / n."""
@@ -36,3 +38,19 @@ def rank_gap(df: DataFrame, keys: list[str], size: str, value: str, top: float,
     """Mean demeaned value over units in the top ranks of their market, minus that of the bottom; pooled over units."""
     df = df.select(average_rank_share(size, keys).alias("pr"), (F.col(value) - F.avg(value).over(Window.partitionBy(*keys))).alias("d"))
     return df.agg((F.avg(F.when(F.col("pr") > top, F.col("d"))) - F.avg(F.when(F.col("pr") <= bottom, F.col("d")))).alias("gap"))
+
+
+def tail_blocks(df: DataFrame, keys: list[str], x: str, tie: list[str], cutoffs: dict[str, float], least: int = 20) -> DataFrame:
+    """Per group and cutoff (name -> share of the top): k, zipf (minus the slope of ln(rank - 1/2) on ln x), hill and se (zipf sqrt(2 / k)), over the top
+    max(int(share n), least) positive values, which also need that many.
+
+    All cutoffs come from one distributed sort and one aggregation; rows below the widest cutoff go before it."""
+    df = df.where(F.col(x) > 0).select(*keys, *tie, F.ln(x).alias("lx"))
+    ranked = running(df, keys, [F.desc("lx"), *(F.col(c) for c in tie)])
+    k = lambda share: F.greatest(F.floor(F.lit(share) * F.col("rank_total")), F.lit(least))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("cutoff"), k(share).alias("k")) for n, share in cutoffs.items())))
+    top = ranked.where(F.col("rank") <= k(max(cutoffs.values()))).select(*keys, "lx", "rank", "rank_total", each.alias("c")).select(*keys, "lx", "rank", "rank_total", "c.*").where((F.col("rank") <= F.col("k")) & (F.col("k") <= F.col("rank_total")))
+    slope = -F.regr_slope(F.ln(F.col("rank") - 0.5), F.col("lx"))
+    above = F.avg(F.when(F.col("rank") < F.col("k"), F.col("lx"))) - F.max(F.when(F.col("rank") == F.col("k"), F.col("lx")))
+    got = top.groupBy(*keys, "cutoff").agg(F.count("*").alias("k"), slope.alias("zipf"), F.try_divide(F.lit(1.0), above).alias("hill"))
+    return got.withColumn("se", F.col("zipf") * F.sqrt(2 / F.col("k")))

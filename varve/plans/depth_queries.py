@@ -262,3 +262,66 @@ def _(p):
     moments = k.agg(F.count("*").alias("n_markets"), F.avg("cr4").alias("cr4"), F.avg("hhi").alias("hhi"), q.alias("q"), F.avg("n").alias("firms"))
     firms = t.agg(F.count("*").alias("n_active"), (F.sum(F.col("mu") * F.col("mate")) / F.sum("mate")).alias("mu_cw"))
     return r6(firms.join(moments).select("n_active", "n_markets", "mu_cw", "cr4", "hhi", F.col("q")[0].alias("top_median"), F.col("q")[1].alias("top_p90"), "firms"))
+
+
+_TAIL_SQL = "v AS (SELECT entity, year, 'cell' AS axis, rev/avg(rev) OVER (PARTITION BY cell, year) AS x FROM panel UNION ALL SELECT entity, year, 'market', rev/avg(rev) OVER (PARTITION BY market, year) FROM panel)"
+
+
+@query("agg28_tail_by_axis", _TAIL_SQL + """, r AS (SELECT axis, year, ln(x) AS lx, row_number() OVER (PARTITION BY axis, year ORDER BY ln(x) DESC, entity) AS rk, count(*) OVER (PARTITION BY axis, year) AS n FROM v WHERE x > 0),
+k AS (SELECT axis, year, cutoff, lx, rk, greatest(floor(share*n), 20) AS k, n FROM r, (VALUES ('p01', 0.01::DOUBLE), ('p05', 0.05), ('p10', 0.1)) t(cutoff, share)), f AS (SELECT * FROM k WHERE rk <= k AND k <= n)
+SELECT axis, year, cutoff, count(*) AS k, round(-regr_slope(ln(rk-0.5), lx), 6) AS zipf, round(1/(avg(lx) FILTER (rk < k) - max(lx) FILTER (rk = k)), 6) AS hill, round(-regr_slope(ln(rk-0.5), lx)*sqrt(2.0::DOUBLE/count(*)), 6) AS se FROM f GROUP BY 1, 2, 3""")
+def _(p):
+    """Revenue relative to two kinds of groups, three cutoffs, every year: fourteen rankings along one distributed sort."""
+    rel = lambda k: p.join(p.groupBy(k, "year").agg(F.avg("rev").alias("_m")), [k, "year"]).select("entity", "year", F.lit(k).alias("axis"), (F.col("rev") / F.col("_m")).alias("x"))
+    return r6(market.tail_blocks(rel("cell").unionByName(rel("market")), ["axis", "year"], "x", ["entity"], {"p01": 0.01, "p05": 0.05, "p10": 0.1}))
+
+
+@query("src9_guarded_profile", """t AS (SELECT year, cell || CASE WHEN entity % 3 = 0 THEN '' ELSE ':' || cap END AS raw, staf FROM panel)
+SELECT year, round(avg(coalesce((staf > 0)::INT, 0)), 6) AS positive, count(*) FILTER (regexp_full_match(split_part(raw, ':', 2), '[0-9]+(\\.[0-9]+)?')) AS numeric, round(avg(CASE WHEN regexp_full_match(split_part(raw, ':', 2), '[0-9]+(\\.[0-9]+)?') THEN split_part(raw, ':', 2)::DOUBLE END), 6) AS mean, string_agg(DISTINCT split_part(raw, ':', 1), ',' ORDER BY split_part(raw, ':', 1)) AS cells FROM t GROUP BY 1""")
+def _(p):
+    """A text column of numbers and gaps: cast only where a pattern says it is a number; shares, counts and the distinct labels."""
+    raw = F.concat("cell", F.when(F.col("entity") % 3 == 0, "").otherwise(F.concat(F.lit(":"), F.col("cap").cast("string"))))
+    cell, tail = F.split_part(F.col("raw"), F.lit(":"), F.lit(1)), F.split_part(F.col("raw"), F.lit(":"), F.lit(2))
+    number = F.when(tail.rlike(r"^[0-9]+(\.[0-9]+)?$"), tail.try_cast("double"))
+    t = p.select("year", raw.alias("raw"), "staf")
+    return r6(t.groupBy("year").agg(F.avg(F.coalesce((F.col("staf") > 0).cast("double"), F.lit(0.0))).alias("positive"), F.count(number).alias("numeric"), F.avg(number).alias("mean"), F.array_join(F.array_sort(F.collect_set(cell)), ",").alias("cells")))
+
+
+@query("agg52_income_split", """r AS (SELECT *, 1 + floor(least(greatest(cap, 1), 99)/20) AS bin FROM panel), s AS (SELECT bin, sum(staf) AS l, sum(rev) AS y, sum(mate) AS k, count(*) AS n FROM r GROUP BY 1)
+SELECT bin::INTEGER AS bin, rate, n, round(l/y, 6) AS s_l, round(rr*k/y, 6) AS s_k, round(1-l/y-rr*k/y, 6) AS s_pi, round(1/(l/y+rr*k/y), 6) AS markup, round(l/(l+rr*k), 6) AS s_l_cost FROM s, (VALUES ('high', 0.4::DOUBLE), ('low', 0.1)) t(rate, rr)""")
+def _(p):
+    """Shares of labour, capital and profit and the markup they imply, by size, under two rental rates."""
+    s = p.groupBy((1 + F.floor(F.least(F.greatest("cap", F.lit(1.0)), F.lit(99.0)) / 20)).cast("int").alias("bin")).agg(F.sum("staf").alias("l"), F.sum("rev").alias("y"), F.sum("mate").alias("k"), F.count("*").alias("n"))
+    s = s.withColumn("r", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.lit(v).alias("rr")) for n, v in (("high", 0.4), ("low", 0.1))))))
+    a, b = F.col("l") / F.col("y"), F.col("r.rr") * F.col("k") / F.col("y")
+    return r6(s.select("bin", "r.rate", "n", a.alias("s_l"), b.alias("s_k"), (1 - a - b).alias("s_pi"), (1 / (a + b)).alias("markup"), (F.col("l") / (F.col("l") + F.col("r.rr") * F.col("k"))).alias("s_l_cost")))
+
+
+@query("agg57_export_diagnostics", """v AS (SELECT cell, year, rev/mate AS r FROM panel WHERE mate > 0)
+SELECT 'year' AS axis, year::VARCHAR AS level, count(*) AS n, NULL::DOUBLE AS mean, NULL::DOUBLE AS in_window FROM v GROUP BY year UNION ALL SELECT 'cell', cell, count(*), round(avg(r), 6), round(avg(r) FILTER (year BETWEEN 1994 AND 1996), 6) FROM v GROUP BY cell UNION ALL SELECT 'all', '', count(*), round(avg(r), 6), round(avg(r) FILTER (year BETWEEN 1994 AND 1996), 6) FROM v""")
+def _(p):
+    """Counts by year, counts and means by cell (all years and a window) and in all, from one pass over grouping sets."""
+    v = p.where("mate > 0").select("cell", "year", (F.col("rev") / F.col("mate")).alias("r"))
+    got = v.groupingSets([[F.col("year")], [F.col("cell")], []], "year", "cell").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.avg("r").alias("mean"), F.avg(F.when(F.col("year").between(1994, 1996), F.col("r"))).alias("w"))
+    axis = F.when(F.col("g") == 1, "year").when(F.col("g") == 2, "cell").otherwise("all")
+    return r6(got.select(axis.alias("axis"), F.when(F.col("g") == 1, F.col("year").cast("string")).when(F.col("g") == 2, F.col("cell")).otherwise("").alias("level"), "n", F.when(F.col("g") != 1, F.col("mean")).alias("mean"), F.when(F.col("g") != 1, F.col("w")).alias("in_window")))
+
+
+@query("sim10_variety_toggle", "SELECT market, year, t.love, round(CASE t.love WHEN 'on' THEN 1.0::DOUBLE ELSE pow(count(*), 5.0/4) END, 6) AS factor FROM panel, (VALUES ('on'), ('off')) t(love) GROUP BY 1, 2, 3")
+def _(p):
+    n = p.groupBy("market", "year").agg(F.count("*").alias("n")).withColumn("love", F.explode(F.array(F.lit("on"), F.lit("off"))))
+    return r6(n.select("market", "year", "love", F.when(F.col("love") == "on", 1.0).otherwise(F.pow("n", F.lit(1.25))).alias("factor")))
+
+
+@query("sim32_contribution_grid", """b AS (SELECT market, year, CASE WHEN cap < 30 THEN 1 WHEN cap < 60 THEN 2 ELSE 3 END AS bin, rev, mate, rev/sum(rev) OVER (PARTITION BY market, year) AS s FROM panel), m AS (SELECT *, 1/(1-(s/1.5+(1-s)/6.0::DOUBLE)) AS mu FROM b), t AS (SELECT sum(mate) AS c, sum(mu*mate)/sum(mate) AS bar, sum((mu-1)*mate) AS w FROM m),
+g AS (SELECT bin, year, sum((mu-1)*mate)/any_value(w) AS level_w, sum(mate)/any_value(c) AS cost_share, sum(mu*mate)/sum(mate) AS mean_mu, any_value(bar) AS bar FROM m, t GROUP BY 1, 2), d AS (SELECT *, cost_share*(mean_mu-bar)*(mean_mu-bar) AS dw FROM g)
+SELECT bin, year, round(level_w, 6) AS level_weight, round(dw/sum(dw) OVER (), 5) AS dispersion_weight, round(100*(0.7::DOUBLE*level_w + 0.3::DOUBLE*dw/sum(dw) OVER ()), 4) AS percent FROM d""")
+def _(p):
+    """Each cell's part of a gain that is 70 % level (in proportion to wedges) and 30 % dispersion (in proportion to cost-weighted squared deviations of markups)."""
+    t = p.join(p.groupBy(*KEYS).agg(F.sum("rev").alias("t")), KEYS).withColumn("s", F.col("rev") / F.col("t"))
+    m = t.select("year", F.when(F.col("cap") < 30, 1).when(F.col("cap") < 60, 2).otherwise(3).alias("bin"), "mate", (1 / (1 - (F.col("s") / 1.5 + (1 - F.col("s")) / 6.0))).alias("mu"))
+    cells = m.groupBy("bin", "year").agg(F.sum("mate").alias("c"), F.sum(F.col("mu") * F.col("mate")).alias("mc"), F.sum((F.col("mu") - 1) * F.col("mate")).alias("w"))
+    total = F.broadcast(cells.agg(F.sum("c").alias("tc"), (F.sum("mc") / F.sum("c")).alias("bar"), F.sum("w").alias("tw")))  # one row
+    g = cells.join(total).withColumns({"level": F.col("w") / F.col("tw"), "d": F.col("c") / F.col("tc") * F.pow(F.col("mc") / F.col("c") - F.col("bar"), 2)})
+    g = g.join(F.broadcast(g.agg(F.sum("d").alias("td")))).withColumn("disp", F.col("d") / F.col("td"))  # one row
+    return g.select("bin", "year", F.round("level", 6).alias("level_weight"), F.round("disp", 5).alias("dispersion_weight"), F.round(100 * (0.7 * F.col("level") + 0.3 * F.col("disp")), 4).alias("percent"))
