@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import POISSON, PRIME, seeds
+
 
 def weighted_mean(x: str | Column, w: str | Column) -> Column:
     """Sum of w x over sum of w; null if the weights sum to zero."""
@@ -44,12 +46,11 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, entity: str, x: str, replicates: int, seed: int = 1) -> DataFrame:
-    """Cluster bootstrap of the mean of x: replicate, mean. Entities weigh a Poisson(1) number, made from a hash of entity
-    and replicate, so that draws are alike under any partitioning; rows are first summed by entity."""
+    """Cluster bootstrap of the mean of x: replicate, mean. Entities weigh a Poisson(1) number, by the same portable draws as ``ordered.rank_bootstrap``, alike under any
+    partitioning and in any engine; rows are first summed by entity, and draws by replicate before the shuffle."""
     sums = df.where(F.col(x).isNotNull()).groupBy(entity).agg(F.sum(x).alias("_s"), F.count("*").alias("_n"))
-    draws = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(entity, "replicate", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    # The distribution function of Poisson(1) at 0 to 7.
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998976)
-    weight = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
+    draws = sums.select("_s", "_n", *seeds(entity, seed), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    r, p = F.col("replicate").cast("long"), F.lit(PRIME).cast("long")
+    u = ((F.col("_s0") + F.col("_s1") * r % p + F.col("_s2") * r % p * r % p) % p) / float(PRIME)
+    weight = sum(((u >= s).cast("int") for s in POISSON[1:]), (u >= POISSON[0]).cast("int"))
     return draws.withColumn("_w", weight).groupBy("replicate").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("mean"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varve.operators import effects, expansion, ordered, specs
 
-from .panel_queries import QUERIES, query, r6
+from .panel_queries import query, r6
 
 #: One row an entity: its market, mean log revenue and mean log productivity.
 UNITS = "u AS (SELECT entity, market, avg(ln(rev)) AS o, avg(ln(rev/mate)) AS x FROM panel WHERE rev > 0 AND mate > 0 GROUP BY 1, 2)"

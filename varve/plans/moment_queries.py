@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varve.operators import market, moments, panel, regress
+from varve.operators import market, moments, ordered, panel, regress
 
-from .panel_queries import KEYS, QUERIES, firm_years, query, r6
+from .panel_queries import KEYS, query, r6
 
 LOGS = "v AS (SELECT entity, year, cell, market, cap, ln(cap) AS x, ln(rev) AS y FROM panel WHERE cap > 0 AND rev > 0)"
 
@@ -233,4 +233,10 @@ def _(p):
     return moments.content_hash(p.select("entity", "year", "cell", "market", "rev", "mate"))
 
 
-QUERIES["smp2_cluster_bootstrap"] = lambda spark, sf_dir: r6(moments.bootstrap(firm_years(spark, sf_dir), "entity", "cap", 200))
+_P = ordered.PRIME
+
+
+@query("smp2_cluster_bootstrap", f"""u AS (SELECT md5(entity::VARCHAR || ':1') AS h, sum(cap) AS s, count(*) AS n FROM panel GROUP BY entity), d AS (SELECT s, n, ('0x' || substr(h, 1, 8))::BIGINT % {_P} AS a, ('0x' || substr(h, 9, 8))::BIGINT % {_P} AS b, ('0x' || substr(h, 17, 8))::BIGINT % {_P} AS c, r FROM u, range(1, 201) q(r)),
+v AS (SELECT s, n, r, ((a + b * r % {_P} + c * r % {_P} * r % {_P}) % {_P})::DOUBLE / {_P} AS v FROM d), w AS (SELECT *, {" + ".join(f"(v >= {p})::INT" for p in ordered.POISSON)} AS w FROM v) SELECT r::INTEGER AS replicate, round(sum(w*s)/sum(w*n), 6) AS mean FROM w GROUP BY 1""")
+def _(p):
+    return r6(moments.bootstrap(p, "entity", "cap", 200))

@@ -1,13 +1,13 @@
-"""Queries for restartable stages, manifests, curves held in tables and validation moments over the proxy panel."""
+"""Queries for restartable stages and samples checked by their own counts, over the proxy panel."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varve.operators import panel, stages
+from varve.operators import estimate, stages
 from varve.sources import files
 
-from .panel_queries import PANEL, QUERIES, SQL, firm_years, query, r6
+from .panel_queries import query, r6
 
 LOGGED = "v AS (SELECT *, ln(rev) AS y, ln(cap) AS k, ln(mate) AS m, ln(staf) AS l, mate/rev AS share FROM panel WHERE rev > 0 AND cap > 0 AND mate > 0 AND staf > 0)"
 
@@ -70,8 +70,6 @@ r AS (SELECT *, coalesce(lme > 0, false) AS chosen, me + ke + le AS rts FROM g)
 
 
 def step2(p, expected=None):
-    from varve.operators import estimate
-
     w = estimate.centred(logged(p).select("entity", "year", "cell", "y", "k", "m", "l", "share"), "cell").withColumn("s", F.ln("share"))
     b = w.groupBy("cell").agg(F.avg("share").alias("c0"), *(F.regr_slope("share", c).alias(f"c{i}") for i, c in enumerate("kml", 1)))
     b = b.select("cell", "c0", "c1", "c2", "c3", *(F.lit(0.0).alias(f"c{i}") for i in range(4, 10)))
