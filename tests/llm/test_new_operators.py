@@ -160,7 +160,8 @@ def mined(rows, least, top, absorb=100, longest=5):
 
 
 @pytest.mark.parametrize("least,top,absorb,longest", [(3, 50, 100, 5), (2, 100_000, 60, 5), (2, 100_000, 100, 3), (2, 100_000, 100, 2)])
-def test_phrases_equal_brute_force(spark, both, none, least, top, absorb, longest):  # noqa: F811
+def test_phrases_equal_brute_force(spark, both, none, least, top, absorb, longest, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(phrases, "ROW_WORDS", 7)  # so that many pieces are cut
     r = random.Random(2)
     words = ["the", "cat", "sat", "Mat", "ünï", "\x1c", "日本", "a\x00b"]
     more = [(300_000 + i, "".join(r.choice(words) + r.choice([" ", "  ", "\t", " ", " ", ". ", "\x0b"]) for _ in range(30)), r.choice(["en", None, "und", "de"]), "s", None) for i in range(200)]
@@ -181,10 +182,10 @@ def test_phrases_equal_sql(spark, sf):
 
 def test_scores_pass_64_bits(spark):
     """a * n * 1000 over 2^63: pieces are multiplied before they are mined."""
-    held = spark.createDataFrame([("en", "x y", 3 * 10**12), ("en", "x z", 5 * 10**11), ("en", "w", 10**13)], "lang string, piece string, m long")
+    held = spark.createDataFrame([("en", "x y", 3 * 10**12, 2), ("en", "x z", 5 * 10**11, 2), ("en", "w", 10**13, 1)], "lang string, piece string, m long, own int")
     docs = spark.createDataFrame([], SCHEMA)
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(phrases, "pieces", lambda _: held)
+        m.setattr(phrases, "pieces", lambda *_: held)
         got = {r.phrase: r for r in phrases.mine(docs, 10**9).collect()}
     n = 2 * (3 * 10**12 + 5 * 10**11) + 10**13
     assert got["x y"].score == 1000 * 3 * 10**12 * n // (35 * 10**11 * 3 * 10**12) and got["x z"].n == n

@@ -30,17 +30,27 @@ from pyspark.sql import functions as F
 from .common import by_size, cut, shared_dir
 
 LONGEST, BITS, WORDS, SALTS = 5, 1 << 26, 1 << 20, 16
+#: Words of a row of pieces: longer ones are cut into rows that overlap, so that a batch of rows has a bounded size.
+ROW_WORDS = 1024
 MEMORY = "256MB"
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = 1 << 16  # bits of a block of the bit set
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """Distinct pieces with a word: lang, piece (words joined by one space) and m, how often it stands."""
+def pieces(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Distinct pieces with a word: lang, piece (words joined by one space), m, how often it stands, and own, in how many words from its start n-grams begin.
+
+    A piece of over ROW_WORDS words is cut into rows of so many words and the next longest - 1, in which none begins."""
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), _A, _Z)
     cuts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(low, "[.,;:!?\\x0A-\\x0D]")).alias("piece"))
     plain = cuts.select("lang", F.trim(F.when(F.col("piece").rlike("\t|  "), F.regexp_replace("piece", "[ \t]+", " ")).otherwise(F.col("piece"))).alias("piece"))
-    return plain.where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("m"))
+    held = plain.where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("m"))
+    n, words = F.length("piece") - F.length(F.translate("piece", " ", "")) + 1, F.split("piece", " ")
+    whole = F.array(F.struct(F.col("piece"), n.cast("int").alias("own")))
+    # The words are bound, so that a piece is split once and not at every cut.
+    cuts_of = lambda w: F.transform(F.sequence(F.lit(0), n - 1, F.lit(ROW_WORDS)), lambda i: F.struct(F.array_join(F.slice(w, i + 1, ROW_WORDS + longest - 1), " ").alias("piece"), F.least(F.lit(ROW_WORDS), n - i).cast("int").alias("own")))
+    parts = F.transform(F.array(words), cuts_of)[0]
+    return held.select("lang", "m", F.explode(F.when(n <= ROW_WORDS, whole).otherwise(parts)).alias("p")).select("lang", "p.piece", "m", "p.own")
 
 
 def _mix(h: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -83,7 +93,10 @@ class _Hashed:
 def _grams(batch: pa.Table, lengths: tuple[int, ...], parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of a batch of pieces with their counts; parts: the bits of shorter ones that may be frequent."""
     x = _Hashed(batch, "piece")
-    n_words, m = len(x.code), np.repeat(batch.column("m").to_numpy(), np.diff(x.first))
+    lengths_of = np.diff(x.first)
+    n_words = len(x.code)
+    begins = np.arange(n_words) - np.repeat(x.first[:-1], lengths_of) < np.repeat(batch.column("own").to_numpy(), lengths_of)
+    m = np.repeat(batch.column("m").to_numpy(), lengths_of) * begins
     size = lengths[0] - 1  # of the parts
     may = np.ones(n_words, bool)
     if parts is not None:
@@ -105,7 +118,7 @@ def _grams(batch: pa.Table, lengths: tuple[int, ...], parts: np.ndarray | None)
             held = np.bincount(key, m, len(seen)).astype(np.int64)
             some = np.full(len(seen), -1)
             some[key] = np.arange(n_words)  # one place of each
-            good = np.flatnonzero(seen >= 0)
+            good = np.flatnonzero((seen >= 0) & (held > 0))
             start = some[good]
             words = [x.names.take(pa.array(x.code[start + k])) for k in range(n)]
             phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
@@ -209,8 +222,8 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, absorb: int = 100,
     from pyspark.sql import Window
 
     spark = docs.sparkSession
-    held = cut(spark, pieces(docs), "pieces")
-    totals = held.groupBy("lang").agg(F.sum(F.col("m") * (F.length("piece") - F.length(F.translate("piece", " ", "")) + 1)).alias("n"))
+    held = cut(spark, pieces(docs, longest), "pieces")
+    totals = held.groupBy("lang").agg(F.sum(F.col("m") * F.col("own")).alias("n"))
     counted = frequencies(held, least, longest)
 
     candidates = counted.where("size > 1").withColumn("w", F.split("phrase", " "))
