@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     n, words = F.length("piece") - F.length(F.translate("piece", " ", "")) + 1, F.split("piece", " ")
     whole = F.array(F.struct(F.col("piece"), n.cast("int").alias("own")))
     # The words are bound, so that a piece is split once and not at every cut.
-    cuts_of = lambda w: F.transform(F.sequence(F.lit(0), n - 1, F.lit(ROW_WORDS)), lambda i: F.struct(F.array_join(F.slice(w, i + 1, ROW_WORDS + longest - 1), " ").alias("piece"), F.least(F.lit(ROW_WORDS), n - i).cast("int").alias("own")))
+    cuts_of = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(ROW_WORDS)), lambda i: F.struct(F.array_join(F.slice(w, i + 1, ROW_WORDS + longest - 1), " ").alias("piece"), F.least(F.lit(ROW_WORDS), F.size(w) - i).cast("int").alias("own")))
     parts = F.transform(F.array(words), cuts_of)[0]
     return held.select("lang", "m", F.explode(F.when(n <= ROW_WORDS, whole).otherwise(parts)).alias("p")).select("lang", "p.piece", "m", "p.own")
 
