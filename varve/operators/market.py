@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import top
 
 
 def average_rank_share(x: str, keys: list[str]) -> Column:
@@ -26,12 +26,10 @@ def concentration(df: DataFrame, keys: list[str], sales: str = "rev", entity: st
 
 def tail(df: DataFrame, keys: list[str], x: str, share: float, least: int = 20) -> DataFrame:
     """k, zipf (minus the slope of ln(rank - 1/2) on ln x) and hill, over the top max(int(share n), least) of each group."""
-    w = Window.partitionBy(*keys)
-    df = df.where(F.col(x) > 0).select(*keys, F.ln(x).alias("lx"), F.row_number().over(w.orderBy(F.desc(x), "entity")).alias("rk"), F.count("*").over(w).alias("n"))
-    df = df.withColumn("k", F.greatest(F.floor(F.col("n") * F.lit(share)), F.lit(least))).where("rk <= k")
-    low = F.min("lx").over(Window.partitionBy(*keys))
-    df = df.withColumn("gap", F.when(F.col("rk") < F.col("k"), F.col("lx") - low))
-    return df.groupBy(*keys).agg(F.count("*").alias("k"), (-F.regr_slope(F.ln(F.col("rk") - 0.5), F.col("lx"))).alias("zipf"), F.try_divide(F.lit(1.0), F.avg("gap")).alias("hill"))
+    got = top(df.where(F.col(x) > 0).select(*keys, x, "entity"), keys, x, ["entity"], share, least).withColumn("lx", F.ln(x))
+    above = F.col("rank") < F.greatest(F.floor(F.col("rank_total") * F.lit(share)), F.lit(least))
+    gap = F.avg(F.when(above, F.col("lx"))) - F.min("lx")
+    return got.groupBy(*keys).agg(F.count("*").alias("k"), (-F.regr_slope(F.ln(F.col("rank") - 0.5), F.col("lx"))).alias("zipf"), F.try_divide(F.lit(1.0), gap).alias("hill"))
 
 
 def rank_gap(df: DataFrame, keys: list[str], size: str, value: str, top: float, bottom: float = 0.5) -> DataFrame:
@@ -44,13 +42,13 @@ def tail_blocks(df: DataFrame, keys: list[str], x: str, tie: list[str], cutoffs:
     """Per group and cutoff (name -> share of the top): k, zipf (minus the slope of ln(rank - 1/2) on ln x), hill and se (zipf sqrt(2 / k)), over the top
     max(int(share n), least) positive values, which also need that many.
 
-    All cutoffs come from one distributed sort and one aggregation; rows below the widest cutoff go before it."""
+    All cutoffs come from one distributed sort and one aggregation; rows that cannot lie above the widest cutoff go before it."""
     df = df.where(F.col(x) > 0).select(*keys, *tie, F.ln(x).alias("lx"))
-    ranked = running(df, keys, [F.desc("lx"), *(F.col(c) for c in tie)])
+    ranked = top(df, keys, "lx", tie, max(cutoffs.values()), least)
     k = lambda share: F.greatest(F.floor(F.lit(share) * F.col("rank_total")), F.lit(least))
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("cutoff"), k(share).alias("k")) for n, share in cutoffs.items())))
-    top = ranked.where(F.col("rank") <= k(max(cutoffs.values()))).select(*keys, "lx", "rank", "rank_total", each.alias("c")).select(*keys, "lx", "rank", "rank_total", "c.*").where((F.col("rank") <= F.col("k")) & (F.col("k") <= F.col("rank_total")))
+    chosen = ranked.select(*keys, "lx", "rank", "rank_total", each.alias("c")).select(*keys, "lx", "rank", "rank_total", "c.*").where((F.col("rank") <= F.col("k")) & (F.col("k") <= F.col("rank_total")))
     slope = -F.regr_slope(F.ln(F.col("rank") - 0.5), F.col("lx"))
     above = F.avg(F.when(F.col("rank") < F.col("k"), F.col("lx"))) - F.max(F.when(F.col("rank") == F.col("k"), F.col("lx")))
-    got = top.groupBy(*keys, "cutoff").agg(F.count("*").alias("k"), slope.alias("zipf"), F.try_divide(F.lit(1.0), above).alias("hill"))
+    got = chosen.groupBy(*keys, "cutoff").agg(F.count("*").alias("k"), slope.alias("zipf"), F.try_divide(F.lit(1.0), above).alias("hill"))
     return got.withColumn("se", F.col("zipf") * F.sqrt(2 / F.col("k")))

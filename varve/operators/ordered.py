@@ -47,6 +47,55 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     return met.select(*(f"`{c}`" for c in df.columns), *((F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums))
 
 
+def value_ranks(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
+    """df with the rank of x in its group (1 + rows with a lesser value; null for null): running counts over the distinct values, joined back."""
+    values = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    run = running(values, keys, [F.col(x)], {"_to": F.col("_n")}, rank=None)
+    names = [f"_k{i}" for i in range(len(keys) + 1)]
+    ranks = run.select(*(F.col(k).alias(n) for k, n in zip([*keys, x], names, strict=True)), (F.col("_to") - F.col("_n") + 1).cast("long").alias(name))
+    return df.join(ranks, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, x], names, strict=True)], "left").drop(*names)
+
+
+def tiles(k: int, rank: str = "rank", total: str = "rank_total") -> Column:
+    """The tile (1 to k) of a rank: tiles differ by one row at most, the larger ones come first."""
+    size, more, at = F.floor(F.col(total) / k), F.col(total) % k, F.col(rank) - 1
+    head = more * (size + 1)
+    return F.when(at < head, F.floor(at / (size + 1))).otherwise(more + F.floor((at - head) / F.greatest(size, F.lit(1)))).cast("int") + 1
+
+
+#: Steps of ``step`` to a doubling.
+STEPS = 256
+
+
+def step(x: Column) -> Column:
+    """A whole number that ascends with x (null for null), with STEPS values to a doubling of its size; infinities and NaN share the last."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1100.0)) * STEPS) + 1200 * STEPS
+    return F.when(x > 0, size).when(x < 0, -size).when(x == 0, F.lit(0)).cast("int")
+
+
+def histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Of each group and step of x (nulls left out): keys, _b (the step), _n rows in it, _upto rows in it or below, _total rows of the group.
+
+    One aggregation with a bounded number of rows a group: at most 2 * STEPS * 2200, in practice some thousand."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, step(F.col(x)).alias("_b")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    return counts.withColumns({"_upto": F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("_n").over(w)})
+
+
+def top(df: DataFrame, keys: list[str], x: str, tie: list[str], share: float, least: int) -> DataFrame:
+    """Rows of the top max(int(share n), least) of each group by x (descending, ties by tie), with rank and rank_total (n, rows with a value).
+
+    A histogram tells which steps can hold these rows; only rows of those steps are sorted."""
+    held = histogram(df, keys, x)
+    k = lambda n: F.greatest(F.floor(F.lit(share) * n), F.lit(least))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    lowest = held.where(F.col("_total") - F.col("_upto") < k(F.col("_total"))).groupBy(*(F.col(c).alias(n) for c, n in zip(keys, ks, strict=True))).agg(F.min("_b").alias("_low"), F.max("_total").alias("_all"))
+    on = [*(F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, ks, strict=True)), step(F.col(x)) >= F.col("_low")]
+    near = df.join(lowest, on).select(*(f"`{c}`" for c in df.columns), "_all")
+    ranked = running(near, keys, [F.desc(x), *(F.col(c) for c in tie)])
+    return ranked.where(F.col("rank") <= k(F.col("_all"))).withColumn("rank_total", F.col("_all")).drop("_all")
+
+
 #: Fixed value: 2^31 - 1, a prime; draws are a polynomial of the replicate's number modulo it.
 PRIME = 2147483647
 #: The distribution function of Poisson(1) at 0 to 7.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def consecutive_lag(df: DataFrame, columns: list[str], key: str = "entity", period: str = "year") -> DataFrame:
     """l_<column>: the value of the period before; null if that period has no row."""
@@ -35,9 +37,11 @@ def safe_ln(x: str | Column) -> Column:
 
 
 def _with_cuts(df: DataFrame, column: str, keys: list[str], low: float, high: float) -> DataFrame:
-    """df with the group's linear quantiles as cut_low and cut_high: they are aggregated by group, and the few rows joined."""
-    cuts = df.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_cut"))
-    return df.drop("cut_low", "cut_high").join(cuts.select(*keys, F.col("_cut")[0].alias("cut_low"), F.col("_cut")[1].alias("cut_high")), keys)
+    """df with the group's linear quantiles as cut_low and cut_high, of which there are few rows to join; null where the group has no value."""
+    df, names = df.drop("cut_low", "cut_high"), [f"_k{i}" for i in range(len(keys))]
+    cuts = quantiles.exact(df, {"cut_low": (column, low), "cut_high": (column, high)}, keys)
+    cuts = cuts.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), "cut_low", "cut_high")
+    return df.join(cuts, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left").drop(*names)
 
 
 def trim_by(df: DataFrame, column: str, keys: list[str], low: float, high: float, strict: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import histogram, running, step
 
 
 def _ranked(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -14,17 +14,36 @@ def _ranked(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return running(df, keys, [F.col("_x")], rank="_r").withColumnRenamed("_r_total", "_n")
 
 
+def exact(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: list[str]) -> DataFrame:
+    """keys and, for each name of wanted, the value at rank 1 + p (n - 1) of its column, interpolated (column, p). Nulls are left out; a group without
+    any value in all the columns gives no row.
+
+    Spark's ``percentile`` gives the same, but holds a group's distinct values in one task. Here a histogram of fine steps tells which step holds each
+    rank, and only the distinct values of those steps are sorted, by all tasks. The data are aggregated twice and never sorted or shuffled whole."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    parts = F.array(*(F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns)))
+    rows = df.select(*keys, F.explode(parts).alias("_e")).select(*keys, "_e.*") if len(columns) > 1 else df.select(*keys, F.lit(0).alias("_c"), F.col(columns[0]).cast("double").alias("_x"))
+    rows = rows.where(F.col("_x").isNotNull())
+    by = [*keys, "_c"]
+    levels = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(columns.index(c)).alias("c"), F.lit(float(p)).alias("p")) for i, (c, p) in enumerate(wanted.values())))
+    held = histogram(rows, by, "_x").withColumn("_h", F.explode(F.filter(levels, lambda v: v["c"] == F.col("_c"))))
+    h = 1 + F.col("_h.p") * (F.col("_total") - 1)
+    ends = F.explode(F.array(F.struct(F.floor(h).alias("r"), (1 - (h - F.floor(h))).alias("w")), F.struct((F.floor(h) + 1).alias("r"), (h - F.floor(h)).alias("w"))))
+    held = held.select(*by, "_b", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.col("_h.q").alias("_q"), ends.alias("_e")).where((F.col("_e.w") > 0) & (F.col("_e.r") > F.col("_before")) & (F.col("_e.r") <= F.col("_upto")))
+    # A row a step that holds wanted ranks, with what is wanted of it, which goes along with the step's values.
+    names = [f"_k{i}" for i in range(len(by))]
+    target = F.struct("_q", (F.col("_e.r") - F.col("_before")).alias("r"), F.col("_e.w").alias("w"))
+    steps = held.groupBy(*(F.col(k).alias(n) for k, n in zip(by, names, strict=True)), F.col("_b").alias("_s")).agg(F.collect_list(target).alias("_t"))
+    same = [*(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names, strict=True)), F.col("_b") == F.col("_s")]
+    inside = rows.withColumn("_b", step(F.col("_x"))).join(steps, same)
+    run = running(inside.groupBy(*by, "_b", "_x").agg(F.count("*").alias("_m"), F.first("_t").alias("_t")), [*by, "_b"], [F.col("_x")], {"_to": F.col("_m")}, rank=None)
+    met = run.select(*keys, "_x", F.explode(F.filter("_t", lambda t: (t["r"] <= F.col("_to")) & (t["r"] > F.col("_to") - F.col("_m")))).alias("_t"))
+    return met.groupBy(*keys).agg(*(F.sum(F.when(F.col("_t._q") == i, F.col("_t.w") * F.col("_x"))).alias(n) for i, n in enumerate(wanted)))
+
+
 def linear(df: DataFrame, column: str, keys: list[str], ps: list[float]) -> DataFrame:
-    """Interpolation at rank 1 + p (n - 1), for each p: columns q0, q1, ... Spark's ``percentile`` gives the same, but holds a group's distinct values in one task."""
-    ranked = _ranked(df, column, keys)
-    h = [1 + F.lit(p) * (F.col("_n") - 1) for p in ps]
-    near = [F.col("_r").between(F.floor(x), F.ceil(x)) for x in h]
-    any_near = near[0]
-    for c in near[1:]:
-        any_near = any_near | c
-    # Few rows a group are left: the order statistics around each level, weighted by their nearness to it.
-    parts = [F.sum(F.when(c, F.col("_x") * F.when(F.floor(x) == F.ceil(x), 1.0).otherwise(1 - F.abs(F.col("_r") - x)))).alias(f"q{i}") for i, (x, c) in enumerate(zip(h, near, strict=True))]
-    return ranked.where(any_near).groupBy(*keys).agg(*parts)
+    """``exact`` of one column: columns q0, q1, ... for the levels ps."""
+    return exact(df, {f"q{i}": (column, p) for i, p in enumerate(ps)}, keys)
 
 
 def hazen(df: DataFrame, column: str, keys: list[str], p: float) -> DataFrame:

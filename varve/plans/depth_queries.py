@@ -170,7 +170,7 @@ def _(p):
 
 @query("agg3_quantiles_by_sort", "SELECT cell, round(quantile_cont(rev, 0.01), 4) AS q01, round(quantile_cont(rev, 0.5), 4) AS q50, round(quantile_cont(rev, 0.99), 4) AS q99 FROM panel GROUP BY 1")
 def _(p):
-    """Exact linear quantiles along a distributed sort: no task holds a group."""
+    """Exact linear quantiles from a histogram and a distributed sort of the few steps that hold the ranks: no task holds a group."""
     q = quantiles.linear(p, "rev", ["cell"], [0.01, 0.5, 0.99])
     return q.select("cell", *(F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q01", "q50", "q99"))))
 

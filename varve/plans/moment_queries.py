@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varve.operators import market, moments, ordered, panel, regress
+from varve.operators import market, moments, ordered, panel, quantiles, regress
 
 from .panel_queries import KEYS, query, r6
 
@@ -71,8 +71,8 @@ def _(p):
 
 @query("agg31_nodes", "q AS (SELECT cell, quantile_cont(cap, [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95]) AS q FROM panel GROUP BY 1)\nSELECT cell, k::INTEGER AS k, round(q[k], 6) AS node FROM q, range(1, 11) t(k)")
 def _(p):
-    at = F.array(*(F.lit((2 * k - 1) / 20) for k in range(1, 11)))
-    q = p.groupBy("cell").agg(F.percentile("cap", at).alias("q")).select("cell", F.posexplode("q").alias("k", "node"))
+    q = quantiles.linear(p, "cap", ["cell"], [(2 * k - 1) / 20 for k in range(1, 11)])
+    q = q.select("cell", F.posexplode(F.array(*(f"q{i}" for i in range(10)))).alias("k", "node"))
     return r6(q.withColumn("k", F.col("k") + 1))
 
 
@@ -88,8 +88,9 @@ def _(p):
 
 @query("agg38_log_summary", LOGS + "\nSELECT year, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd, round(quantile_cont(y, 0.1), 6) AS p10, round(quantile_cont(y, 0.5), 6) AS p50, round(quantile_cont(y, 0.9), 6) AS p90, round(quantile_cont(y, 0.99), 6) AS p99 FROM v GROUP BY 1")
 def _(p):
-    q = lambda a: F.percentile("y", F.lit(a))
-    return r6(logs(p).groupBy("year").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev("y").alias("sd"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99")))
+    v = logs(p)
+    q = quantiles.exact(v, {f"p{round(100 * a)}": ("y", a) for a in (0.1, 0.5, 0.9, 0.99)}, ["year"])
+    return r6(v.groupBy("year").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev("y").alias("sd")).join(q, "year"))
 
 
 @query("agg40_firm_means", LOGS + "\nSELECT market, entity, round(avg(y), 6) AS mean_ln, round(ln(avg(exp(y))), 6) AS ln_mean FROM v WHERE year BETWEEN 1996 AND 1999 GROUP BY 1, 2")
@@ -130,9 +131,12 @@ def _(p):
 
 @query("agg58_weighted_cdf", "SELECT cell, entity, year, round(cume_dist() OVER (PARTITION BY cell ORDER BY cap), 6) AS ecdf, round(sum(rev) OVER (PARTITION BY cell ORDER BY cap RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)/sum(rev) OVER (PARTITION BY cell), 6) AS wcdf FROM panel")
 def _(p):
-    w = Window.partitionBy("cell")
-    run = F.sum("rev").over(w.orderBy("cap").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("rev").over(w)
-    return r6(p.select("cell", "entity", "year", F.cume_dist().over(w.orderBy("cap")).alias("ecdf"), run.alias("wcdf")))
+    """Running sums over distinct values, joined back to the rows."""
+    p = p.select("cell", "entity", "year", "cap", "rev")
+    values = p.groupBy("cell", "cap").agg(F.count("*").alias("n"), F.sum("rev").alias("s"))
+    run = ordered.running(values, ["cell"], [F.col("cap")], {"u": F.col("n"), "v": F.col("s")}, rank=None)
+    run = run.select("cell", "cap", (F.col("u") / F.col("u_total")).alias("ecdf"), (F.col("v") / F.col("v_total")).alias("wcdf"))
+    return r6(p.join(run, ["cell", "cap"]).select("cell", "entity", "year", "ecdf", "wcdf"))
 
 
 @query("win3_growth", "y AS (SELECT cell, year, sum(rev) AS rev FROM panel GROUP BY 1, 2)\nSELECT cell, year, round(rev/lag(rev) OVER (PARTITION BY cell ORDER BY year)-1, 6) AS g FROM y")
@@ -171,8 +175,8 @@ def _(p):
 
 @query("win17_equal_mass", "q AS (SELECT cell, quantile_cont(rev, 0.25) AS a, quantile_cont(rev, 0.5) AS b, quantile_cont(rev, 0.75) AS c FROM panel GROUP BY 1)\nSELECT cell, (1 + (rev > a)::INTEGER + (rev > b)::INTEGER + (rev > c)::INTEGER)::INTEGER AS bin, count(*) AS n FROM panel JOIN q USING (cell) GROUP BY 1, 2")
 def _(p):
-    q = p.groupBy("cell").agg(F.percentile("rev", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    b = sum(((F.col("rev") > F.col("q")[i]).cast("int") for i in range(3)), F.lit(1))
+    q = quantiles.linear(p, "rev", ["cell"], [0.25, 0.5, 0.75])
+    b = sum(((F.col("rev") > F.col(f"q{i}")).cast("int") for i in range(3)), F.lit(1))
     return p.select("cell", "rev").join(q, "cell").groupBy("cell", b.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varve.functions import dates, scalars
-from varve.operators import guards
+from varve.operators import guards, ordered, quantiles
 from varve.sources import files
 
 from .panel_queries import KEYS, PANEL, QUERIES, SQL, firm_years, query, r6, table
@@ -148,27 +148,27 @@ def _(p):
 @query("agg39_distribution", "v AS (SELECT year, mate/rev AS s FROM panel WHERE rev > 0)\nSELECT year, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(avg(CASE WHEN s > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS above_one FROM v GROUP BY 1")
 def _(p):
     s = p.where("rev > 0").select("year", (F.col("mate") / F.col("rev")).alias("s"))
-    return r6(s.groupBy("year").agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.5)).alias("p50"), F.percentile("s", F.lit(0.9)).alias("p90"), F.avg((F.col("s") > 1).cast("double")).alias("above_one")))
+    q = quantiles.exact(s, {"p50": ("s", 0.5), "p90": ("s", 0.9)}, ["year"])
+    return r6(s.groupBy("year").agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.avg((F.col("s") > 1).cast("double")).alias("above_one")).join(q, "year"))
 
 
 @query("agg42_reference_scale", "v AS (SELECT cell, ln(rev) AS y, ln(cap) AS k, ln(mate) AS m, mate/rev AS s, rev, cap FROM panel WHERE rev > 0 AND cap > 0 AND mate > 0)\nSELECT cell, count(*) AS n, round(avg(y), 6) AS y_mean, round(stddev_samp(y), 6) AS y_sd, round(avg(k), 6) AS k_mean, round(stddev_samp(k), 6) AS k_sd, round(avg(m), 6) AS m_mean, round(stddev_samp(m), 6) AS m_sd, round(quantile_cont(y, 0.1), 6) AS y_p10, round(quantile_cont(y, 0.5), 6) AS y_p50, round(quantile_cont(y, 0.9), 6) AS y_p90, round(avg(s), 6) AS s_mean, round(quantile_cont(s, 0.5), 6) AS s_p50, round(corr(y, k), 6) AS c_yk, round(corr(y, m), 6) AS c_ym, round(regr_slope(y, k), 6) AS scale, round(regr_intercept(y, k), 6) AS scale_intercept, round(regr_r2(y, k), 6) AS scale_r2, round(avg(y) - avg(s)*avg(m) - (1-avg(s))*avg(k), 6) AS cobb_douglas, round(sum(s*rev)/sum(rev), 6) AS s_weighted, round(max(rev)/sum(rev), 6) AS top_share FROM v GROUP BY 1")
 def _(p):
     v = p.where("rev > 0 and cap > 0 and mate > 0").select("cell", F.ln("rev").alias("y"), F.ln("cap").alias("k"), F.ln("mate").alias("m"), (F.col("mate") / F.col("rev")).alias("s"), "rev")
-    q = lambda c, a: F.percentile(c, F.lit(a))
+    levels = quantiles.exact(v, {"y_p10": ("y", 0.1), "y_p50": ("y", 0.5), "y_p90": ("y", 0.9), "s_p50": ("s", 0.5)}, ["cell"])
     moments = [x for c in "ykm" for x in (F.avg(c).alias(f"{c}_mean"), F.stddev(c).alias(f"{c}_sd"))]
     constant = F.avg("y") - F.avg("s") * F.avg("m") - (1 - F.avg("s")) * F.avg("k")
     return r6(v.groupBy("cell").agg(
-        F.count("*").alias("n"), *moments, q("y", 0.1).alias("y_p10"), q("y", 0.5).alias("y_p50"), q("y", 0.9).alias("y_p90"), F.avg("s").alias("s_mean"), q("s", 0.5).alias("s_p50"),
+        F.count("*").alias("n"), *moments, F.avg("s").alias("s_mean"),
         F.corr("y", "k").alias("c_yk"), F.corr("y", "m").alias("c_ym"), F.regr_slope("y", "k").alias("scale"), F.regr_intercept("y", "k").alias("scale_intercept"), F.regr_r2("y", "k").alias("scale_r2"),
         constant.alias("cobb_douglas"), (F.sum(F.col("s") * F.col("rev")) / F.sum("rev")).alias("s_weighted"), (F.max("rev") / F.sum("rev")).alias("top_share"),
-    ))
+    ).join(levels, "cell"))
 
 
 @query("agg19_gaussian_copula", "r AS (SELECT cell, rank() OVER (PARTITION BY cell ORDER BY rev) AS a, rank() OVER (PARTITION BY cell ORDER BY mate) AS b FROM panel)\nSELECT cell, round(2*sin(pi()*corr(a, b)/6), 6) AS rho FROM r GROUP BY 1")
 def _(p):
-    rank = lambda c: F.rank().over(Window.partitionBy("cell").orderBy(c)).cast("double")
-    r = p.select("cell", rank("rev").alias("a"), rank("mate").alias("b"))
-    return r6(r.groupBy("cell").agg((2 * F.sin(F.lit(3.141592653589793) * F.corr("a", "b") / 6)).alias("rho")))
+    p = ordered.value_ranks(ordered.value_ranks(p.select("cell", "rev", "mate"), ["cell"], "rev", "a"), ["cell"], "mate", "b")
+    return r6(p.groupBy("cell").agg((2 * F.sin(F.lit(3.141592653589793) * F.corr("a", "b") / 6)).alias("rho")))
 
 
 @query("agg34_pivot_statistics", "SELECT market, round(avg(CASE WHEN year=1996 THEN rev END), 4) AS y1996_mean, round(quantile_cont(CASE WHEN year=1996 THEN rev END, 0.5), 4) AS y1996_median, count(CASE WHEN year=1996 THEN 1 END) AS y1996_size, round(avg(CASE WHEN year=1997 THEN rev END), 4) AS y1997_mean, round(quantile_cont(CASE WHEN year=1997 THEN rev END, 0.5), 4) AS y1997_median, count(CASE WHEN year=1997 THEN 1 END) AS y1997_size FROM panel GROUP BY 1")
@@ -189,7 +189,8 @@ def _(p):
 
 @query("ord1_mixed_sort", "SELECT entity, year, row_number() OVER (PARTITION BY cell ORDER BY year DESC, rev, entity) AS place FROM panel")
 def _(p):
-    return p.select("entity", "year", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("year"), "rev", "entity")).alias("place"))
+    p = p.select("entity", "year", "cell", "rev")
+    return ordered.running(p, ["cell"], [F.desc("year"), F.col("rev"), F.col("entity")]).select("entity", "year", F.col("rank").alias("place"))
 
 
 @query("ord6_partial_selection", "SELECT market, year, sum(top) AS top FROM (SELECT market, year, CASE WHEN row_number() OVER (PARTITION BY market, year ORDER BY cap DESC, entity) <= 3 THEN cap ELSE 0 END AS top FROM panel) GROUP BY 1, 2")
@@ -218,7 +219,7 @@ def _(p):
 @query("str5_percentile_labels", "SELECT 'p05' AS label, round(quantile_cont(rev, 0.05), 6) AS v FROM panel UNION ALL SELECT 'p50', round(quantile_cont(rev, 0.5), 6) FROM panel UNION ALL SELECT 'p99', round(quantile_cont(rev, 0.99), 6) FROM panel")
 def _(p):
     levels = [0.05, 0.5, 0.99]
-    q = p.agg(F.percentile("rev", F.array(*map(F.lit, levels))).alias("q"))
+    q = quantiles.linear(p, "rev", [], levels).select(F.array("q0", "q1", "q2").alias("q"))
     rows = q.select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("a"), F.col("q"))).alias("r"))
     return r6(rows.select(scalars.percent_label("p", F.col("r.a")).alias("label"), F.col("r.q").alias("v")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varve.operators import estimate, moments, panel, quantiles
+from varve.operators import estimate, moments, ordered, panel, quantiles
 
 from .panel_queries import QUERIES, firm_years, query, r6
 
@@ -35,9 +35,10 @@ def _(p):
 
 @query("agg18_residual_correlation", V + ", b AS (SELECT cell, regr_slope(y, x) AS by_, regr_slope(z, x) AS bz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM v GROUP BY 1)\nSELECT cell, round(corr(y-my-by_*(x-mx), z-mz-bz*(x-mx)), 6) AS r FROM v JOIN b USING (cell) GROUP BY 1")
 def _(p):
-    w = Window.partitionBy("cell")
-    rest = lambda c: F.col(c) - F.avg(c).over(w) - F.regr_slope(c, "x").over(w) * (F.col("x") - F.avg("x").over(w))
-    return r6(logged(p).select("cell", rest("y").alias("a"), rest("z").alias("b")).groupBy("cell").agg(F.corr("a", "b").alias("r")))
+    v = logged(p)
+    line = v.groupBy("cell").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"), *(F.regr_slope(c, "x").alias(f"b{c}") for c in "yz"))
+    rest = lambda c: F.col(c) - F.col(f"m{c}") - F.col(f"b{c}") * (F.col("x") - F.col("mx"))
+    return r6(v.join(line, "cell").select("cell", rest("y").alias("a"), rest("z").alias("b")).groupBy("cell").agg(F.corr("a", "b").alias("r")))
 
 
 @query("agg20_hhi", "s AS (SELECT market, year, rev/sum(rev) OVER (PARTITION BY market, year) AS s FROM panel)\nSELECT market, year, round(sum(s*s), 6) AS hhi FROM s GROUP BY 1, 2")
@@ -84,8 +85,9 @@ def _(p):
 @query("agg44_two_way_grid", """b AS (SELECT rev, mate, ntile(5) OVER (PARTITION BY year ORDER BY rev, entity) AS size_bin, ntile(4) OVER (PARTITION BY year ORDER BY rev/mate, entity) AS markup_bin FROM panel)
 SELECT size_bin::INTEGER AS size_bin, markup_bin::INTEGER AS markup_bin, count(*) AS n, round(sum(rev)/(SELECT sum(rev) FROM b), 6) AS sales_share, round(sum(mate)/(SELECT sum(mate) FROM b), 6) AS cost_share, round(sum(rev)/sum(mate), 6) AS wedge FROM b GROUP BY 1, 2""")
 def _(p):
-    w = Window.partitionBy("year")
-    b = p.select("rev", "mate", F.ntile(5).over(w.orderBy("rev", "entity")).alias("size_bin"), F.ntile(4).over(w.orderBy(F.col("rev") / F.col("mate"), "entity")).alias("markup_bin"))
+    b = p.select("year", "entity", "rev", "mate", (F.col("rev") / F.col("mate")).alias("mu"))
+    for name, by, k in (("size_bin", "rev", 5), ("markup_bin", "mu", 4)):
+        b = ordered.running(b, ["year"], [F.col(by), F.col("entity")]).withColumn(name, ordered.tiles(k)).drop("rank", "rank_total")
     grid = b.groupBy("size_bin", "markup_bin").agg(F.count("*").alias("n"), F.sum("rev").alias("r"), F.sum("mate").alias("c"))
     all_of = lambda c: F.sum(c).over(Window.partitionBy())  # noqa: E731  (20 rows)
     return r6(grid.select("size_bin", "markup_bin", "n", (F.col("r") / all_of("r")).alias("sales_share"), (F.col("c") / all_of("c")).alias("cost_share"), (F.col("r") / F.col("c")).alias("wedge")))
@@ -100,14 +102,15 @@ def _(p):
 
 @query("agg48_spread_placement", "m AS (SELECT year, cell, rev/mate AS mu, mate/sum(mate) OVER (PARTITION BY year) AS w, count(*) OVER (PARTITION BY year) AS n, avg(rev/mate) OVER (PARTITION BY year) AS mean FROM panel)\nSELECT year, round(sum(w*mu), 6) AS total, round(max(mean), 6) AS spread, round(sum((w-1.0/n)*(mu-mean)), 6) AS placement FROM m GROUP BY 1")
 def _(p):
-    w = Window.partitionBy("year")
-    m = p.select("year", (F.col("rev") / F.col("mate")).alias("mu"), (F.col("mate") / F.sum("mate").over(w)).alias("w"), F.count("*").over(w).alias("n")).withColumn("mean", F.avg("mu").over(w))
+    m = p.select("year", (F.col("rev") / F.col("mate")).alias("mu"), "mate")
+    years = m.groupBy("year").agg(F.sum("mate").alias("c"), F.count("*").alias("n"), F.avg("mu").alias("mean"))
+    m = m.join(years, "year").withColumn("w", F.col("mate") / F.col("c"))
     return r6(m.groupBy("year").agg(F.sum(F.col("w") * F.col("mu")).alias("total"), F.max("mean").alias("spread"), F.sum((F.col("w") - 1.0 / F.col("n")) * (F.col("mu") - F.col("mean"))).alias("placement")))
 
 
 @query("agg52_income_split", "b AS (SELECT ntile(4) OVER (PARTITION BY year ORDER BY rev, entity) AS bin, * FROM panel), r(rate) AS (VALUES (0.05::DOUBLE), (0.12::DOUBLE))\nSELECT bin::INTEGER AS bin, rate, round(sum(staf)/sum(rev), 6) AS labour, round(rate*sum(cap)*100/sum(rev), 6) AS capital, round(1-(sum(staf)+sum(mate)+rate*sum(cap)*100)/sum(rev), 6) AS profit FROM b, r GROUP BY 1, 2")
 def _(p):
-    b = p.withColumn("bin", F.ntile(4).over(Window.partitionBy("year").orderBy("rev", "entity")))
+    b = ordered.running(p, ["year"], [F.col("rev"), F.col("entity")]).withColumn("bin", ordered.tiles(4))
     b = b.groupBy("bin").agg(*(F.sum(c).alias(c) for c in ("rev", "staf", "mate", "cap"))).withColumn("rate", F.explode(F.array(F.lit(0.05), F.lit(0.12))))
     k = F.col("rate") * F.col("cap") * 100
     return r6(b.select("bin", "rate", (F.col("staf") / F.col("rev")).alias("labour"), (k / F.col("rev")).alias("capital"), (1 - (F.col("staf") + F.col("mate") + k) / F.col("rev")).alias("profit")))
@@ -152,17 +155,19 @@ def _(p):
 
 @query("win8_both_ranks", "SELECT entity, year, row_number() OVER (PARTITION BY year ORDER BY cap, entity)::INTEGER AS up, row_number() OVER (PARTITION BY year ORDER BY cap DESC, entity)::INTEGER AS down FROM panel")
 def _(p):
-    w = Window.partitionBy("year")
-    return p.select("entity", "year", F.row_number().over(w.orderBy("cap", "entity")).alias("up"), F.row_number().over(w.orderBy(F.desc("cap"), "entity")).alias("down"))
+    p = p.select("entity", "year", "cap")
+    up = ordered.running(p, ["year"], [F.col("cap"), F.col("entity")], rank="up")
+    both = ordered.running(up.drop("up_total"), ["year"], [F.desc("cap"), F.col("entity")], rank="down")
+    return both.select("entity", "year", F.col("up").cast("int").alias("up"), F.col("down").cast("int").alias("down"))
 
 
 @query("win14_joint_and_sequential_trim", """q AS (SELECT *, quantile_cont(rev, [0.05, 0.95]) OVER (PARTITION BY cell) AS a, quantile_cont(mate/rev, [0.05, 0.95]) OVER (PARTITION BY cell) AS b FROM panel), s1 AS (SELECT * FROM q WHERE rev > a[1] AND rev < a[2]), s2 AS (SELECT cell, mate/rev AS s, quantile_cont(mate/rev, [0.05, 0.95]) OVER (PARTITION BY cell) AS c FROM s1)
 SELECT 'joint' AS way, cell, count(*) AS n FROM s1 WHERE mate/rev > b[1] AND mate/rev < b[2] GROUP BY 2 UNION ALL SELECT 'sequential', cell, count(*) FROM s2 WHERE s > c[1] AND s < c[2] GROUP BY 2""")
 def _(p):
     p = p.select("cell", "rev", (F.col("mate") / F.col("rev")).alias("s"))
-    cuts = lambda c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).over(Window.partitionBy("cell"))
-    inside = lambda c, q: (F.col(c) > F.col(q)[0]) & (F.col(c) < F.col(q)[1])
-    joint = p.withColumns({"a": cuts("rev"), "b": cuts("s")}).where(inside("rev", "a") & inside("s", "b"))
+    cuts = quantiles.exact(p, {f"{c}_{n}": (c, a) for c in ("rev", "s") for n, a in (("low", 0.05), ("high", 0.95))}, ["cell"])
+    inside = lambda c: (F.col(c) > F.col(f"{c}_low")) & (F.col(c) < F.col(f"{c}_high"))
+    joint = p.join(cuts, "cell").where(inside("rev") & inside("s"))
     apart = panel.trim_by(panel.trim_by(p, "rev", ["cell"], 0.05, 0.95), "s", ["cell"], 0.05, 0.95)
     count = lambda d, n: d.groupBy("cell").agg(F.count("*").alias("n")).select(F.lit(n).alias("way"), "cell", "n")
     return count(joint, "joint").unionByName(count(apart, "sequential"))
