@@ -119,8 +119,8 @@ def _(p):
 @query("agg9_weighted_moments", """m AS (SELECT cell, sum(cap*mate/rev)/sum(cap) AS m FROM panel GROUP BY 1)
 SELECT cell, round(any_value(m), 6) AS mean, round(sum(cap*(mate/rev-m)*(mate/rev-m))/sum(cap), 6) AS variance FROM panel JOIN m USING (cell) GROUP BY 1""")
 def _(p):
-    w = Window.partitionBy("cell")
-    x = p.select("cell", "cap", (F.col("mate") / F.col("rev")).alias("x")).withColumn("m", F.sum(F.col("cap") * F.col("x")).over(w) / F.sum("cap").over(w))
+    x = p.select("cell", "cap", (F.col("mate") / F.col("rev")).alias("x"))
+    x = x.join(x.groupBy("cell").agg((F.sum(F.col("cap") * F.col("x")) / F.sum("cap")).alias("m")), "cell")
     return r6(x.groupBy("cell").agg(F.max("m").alias("mean"), (F.sum(F.col("cap") * (F.col("x") - F.col("m")) ** 2) / F.sum("cap")).alias("variance")))
 
 
@@ -292,7 +292,8 @@ def _(p):
 
 @query("sim22_harmonic_mean", "SELECT entity, year, round(1/avg(1/mate) OVER (PARTITION BY cell), 4) AS level FROM panel WHERE mate > 0")
 def _(p):
-    return p.where("mate > 0").select("entity", "year", F.round(1 / F.avg(1 / F.col("mate")).over(Window.partitionBy("cell")), 4).alias("level"))
+    p = p.where("mate > 0").select("entity", "year", "cell", "mate")
+    return p.join(p.groupBy("cell").agg((1 / F.avg(1 / F.col("mate"))).alias("m")), "cell").select("entity", "year", F.round("m", 4).alias("level"))
 
 
 @query("smp1_entity_sample", "SELECT entity, year, rev FROM panel WHERE ('0x' || substr(md5(entity::VARCHAR || ':7'), 1, 8))::BIGINT % 10000 < 2500")

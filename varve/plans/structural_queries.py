@@ -65,9 +65,8 @@ def _(p):
 
 @query("agg32_shrink_clip", "m AS (SELECT cell, mate/rev AS a, avg(mate/rev) OVER (PARTITION BY cell) AS mu FROM panel), s AS (SELECT *, mu + 0.5*(a-mu) AS b FROM m)\nSELECT cell, round(avg(greatest(0.3, least(b, 0.9))), 6) AS mean, round(avg(CASE WHEN b < 0.3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low_mass, round(avg(CASE WHEN b > 0.9 THEN 1.0::DOUBLE ELSE 0 END), 6) AS high_mass FROM s GROUP BY 1")
 def _(p):
-    a = F.col("a")
-    mu = F.avg("a").over(Window.partitionBy("cell"))
-    s = p.select("cell", (F.col("mate") / F.col("rev")).alias("a")).withColumn("b", mu + 0.5 * (a - mu))
+    s = p.select("cell", (F.col("mate") / F.col("rev")).alias("a"))
+    s = s.join(s.groupBy("cell").agg(F.avg("a").alias("mu")), "cell").withColumn("b", F.col("mu") + 0.5 * (F.col("a") - F.col("mu")))
     return r6(s.groupBy("cell").agg(F.avg(F.greatest(F.lit(0.3), F.least("b", F.lit(0.9)))).alias("mean"), F.avg((F.col("b") < 0.3).cast("double")).alias("low_mass"), F.avg((F.col("b") > 0.9).cast("double")).alias("high_mass")))
 
 
