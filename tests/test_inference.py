@@ -72,6 +72,29 @@ def test_rank_bootstrap_equals_plain_resampling(spark, skewed):
     assert np.allclose(moved.loc[got.index], got, atol=1e-10)
 
 
+def test_rank_bootstrap_holds_few_rows():
+    """A block of one large group, a block of many: what a task holds does not grow with them."""
+    g = np.random.default_rng(5)
+    import tracemalloc
+
+    def rows(n):
+        for at in range(0, n, 10_000):
+            yield pd.DataFrame({"g": np.where(np.arange(at, at + 10_000) < 20, 0, 1), "x": g.random(10_000), **{f"_s{i}": g.integers(0, ordered.PRIME, 10_000) for i in range(3)}, "_part": 0, "_pos": np.arange(at, at + 10_000)})
+
+    tracemalloc.start()
+    found = pd.concat(ordered.group_sums(rows(100_000), 100, 2_048, 65_536), ignore_index=True)
+    known = {r.g: [(r.part, np.array(r.n), np.array(r.s))] for r in found.itertuples()}
+    total = pd.concat(ordered.rank_sums(rows(100_000), known, 100, 0.75, 0.5, 2_048))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(found["g"]) == [0, 1] and abs(total["l"].mean() / 50_000 - 1) < 0.02
+    assert peak < 40e6
+    small = [p.assign(g=np.arange(10_000) // 100 + 1000 * i) for i, p in enumerate(rows(30_000))]
+    told = pd.concat(ordered.group_sums(iter(small), 10, 64, 1_000))
+    assert list(told["g"]) == [0, 2099]
+    assert np.allclose(pd.concat(ordered.rank_sums(iter(small), {}, 10, 0.75, 0.5, 64)), pd.concat(ordered.rank_sums(iter(small), {r.g: [(0, np.array(r.n), np.array(r.s))] for r in pd.concat(ordered.group_sums(iter(small), 10, 64, 0)).itertuples()}, 10, 0.75, 0.5, 64)))
+
+
 def dummies(y, xs, a, b, cluster=None):
     """Coefficients and errors by a regression on all levels' columns."""
     design = np.column_stack([xs, pd.get_dummies(a).to_numpy(float), pd.get_dummies(b).to_numpy(float)])

@@ -7,6 +7,8 @@ and group.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,77 +117,104 @@ def multiplicities(s0: np.ndarray, s1: np.ndarray, s2: np.ndarray, replicates: n
     return np.searchsorted(np.array(POISSON), h / PRIME, side="right")
 
 
-def rank_bootstrap(df: DataFrame, group: str, entity: str, order: str, x: str, replicates: int, top: float, bottom: float, seed: int = 1, chunk: int = 65_536) -> DataFrame:
+#: Rows of a group that lies within one block which a task may hold; the sums of larger ones leave it, as those of shared groups do.
+MOST_HELD = 65_536
+
+
+def _pieces(batches: Iterable[pd.DataFrame], chunk: int) -> Iterator[tuple[int, object, pd.DataFrame]]:
+    """Block, group and at most chunk rows of it, in order, from batches of rows sorted by _part and _pos."""
+    for rows in batches:
+        part, g = rows["_part"].to_numpy(), rows["g"].to_numpy()
+        at = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (part[1:] != part[:-1]), [True]))) if len(rows) else []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            for c in range(a, b, chunk):
+                yield part[a], g[a], rows.iloc[c : min(c + chunk, b)]
+
+
+def _draws(rows: pd.DataFrame, numbers: np.ndarray) -> np.ndarray:
+    return multiplicities(*(rows[f"_s{i}"].to_numpy() for i in range(3)), numbers).astype(float)
+
+
+def group_sums(batches: Iterable[pd.DataFrame], replicates: int, chunk: int, most: int) -> Iterator[pd.DataFrame]:
+    """Of the first and last group of each block (the only ones that other blocks may share), and of those with over most rows in it: part, g, and of each
+    replicate the number of draws n and the sum of x over them s. Rows are sorted by _part and _pos; chunk of them are a matrix at a time."""
+    numbers, now, size, first, n, s = np.arange(1, replicates + 1), None, 0, True, None, None
+
+    def told() -> pd.DataFrame:
+        return pd.DataFrame([(now[0], now[1], n.tolist(), s.tolist())], columns=["part", "g", "n", "s"])
+
+    for part, g, piece in _pieces(batches, chunk):
+        if now is None or now != (part, g):
+            if now is not None and (first or part != now[0] or size > most):
+                yield told()
+            first = now is None or part != now[0]
+            now, size, n, s = (part, g), 0, np.zeros(replicates), np.zeros(replicates)
+        c = _draws(piece, numbers)
+        size, n, s = size + len(piece), n + c.sum(axis=0), s + piece["x"].to_numpy() @ c
+    if now is not None:
+        yield told()
+
+
+def rank_sums(batches: Iterable[pd.DataFrame], known: dict, replicates: int, top: float, bottom: float, chunk: int) -> Iterator[pd.DataFrame]:
+    """Of each replicate, weights and weighted deviations above top (h, hx) and up to bottom (l, lx), over all rows of a task. known: group -> (block, n, s) of
+    each of its blocks, as ``group_sums`` tells; rows of other groups are held until their group ends."""
+    numbers, total = np.arange(1, replicates + 1), np.zeros((4, replicates))
+
+    def add(piece: pd.DataFrame, before: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+        c = _draws(piece, numbers)
+        cum = before + np.cumsum(c, axis=0)
+        place = np.divide(cum - c + (c + 1) / 2, n, out=np.zeros_like(c), where=n > 0)
+        off = piece["x"].to_numpy()[:, None] - np.divide(s, n, out=np.zeros(replicates), where=n > 0)
+        for k, where in ((0, place > top), (2, place <= bottom)):
+            w = c * where
+            total[k] += w.sum(axis=0)
+            total[k + 1] += (w * off).sum(axis=0)
+        return cum[-1]
+
+    def close(held: list[pd.DataFrame]) -> None:
+        n, s, before = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        for piece in held:
+            c = _draws(piece, numbers)
+            n, s = n + c.sum(axis=0), s + piece["x"].to_numpy() @ c
+        for piece in held:
+            before = add(piece, before, n, s)
+
+    now, held, before, n, s = None, [], None, None, None
+    for part, g, piece in _pieces(batches, chunk):
+        if now is None or now != (part, g):
+            close(held)
+            now, held = (part, g), []
+            if g in known:
+                n, s = (sum(p[k] for p in known[g]) for k in (1, 2))
+                before = sum((p[1] for p in known[g] if p[0] < part), np.zeros(replicates))
+        if g in known:
+            before = add(piece, before, n, s)
+        else:
+            held.append(piece[["x", "_s0", "_s1", "_s2"]].copy())  # at most MOST_HELD rows
+    close(held)
+    if now is not None:
+        yield pd.DataFrame({"replicate": numbers, "h": total[0], "hx": total[1], "l": total[2], "lx": total[3]})
+
+
+def rank_bootstrap(df: DataFrame, group: str, entity: str, order: str, x: str, replicates: int, top: float, bottom: float, seed: int = 1, chunk: int = 2_048) -> DataFrame:
     """Entity bootstrap of a rank statistic, ranks recomputed in each replicate: replicate, gap.
 
     gap is the mean of x less its group's mean over entities above the share ``top`` of their group's resampled ranking by order, less that
     over those up to ``bottom``; an entity drawn c times has the middle rank of its c copies. df has one row for each entity; nulls are left out.
 
     The ranking of all replicates costs one sort: multiplicities are made in the tasks, and of each block only its first and last group (the only ones that
-    other blocks may share) leave it, as a vector of the replicates. A group may so be of any size; chunk rows of a block are held as a matrix at a time.
-    Replicates without a draw on one side give no row."""
+    other blocks may share) and groups of over MOST_HELD rows leave it, as a vector of the replicates. A group may so be of any size: blocks stream through
+    the tasks, with chunk rows as a matrix at a time. Replicates without a draw on one side give no row."""
     spark = df.sparkSession
     held = df.select(F.col(group).alias("g"), F.col(entity).alias("e"), F.col(order).cast("double").alias("o"), F.col(x).cast("double").alias("x"), *seeds(entity, seed)).dropna()
     held = blocks(held, ["g"], [F.col("o"), F.col("e")]).select("g", "x", "_s0", "_s1", "_s2", "_part", "_pos")
-    kind, numbers = dict(held.dtypes)["g"], np.arange(1, replicates + 1)
-
-    def draws(rows: pd.DataFrame) -> np.ndarray:
-        return multiplicities(*(rows[f"_s{i}"].to_numpy() for i in range(3)), numbers).astype(float)
-
-    def spans(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        g = rows["g"].to_numpy()
-        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-        return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-    def sums(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Over the rows, of each replicate: number of draws, and sum of x over draws."""
-        n, s = np.zeros(replicates), np.zeros(replicates)
-        for at in range(0, len(rows), chunk):
-            some = rows.iloc[at : at + chunk]
-            c = draws(some)
-            n += c.sum(axis=0)
-            s += some["x"].to_numpy() @ c
-        return n, s
-
-    def edges(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos", ignore_index=True)
-        cut = spans(rows)
-        out = [(rows["_part"].iloc[0], rows["g"].iloc[a], *map(np.ndarray.tolist, sums(rows.iloc[a:b]))) for a, b in ([cut[0]] if len(cut) == 1 else [cut[0], cut[-1]])]
-        return pd.DataFrame(out, columns=["part", "g", "n", "s"])
-
-    found = held.groupBy("_part").applyInPandas(edges, f"part int, g {kind}, n array<double>, s array<double>").collect()  # two rows a block
+    kind = dict(held.dtypes)["g"]
+    held = held.repartition("_part").sortWithinPartitions("_part", "_pos")
+    most = MOST_HELD
+    found = held.mapInPandas(lambda rows: group_sums(rows, replicates, chunk, most), f"part int, g {kind}, n array<double>, s array<double>").collect()  # two rows a block, and one for MOST_HELD rows
     shared: dict = {}
     for r in sorted(found, key=lambda r: r.part):
         shared.setdefault(r.g, []).append((r.part, np.array(r.n), np.array(r.s)))
-    several = spark.sparkContext.broadcast({g: v for g, v in shared.items() if len(v) > 1})
-
-    def ranked(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos", ignore_index=True)
-        part = rows["_part"].iloc[0]
-        total = np.zeros((4, replicates))  # weights and deviations above, then below
-        for a, b in spans(rows):
-            own = rows.iloc[a:b]
-            parts = several.value.get(rows["g"].iloc[a])
-            if parts is None:
-                n, s = sums(own)
-                before = np.zeros(replicates)
-            else:
-                n, s = (sum(p[k] for p in parts) for k in (1, 2))
-                before = sum((p[1] for p in parts if p[0] < part), np.zeros(replicates))
-            some = n > 0
-            mean = np.divide(s, n, out=np.zeros(replicates), where=some)
-            for at in range(0, len(own), chunk):
-                piece = own.iloc[at : at + chunk]
-                c = draws(piece)
-                cum = before + np.cumsum(c, axis=0)
-                place = np.divide(cum - c + (c + 1) / 2, n, out=np.zeros_like(c), where=some)
-                off = piece["x"].to_numpy()[:, None] - mean
-                for k, where in ((0, place > top), (2, place <= bottom)):
-                    w = c * where
-                    total[k] += w.sum(axis=0)
-                    total[k + 1] += (w * off).sum(axis=0)
-                before = cum[-1]
-        return pd.DataFrame({"replicate": numbers, "h": total[0], "hx": total[1], "l": total[2], "lx": total[3]})
-
-    parts = held.groupBy("_part").applyInPandas(ranked, "replicate int, h double, hx double, l double, lx double")
+    known = spark.sparkContext.broadcast(shared)
+    parts = held.mapInPandas(lambda rows: rank_sums(rows, known.value, replicates, top, bottom, chunk), "replicate int, h double, hx double, l double, lx double")
     return parts.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("h", "hx", "l", "lx"))).where("h > 0 and l > 0").select("replicate", (F.col("hx") / F.col("h") - F.col("lx") / F.col("l")).alias("gap"))
