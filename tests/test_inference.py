@@ -326,3 +326,21 @@ def test_panel_checks_and_overlaps(spark):
     for bad in (lambda: guards.join_overlapping(a, b, ["year"], "v", "w", 1e-6), lambda: guards.join_overlapping(a, b.where("year = 3"), ["year"], "v", "w", 1.0)):
         with pytest.raises(guards.Refused):
             bad()
+
+
+def test_regressions_meet_their_means_without_moving_rows(spark):
+    g = np.random.default_rng(2)
+    t = pd.DataFrame({"k": "a", "g": g.integers(0, 9, 400), "x": g.normal(size=400), "w": g.random(400) + 0.1})
+    t["y"] = 2 * t["x"] + t["g"] + g.normal(size=400)
+    got = specs.least_squares(spark.createDataFrame(t), ["k"], {"one": ("y", ["x"])}, {"none": None, "w": "w"}, {"g": "g"})
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    x, y = (t[c] - t.groupby("g")[c].transform("mean") for c in "xy")
+    assert abs(got.where("weight = 'none'").first().coef - (x * y).sum() / (x * x).sum()) < 1e-9
+
+
+def test_size_labels_equal_ranks(spark):
+    rows = [(m, e, float(e * 7 % 5)) for m, n in (("a", 9), ("b", 2), ("c", 4)) for e in range(n)]
+    got = {(r.m, r.e): r.size_rank for r in expansion.sized(spark.createDataFrame(rows, "m string, e long, s double"), "m", ["e"], "s").collect()}
+    for m in "abc":
+        for i, (_, e, _) in enumerate(sorted((r for r in rows if r[0] == m), key=lambda r: (-r[2], r[1]))):
+            assert got[m, e] == ("1_leader", "2_second", *["3_third_fifth"] * 3)[i] if i < 5 else got[m, e] == "4_rest"

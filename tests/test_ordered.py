@@ -87,3 +87,36 @@ def test_value_ranks_and_tiles(spark):
         df = spark.range(1, n + 1).select(F.col("id").alias("rank"), F.lit(n).cast("long").alias("rank_total"))
         tiles = [r.t for r in df.select("rank", ordered.tiles(4).alias("t")).orderBy("rank").collect()]
         assert tiles == [t + 1 for t, part in enumerate(np.array_split(np.arange(n), 4)) for _ in part]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_edges_equal_ranks(spark, keys):
+    df = spark.createDataFrame([(g, e, None if e % 11 == 0 else float(e * e % 13) - 4) for g, n in (("a", 61), ("b", 3), (None, 10), ("c", 1)) for e in range(n)], "g string, e long, x double").repartition(5)
+    got = ordered.edges(df, keys, "x", ["e", *(["g"] if not keys else [])], lambda n: [F.floor(n * j / 5) for j in range(1, 5)], "at").toPandas()
+    df = df.toPandas()
+    order = df.assign(null=df["x"].notna(), gn=df["g"].notna()).sort_values(["null", "x", "e", "gn", "g"])
+    by = order.groupby("g", dropna=False) if keys else order.assign(all=1).groupby("all")
+    order["q"] = np.ceil(5 * (by.cumcount() + 1) / by["e"].transform("size"))
+    met = got.merge(order, on=["g", "e"])
+    assert len(met) == 75 and (5 - met["at"] == met["q"]).all()
+
+
+def test_ranks_do_not_move_rows_again(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(500)], "g long, e long")
+    run = ordered.running(df, ["g"], [F.col("e")])
+    assert "Exchange hashpartitioning" not in plan(run)
+    assert [r["rank"] for r in run.where("g = 1").sort("e").collect()] == list(range(1, 168))
+
+
+def test_quantiles_of_few_values_sort_no_rows(spark, monkeypatch):
+    """In a column of few values every row is in a wanted step: rows are counted where they are, not sorted or dealt out by value."""
+    seen, run = [], ordered.running
+    monkeypatch.setattr(quantiles, "running", lambda df, *a, **k: seen.append(plan(df)) or run(df, *a, **k))
+    df = spark.createDataFrame([(i % 2, float(i % 3)) for i in range(900)], "g long, x double")
+    got = {r.g: (r.q0, r.q1) for r in quantiles.linear(df, "x", ["g"], [0.25, 0.9]).collect()}
+    assert got == {0: (0.0, 2.0), 1: (0.0, 2.0)}
+    assert "SortAggregate" not in seen[0] and "SortMergeJoin" not in seen[0]

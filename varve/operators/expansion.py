@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import edges, running
 
 
-def binned(df: DataFrame, group: str, tie: list[str], columns: dict[str, str], size: str, bins: int = 5) -> DataFrame:
+def sized(df: DataFrame, group: str, tie: list[str], size: str, source: DataFrame | None = None) -> DataFrame:
+    """df with size_rank, a label by descending size in the group (ties by tie): its first, second, third to fifth row, and the rest. source: as in ``edges``."""
+    x = F.coalesce(F.when(F.isnan(size), F.lit(float("-inf"))).otherwise(-F.col(size)), F.lit(float("inf")))  # ascends as size descends, nulls last
+    df = edges(df.withColumn("_x", x), [group], "_x", tie, lambda n: [F.least(F.lit(k), n) for k in (1, 2, 5)], "_at", None if source is None else source.withColumn("_x", x)).drop("_x")
+    label = F.when(F.col("_at") == 3, "1_leader").when(F.col("_at") == 2, "2_second").when(F.col("_at") == 1, "3_third_fifth").otherwise("4_rest")
+    return df.withColumn("size_rank", label).drop("_at")
+
+
+def binned(df: DataFrame, group: str, tie: list[str], columns: dict[str, str], size: str, bins: int = 5, places: list[str] | None = None) -> DataFrame:
     """df with, for each column (tag -> name), its equal-count bin over all rows (q_<tag>_pooled) and in its group (q_<tag>_within) and its
     share of ranks there (pct_<tag>_within), by first-come ranks in the order of tie; and size_rank, a label by descending size in the group.
-    A bin is ceil(bins * rank / n)."""
-    order = [F.col(c) for c in tie]
-    for tag, c in columns.items():
-        df = running(df, [], [F.col(c), *order]).withColumn(f"q_{tag}_pooled", F.ceil(bins * F.col("rank") / F.col("rank_total")).cast("int")).drop("rank", "rank_total")
-        df = running(df, [group], [F.col(c), *order])
+    A bin is ceil(bins * rank / n). places: the tags whose shares of ranks are wanted (all by default).
+
+    Bins and labels come from the rows at their edges; rows are sorted whole once for each share of ranks. df is read several times, so it should be cheap to read."""
+    order, base = [F.col(c) for c in tie], df
+    cut = lambda n: [F.floor(n * j / bins) for j in range(1, bins)]
+    places = list(columns) if places is None else places
+    for tag in places:
+        df = running(df, [group], [F.col(columns[tag]), *order])
         df = df.withColumns({f"q_{tag}_within": F.ceil(bins * F.col("rank") / F.col("rank_total")).cast("int"), f"pct_{tag}_within": F.col("rank") / F.col("rank_total")}).drop("rank", "rank_total")
-    df = running(df, [group], [F.desc(size), *order])
-    label = F.when(F.col("rank") == 1, "1_leader").when(F.col("rank") == 2, "2_second").when(F.col("rank") <= 5, "3_third_fifth").otherwise("4_rest")
-    return df.withColumn("size_rank", label).drop("rank", "rank_total")
+    for tag, c in columns.items():
+        for scheme, keys in (("pooled", []), ("within", [group])):
+            if scheme == "pooled" or tag not in places:
+                df = edges(df, keys, c, tie, cut, "_at", base).withColumn(f"q_{tag}_{scheme}", bins - F.col("_at")).drop("_at")
+    return sized(df, group, tie, size, base)
 
 
 def plans(df: DataFrame, planners: dict[str, tuple[str, str, str]]) -> DataFrame:

@@ -7,14 +7,14 @@ and group.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.sources.files import scratch
+from varve.sources.files import scratch, small
 
 
 def blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -36,16 +36,23 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     if rank:
         sums[rank] = F.lit(1).cast("long")
     held = blocks(df, keys, order)
+    ks = [f"_k{i}" for i in range(len(keys))]
+    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, ks, strict=True))]
+    own = [F.col("_part").alias("_p"), *(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True))]
+    if list(sums) == [rank]:  # a group's rows stand together in a block, so their places tell the rank: rows are not moved again
+        sides = held.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+        across = Window.partitionBy(*keys)
+        before = F.coalesce(F.sum("_n").over(across.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sides = sides.select(*own, (before - F.col("_first") + 1).alias("_add"), F.sum("_n").over(across).alias(f"{rank}_total"))
+        met = held.join(small(sides, "sides")[0], on)
+        return met.select(*(f"`{c}`" for c in df.columns), (F.col("_pos") + F.col("_add")).alias(rank), f"{rank}_total")
     local = Window.partitionBy("_part", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     inside = held.withColumns({f"_in_{n}": F.sum(v).over(local) for n, v in sums.items()})
     # One row a block and group.
     sides = held.groupBy(*keys, "_part").agg(*(F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()))
     across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sides = sides.withColumns({f"_before_{n}": F.coalesce(F.sum(f"_sum_{n}").over(across), F.lit(0)) for n in sums} | {f"{n}_total": F.sum(f"_sum_{n}").over(Window.partitionBy(*keys)) for n in sums})
-    ks = [f"_k{i}" for i in range(len(keys))]
-    small = sides.select(F.col("_part").alias("_p"), *(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)), *(f"_before_{n}" for n in sums), *(f"{n}_total" for n in sums))
-    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, ks, strict=True))]
-    met = inside.join(small, on)
+    met = inside.join(sides.select(*own, *(f"_before_{n}" for n in sums), *(f"{n}_total" for n in sums)), on)
     return met.select(*(f"`{c}`" for c in df.columns), *((F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums))
 
 
@@ -93,11 +100,35 @@ def top(df: DataFrame, keys: list[str], x: str, tie: list[str], share: float, le
     ks = [f"_k{i}" for i in range(len(keys))]
     lowest = held.where(F.col("_total") - F.col("_upto") < k(F.col("_total"))).groupBy(*(F.col(c).alias(n) for c, n in zip(keys, ks, strict=True))).agg(F.min("_b").alias("_low"), F.max("_total").alias("_all"))
     on = [*(F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, ks, strict=True)), step(F.col(x)) >= F.col("_low")]
-    near = df.join(lowest, on).select(*(f"`{c}`" for c in df.columns), "_all")
+    near = df.join(small(lowest, "lowest")[0], on).select(*(f"`{c}`" for c in df.columns), "_all")
     ranked = running(near, keys, [F.desc(x), *(F.col(c) for c in tie)])
     return ranked.where(F.col("rank") <= k(F.col("_all"))).withColumn("rank_total", F.col("_all")).drop("_all")
 
 
+def edges(df: DataFrame, keys: list[str], x: str, tie: list[str], ranks: Callable[[Column], list[Column]], name: str, source: DataFrame | None = None) -> DataFrame:
+    """df with name: how many of the group's rows at these ranks (of the row count; 0 for none) stand at or behind the row, in the order of x (nulls first) and tie.
+
+    A histogram tells which steps hold the ranks; only the rows of those steps are sorted, without their other columns. The rows of df are not moved.
+    source: the same rows in a form that is cheaper to read, if there is one."""
+    source = df if source is None else source
+    at = F.coalesce(step(F.col(x)), F.lit(-(1 << 31)))
+    ks, by = [f"_k{i}" for i in range(len(keys))], [*keys, "_b"]
+    w = Window.partitionBy(*keys)
+    held = source.groupBy(*keys, at.alias("_b")).agg(F.count("*").alias("_n"))
+    held = held.withColumns({"_before": F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), "_total": F.sum("_n").over(w)})
+    inside = F.filter(F.transform(F.array(*(r.cast("long") for r in ranks(F.col("_total")))), lambda r: r - F.col("_before")), lambda r: (r > 0) & (r <= F.col("_n")))
+    held = held.select(*(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)), F.col("_b").alias("_s"), inside.alias("_t")).where(F.size("_t") > 0)
+    steps = small(held, "steps")[0]
+    same = [*(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, ks, strict=True)), F.col("_b") == F.col("_s")]
+    near = source.select(*keys, x, *tie, at.alias("_b")).join(steps, same, "left_semi")
+    # One row for each rank of each group.
+    found = running(near, by, [F.col(x), *(F.col(c) for c in tie)]).join(steps, same).select(*ks, F.struct(x, *tie).alias("_e"), F.explode("_t").alias("_r"), "rank").where("_r = rank")
+    found = small(found.groupBy(*ks).agg(F.collect_list("_e").alias("_edges")), "edges")[0]
+    met = df.join(found, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, ks, strict=True)] or F.lit(True), "left")
+    count = F.size(F.filter(F.coalesce("_edges", F.array()), lambda e: F.struct(x, *tie) <= e))
+    return met.select(*(f"`{c}`" for c in df.columns), count.alias(name))
+
+
 #: Fixed value: 2^31 - 1, a prime; draws are a polynomial of the replicate's number modulo it.
 PRIME = 2147483647
 #: The distribution function of Poisson(1) at 0 to 7.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varve.operators import effects, expansion, ordered, specs
+from varve.sources import files
 
 from .panel_queries import query, r6
 
@@ -153,17 +154,19 @@ PLANNERS = {n: (f"tc_{n}", f"sales_{n}", f"share_{n}") for n in ("free", "fixed"
 
 def firms(p):
     b = p.where("rev > 0 and mate > 0 and cap > 0").select("entity", "year", F.concat_ws("|", "market", "year").alias("market_id"), F.col("mate").alias("tc_mkt"), F.col("rev").alias("sales_mkt"), F.col("cap").alias("v"))
-    b = b.join(b.groupBy("market_id").agg(F.sum("sales_mkt").alias("_s")), "market_id").withColumn("share_mkt", F.col("sales_mkt") / F.col("_s")).drop("_s")
+    b = files.kept(b, "firms")  # from here on rows are read, and meet their market's sums, where they are
+    of = lambda *sums: files.small(b.groupBy("market_id").agg(*sums), "markets")[0]
+    b = b.join(of(F.sum("sales_mkt").alias("_s")), "market_id").withColumn("share_mkt", F.col("sales_mkt") / F.col("_s")).drop("_s")
     b = b.withColumn("mu_mkt", 1 / (1 - (F.col("share_mkt") / 1.5 + (1 - F.col("share_mkt")) / 6.0)))
-    b = b.join(b.groupBy("market_id").agg(F.avg("mu_mkt").alias("_m")), "market_id")
+    b = b.join(of(F.avg("mu_mkt").alias("_m")), "market_id")
     b = b.withColumns({"alpha": F.col("tc_mkt") * F.col("mu_mkt") / F.col("sales_mkt"), "sales_free": F.col("sales_mkt") * F.sqrt(F.col("mu_mkt") / F.col("_m"))}).withColumn("tc_free", F.col("alpha") * F.col("sales_free")).drop("_m")
-    b = b.join(b.groupBy("market_id").agg(F.sum("sales_free").alias("_s")), "market_id").withColumn("share_free", F.col("sales_free") / F.col("_s")).drop("_s")
-    k = F.broadcast(b.agg((F.sum("tc_mkt") / F.sum("tc_free")).alias("_k")))  # one row
+    b = b.join(of(F.sum("sales_free").alias("_s")), "market_id").withColumn("share_free", F.col("sales_free") / F.col("_s")).drop("_s")
+    k = files.small(b.agg((F.sum("tc_mkt") / F.sum("tc_free")).alias("_k")), "scale")[0]  # one row
     return b.join(k).withColumns({"tc_fixed": F.col("tc_free") * F.col("_k"), "sales_fixed": F.col("sales_free") * F.col("_k"), "share_fixed": F.col("share_free")}).drop("_k")
 
 
 def planned(p):
-    return expansion.plans(expansion.binned(firms(p), "market_id", ["entity", "year"], {"a": "alpha", "v": "v", "mu": "mu_mkt"}, "sales_mkt"), PLANNERS)
+    return expansion.plans(expansion.binned(firms(p), "market_id", ["entity", "year"], {"a": "alpha", "v": "v", "mu": "mu_mkt"}, "sales_mkt", places=["a", "v"]), PLANNERS)
 
 
 _ALL = list(dict.fromkeys(c for cs in TABLES.values() for c in cs))
@@ -184,7 +187,7 @@ def _(p):
 SELECT planner, count(*) AS n, round(min(alpha), 6) AS alpha_min, round(max(alpha), 6) AS alpha_max, round(avg((alpha >= 1)::INT), 6) AS firms_over, round(avg((alpha = top)::INT), 6) AS firms_at_max, round(avg((alpha >= 1)::INT) FILTER (size_rank = '1_leader'), 6) AS leaders_over, round(avg((alpha = top)::INT) FILTER (size_rank = '1_leader'), 6) AS leaders_at_max,
     round(sum(tc_mkt) FILTER (alpha >= 1)/sum(tc_mkt), 6) AS tc_mkt_over, round(sum(tc_pl) FILTER (alpha >= 1)/sum(tc_pl), 6) AS tc_pl_over, CASE WHEN planner = 'free' THEN round(sum(tc_pl-tc_mkt) FILTER (alpha >= 1)/sum(tc_pl-tc_mkt), 5) END AS gain_over FROM long, m GROUP BY 1""")
 def _(p):
-    return r6(expansion.support(planned(p)).withColumn("gain_over", F.round("gain_over", 5)))
+    return r6(expansion.support(expansion.plans(expansion.sized(firms(p), "market_id", ["entity", "year"], "sales_mkt"), PLANNERS)).withColumn("gain_over", F.round("gain_over", 5)))
 
 
 @query("sim29_checks", FIRMS + "SELECT planner, count(*) AS n_active, count(DISTINCT market_id) AS n_markets, round(sum(tc_pl)/sum(tc_mkt), 6) AS tc_ratio, round(corr(alpha, v), 6) AS corr_alpha_v, round(sum(mu_mkt*tc_mkt)/sum(tc_mkt), 6) AS mu_cw, true AS passed FROM long GROUP BY 1")

@@ -22,6 +22,25 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df, written and read back: lineage ends, and lost executors do no harm."""
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is broadcast, so that the other side meets it where it is.
+FEW_ROWS = 200_000
+
+
+def small(df: DataFrame, tag: str, most: int = FEW_ROWS) -> tuple[DataFrame, bool]:
+    """``kept`` with a broadcast hint, and whether it has one: if df has at most most rows. Without one, Spark deals the other side out by the join's keys first,
+    and the rows of a large group meet in one task."""
+    df = kept(df, tag)
+    few = df.count() <= most
+    return (F.broadcast(df) if few else df), few
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Refuses an existing path. Partition columns become folders, which later filters prune."""
     (df.write.partitionBy(*partition_by) if partition_by else df.write).option("compression", "zstd").parquet(path)
