@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.sources.files import small
+
 from .ordered import histogram, running, step
 
 
@@ -35,8 +37,14 @@ def exact(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: list[str])
     target = F.struct("_q", (F.col("_e.r") - F.col("_before")).alias("r"), F.col("_e.w").alias("w"))
     steps = held.groupBy(*(F.col(k).alias(n) for k, n in zip(by, names, strict=True)), F.col("_b").alias("_s")).agg(F.collect_list(target).alias("_t"))
     same = [*(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names, strict=True)), F.col("_b") == F.col("_s")]
-    inside = rows.withColumn("_b", step(F.col("_x"))).join(steps, same)
-    run = running(inside.groupBy(*by, "_b", "_x").agg(F.count("*").alias("_m"), F.first("_t").alias("_t")), [*by, "_b"], [F.col("_x")], {"_to": F.col("_m")}, rank=None)
+    steps, few = small(steps, "steps")
+    # Values are counted before they get what is wanted of them: in a column of few values most rows are in such steps. Few steps meet the rows where they are;
+    # of many, the distinct values are dealt out, so that one value's rows don't meet in a task.
+    inside, each = rows.withColumn("_b", step(F.col("_x"))), [*by, "_b", "_x"]
+    inside = inside if few else inside.groupBy(*each).agg(F.count("*").alias("_m"))
+    inside = inside.join(steps, same, "left_semi")
+    inside = inside.groupBy(*each).agg(F.count("*").alias("_m")) if few else inside
+    run = running(inside, [*by, "_b"], [F.col("_x")], {"_to": F.col("_m")}, rank=None).join(steps, same)
     met = run.select(*keys, "_x", F.explode(F.filter("_t", lambda t: (t["r"] <= F.col("_to")) & (t["r"] > F.col("_to") - F.col("_m")))).alias("_t"))
     return met.groupBy(*keys).agg(*(F.sum(F.when(F.col("_t._q") == i, F.col("_t.w") * F.col("_x"))).alias(n) for i, n in enumerate(wanted)))
 

@@ -217,9 +217,10 @@ SELECT cell, greatest(len(list_filter(e, lambda y: y < x)), 1)::INTEGER AS bin,
 def _(p):
     """Quantile bins of a column of few values: edges that coincide are dropped, bins are closed on the right, the first on both sides."""
     v = p.select("cell", F.least(F.greatest(F.round(F.col("cap") / 20), F.lit(1.0)), F.lit(3.0)).alias("x"))
+    v = files.kept(v, "few_values")
     q = quantiles.linear(v, "x", ["cell"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
     edges = q.select("cell", F.array_sort(F.array_distinct(F.array(*(f"q{i}" for i in range(6))))).alias("e"))
-    bins = v.join(edges, "cell").select("cell", F.size("e").alias("edges"), F.greatest(F.size(F.filter("e", lambda y: y < F.col("x"))), F.lit(1)).alias("bin"))
+    bins = v.join(files.small(edges, "edges")[0], "cell").select("cell", F.size("e").alias("edges"), F.greatest(F.size(F.filter("e", lambda y: y < F.col("x"))), F.lit(1)).alias("bin"))
     return bins.groupBy("cell", "bin").agg(F.count("*").alias("n"), F.max("edges").alias("edges"))
 
 
