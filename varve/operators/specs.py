@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.sources.files import small
+
 
 def least_squares(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, list[str]]], weights: dict[str, str | None] | None = None, absorbs: dict[str, str | None] | None = None) -> DataFrame:
     """Per group of keys, weighting, absorbed factor, specification and regressor: n, coef, se (HC1), r2, within_r2, partial_r2, alone_r2.
@@ -30,6 +32,7 @@ def least_squares(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, li
     rows = df.select(*keys, *(F.col(c).cast("double").alias(n) for c, n in zip(columns, v, strict=True)), schemes).select(*keys, *v, "s.*").dropna().where("w > 0")
     scheme = [*keys, "weight", "absorb"]
     means = rows.groupBy(*scheme, "g").agg(F.sum("w").alias("_W"), *(F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")).alias(f"m{c}") for c in v))
+    means = small(means, "means")[0]  # a row a level
     clean = rows.join(means, [*scheme, "g"]).select(*scheme, "w", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in v))
     k = len(v)
     gram = clean.groupBy(*scheme).agg(F.count("*").alias("n"), *(F.sum(F.col("w") * F.col(v[i]) * F.col(v[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)))
@@ -68,6 +71,7 @@ def least_squares(df: DataFrame, keys: list[str], specs: dict[str, tuple[str, li
             yield pd.DataFrame(out, columns=[*scheme, "n", "levels", *(f"{c}{i}" for i in range(len(specs)) for c in ("beta", "inv", "share"))])
 
     solved = moments.mapInPandas(solve, f"{ddl}, n long, levels long, " + ", ".join(f"beta{i} array<double>, inv{i} array<double>, share{i} array<double>" for i in range(len(specs))))
+    solved = small(solved, "solved")[0]  # a row a group: rows meet it where they are
     met = clean.join(solved, scheme)
     meats = []
     for s, (y, xs) in enumerate(specs.values()):
