@@ -344,3 +344,23 @@ def test_size_labels_equal_ranks(spark):
     for m in "abc":
         for i, (_, e, _) in enumerate(sorted((r for r in rows if r[0] == m), key=lambda r: (-r[2], r[1]))):
             assert got[m, e] == ("1_leader", "2_second", *["3_third_fifth"] * 3)[i] if i < 5 else got[m, e] == "4_rest"
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_effects_of_few_levels_are_solved_at_once(spark, apart, monkeypatch):
+    """One factor of few levels: no projections, and the same as by them."""
+    g = np.random.default_rng(7)
+    n = 600
+    a, b = g.integers(0, 90, n), g.integers(0, 6, n)
+    a = np.where(b % 2 == 0, a % 45, a % 45 + 45) if apart else a
+    x = g.normal(size=n) + b
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": np.char.add("l", b.astype(str)), "x": x, "y": 3 * x + a % 9 - b + g.normal(size=n)}))
+    want = effects.two_way(df, "y", ["x"], "a", "b", "a").toPandas()
+    slow = effects.two_way(df, "y", ["x"], "a", "b", "a", few_cells=0, few_levels=0, tol=1e-7).toPandas() if apart else want
+    monkeypatch.setattr(effects, "_spread", None)
+    monkeypatch.setattr(effects, "project", None)
+    for one, two in (("a", "b"), ("b", "a")):
+        got = effects.two_way(df, "y", ["x"], one, two, "a", few_cells=0).toPandas()
+        for c in ("coef", "se", "n", "r2", "within_r2", "levels", "components"):
+            assert np.allclose(got[c], want[c], atol=1e-9) and np.allclose(slow[c], want[c], atol=1e-6)
+    assert want["components"][0] == 1 + apart

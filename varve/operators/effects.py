@@ -7,17 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.sources.files import scratch
+from varve.sources.files import kept as _keep
+from varve.sources.files import small
 
 #: Cells up to which the projections run in one task, on arrays of the cells' sums; beyond, each is an aggregation by Spark.
 FEW_CELLS = 200_000
 
-
-def _keep(df: DataFrame, tag: str) -> DataFrame:
-    """Written and read back: lineage ends, and lost executors do no harm."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Levels of a factor up to which its effects are solved at once, from a matrix of that size on the driver.
+FEW_LEVELS = 200
 
 
 def project(a: np.ndarray, b: np.ndarray, n: np.ndarray, sums: np.ndarray, tol: float, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -82,37 +79,81 @@ def _spread(cells: DataFrame, columns: list[str], tol: float, most: int) -> tupl
         before = now
 
 
-def two_way(df: DataFrame, y: str, xs: list[str], a: str, b: str, cluster: str | None = None, tol: float = 1e-11, most: int = 2000, few_cells: int = FEW_CELLS) -> DataFrame:
+def _direct(cells: DataFrame, few: str, many: str, columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Effects (columns e0, e1, ...) of the levels of few, of which there are at most some hundred, and of many, and the number of components.
+
+    With the effects of many put in as means, those of few solve one linear system, whose matrix is a sum over the levels of many: their cells are brought together
+    once, at most as many each as few has levels. In each component one level of few has an effect of 0."""
+    spark, names = cells.sparkSession, [f"e{i}" for i in range(len(columns))]
+    lists = cells.groupBy(many).agg(F.sum("n").alias("_n"), *(F.sum(c).alias(f"_s{c}") for c in columns), F.collect_list(F.struct(F.col(few).alias("f"), "n", *columns)).alias("_l"))
+    lists = _keep(lists, "lists")
+    each = lists.select("_n", *(f"_s{c}" for c in columns), F.explode("_l").alias("p"), "_l")
+    own = each.groupBy("p.f").agg(F.sum("p.n").alias("n"), *(F.sum(F.col(f"p.{c}") - F.col("p.n") * F.col(f"_s{c}") / F.col("_n")).alias(e) for c, e in zip(columns, names, strict=True))).collect()  # a row a level
+    met = each.select("_n", "p", F.explode("_l").alias("q")).groupBy(F.col("p.f").alias("f"), F.col("q.f").alias("g")).agg(F.sum(F.col("p.n") * F.col("q.n") / F.col("_n")).alias("w")).collect()  # a row a pair of levels
+    at = {r.f: i for i, r in enumerate(own)}
+    matrix, sums, first = np.diag([r.n for r in own]), np.array([[r[e] for e in names] for r in own]), np.arange(len(own))
+    for r in met:
+        matrix[at[r.f], at[r.g]] -= r.w
+    linked = matrix < 0
+    np.fill_diagonal(linked, True)
+    while True:  # the least level that each one reaches
+        new = np.where(linked, first[None, :], len(own)).min(axis=1)
+        if (new == first).all():
+            break
+        first = new
+    free = first != np.arange(len(own))
+    effects = np.zeros(sums.shape)
+    if free.any():
+        effects[free] = np.linalg.solve(matrix[np.ix_(free, free)], sums[free])
+    kind = dict(cells.dtypes)[few]
+    levels = [(r.f, *map(float, x)) for r, x in zip(own, effects, strict=True)]
+    table = spark.createDataFrame([({r[0]: list(r[1:]) for r in levels},)], f"_m map<{kind}, array<double>>")
+    less = lambda i: F.aggregate("_l", F.lit(0.0), lambda t, x: t + x["n"] * F.col("_m")[x["f"]][i])
+    other = lists.join(F.broadcast(table)).select(many, *(((F.col(f"_s{c}") - less(i)) / F.col("_n")).alias(e) for i, (c, e) in enumerate(zip(columns, names, strict=True))))
+    return spark.createDataFrame(levels, f"{few} {kind}, " + ", ".join(f"{e} double" for e in names)), other, int((~free).sum())
+
+
+def two_way(df: DataFrame, y: str, xs: list[str], a: str, b: str, cluster: str | None = None, tol: float = 1e-11, most: int = 2000, few_cells: int = FEW_CELLS, few_levels: int = FEW_LEVELS) -> DataFrame:
     """Least squares of y on xs with an effect for each level of two factors: term, coef, se (HC1, or clustered), t, n, r2, within_r2,
     levels, components, steps (negative: not converged).
 
-    Rows with a null are left out. The effects are found on the table of cells (pairs of levels that occur) with the columns' sums, so rows are read twice,
-    however many steps there are. The model has a coefficient a regressor and (levels of a) + (levels of b) - (components of the graph that cells make of the levels):
+    Rows with a null are left out. The effects are found on the table of cells (pairs of levels that occur) with the columns' sums: up to few_cells cells by
+    projections in one task; if one factor has at most few_levels levels, at once from a linear system; by a Spark aggregation a step otherwise. The model has a coefficient a regressor and (levels of a) + (levels of b) - (components of the graph that cells make of the levels):
     where the factors are not connected, each component has a free constant of its own. HC1 errors are scaled by n / (n - coefficients);
     clustered ones by G / (G - 1) (n - 1) / (n - coefficients). Columns that the effects explain wholly are an error."""
     columns = [*xs, y]
     v = [f"_v{i}" for i in range(len(columns))]
     used = [F.col(a).alias("a"), F.col(b).alias("b"), *(F.col(c).cast("double").alias(n) for c, n in zip(columns, v, strict=True))]
     rows = df.select(*used, *([F.col(cluster).alias("_c")] if cluster else [])).dropna()
+    rows = _keep(rows, "rows")
     means = [m or 0.0 for m in rows.agg(*(F.avg(c) for c in v)).first()]
     rows = rows.withColumns({c: F.col(c) - m for c, m in zip(v, means, strict=True)})  # so that sums of products don't cancel
     cells = _keep(rows.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"), *(F.sum(c).alias(c) for c in v)), "cells")
-    levels = tuple(cells.agg(F.countDistinct("a"), F.countDistinct("b"), F.count("*")).first())
-    if levels[2] == 0:
+    n_cells = cells.count()
+    if n_cells == 0:
         raise ValueError("no rows are complete")
     names = [f"e{i}" for i in range(len(v))]
-    if levels[2] <= few_cells:
+    count = lambda f: cells.select(f).distinct().count()
+    if n_cells <= few_cells:
         t = cells.toPandas()  # at most few_cells rows
         (ai, au), (bi, bu) = (pd.factorize(t[c]) for c in "ab")
         left, right, steps = project(ai, bi, t["n"].to_numpy(), t[v].to_numpy(), tol, most)
-        components = parts(ai, bi)
+        levels, components = (len(au), len(bu)), parts(ai, bi)
         kinds = dict(cells.dtypes)
         back = lambda k, u, e: df.sparkSession.createDataFrame([(x, *map(float, r)) for x, r in zip(u.tolist(), e, strict=True)], f"{k} {kinds[k]}, " + ", ".join(f"{n} double" for n in names))
         left, right = F.broadcast(back("a", au, left)), F.broadcast(back("b", bu, right))
     else:
-        left, right, steps, components = _spread(cells, v, tol, min(most, 500))
+        levels = count("a"), count("b")
+        if min(levels) > few_levels:
+            left, right, steps, components = _spread(cells, v, tol, min(most, 500))
+        elif levels[1] <= levels[0]:
+            (right, left, components), steps = _direct(cells, "b", "a", v), 1
+        else:
+            (left, right, components), steps = _direct(cells, "a", "b", v), 1
+        left, right = small(left, "left")[0], small(right, "right")[0]
     right = right.withColumnsRenamed({n: f"_{n}" for n in names})
     clean = rows.join(left, "a").join(right, "b").select(*(F.col(c) for c in ["_c"] if cluster), *((F.col(c) - F.col(n) - F.col(f"_{n}")).alias(c) for c, n in zip(v, names, strict=True)), F.col(v[-1]).alias("_y"))
+    clean = _keep(clean, "clean")
     k = len(xs)
     gram = clean.agg(F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy"), *(F.sum(F.col(v[i]) * F.col(v[j])).alias(f"g{i}_{j}") for i in range(k + 1) for j in range(i, k + 1))).first()
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
