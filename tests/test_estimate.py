@@ -93,3 +93,16 @@ def test_elasticities_are_the_slopes_of_the_integral(spark):
     got = {r["name"]: r for r in estimate.elasticities(df, c, "cell").collect()}
     for v, name in (("m", "melast"), ("k", "kelast"), ("l", "lelast")):
         assert abs((got[f"{v}1"].integral - got[f"{v}-1"].integral) / (2 * h) - got["mid"][name]) < 1e-8
+
+
+def test_share_sums_equal_sparks(spark, monkeypatch):
+    """The tasks' matrix products give what the aggregation gives, where the fit is below the floor too."""
+    rng = np.random.default_rng(8)
+    k, m, l = rng.normal(size=(3, 500))  # noqa: E741
+    df = spark.createDataFrame(pd.DataFrame({"cell": rng.integers(0, 3, 500), "k": k, "m": m, "l": l, "s": np.log(0.4 + 0.02 * k - 0.01 * m * m + 0.001 * rng.normal(size=500) + 0.2)})).repartition(4)
+    starts = {c: [np.array([0.4, *[0.0] * 9]), np.array([-0.2, 0.3, *[0.0] * 8])] for c in range(3)}
+    got = estimate.share_nls(df, "cell", most=5, starts=starts).sort("cell").toPandas()
+    monkeypatch.setattr(estimate, "share_sums", None)
+    monkeypatch.setattr(estimate, "FEW_GROUPS", 0)
+    want = estimate.share_nls(df, "cell", most=5, starts=starts).sort("cell").toPandas()
+    assert np.allclose(got.astype(float), want.astype(float), rtol=1e-6, atol=1e-9)

@@ -82,6 +82,30 @@ def centred(df: DataFrame, key: str) -> DataFrame:
     return df.join(means, key).withColumns({c: F.col(c) - F.col(f"_m{c}") for c in names}).drop(*(f"_m{c}" for c in names))
 
 
+#: Groups up to which a step's sums are made by matrix products in the tasks; beyond, by Spark's aggregation.
+FEW_GROUPS = 100
+
+
+def share_sums(batches: Iterator[pd.DataFrame], trial: dict[int, list[tuple[int, np.ndarray]]]) -> Iterator[pd.DataFrame]:
+    """Per group number _g and start _j of a task's rows (_g, k, m, l, s): their number and the sums of products of ``share_nls``, as a flat matrix q. trial: group -> (start, coefficients)."""
+    total: dict = {}
+    for batch in batches:
+        number = batch["_g"].to_numpy()
+        k, m, l, s = (batch[c].to_numpy() for c in ("k", "m", "l", "s"))  # noqa: E741
+        terms = np.column_stack([np.ones(len(k)), k, m, l, k * k, m * m, l * l, k * m, k * l, m * l])
+        for g in np.unique(number).tolist():
+            at = number == g
+            p, share = terms[at], s[at]
+            for j, c in trial.get(g, []):
+                fit = p @ c
+                low, above = fit < FLOOR, np.maximum(fit, FLOOR)
+                value = np.where(low, np.log(FLOOR) + fit / FLOOR - 1, np.log(above))
+                v = np.column_stack([p / above[:, None], value - share])
+                n, q = total.get((g, j), (0, 0.0))
+                total[g, j] = (n + len(p), q + v.T @ v)
+    yield pd.DataFrame([(g, j, n, q.ravel().tolist()) for (g, j), (n, q) in total.items()], columns=["_g", "_j", "n", "q"])
+
+
 #: Groups whose coefficients and sums the driver holds while it steps.
 MOST_GROUPS = 20_000
 
@@ -122,6 +146,17 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8, starts
     vector = [*(slope * x for x in p), value - F.col("s")]
 
     def sums(trial: dict) -> dict:
+        if packed is not None:
+            told: dict = {}
+            for (g, j), c in trial.items():
+                told.setdefault(place[g], []).append((j, c))
+            parts = packed.where(F.col("_g").isin(list(told))).mapInPandas(lambda rows: share_sums(rows, told), "_g int, _j int, n long, q array<double>")
+            each = parts.select("_g", "_j", "n", F.posexplode("q").alias("at", "q")).groupBy("_g", "_j", "at").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).collect()  # a matrix a group and start
+            made: dict = {}
+            for r in each:
+                n, q = made.setdefault((few[r["_g"]][key], r["_j"]), (r["n"], np.empty((t + 1) ** 2)))
+                q[r["at"]] = r["q"]
+            return {g: (n, q.reshape(t + 1, t + 1)) for g, (n, q) in made.items()}
         table = spark.createDataFrame([(g, j, c.tolist()) for (g, j), c in trial.items()], f"`{key}` {kind}, _j int, _c array<double>")
         rows = df.join(F.broadcast(table), key).groupBy(key, "_j").agg(F.count("*").alias("n"), *_gram(vector)).collect()  # a row a group and start
         return {(r[key], r["_j"]): (r.n, _matrix(r, t + 1)) for r in rows}
@@ -129,6 +164,10 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8, starts
     few = df.groupBy(key).agg(F.avg("s").alias("a")).limit(MOST_GROUPS + 1).collect()
     if len(few) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups of {key}")
+    packed, place = None, {r[key]: i for i, r in enumerate(few)}
+    if 0 < len(few) <= FEW_GROUPS:
+        numbers = spark.createDataFrame([(g, i) for g, i in place.items()], f"`{key}` {kind}, _g int")
+        packed = df.join(F.broadcast(numbers), key).select("_g", *(F.col(c).cast("double").alias(c) for c in ("k", "m", "l", "s"))).persist()
     points = {r[key]: [np.array([np.exp(r.a), *[0.0] * (t - 1)])] for r in few} if starts is None else {r[key]: starts[r[key]] for r in few}
     best = {(g, j): np.clip(np.asarray(c, float), -limit, limit) for g, cs in points.items() for j, c in enumerate(cs)}
     state, damping, done = sums(best) if best else {}, dict.fromkeys(best, 1e-3), set()
@@ -151,6 +190,8 @@ def share_nls(df: DataFrame, key: str, most: int = 40, tol: float = 1e-8, starts
                 if damping[g] > 1e6:
                     done.add(g)
     df.unpersist()
+    if packed is not None:
+        packed.unpersist()
     rows = []
     for g, cs in points.items():
         losses = [float(state[g, j][1][t, t] / state[g, j][0]) for j in range(len(cs))]

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varve.operators import estimate, moments, ordered, panel, quantiles
+from varve.sources import files
 
 from .panel_queries import QUERIES, firm_years, query, r6
 
@@ -301,7 +302,7 @@ def _(p):
 
 def est14_share_nls(spark, sf_dir):
     """The first step of the production function in each cell: the share equation by nonlinear least squares, from four starts."""
-    p = production(firm_years(spark, sf_dir)).select("cell", "k", "m", "l", "s")
+    p = files.kept(production(firm_years(spark, sf_dir)).select("cell", "k", "m", "l", "s"), "shares")
     return r6(estimate.share_nls(p, "cell", starts=estimate.share_starts(p, "cell")).drop("spread"))
 
 
