@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -483,6 +484,53 @@ def test_store_notices_damage(spark, odd, table, change):
         store.read(spark, to).count()
 
 
+def test_store_brings_unshared_chunks_home_at_once(spark, both):
+    """Each chunk is held once; one that stands in one place is with its document's number, and is not looked up by digest."""
+    to = new_path(spark, "store")
+    store.write(both, to, public_tokenizers.path("word_bpe_49k.json"))
+    own, chunks, recipes = (spark.read.parquet(f"{to}/{t}") for t in ("own", "chunks", "recipes"))
+    places = Counter((r.home, bytes(d)) for r in recipes.collect() for d in r.digests)
+    often = Counter(d for (_, d), n in places.items() for _ in range(n))
+    alone = {(h, d) for h, d in places if often[d] == 1}
+    assert alone and {(r.home, bytes(r.digest)) for r in own.collect()} == alone and own.count() == len(alone)
+    assert sorted(bytes(r.digest) for r in chunks.collect()) == sorted(d for d, n in often.items() if n > 1)
+
+
+@pytest.mark.parametrize("change", ["lost", "twice", "data", "home", "none"])
+def test_store_notices_damage_to_own_chunks(spark, odd, change):
+    to = new_path(spark, "store")
+    store.write(odd, to, public_tokenizers.path("word_bpe_49k.json"))
+    held = spark.read.parquet(f"{to}/own")
+    rows = held.collect()
+    a, b = rows[:2]
+    new = {"lost": [], "twice": [a, a], "data": [Row(home=a.home, digest=a.digest, data=b.data)], "home": [Row(home=b.home, digest=a.digest, data=a.data)], "none": [Row(home=None, digest=a.digest, data=a.data)]}
+    spark.createDataFrame(new[change] + rows[1:], held.schema).write.mode("overwrite").parquet(f"{to}/own")
+    with pytest.raises(Exception, match="damaged"):
+        store.read(spark, to).count()
+
+
+def test_chunks_of_streams_laid_together_are_those_of_each_alone():
+    dice = np.random.default_rng(3)
+    streams = [dice.integers(0, 49_408, n).astype("<u4") for n in (1, 15, 16, 17, 70, 20_000, 1, 3000)] + [np.full(9000, 5, "<u4"), np.full(1, 2, "<u4")]
+    together = list(store.cuts(np.concatenate(streams), [len(x) for x in streams]))
+    assert together == [e for x in streams for e in store.cuts(x, [len(x)])] and all(e[-1] == len(x) for e, x in zip(together, streams, strict=True))
+    for x, ends in zip(streams, together, strict=True):
+        hashes = [sum(int(store._mixed(x[i - k : i - k + 1])[0]) << k for k in range(min(i + 1, 16))) % (1 << 16) for i in range(len(x))]
+        low = {i + 1 for i, h in enumerate(hashes) if h < (1 << 16) // store.MEAN}
+        assert all(e in low or e - s == store.MOST or e == len(x) for s, e in zip([0, *ends], ends, strict=False))
+
+
+def test_known_runs_are_not_split_again(monkeypatch):
+    code = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Some words, it's\tthe 2nd 'version of cafés... (x2)\n"
+    first, plain = code.encode([text]), code.units.whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(first[0], "<u4").tolist() == plain
+    monkeypatch.setattr(tokens, "_PLAIN", None)
+    monkeypatch.setattr(code, "split", lambda text: 1 / 0)
+    code.units.clear()
+    assert code.encode([text.upper(), text]) == first * 2
+
+
 def test_store_width_follows_the_vocabulary(spark, odd):
     path, to = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "store")
     store.write(odd, to, path, end_id=1 << 20)

@@ -1,14 +1,17 @@
 """A content-addressed store of token ids.
 
 Documents' id streams are cut where a rolling gear hash over the last 16 ids is below a threshold, so equal passages
-give equal chunks. A folder holds four Parquet tables:
-
-* ``chunks`` (digest, data): each distinct chunk once. data: ids as little-endian numbers of ``width`` bytes (2 if the
-  whole vocabulary and the end id fit, else 4); digest is its BLAKE2b-128.
-* ``recipes`` (part, row, doc_id, local_start, n_tokens, root, digests): documents in ascending doc_id order (nulls
-  first, then by root), in range parts; root is the SHA-256 of the digests in order; local_start counts ids in the part.
+give equal chunks. Each distinct chunk is held once. A folder holds five Parquet tables:
+
+* ``chunks`` (digest, data): the chunks that stand in more than one place. data: ids as little-endian numbers of ``width``
+  bytes (2 if the whole vocabulary and the end id fit, else 4); digest is its BLAKE2b-128.
+* ``own`` (home, digest, data): the chunks that stand in one place, with the number of the document that has them, so
+  that reading brings them there at once.
+* ``recipes`` (part, row, doc_id, home, local_start, n_tokens, root, digests): documents in ascending doc_id order (nulls
+  first, then by root), in range parts; home is a number that no other document has; root is the SHA-256 of the digests
+  in order; local_start counts ids in the part.
 * ``manifest`` (part, n_docs, n_tokens, root): per part, root being the Merkle root of its documents (doc_id, place,
-  length and root of each).
+  home, length and root of each).
 * ``head`` (width, n_parts, n_docs, n_tokens, root, n_chunks, chunk_sum): one row; root is the Merkle root of the manifest's rows,
   chunk_sum the sum of 64-bit hashes of the chunks' digests.
 
@@ -30,32 +33,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, map_arrow, new_path, remove
+from .common import by_size, cut, map_arrow, new_path, remove, small_batches
 from .tokens import encoder
 
 MEAN, LEAST, MOST = 512, 64, 4096
 
 
-def _gear(ids: np.ndarray) -> np.ndarray:
+def _mixed(ids: np.ndarray) -> np.ndarray:
     x = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    h = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)
-    h = (h ^ (h >> np.uint32(13))).astype(np.uint16)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    return (x ^ (x >> np.uint32(13))).astype(np.uint16)
+
+
+def _low(ids: np.ndarray, lengths: list[int]) -> list[list[int]]:
+    """Ends at a low hash of each of the streams of these lengths, which ids holds one after another."""
+    x = _mixed(ids)
+    # Zeros before each stream: its hashes see nothing of the one before.
+    starts = np.cumsum([16, *(n + 16 for n in lengths)])[:-1]
+    h, at = np.zeros(len(ids) + 16 * len(lengths), np.uint16), 0
+    for a, n in zip(starts.tolist(), lengths, strict=True):
+        h[a : a + n] = x[at : at + n]
+        at += n
     for width in (1, 2, 4, 8):
         h[width:] = h[width:] + (h[:-width] << np.uint16(width))
-    return h
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: after LEAST ids at least, at a low hash, or after MOST."""
-    out, at = [], 0
-    for c in [*(np.flatnonzero(_gear(ids) < (1 << 16) // MEAN) + 1).tolist(), len(ids)]:
-        while c - at > MOST:
-            at += MOST
-            out.append(at)
-        if c - at >= LEAST or c == len(ids) and c > at:
-            out.append(c)
-            at = c
-    return out
+    low = np.flatnonzero(h < (1 << 16) // MEAN)
+    first, last = np.searchsorted(low, starts).tolist(), np.searchsorted(low, starts + lengths).tolist()
+    return [(low[i:j] + (1 - a)).tolist() for i, j, a in zip(first, last, starts.tolist(), strict=True)]
+
+
+def cuts(ids: np.ndarray, lengths: list[int]) -> Iterator[list[int]]:
+    """Ends of the chunks of each stream: after LEAST ids at least, at a low hash, or after MOST."""
+    for n, low in zip(lengths, _low(ids, lengths), strict=True):
+        out, at = [], 0
+        for c in [*low, n]:
+            while c - at > MOST:
+                at += MOST
+                out.append(at)
+            if c - at >= LEAST or c == n and c > at:
+                out.append(c)
+                at = c
+        yield out
 
 
 def digest(data: bytes) -> bytes:
@@ -79,42 +96,46 @@ def merkle(leaves: Iterable[bytes]) -> bytes:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     spark = docs.sparkSession
-    width, end = 2 if max(encoder(tokenizer).largest, end_id) < 1 << 16 else 4, np.array([end_id], "<u4")
+    width, end = 2 if max(encoder(tokenizer).largest, end_id) < 1 << 16 else 4, end_id.to_bytes(4, "little")
 
     def encode(x: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "root", "digests", "chunks")}
-        for d, raw in zip(x["doc_id"], encoder(tokenizer).encode(x["text"]), strict=True):
-            ids = np.concatenate((np.frombuffer(raw, "<u4"), end))
-            data, ends = ids.astype(f"<u{width}"), cuts(ids)
-            chunks = [data[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+        out: dict[str, list] = {"home": x["home"], "doc_id": x["doc_id"], "n_tokens": [], "root": [], "digests": [], "chunks": []}
+        raw = [r + end for r in encoder(tokenizer).encode(x["text"])]
+        ids, at = np.frombuffer(b"".join(raw), "<u4"), 0
+        data, out["n_tokens"] = ids.astype(f"<u{width}").tobytes(), [len(r) // 4 for r in raw]
+        for n, ends in zip(out["n_tokens"], cuts(ids, out["n_tokens"]), strict=True):
+            chunks = [data[width * (at + a) : width * (at + b)] for a, b in zip([0, *ends], ends, strict=False)]
             names = [digest(c) for c in chunks]
-            for k, v in zip(out, (d, len(ids), hashlib.sha256(b"".join(names)).digest(), names, chunks), strict=True):
-                out[k].append(v)
+            out["root"].append(hashlib.sha256(b"".join(names)).digest())
+            out["digests"].append(names)
+            out["chunks"].append(chunks)
+            at += n
         yield out
 
     staged_path = new_path(spark, "staged")
-    staged = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>", encode, 64)
+    numbered = docs.select(F.monotonically_increasing_id().alias("home"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    staged = map_arrow(numbered, "home long, doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>", encode, 64)
     staged.write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.schema(staged.schema).parquet(staged_path)
 
-    one = staged.select(F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("data"))
+    one = staged.select("home", F.explode(F.arrays_zip("digests", "chunks")).alias("c")).select("home", F.col("c.digests").alias("digest"), F.col("c.chunks").alias("data"))
     # Most chunks stand once: only those that don't are shuffled, if the others can be told from a table of bounded size.
     twice = staged.select(F.explode("digests").alias("digest")).groupBy("digest").count().where("count > 1").select("digest")
     twice = by_size(cut(spark, twice, "twice"), 500_000)
-    chunks = one.join(twice, "digest", "left_anti").unionByName(one.join(twice, "digest", "left_semi").dropDuplicates(["digest"]))
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    one.join(twice, "digest", "left_anti").select("home", "digest", "data").write.option("compression", "zstd").parquet(f"{path}/own")
+    one.join(twice, "digest", "left_semi").select("digest", "data").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, row, part = 0, 0, TaskContext.get().partitionId()
         for b in batches:
             n = b.column("n_tokens").to_pylist()
             starts = [start, *accumulate(n, initial=start)][1:]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(n), pa.int32()), "row": pa.array(range(row, row + len(n)), pa.int64()), "doc_id": b.column("doc_id"), "local_start": pa.array(starts[:-1], pa.int64()), "n_tokens": b.column("n_tokens"), "root": b.column("root"), "digests": b.column("digests")})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(n), pa.int32()), "row": pa.array(range(row, row + len(n)), pa.int64()), "doc_id": b.column("doc_id"), "home": b.column("home"), "local_start": pa.array(starts[:-1], pa.int64()), "n_tokens": b.column("n_tokens"), "root": b.column("root"), "digests": b.column("digests")})
             start, row = starts[-1], row + len(n)
 
-    small = staged.select("doc_id", "n_tokens", "root", "digests")
+    small = staged.select("doc_id", "home", "n_tokens", "root", "digests")
     ordered = small.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    ordered.mapInArrow(number, "part int, row long, doc_id long, local_start long, n_tokens long, root binary, digests array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ordered.mapInArrow(number, "part int, row long, doc_id long, home long, local_start long, n_tokens long, root binary, digests array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
     summary(spark, path).coalesce(1).write.parquet(f"{path}/manifest")
     remove(spark, staged_path)
     manifest = _manifest(spark, path)
@@ -128,7 +149,7 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("part", "row", "doc_id", "local_start", "n_tokens", "root")), strict=True)
+                yield from zip(*(b.column(c).to_pylist() for c in ("part", "row", "doc_id", "home", "local_start", "n_tokens", "root")), strict=True)
 
         out: dict[str, list] = {"part": [], "n_docs": [], "n_tokens": [], "root": []}
         todo = rows()
@@ -139,8 +160,8 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
             def leaves() -> Iterator[bytes]:
                 nonlocal ahead, n_docs, n_tokens
                 while ahead is not None and ahead[0] == part:
-                    _, row, doc_id, start, n, root = ahead
-                    yield f"{row},{doc_id},{start},{n},".encode() + root
+                    _, row, doc_id, home, start, n, root = ahead
+                    yield f"{row},{doc_id},{home},{start},{n},".encode() + root
                     n_docs, n_tokens = n_docs + 1, n_tokens + n
                     ahead = next(todo, None)
 
@@ -149,7 +170,7 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
                 out[k].append(v)
         yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int32()), "n_docs": pa.array(out["n_docs"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "root": pa.array(out["root"], pa.binary())})
 
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "doc_id", "local_start", "n_tokens", "root")
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "row", "doc_id", "home", "local_start", "n_tokens", "root")
     return recipes.repartition("part").sortWithinPartitions("part", "row").mapInArrow(f, "part int, n_docs long, n_tokens long, root binary")
 
 
@@ -165,7 +186,8 @@ def _root(manifest: list) -> bytes:
 def _chunk_sum(spark: SparkSession, path: str) -> tuple:
     """Number of stored chunks, and the sum of their digests' hashes."""
     hashed = F.coalesce(F.sum(F.xxhash64("digest").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-    return tuple(spark.read.parquet(f"{path}/chunks").agg(F.count("*"), hashed).first())
+    digests = [spark.read.parquet(f"{path}/{table}").select("digest") for table in ("chunks", "own")]
+    return tuple(digests[0].unionAll(digests[1]).agg(F.count("*"), hashed).first())
 
 
 def verified(spark: SparkSession, path: str) -> tuple[int, list]:
@@ -190,23 +212,49 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     width, manifest = verified(spark, path)
     base = list(accumulate((r.n_tokens for r in manifest), initial=0))
     starts = spark.createDataFrame([(r.part, b) for r, b in zip(manifest, base, strict=False)], "part int, base long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    places = recipes.select("part", "row", "n_tokens", "root", "doc_id", "local_start", F.posexplode("digests").alias("pos", "digest"))
-    got = places.join(spark.read.parquet(f"{path}/chunks"), "digest", "left")
-    chunks = F.sort_array(F.collect_list(F.struct("pos", "digest", "data"))).alias("chunks")
-    whole = got.groupBy("part", "row").agg(*(F.first(c).alias(c) for c in ("doc_id", "local_start", "n_tokens", "root")), chunks)
-    whole = whole.select("part", "doc_id", "local_start", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.data").alias("data"))
-
-    def verify(x: dict) -> Iterator[dict]:
-        ids = []
-        for root, n, names, data in zip(x["root"], x["n_tokens"], x["digests"], x["data"], strict=True):
-            if None in data or [digest(c) for c in data] != names or hashlib.sha256(b"".join(names)).digest() != root:
+    recipes, own = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/own")
+    # A chunk that stands in one place goes to its document at once; only the others are looked up by digest.
+    asked = recipes.select("home", F.explode(F.array_distinct("digests")).alias("digest"))
+    shared = asked.join(spark.read.parquet(f"{path}/chunks"), "digest").select("home", "digest", "data")
+    told = recipes.select("home", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("binary").alias("data"), F.struct("part", "doc_id", "local_start", "n_tokens", "root", "digests").alias("told"))
+    pieces = own.select("home", "digest", "data").unionAll(shared).withColumn("told", F.lit(None).cast(told.schema["told"].dataType))
+    rows = small_batches(told.unionAll(pieces).repartition("home").sortWithinPartitions("home"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document, once its rows, which stand together, are past."""
+        done: list[tuple] = []
+        begun, at, recipe, found = False, None, None, {}
+
+        def close() -> None:
+            if recipe is None or any(n not in found for n in recipe["digests"]) or any(digest(c) != n for n, c in found.items()) or hashlib.sha256(b"".join(recipe["digests"])).digest() != recipe["root"]:
                 raise ValueError("a chunk or recipe of the store is damaged")
-            found = np.frombuffer(b"".join(data), f"<u{width}")
-            if len(found) != n:
+            ids = np.frombuffer(b"".join([found[n] for n in recipe["digests"]]), f"<u{width}")
+            if len(ids) != recipe["n_tokens"]:
                 raise ValueError("a document of the store has another length than its recipe says")
-            ids.append(found.astype("<u4").tobytes())
-        yield {k: x[k] for k in ("part", "doc_id", "local_start", "n_tokens")} | {"ids": ids}
+            done.append((recipe["part"], recipe["doc_id"], recipe["local_start"], recipe["n_tokens"], ids.astype("<u4").tobytes()))
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * 5
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
-    whole = map_arrow(whole, "part int, doc_id long, local_start long, n_tokens long, ids binary", verify, 64)
+        for b in batches:
+            for home, name, data, one in zip(*(b.column(c).to_pylist() for c in ("home", "digest", "data", "told")), strict=True):
+                if not begun or home != at:
+                    if begun:
+                        close()
+                    begun, at, recipe, found = True, home, None, {}
+                if one is None:
+                    found[name] = data
+                elif recipe is None:
+                    recipe = one
+                else:
+                    raise ValueError("the store's recipes are damaged: two have the same home")
+            yield made()
+        if begun:
+            close()
+            yield made()
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+
+    whole = rows.mapInArrow(joined, "part int, doc_id long, local_start long, n_tokens long, ids binary")
     return whole.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
